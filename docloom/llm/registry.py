@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from docloom.llm import line_dedup, sharding
+from docloom.llm import line_dedup, near_dedup, packing, quality_rules, sharding, url_filter
 
 
 def queries() -> dict:
     """Query callables by name."""
     return {
+        "op2_char_ratio": url_filter.op2_char_ratio,
+        "op4_nnls_patterns": packing.op4_nnls_patterns,
+        "op6_threshold_rules": quality_rules.op6_threshold_rules,
         "op7_histogram_sort": sharding.op7_histogram_sort,
+        "op8_simhash_bktree": near_dedup.op8_simhash_bktree,
         "op10_levelled_runs": line_dedup.op10_levelled_runs,
     }
 
 
 def oracle_sql() -> dict:
     """DuckDB texts by name."""
-    return {"op10_levelled_runs": line_dedup.OP10_SQL}
+    return {
+        "op2_char_ratio": url_filter.OP2_SQL,
+        "op6_threshold_rules": quality_rules.OP6_SQL,
+        "op10_levelled_runs": line_dedup.OP10_SQL,
+    }
