@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from docloom.llm import html_text, lattice_lm, line_dedup, near_dedup, packing, quality_rules, sharding, toxicity, url_filter
+import corpus_pipeline
+from docloom.llm import decontamination, html_text, lattice_lm, line_dedup, near_dedup, packing, quality_rules, sharding, toxicity, url_filter
 
 
 def queries() -> dict:
     """Query callables by name."""
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_template_windows": decontamination.op1_template_windows,
         "op2_char_ratio": url_filter.op2_char_ratio,
         "op3_subword_lattice": lattice_lm.op3_subword_lattice,
         "op4_nnls_patterns": packing.op4_nnls_patterns,
@@ -24,8 +27,6 @@ def oracle_sql() -> dict:
     """DuckDB texts by name."""
     return {
         "op2_char_ratio": url_filter.OP2_SQL,
-        "op5_crf_spans": toxicity.op5_crf_spans,
         "op6_threshold_rules": quality_rules.OP6_SQL,
-        "op9_text_density": html_text.op9_text_density,
         "op10_levelled_runs": line_dedup.OP10_SQL,
     }
