@@ -31,9 +31,9 @@ SHINGLE = 3
 SEED = 42
 #: Nodes in one BK-tree.
 SHARD = 1024
-#: For dedup by five-word shingles: searched fingerprints of the set of words, radius, and bits of 256 that two documents with a
-#: Jaccard similarity of 0.8 on five-word shingles may differ in (the expected 39 plus about one standard deviation).
-NEAR = {"tables": 4, "radius": 3, "check_words": 4, "check_bits": 46}
+#: For dedup by five-word shingles: searched fingerprints of the set of words, radius, nodes in a tree, and bits of 256 that two documents
+#: with a Jaccard similarity of 0.8 on five-word shingles may differ in (the expected 39 and about 1.6 standard deviations).
+NEAR = {"tables": 8, "radius": 4, "shard": 512, "check_words": 4, "check_bits": 48}
 _CHUNK = 1 << 15
 
 
@@ -122,10 +122,9 @@ class BKTree:
         return out
 
 
-def local_stars(ids: list[int], sketches: list[bytes], table: int, radius: int, check_from: int, check_bits: int) -> list[tuple[int, int]]:
+def local_stars(ids: list[int], values: list[int], checks: list[int], radius: int, check_bits: int) -> list[tuple[int, int]]:
     """(smallest id, id) for each further member of each component among the nodes of one shard."""
     tree, order, parent = BKTree(), [], list(range(len(ids)))
-    checks = [int.from_bytes(s[8 * check_from :], "little") for s in sketches]
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -134,7 +133,7 @@ def local_stars(ids: list[int], sketches: list[bytes], table: int, radius: int,
         return i
 
     for i in sorted(range(len(ids)), key=ids.__getitem__):
-        value = int.from_bytes(sketches[i][8 * table : 8 * table + 8], "little")
+        value = values[i]
         for hit in tree.within(value, radius):
             j = order[hit]
             a, b = root(i), root(j)
@@ -161,37 +160,41 @@ def stars(nodes: DataFrame, tables: int = 1, radius: int = RADIUS, check_bits: i
     schema, out = pa.schema([("a", pa.int64()), ("b", pa.int64())]), []
     # A mask is a set of bits that agree; the level's masks are numbered.
     masks = _parts((1 << 64) - 1, radius + 1)
-    plain = nodes.select("id", "sketch", *(_word(t).alias(f"w{t}") for t in range(tables)))
-    every = [F.struct(F.lit(t).alias("t"), F.lit(m).alias("m"), F.col(f"w{t}").bitwiseAND(F.lit(_signed(mask))).alias("v")) for t in range(tables) for m, mask in enumerate(masks)]
-    keyed = plain.select("id", "sketch", *(f"w{t}" for t in range(tables)), F.explode(F.array(*every)).alias("k")).select("*", "k.*").drop("k")
+    every = F.array(
+        *(
+            F.struct(F.lit(t).alias("t"), F.lit(m).alias("m"), F.col(f"w{t}").bitwiseAND(F.lit(_signed(mask))).alias("v"), F.col(f"w{t}").alias("w"))
+            for t in range(tables)
+            for m, mask in enumerate(masks)
+        )
+    )
+    check = F.substring("sketch", 8 * tables + 1, 1 << 20).alias("check")
+    keyed = nodes.select("id", check, *(_word(t).alias(f"w{t}") for t in range(tables))).select("id", "check", F.explode(every).alias("k")).select("id", "check", "k.*")
     while True:
         sizes = keyed.groupBy("t", "m", "v").agg(F.count(F.lit(1)).alias("n"))
         hot = written(sizes.filter(F.col("n") > shard).select("t", "m", "v"), "hot-shards")
         is_hot = not hot.isEmpty()
         small = keyed.join(hot, ["t", "m", "v"], "left_anti") if is_hot else keyed
-        groups = small.groupBy("t", "m", "v").agg(F.collect_list(F.struct("id", "sketch")).alias("members")).filter(F.size("members") > 1)
+        groups = small.groupBy("t", "m", "v").agg(F.collect_list(F.struct("id", "w", "check")).alias("members")).filter(F.size("members") > 1)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 found: list[tuple[int, int]] = []
-                for table, members in zip(b["t"].to_pylist(), b["members"], strict=True):
-                    own = members.values
-                    found += local_stars(own.field("id").to_pylist(), own.field("sketch").to_pylist(), table, radius, tables, check_bits)
+                own, ends = b["members"].values, b["members"].offsets.to_pylist()
+                ids, checks = own.field("id").to_pylist(), [int.from_bytes(x, "little") for x in own.field("check").to_pylist()]
+                values = own.field("w").to_numpy(zero_copy_only=False).view(np.uint64).tolist()
+                for at, to in zip(ends, ends[1:], strict=False):
+                    found += local_stars(ids[at:to], values[at:to], checks[at:to], radius, check_bits)
                 yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=schema)
 
-        out.append(written(groups.select("t", "members").mapInArrow(search, "a long, b long"), "stars"))
+        out.append(written(groups.select("members").mapInArrow(search, "a long, b long"), "stars"))
         if not is_hot:
             return reduce(DataFrame.union, out)
         inside = keyed.join(hot, ["t", "m", "v"], "left_semi")
         cut = [[m | part for part in _parts(((1 << 64) - 1) & ~m, radius + 1)] for m in masks]
         masks, width = [x for row in cut for x in row], radius + 1
         picks = F.array(*(F.array(*(F.lit(_signed(x)) for x in row)) for row in cut))
-        values = F.array(*(F.col(f"w{t}") for t in range(tables)))
-        finer = F.transform(F.get(picks, F.col("m")), lambda x, i: F.struct((F.col("m") * width + i).alias("m"), x.alias("x")))
-        keyed = written(
-            inside.withColumn("k", F.explode(finer)).select("id", "sketch", *(f"w{t}" for t in range(tables)), "t", F.col("k.m").cast("int").alias("m"), F.get(values, F.col("t")).bitwiseAND(F.col("k.x")).alias("v")),
-            "finer-shards",
-        )
+        finer = F.transform(F.get(picks, F.col("m")), lambda x, i: F.struct((F.col("m") * width + i).cast("int").alias("m"), F.col("w").bitwiseAND(x).alias("v")))
+        keyed = written(inside.withColumn("k", F.explode(finer)).select("id", "check", "t", "k.m", "k.v", "w"), "finer-shards")
 
 
 def _word(t: int):
@@ -265,7 +268,7 @@ def near_classes(df: DataFrame, near: dict = NEAR) -> DataFrame:
     256 fingerprint bits of the five-word shingles. Exact copies always share a class.
     """
     tables, check = near["tables"], near["check_words"]
-    found = classes(sketches(df, lambda x: near_sketch(x, tables, check)), tables, near["radius"], near["check_bits"])
+    found = classes(sketches(df, lambda x: near_sketch(x, tables, check)), tables, near["radius"], near["check_bits"], near["shard"])
     return found.select("doc_id", "component_id")
 
 
