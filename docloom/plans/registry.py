@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from docloom.plans import web_queries
+
+MODULES = (web_queries,)
+
 
 def queries() -> dict:
     """Query callables by name."""
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
     """DuckDB texts by name."""
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
