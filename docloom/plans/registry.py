@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.plans import markdown_queries, web_queries
+from docloom.plans import corpus_queries, markdown_queries, web_queries
 
-MODULES = (web_queries, markdown_queries)
+MODULES = (web_queries, markdown_queries, corpus_queries)
 
 
 def queries() -> dict:
