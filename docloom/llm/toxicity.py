@@ -1,6 +1,6 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Only documents carry labels, so tokens are labelled first: a word is suspect if it stands in many different contexts of
+Only documents carry labels, so tokens are labelled first: a word (or its stem of four bytes) is suspect if it stands in many different contexts of
 toxic training documents and in few of clean ones; suspect words in toxic documents are labelled 1, all other tokens 0. A
 two-label CRF with the word, its neighbours and label transitions as features is fitted to these tokens. Forward-backward
 marginals give each document the expected number of toxic tokens and the largest marginal; a logistic
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,14 +31,16 @@ MARGIN = 8
 REJECT_AT = 0.7
 STRIP = b".,!?;:#*$%&|<>\"'()[]{}-_~+="
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-MIN_CONTEXTS, MIN_Z = 4, 3.0
+#: Contexts, and root of twice the log-likelihood gain, that make a word, or a stem of STEM bytes, suspect.
+MIN_CONTEXTS, MIN_ROOT, STEM = 6, 5.0, 4
 STEPS, RATE, L2 = 150, 0.1, 0.01
 
 
 class Model(NamedTuple):
-    """words: suspect words by number from 1; emit[k]: log weight of label 1 for word k (0: any other); near: for a suspect neighbour on the left and right; move: 2x2 transitions."""
+    """words and stems: suspect ones by number from 1; emit[k]: log weight of label 1 for word k (0: any other); near: for a suspect neighbour on the left and right; move: 2x2 transitions."""
 
     words: dict[bytes, int]
+    stems: dict[bytes, int]
     emit: np.ndarray
     near: np.ndarray
     move: np.ndarray
@@ -52,23 +53,52 @@ def tokens(text: bytes) -> list[bytes]:
     return [w.strip(STRIP) for w in byte_words(text)]
 
 
-def suspects(documents: list[tuple[list[bytes], int]]) -> dict[bytes, int]:
-    """Words whose different contexts are far more frequent in toxic documents, by log odds over their standard error."""
-    seen: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
-    size = [0, 0]
-    for words, label in documents:
-        size[label] += len(words)
-        for left, w, right in zip([b"", *words], words, [*words[1:], b""], strict=False):
-            if w:
-                seen[label][w].add(hash((left, right)))
+class Sample:
+    """Tokenised documents as word numbers, with their labels."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = {}
+        self.documents: list[np.ndarray] = []
+        self.labels: list[int] = []
+
+    def add(self, text: str | None, label: int) -> None:
+        """Tokenise a document and keep its word numbers alone."""
+        numbers = self.numbers
+        own = [numbers.setdefault(w, len(numbers)) for w in tokens((text or "").encode())]
+        self.documents.append(np.array(own, np.int32))
+        self.labels.append(label)
+
+
+def suspects(sample: Sample, item_of: np.ndarray, names: list[bytes]) -> list[bytes]:
+    """The items (words or stems; item_of: a word's) whose different contexts are far more frequent in toxic documents, by a likelihood-ratio test.
+
+    Only items that at least MIN_CONTEXTS toxic documents hold can have so many contexts there, so only their contexts are kept.
+    """
+    size, frequency = [1, 1], np.zeros((2, len(names)), np.int64)
+    for own, label in zip(sample.documents, sample.labels, strict=True):
+        size[label] += len(own)
+        frequency[label, np.unique(item_of[own])] += 1
+    often = (frequency[1] >= MIN_CONTEXTS) & ((frequency[1] + 0.5) / size[1] > 2 * (frequency[0] + 0.5) / size[0])
+    contexts: dict[int, tuple[set, set]] = {int(k): (set(), set()) for k in np.flatnonzero(often)}
+    for own, label in zip(sample.documents, sample.labels, strict=True):
+        items = item_of[own]
+        for i in np.flatnonzero(often[items]).tolist():
+            left, right = own[i - 1] if i else -1, own[i + 1] if i + 1 < len(own) else -1
+            contexts[int(items[i])][label].add((int(left), int(right)))
     found = []
-    for w, contexts in seen[1].items():
-        p, n = len(contexts), len(seen[0].get(w, ()))
-        if p >= MIN_CONTEXTS:
-            odds = math.log((p + 0.5) / (size[1] + 1)) - math.log((n + 0.5) / (size[0] + 1))
-            if odds > math.log(4) and odds / math.sqrt(1 / (p + 0.5) + 1 / (n + 0.5)) >= MIN_Z:
-                found.append((-odds, w))
-    return {w: i + 1 for i, (_, w) in enumerate(sorted(found)[:MAX_WORDS])}
+    for k, (clean, toxic) in contexts.items():
+        p, n = len(toxic), len(clean)
+        odds = math.log((p + 0.5) / size[1]) - math.log((n + 0.5) / size[0])
+        share = size[1] / (size[0] + size[1])
+        gain = 2 * (p * math.log(p / ((p + n) * share)) + (n * math.log(n / ((p + n) * (1 - share))) if n else 0.0)) if p else 0.0
+        if names[k] and p >= MIN_CONTEXTS and odds > math.log(8) and math.sqrt(max(0.0, gain)) >= MIN_ROOT:
+            found.append((-odds, names[k]))
+    return [w for _, w in sorted(found)[:MAX_WORDS]]
+
+
+def stem(word: bytes) -> bytes:
+    """The first STEM bytes of a longer word; empty for others."""
+    return word[:STEM] if len(word) > STEM else b""
 
 
 def emissions(ids: np.ndarray, emit: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -133,48 +163,71 @@ def stretches(at: list[int], length: int) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def tagged(words: list[bytes], model: Model) -> list[tuple[int, float]]:
-    """(token number, P(toxic)) for the tokens near suspect words."""
-    known = model.words
-    at = [i for i, w in enumerate(words) if w.strip(STRIP) in known]
+def tagged_numbers(numbers: np.ndarray, model: Model) -> list[tuple[int, float]]:
+    """(token number, P(toxic)) for the tokens near suspect words, of a document as suspect-word numbers."""
     out = []
-    for a, z in stretches(at, len(words)):
-        ids = np.array([[known.get(w.strip(STRIP), 0) for w in words[a:z]]])
-        one, _, _ = marginals(emissions(ids, model.emit, model.near), model.move)
+    for a, z in stretches(np.flatnonzero(numbers).tolist(), len(numbers)):
+        one, _, _ = marginals(emissions(numbers[None, a:z], model.emit, model.near), model.move)
         out += zip(range(a, z), one[0].tolist(), strict=True)
     return out
 
 
+def tagged(words: list[bytes], model: Model) -> list[tuple[int, float]]:
+    """(token number, P(toxic)) for the tokens near suspect words, of a document as raw words."""
+    known, stems = model.words, model.stems
+    found = {}
+    for i, w in enumerate(words):
+        s = w.strip(STRIP)
+        if s in known:
+            found[i] = known[s]
+        elif s[:STEM] in stems and len(s) > STEM:
+            found[i] = stems[s[:STEM]]
+    if not found:
+        return []
+    numbers = np.zeros(len(words), np.int64)
+    numbers[list(found)] = list(found.values())
+    return tagged_numbers(numbers, model)
+
+
 def _features(found: list[tuple[int, float]]) -> tuple[float, float, float]:
     p = [x for _, x in found]
     return 1.0, max(p, default=0.0), math.log1p(sum(p))
 
 
-def fit(rows: list[tuple[str | None, int]], weights: tuple[float, float] = (1.0, 1.0)) -> Model:
+def fit(rows, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
     """A model of (text, label) rows; weights: how many labelled rows one of each label stands for."""
-    documents = [(tokens((t or "").encode()), int(y)) for t, y in rows]
-    n = [sum(y == k for _, y in documents) * weights[k] for k in (0, 1)]
+    sample = Sample()
+    for text, label in rows:
+        sample.add(text, int(label))
+    n = [sample.labels.count(k) * weights[k] for k in (0, 1)]
     rate = (n[1] + 1) / (n[0] + n[1] + 2)
-    words = suspects(documents) if n[0] and n[1] else {}
-    if not words:
+    every = list(sample.numbers)
+    stem_number: dict[bytes, int] = {}
+    stem_of = np.array([stem_number.setdefault(stem(w), len(stem_number)) for w in every], np.int64)
+    words: dict[bytes, int] = {}
+    stems: dict[bytes, int] = {}
+    if n[0] and n[1]:
+        words = {w: i + 1 for i, w in enumerate(suspects(sample, np.arange(len(every)), every))}
+        stems = {w: len(words) + i + 1 for i, w in enumerate(suspects(sample, stem_of, list(stem_number)))}
+    if not words and not stems:
         flat = np.array([math.log(rate / (1 - rate)), 0.0, 0.0])
-        return Model({}, np.zeros(1), np.zeros(2), np.zeros((2, 2)), flat, rate)
+        return Model({}, {}, np.zeros(1), np.zeros(2), np.zeros((2, 2)), flat, rate)
+    suspect = np.array([words.get(w) or stems.get(stem(w), 0) for w in every], np.int64)
     width, ids, labels = 2 * MARGIN + 1, [], []
-    for own, y in documents:
-        numbers = [words.get(w, 0) for w in own]
-        at = [i for i, k in enumerate(numbers) if k] + list(range(MARGIN, len(own), 20 * width))
-        for i in at:
+    for own, y in zip(sample.documents, sample.labels, strict=True):
+        numbers = suspect[own]
+        for i in [*np.flatnonzero(numbers).tolist(), *range(MARGIN, len(own), 20 * width)]:
             a = max(0, min(i - MARGIN, len(own) - width))
             part = numbers[a : a + width]
             if len(part) == width:
                 ids.append(part)
-                labels.append([int(bool(k) and y) for k in part])
+                labels.append((part > 0) & bool(y))
     if not ids:
         ids, labels = [[0] * width], [[0] * width]
-    emit, near, move = fit_chain(np.array(ids), np.array(labels, float), len(words))
-    model = Model(words, emit, near, move, np.zeros(3), rate)
-    x = np.array([_features(tagged(own, model)) for own, _ in documents])
-    y = np.array([k for _, k in documents], float)
+    emit, near, move = fit_chain(np.array(ids), np.array(labels, float), len(words) + len(stems))
+    model = Model(words, stems, emit, near, move, np.zeros(3), rate)
+    x = np.array([_features(tagged_numbers(suspect[own], model)) for own in sample.documents])
+    y = np.array(sample.labels, float)
     return model._replace(logit=logistic(x, y, np.where(y > 0, weights[1], weights[0])))
 
 
@@ -204,9 +257,11 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     # At most 2 * sample_rows ids, so they may be broadcast.
     few = F.broadcast(picked[0].union(picked[1]))
     texts = documents.filter(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select("doc_id", "text").join(few, "doc_id")
-    rows = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for r in texts.collect())
-    took = [sum(r[2] == k for r in rows) for k in (0, 1)]
-    return fit([(t, y) for _, t, y in rows], tuple(n.get(k, 0) / max(1, took[k]) for k in (0, 1)))
+    # Ordered, so that the model does not depend on the order of tasks.
+    rows = texts.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    labelled = rows["toxic"].to_pylist()
+    weights = tuple(n.get(k, 0) / max(1, labelled.count(k)) for k in (0, 1))
+    return fit(((t.as_py(), y) for t, y in zip(rows["text"], labelled, strict=True)), weights)
 
 
 def scored(documents: DataFrame, model: Model, reject_at: float = REJECT_AT) -> DataFrame:
