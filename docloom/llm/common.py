@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-#: The word separators of all contracts; exactly what bytes.split() cuts at.
-SPACE = "\\x20\\x09-\\x0D"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one of our own where none is named (local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='spark-docloom-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+from docloom.session import shared_dir
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,17 +29,7 @@ def byte_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    """A record batch of the given columns."""
-    return pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, type=schema.field(k).type) for k, x in columns.items()], schema=schema)
-
-
 def pieces(batch_in: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     """A batch in slices of so many rows."""
     for at in range(0, batch_in.num_rows, rows):
         yield batch_in.slice(at, rows)
-
-
-def plain_text(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with null texts as empty ones."""
-    return df.withColumn(text, F.coalesce(F.col(text), F.lit("")))

@@ -237,6 +237,22 @@ def leaks(df: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFram
     return out
 
 
+def without_leaks(df: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """The rows of df (text, ...) that leak no item, each judged in its place: nothing is joined or shuffled, and rows without an id are judged like others."""
+    for block in blocks(benchmark):
+        shared = df.sparkSession.sparkContext.broadcast(Index(block))
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            canonical = Canonical(frozenset(index.vocabulary))
+            for b in batches:
+                clean = [not (text and index.leaks(canonical.template(text), share)) for text in b["text"].to_pylist()]
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        df = df.mapInArrow(keep, df.schema)
+    return df
+
+
 def op1_template_windows(spark, sf_dir: str) -> DataFrame:
     """Every document that leaks a benchmark item, with the item."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")

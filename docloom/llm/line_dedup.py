@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import shared_dir, text_bytes, written
+from docloom.llm.common import text_bytes, written
+from docloom.session import shared_dir
 
 STRIP = b" \t\n\x0b\x0c\r"
 FAN_IN = 4

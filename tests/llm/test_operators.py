@@ -55,6 +55,9 @@ def test_leaks_equal_brute_force(spark):
         return sum(tuple(i[k : k + w]) in own for k in range(n)) >= decontamination.SHARE * n
 
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(d, k) for d, t in rows for k, item in items if item and brute(t, item)}
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), (None, "clean")], TEXTS)
+    kept = [r["doc_id"] for r in decontamination.without_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert sorted(kept, key=repr) == sorted([d for d, _ in rows if d not in {r["doc_id"] for r in found}] + ([None] if 0 in {r["doc_id"] for r in found} else [None, None]), key=repr)
     none = spark.createDataFrame([], TEXTS)
     assert decontamination.leaks(none, spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontamination.leaks(spark.createDataFrame(rows, TEXTS), spark.createDataFrame([], "item_id long, text string")).count() == 0
