@@ -122,8 +122,11 @@ class BKTree:
         return out
 
 
-def local_stars(ids: list[int], values: list[int], checks: list[int], radius: int, check_bits: int) -> list[tuple[int, int]]:
-    """(smallest id, id) for each further member of each component among the nodes of one shard."""
+def local_stars(ids: list[int], values: list[int], checks: list[int], radius: int, check_bits: int, earlier: list[int]) -> list[tuple[int, int]]:
+    """(smallest id, id) for each further member of each component among the nodes of one shard.
+
+    A pair that also agrees in the bits of one of the `earlier` masks meets in that shard of its table, and is left to it.
+    """
     tree, order, parent = BKTree(), [], list(range(len(ids)))
 
     def root(i: int) -> int:
@@ -136,6 +139,8 @@ def local_stars(ids: list[int], values: list[int], checks: list[int], radius: in
         value = values[i]
         for hit in tree.within(value, radius):
             j = order[hit]
+            if any((value ^ values[j]) & e == 0 for e in earlier):
+                continue
             a, b = root(i), root(j)
             if a != b and (not check_bits or (checks[i] ^ checks[j]).bit_count() <= check_bits):
                 low, high = (a, b) if ids[a] < ids[b] else (b, a)
@@ -158,8 +163,9 @@ def _signed(value: int) -> int:
 def stars(nodes: DataFrame, tables: int = 1, radius: int = RADIUS, check_bits: int = 0, shard: int = SHARD) -> DataFrame:
     """(a, b): links that join every pair of nodes (id, sketch) that link, though not each pair itself."""
     schema, out = pa.schema([("a", pa.int64()), ("b", pa.int64())]), []
-    # A mask is a set of bits that agree; the level's masks are numbered.
+    # A mask is a set of bits that agree; the level's masks are numbered, and each knows the parts before its own at every level.
     masks = _parts((1 << 64) - 1, radius + 1)
+    before = [masks[:m] for m in range(len(masks))]
     every = F.array(
         *(
             F.struct(F.lit(t).alias("t"), F.lit(m).alias("m"), F.col(f"w{t}").bitwiseAND(F.lit(_signed(mask))).alias("v"), F.col(f"w{t}").alias("w"))
@@ -176,21 +182,23 @@ def stars(nodes: DataFrame, tables: int = 1, radius: int = RADIUS, check_bits: i
         small = keyed.join(hot, ["t", "m", "v"], "left_anti") if is_hot else keyed
         groups = small.groupBy("t", "m", "v").agg(F.collect_list(F.struct("id", "w", "check")).alias("members")).filter(F.size("members") > 1)
 
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], before=before) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 found: list[tuple[int, int]] = []
                 own, ends = b["members"].values, b["members"].offsets.to_pylist()
                 ids, checks = own.field("id").to_pylist(), [int.from_bytes(x, "little") for x in own.field("check").to_pylist()]
                 values = own.field("w").to_numpy(zero_copy_only=False).view(np.uint64).tolist()
-                for at, to in zip(ends, ends[1:], strict=False):
-                    found += local_stars(ids[at:to], values[at:to], checks[at:to], radius, check_bits)
+                for m, at, to in zip(b["m"].to_pylist(), ends, ends[1:], strict=False):
+                    found += local_stars(ids[at:to], values[at:to], checks[at:to], radius, check_bits, before[m])
                 yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=schema)
 
-        out.append(written(groups.select("members").mapInArrow(search, "a long, b long"), "stars"))
+        out.append(written(groups.select("m", "members").mapInArrow(search, "a long, b long"), "stars"))
         if not is_hot:
             return reduce(DataFrame.union, out)
         inside = keyed.join(hot, ["t", "m", "v"], "left_semi")
-        cut = [[m | part for part in _parts(((1 << 64) - 1) & ~m, radius + 1)] for m in masks]
+        parts = [_parts(((1 << 64) - 1) & ~m, radius + 1) for m in masks]
+        before = [[*before[m], *own[:i]] for m, own in enumerate(parts) for i in range(len(own))]
+        cut = [[m | part for part in own] for m, own in zip(masks, parts, strict=True)]
         masks, width = [x for row in cut for x in row], radius + 1
         picks = F.array(*(F.array(*(F.lit(_signed(x)) for x in row)) for row in cut))
         finer = F.transform(F.get(picks, F.col("m")), lambda x, i: F.struct((F.col("m") * width + i).cast("int").alias("m"), F.col("w").bitwiseAND(x).alias("v")))
