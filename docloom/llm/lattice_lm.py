@@ -237,6 +237,17 @@ def _piece_counts(words: DataFrame, path: str, classes: int, log_p: list[np.ndar
     return counts.reshape(classes, size)
 
 
+def _frequent(table: DataFrame, most: int) -> DataFrame:
+    """The rows of the largest counts c, by whole steps of a logarithmic histogram, at most so many; no task gathers candidates of the others."""
+    step = F.floor(F.log2(F.col("c") + 1.0) * 16)
+    left, cut = most, None
+    for r in sorted(table.groupBy(step.alias("step")).count().collect(), reverse=True):
+        if r["count"] > left:
+            break
+        left, cut = left - r["count"], r["step"]
+    return table.filter(F.lit(False) if cut is None else step >= cut)
+
+
 def _hashed(words: list[bytes]) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
     return np.fromiter((digest(w) for w in words), np.uint64, len(words))
@@ -289,7 +300,7 @@ def scores(df: DataFrame, learn, path: str, class_col: str | None = None, hot: i
             yield pa.record_batch([b["word"], pa.array(c.sum(1)), pa.FixedSizeListArray.from_arrays(pa.array(lp.ravel()), classes).cast(pa.list_(pa.float32()))], names=["word", "c", "lp"])
 
     table = written(words.mapInArrow(marginal, "word binary, c long, lp array<float>"), "scored-words")
-    frequent = table.orderBy(F.desc("c"), "word").limit(hot).toArrow().combine_chunks()
+    frequent = _frequent(table, hot).toArrow().combine_chunks()
     keys = _hashed(frequent["word"].to_pylist())
     order = np.argsort(keys)
     lps = np.array(frequent["lp"].to_pylist(), np.float32).reshape(-1, classes)[order]
