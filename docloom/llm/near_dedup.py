@@ -7,16 +7,18 @@ link. Documents with equal sketches are one node. Two nodes link if some searche
 A BK-tree of all fingerprints would have to be sent to every task, so it has no size bound. Instead the
 fingerprints are cut into shards without losing a pair: bits are split into radius + 1 parts, and two
 fingerprints within the radius agree in at least one part, so a shard is all fingerprints with one value in one part. A
-shard of more than `SHARD` nodes is cut again by the bits that are still free; as the nodes of a table differ in
-those bits, the cuts end. Each shard's BK-tree is built and searched in one task, where it follows only the edges whose
-distance lies within the radius, and the shard reports a star per local component, never all pairs. The stars
-are joined to components by large-star and small-star rounds.
+shard of more than `SHARD` nodes is cut again by the bits that are still free. A cut copies its nodes radius + 1 times and
+does not part nodes that share the searched fingerprint, so a shard that is little larger, that holds few
+fingerprints, or that is still large after `CUTS` cuts is dealt into blocks instead, and every two blocks meet: the cuts end
+whatever the fingerprints are. Each shard's BK-tree is built and searched in one task, where it follows only the edges whose
+distance lies within the radius (two blocks are compared as a whole), and the shard reports a star per local
+component, never all pairs. The stars are joined to components by large-star and small-star rounds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ SHINGLE = 3
 SEED = 42
 #: Nodes in one BK-tree.
 SHARD = 1024
+#: Times that a shard is cut by its bits before it is dealt into blocks.
+CUTS = 2
 #: For dedup by five-word shingles: searched fingerprints of the set of words, radius, nodes in a tree, and bits of 256 that two documents
 #: with a Jaccard similarity of 0.8 on five-word shingles may differ in (the expected 39 and about 1.6 standard deviations).
 NEAR = {"tables": 8, "radius": 4, "shard": 512, "check_words": 4, "check_bits": 48}
@@ -150,6 +154,26 @@ def local_stars(ids: list[int], values: list[int], checks: list[int], radius: in
     return [(ids[r], ids[i]) for i in range(len(ids)) if (r := root(i)) != i]
 
 
+def block_stars(ids: np.ndarray, values: np.ndarray, checks: np.ndarray, radius: int, check_bits: int, earlier: list[int]) -> list[tuple[int, int]]:
+    """As local_stars, but of arrays (checks as words of each node), comparing each node with each: equal values cost no more than others."""
+    match = np.empty((len(ids), len(ids)), bool)
+    for at in range(0, len(ids), 256):
+        differ = values[at : at + 256, None] ^ values
+        near = np.bitwise_count(differ) <= radius
+        for mask in earlier:
+            near &= differ & np.uint64(mask) != 0
+        if check_bits:
+            near &= sum(np.bitwise_count(checks[at : at + 256, None, k] ^ checks[:, k]).astype(np.uint16) for k in range(checks.shape[1])) <= check_bits
+        match[at : at + 256] = near
+    np.fill_diagonal(match, True)
+    label = ids
+    while True:
+        low = np.concatenate([np.where(match[at : at + 256], label, np.iinfo(np.int64).max).min(1) for at in range(0, len(ids), 256)])
+        if np.array_equal(low, label):
+            return [(a, b) for a, b in zip(label.tolist(), ids.tolist(), strict=True) if a != b]
+        label = low
+
+
 def _parts(free: int, n: int) -> list[int]:
     """Masks that split the set bits of `free` into n runs of nearly equal numbers."""
     bits = [1 << i for i in range(64) if free >> i & 1]
@@ -175,26 +199,40 @@ def stars(nodes: DataFrame, tables: int = 1, radius: int = RADIUS, check_bits: i
     )
     check = F.substring("sketch", 8 * tables + 1, 1 << 20).alias("check")
     keyed = nodes.select("id", check, *(_word(t).alias(f"w{t}") for t in range(tables))).select("id", "check", F.explode(every).alias("k")).select("id", "check", "k.*")
-    while True:
-        sizes = keyed.groupBy("t", "m", "v").agg(F.count(F.lit(1)).alias("n"))
-        hot = written(sizes.filter(F.col("n") > shard).select("t", "m", "v"), "hot-shards")
-        is_hot = not hot.isEmpty()
-        small = keyed.join(hot, ["t", "m", "v"], "left_anti") if is_hot else keyed
-        groups = small.groupBy("t", "m", "v").agg(F.collect_list(F.struct("id", "w", "check")).alias("members")).filter(F.size("members") > 1)
-
-        def search(batches: Iterator[pa.RecordBatch], before=before) -> Iterator[pa.RecordBatch]:
+    for level in range(CUTS + 1):
+        sizes = keyed.groupBy("t", "m", "v").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("w").alias("values"))
+        dense = (F.col("n") <= (radius + 1) * shard) | (F.col("values") * 4 < F.col("n")) | F.lit(level == CUTS)
+        large = written(sizes.filter(F.col("n") > shard).select("t", "m", "v", F.ceil(F.col("n") / shard).cast("int").alias("blocks"), dense.alias("dense")), "hot-shards")
+        kinds = {r["dense"] for r in large.select("dense").distinct().collect()}
+        small = keyed.join(large, ["t", "m", "v"], "left_anti") if kinds else keyed
+        member = F.collect_list(F.struct("id", "w", "check")).alias("members")
+
+        def search(batches: Iterator[pa.RecordBatch], before=before, whole=False) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 found: list[tuple[int, int]] = []
                 own, ends = b["members"].values, b["members"].offsets.to_pylist()
-                ids, checks = own.field("id").to_pylist(), [int.from_bytes(x, "little") for x in own.field("check").to_pylist()]
-                values = own.field("w").to_numpy(zero_copy_only=False).view(np.uint64).tolist()
+                ids, checks = own.field("id"), own.field("check").to_pylist()
+                values = own.field("w").to_numpy(zero_copy_only=False).view(np.uint64)
+                if whole:
+                    ids, checks = ids.to_numpy(zero_copy_only=False), np.frombuffer(b"".join(checks), "<u8").reshape(len(checks), len(checks[0]) // 8 if checks else 0)
+                else:
+                    ids, values, checks = ids.to_pylist(), values.tolist(), [int.from_bytes(x, "little") for x in checks]
+                stars_of = block_stars if whole else local_stars
                 for m, at, to in zip(b["m"].to_pylist(), ends, ends[1:], strict=False):
-                    found += local_stars(ids[at:to], values[at:to], checks[at:to], radius, check_bits, before[m])
+                    found += stars_of(ids[at:to], values[at:to], checks[at:to], radius, check_bits, before[m])
                 yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=schema)
 
+        groups = small.groupBy("t", "m", "v").agg(member).filter(F.size("members") > 1)
         out.append(written(groups.select("m", "members").mapInArrow(search, "a long, b long"), "stars"))
-        if not is_hot:
-            return reduce(DataFrame.union, out)
+        if True in kinds:
+            # A node of block k goes to the meeting of k with each block.
+            inside = keyed.join(large.filter("dense"), ["t", "m", "v"]).withColumn("k", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+            dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("k", "other")).withColumn("j", F.greatest("k", "other"))
+            met = dealt.groupBy("t", "m", "v", "i", "j").agg(member).select("m", "members")
+            out.append(written(met.mapInArrow(partial(search, whole=True), "a long, b long"), "stars"))
+        if False not in kinds:
+            break
+        hot = large.filter("not dense").select("t", "m", "v")
         inside = keyed.join(hot, ["t", "m", "v"], "left_semi")
         parts = [_parts(((1 << 64) - 1) & ~m, radius + 1) for m in masks]
         before = [[*before[m], *own[:i]] for m, own in enumerate(parts) for i in range(len(own))]
@@ -203,6 +241,7 @@ def stars(nodes: DataFrame, tables: int = 1, radius: int = RADIUS, check_bits: i
         picks = F.array(*(F.array(*(F.lit(_signed(x)) for x in row)) for row in cut))
         finer = F.transform(F.get(picks, F.col("m")), lambda x, i: F.struct((F.col("m") * width + i).cast("int").alias("m"), F.col("w").bitwiseAND(x).alias("v")))
         keyed = written(inside.withColumn("k", F.explode(finer)).select("id", "check", "t", "k.m", "k.v", "w"), "finer-shards")
+    return reduce(DataFrame.union, out)
 
 
 def _word(t: int):

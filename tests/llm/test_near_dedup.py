@@ -91,3 +91,28 @@ def test_near_classes_keep_unlike_texts_apart(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r["doc_id"]: r["component_id"] for r in N.near_classes(df).collect()}
     assert all(found[i] == i and found[100 + i] == i for i in range(40))
+
+
+def test_more_nodes_of_one_searched_fingerprint_than_a_shard_holds(spark):
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        rng.shuffle(words)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, words[-1]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # A word order and the same with its last word said twice are near copies; other orders share the set of words alone.
+    found = {r["doc_id"]: r["component_id"] for r in N.near_classes(df, {**N.NEAR, "shard": 64}).collect()}
+    assert found == {d: d // 2 * 2 for d, _ in rows}
+
+
+@pytest.mark.parametrize("check_bits", [0, 20])
+def test_blocks_equal_trees(check_bits):
+    rng = random.Random(11)
+    values = [rng.getrandbits(8) for _ in range(300)]
+    checks = [rng.getrandbits(64) & rng.getrandbits(64) for _ in values]
+    ids = rng.sample(range(10_000), len(values))
+    words = lambda x: N.np.array(x, N.np.uint64)
+    for earlier in ([], [3, 12]):
+        found = N.block_stars(N.np.array(ids), words(values), words(checks).reshape(-1, 1), 2, check_bits, earlier)
+        assert sorted(found) == sorted(N.local_stars(ids, values, checks, 2, check_bits, earlier))
