@@ -3,8 +3,9 @@
 Texts are brought to templates: numbers, units and names (capitalised words inside a sentence) become typed placeholders, other
 words lose case and punctuation. Windows of `WINDOW` template tokens of the benchmark items are hashed; the same windows of
 every document meet them by a hash join against the items' windows, which are broadcast in blocks of bounded size. A
-matching window counts only if its slots are consistent: within a document, one value of an item's slot
-always goes with one value in the document. A document leaks an item if the consistent windows cover `SHARE` of
+matching window counts only if its slots are consistent: within an alignment, one value of an item's slot
+always goes with one value in the document. Alignments start from each run of windows along a diagonal in turn, so a look-alike elsewhere
+does not bind the slots of a true copy, and take up what else is consistent; the best one counts. A document leaks an item if the consistent windows cover `SHARE` of
 the item's windows, whether its slot values are the item's own (exact) or others (re-parameterised).
 """
 
@@ -139,6 +140,24 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+class Run(NamedTuple):
+    """Matching windows along one diagonal (document position less item position), each with its slots (kind, item's value, document's value)."""
+
+    diagonal: int
+    windows: list[tuple[int, list[tuple[int, str, str]]]]
+
+
+def bind(slots: list[tuple[int, str, str]], to: dict, back: dict) -> bool:
+    """Whether slots agree among themselves and with the bindings; if so they are added."""
+    new, old = {}, {}
+    for k, a, b in slots:
+        if to.get((k, a), new.setdefault((k, a), b)) != b or new[k, a] != b or back.get((k, b), old.setdefault((k, b), a)) != a or old[k, b] != a:
+            return False
+    to.update(new)
+    back.update(old)
+    return True
+
+
 class Index:
     """Windows of a block of items by their hash."""
 
@@ -181,21 +200,43 @@ class Index:
                         out[number].append((position, at))
         return out
 
+    def runs(self, number: int, pairs: list[tuple[int, int]], t: Template) -> list[Run]:
+        """An item's matching windows in maximal runs along a diagonal that bind their slots consistently, longest first."""
+        _, surface, kind, width, _ = self.items[number]
+        out, last = [], None
+        for position, at in sorted(set(pairs), key=lambda x: (x[1] - x[0], x[0])):
+            slots = [(int(kind[position + k]), surface[position + k], t.surface(at + k)) for k in range(width) if kind[position + k] < PLAIN]
+            if last != (position - 1, at - 1) or not bind(slots, *bound):
+                bound = {}, {}
+                bind(slots, *bound)
+                out.append(Run(at - position, []))
+            out[-1].windows.append((position, slots))
+            last = position, at
+        return sorted(out, key=lambda x: -len(x.windows))
+
     def leaks(self, t: Template, share: float = SHARE) -> list[tuple[object, int, float, str]]:
         """(item_id, consistent windows, their share of the item's, exact or reparameterised) of the items that a document leaks."""
         out = []
         for number, pairs in self.matches(t).items():
-            item_id, surface, kind, width, n = self.items[number]
-            to, back, good, exact = {}, {}, set(), True
-            for position, at in sorted(set(pairs), key=lambda x: (x[1] - x[0], x[0])):
-                slots = [(int(kind[position + k]), surface[position + k], t.surface(at + k)) for k in range(width) if kind[position + k] < PLAIN]
-                if all(to.get((k, a), b) == b and back.get((k, b), a) == a for k, a, b in slots):
-                    good.add(position)
-                    for k, a, b in slots:
-                        to[k, a], back[k, b] = b, a
-                        exact &= a == b
-            if len(good) >= share * n:
-                out.append((item_id, len(good), len(good) / n, "exact" if exact else "reparameterised"))
+            item_id, _, _, _, n = self.items[number]
+            if len({position for position, _ in pairs}) < share * n:
+                continue
+            best, tried = (0, False), set()
+            runs = self.runs(number, pairs, t)
+            for seed in runs:
+                key = frozenset(x for _, slots in seed.windows for x in slots)
+                if key in tried or best == (n, True):
+                    continue
+                tried.add(key)
+                to, back, good, exact = {}, {}, set(), True
+                for run in [seed, *sorted(runs, key=lambda x: (abs(x.diagonal - seed.diagonal), -len(x.windows)))]:
+                    for position, slots in run.windows:
+                        if position not in good and bind(slots, to, back):
+                            good.add(position)
+                            exact &= all(a == b for _, a, b in slots)
+                best = max(best, (len(good), exact))
+            if best[0] >= share * n:
+                out.append((item_id, best[0], best[0] / n, "exact" if best[1] else "reparameterised"))
         return sorted(out, key=repr)
 
 

@@ -33,6 +33,17 @@ def test_reparameterised_questions():
     assert leak("Anna Smith has 5 apples and nothing else happens on this day in the town.") == []
 
 
+def test_copy_after_a_partial_variant():
+    item = "Anna has 5 apples and gives 3 apples to Bob before she walks 12 km home with Bob."
+    index = decontamination.Index([(7, item)])
+    canonical = decontamination.Canonical(frozenset(index.vocabulary))
+    leak = lambda t: [(x[0], x[2], x[3]) for x in index.leaks(canonical.template(t))]
+    part = "Tom has 7 apples and gives 2 apples to nobody at all. "
+    assert leak(part + item) == [(7, 1.0, "exact")]
+    assert leak(part + part.replace("7", "5") + "Anna has 4 apples and gives 9 apples to Max before she walks 8 km home with Max.") == [(7, 1.0, "reparameterised")]
+    assert leak(part) == []
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(2)
     words = [f"word{i}" for i in range(300)]
