@@ -1,12 +1,14 @@
 """Benchmark decontamination by templates.
 
 Texts are brought to templates: numbers, units and names (capitalised words inside a sentence) become typed placeholders, other
-words lose case and punctuation. Windows of `WINDOW` template tokens of the benchmark items are hashed; the same windows of
+words lose case and punctuation. Windows of `PIECE` template tokens of the benchmark items are hashed; the same windows of
 every document meet them by a hash join against the items' windows, which are broadcast in blocks of bounded size. A
 matching window counts only if its slots are consistent: within an alignment, one value of an item's slot
 always goes with one value in the document. Alignments start from each run of windows along a diagonal in turn, so a look-alike elsewhere
-does not bind the slots of a true copy, and take up what else is consistent; the best one counts. A document leaks an item if the consistent windows cover `SHARE` of
-the item's windows, whether its slot values are the item's own (exact) or others (re-parameterised).
+does not bind the slots of a true copy, and take up what else is consistent: short windows on diagonals nearby, and runs of `WINDOW`
+tokens anywhere. The best one counts. A document leaks an item if its tokens in them are `SHARE` of the item's, so an edit costs
+only the tokens around it, or if one run has `RUN` tokens, so a passage of a long item is enough; slot values may be
+the item's own (exact) or others (re-parameterised).
 """
 
 from __future__ import annotations
@@ -22,8 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tokens of a window that is looked up, of a run that counts at any place in a document, and of a run that is a leak by itself.
+PIECE = 5
 WINDOW = 8
-#: Items of fewer template tokens than this say too little to be looked for; items shorter than a window are one window.
+RUN = 13
+#: Diagonals apart that are one alignment: so many tokens may be put in or left out.
+NEARBY = 8
+#: Items of fewer template tokens than this say too little to be looked for.
 LEAST = 5
 SHARE = 0.5
 #: Tokens of benchmark items that are broadcast at once; a larger benchmark is joined block by block.
@@ -167,10 +174,9 @@ class Index:
         self.items: dict[int, tuple[object, list[str], np.ndarray, int, int]] = {}
         for number, (item_id, text) in enumerate(items):
             t = canonical.template(text or "")
-            width = min(WINDOW, len(t.kind))
-            if width < LEAST:
+            if len(t.kind) < LEAST:
                 continue
-            n = len(t.kind) - width + 1
+            width, n = PIECE, len(t.kind)
             self.vocabulary |= {t.surface(i) for i in range(len(t.kind))}
             self.items[number] = (item_id, [t.surface(i) for i in range(len(t.kind))], t.kind, width, n)
             for view in (t.slotted, t.plain):
@@ -215,28 +221,34 @@ class Index:
         return sorted(out, key=lambda x: -len(x.windows))
 
     def leaks(self, t: Template, share: float = SHARE) -> list[tuple[object, int, float, str]]:
-        """(item_id, consistent windows, their share of the item's, exact or reparameterised) of the items that a document leaks."""
+        """(item_id, windows of WINDOW tokens, share of the item's tokens, exact or reparameterised) of the items that a document leaks."""
         out = []
         for number, pairs in self.matches(t).items():
-            item_id, _, _, _, n = self.items[number]
-            if len({position for position, _ in pairs}) < share * n:
+            item_id, _, _, width, n = self.items[number]
+            found = {position + k for position, _ in pairs for k in range(width)}
+            if len(found) < min(share * n, RUN):
                 continue
-            best, tried = (0, False), set()
+            best, tried, longest = (0, False, 0), set(), 0
             runs = self.runs(number, pairs, t)
             for seed in runs:
-                key = frozenset(x for _, slots in seed.windows for x in slots)
-                if key in tried or best == (n, True):
+                key = (seed.diagonal, frozenset(x for _, slots in seed.windows for x in slots))
+                if key in tried or best[:2] == (n, True):
                     continue
                 tried.add(key)
-                to, back, good, exact = {}, {}, set(), True
+                to, back, good, tokens, exact = {}, {}, set(), set(), True
                 for run in [seed, *sorted(runs, key=lambda x: (abs(x.diagonal - seed.diagonal), -len(x.windows)))]:
+                    if abs(run.diagonal - seed.diagonal) > NEARBY and len(run.windows) + width - 1 < WINDOW:
+                        continue
                     for position, slots in run.windows:
                         if position not in good and bind(slots, to, back):
                             good.add(position)
+                            tokens.update(range(position, position + width))
                             exact &= all(a == b for _, a, b in slots)
-                best = max(best, (len(good), exact))
-            if best[0] >= share * n:
-                out.append((item_id, best[0], best[0] / n, "exact" if best[1] else "reparameterised"))
+                whole = min(WINDOW, n)
+                best = max(best, (len(tokens), exact, sum(all(p + k in tokens for k in range(whole)) for p in range(n - whole + 1))))
+                longest = max(longest, len(seed.windows) + width - 1)
+            if best[0] >= share * n or longest >= RUN:
+                out.append((item_id, best[2], best[0] / n, "exact" if best[1] else "reparameterised"))
         return sorted(out, key=repr)
 
 

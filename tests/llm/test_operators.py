@@ -44,6 +44,23 @@ def test_copy_after_a_partial_variant():
     assert leak(part) == []
 
 
+def test_edited_copies_and_passages():
+    words = [f"word{i}" for i in range(59)]
+
+    def leak(item, text):
+        index = decontamination.Index([(7, " ".join(item))])
+        return [x[0] for x in index.leaks(decontamination.Canonical(frozenset(index.vocabulary)).template(text))]
+
+    edited = lambda n, *at: "before " + " ".join("changed" if i in at else x for i, x in enumerate(words[:n])) + " after"
+    assert leak(words[:15], edited(15, 7)) == [7]
+    assert leak(words[:38], edited(38, 11, 24)) == [7]
+    assert leak(words, "before " + " ".join(words[20:45]) + " after") == [7]
+    assert leak(words, "before " + " ".join(words[20:32]) + " after") == []
+    # Short matches far apart are no copy.
+    assert leak(words[:20], " ".join([*words[:6], *["other"] * 40, *words[7:13], *["other"] * 40, *words[14:20]])) == []
+    assert leak(words[:5], " ".join(words[:5])) == [7]
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(2)
     words = [f"word{i}" for i in range(300)]
