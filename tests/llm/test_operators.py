@@ -170,6 +170,17 @@ def test_packing_round_trip(spark):
     assert packing.pack(spark.createDataFrame([], TEXTS), path).count() == 0
 
 
+def test_encoder_equals_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tokenizer, own, rng = Tokenizer.from_file(path), packing.Encoder(path), random.Random(7)
+    marks = ["a", "B", "é", "日", " ", " ", " ", "\n", "\n", "\t", "'s", "'", "1", "23", "!", "\u3000", "the", "\r", ".", "<|endoftext|>"]
+    for i in range(20_000):
+        text = "".join(rng.choice(marks if i % 2 else marks[:9]) for _ in range(rng.randrange(14)))
+        assert tokenizer.encode(text, add_special_tokens=False).ids == own.encode(text).tolist(), text
+
+
 def test_plan_uses_every_piece():
     rng = np.random.default_rng(0)
     counts = np.bincount(np.minimum(rng.geometric(1 / 300, 20000), 1024), minlength=1025)
