@@ -1,8 +1,7 @@
 """SimHash near-duplicates found with BK-trees.
 
-A document's sketch holds 64-bit SimHash fingerprints: `tables` of them are searched, `check_words` more only confirm a
-link. Documents with equal sketches are one node. Two nodes link if some searched fingerprint differs in at most
-`radius` bits (and the confirming bits in at most `check_bits`).
+A document's sketch holds 64-bit SimHash fingerprints of which some pair must be near. Documents with equal sketches are one node. Two
+nodes link if some fingerprint differs in at most `radius` bits and, where nodes carry sets of shingles, those are similar enough.
 
 A BK-tree of all fingerprints would have to be sent to every task, so it has no size bound. Instead the
 fingerprints are cut into shards without losing a pair: bits are split into radius + 1 parts, and two
@@ -11,13 +10,18 @@ shard of more than `SHARD` nodes is cut again by the bits that are still free. A
 does not part nodes that share the searched fingerprint, so a shard that is little larger, that holds few
 fingerprints, or that is still large after `CUTS` cuts is dealt into blocks instead, and every two blocks meet: the cuts end
 whatever the fingerprints are. Each shard's BK-tree is built and searched in one task, where it follows only the edges whose
-distance lies within the radius (two blocks are compared as a whole), and the shard reports a star per local
-component, never all pairs. The stars are joined to components by large-star and small-star rounds.
+distance lies within the radius (two blocks are compared as a whole), and the shard reports the links of a local
+spanning forest, never all pairs. The links are joined to components by large-star and small-star rounds.
+
+Similarity of five-word shingles (0.8 or more) is too little for one SimHash: ten of its 64 bits differ, and no search of that radius
+is cheaper than comparing all. `near_classes` therefore searches SimHashes of small samples: for each of `tables` orders of all shingles, the
+fingerprint of the `sample` first shingles of the document in that order. At similarity s two documents agree in a sample with
+probability s^sample, so `tables` of them find a pair of 0.8 with 0.98; the link itself is judged by the exact Jaccard similarity.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial, reduce
 
 import numpy as np
@@ -35,9 +39,10 @@ SEED = 42
 SHARD = 1024
 #: Times that a shard is cut by its bits before it is dealt into blocks.
 CUTS = 2
-#: For dedup by five-word shingles: searched fingerprints of the set of words, radius, nodes in a tree, and bits of 256 that two documents
-#: with a Jaccard similarity of 0.8 on five-word shingles may differ in (the expected 39 and about 1.6 standard deviations).
-NEAR = {"tables": 8, "radius": 4, "shard": 512, "check_words": 4, "check_bits": 48}
+#: For dedup by five-word shingles: searched fingerprints, shingles in the sample of each, radius, and nodes in a tree.
+NEAR = {"tables": 10, "sample": 5, "radius": 1, "shard": 512}
+#: Jaccard similarity of near copies, as a fraction.
+SIMILAR = (4, 5)
 _CHUNK = 1 << 15
 
 
@@ -68,25 +73,32 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> bytes:
     return majority(_hashes(found, range(SEED, SEED + 1))) if found else bytes(8)
 
 
-def near_sketch(text: bytes, tables: int, check_words: int) -> bytes:
-    """`tables` fingerprints of the set of words, then `check_words` of the set of five-word shingles."""
-    words = byte_words(text)
-    if not words:
-        return bytes(8 * (tables + check_words))
-    return majority(_spread(set(words), tables, 1)) + majority(_spread(set(shingles(words, 5)), check_words, 2))
-
-
-def _spread(items: set[bytes], words: int, seed: int) -> np.ndarray:
-    """64 * words hash bits for each item: 128 by one digest, the rest by mixing it."""
-    base = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, seed) for x in items]), "<u8").reshape(-1, 2)
-    out = np.empty((len(base), words), np.uint64)
-    for i in range(words):
-        # splitmix64 of the digest's two halves
-        z = base[:, i % 2] + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) % (1 << 64))
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[:, i] = z ^ (z >> np.uint64(31))
-    return out
+def near_sketch(text: bytes, tables: int, sample: int) -> tuple[bytes, bytes]:
+    """The `tables` fingerprints of samples and a digest of the set of five-word shingles; the set itself as sorted 32-bit hashes."""
+    found = set(shingles(byte_words(text), 5))
+    if not found:
+        return bytes(8 * tables + 16), b""
+    base = np.unique(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, found)), ">u8").astype(np.uint64))
+    orders = np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rank = _mixed(base[:, None] ^ orders)
+    first = np.argpartition(rank, sample - 1, axis=0)[:sample] if len(base) > sample else np.broadcast_to(np.arange(len(base))[:, None], (len(base), tables))
+    return majority(_mixed(base)[first]) + xxhash.xxh3_128_digest(base.tobytes()), np.unique((base >> np.uint64(32)).astype("<u4")).tobytes()
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """The splitmix64 finaliser of hashes."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def similar(a: bytes, b: bytes) -> bool:
+    """Whether two sets of sorted 32-bit hashes have a Jaccard similarity of SIMILAR or more."""
+    part, whole = SIMILAR
+    if min(len(a), len(b)) * whole < max(len(a), len(b)) * part:
+        return False
+    both = len(np.intersect1d(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), assume_unique=True))
+    return both * whole >= part * ((len(a) + len(b)) // 4 - both)
 
 
 class BKTree:
@@ -126,52 +138,57 @@ class BKTree:
         return out
 
 
-def local_stars(ids: list[int], values: list[int], checks: list[int], radius: int, check_bits: int, earlier: list[int]) -> list[tuple[int, int]]:
-    """(smallest id, id) for each further member of each component among the nodes of one shard.
+class Forest:
+    """Joined sets of numbered nodes; each joining is kept as a link."""
 
-    A pair that also agrees in the bits of one of the `earlier` masks meets in that shard of its table, and is left to it.
-    """
-    tree, order, parent = BKTree(), [], list(range(len(ids)))
+    def __init__(self, ids: list[int]):
+        self.ids, self.parent, self.links = ids, list(range(len(ids))), []
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
         return i
 
-    for i in sorted(range(len(ids)), key=ids.__getitem__):
-        value = values[i]
-        for hit in tree.within(value, radius):
-            j = order[hit]
-            if any((value ^ values[j]) & e == 0 for e in earlier):
-                continue
-            a, b = root(i), root(j)
-            if a != b and (not check_bits or (checks[i] ^ checks[j]).bit_count() <= check_bits):
-                low, high = (a, b) if ids[a] < ids[b] else (b, a)
-                parent[high] = low
+    def join(self, i: int, j: int, linked: Callable[[int, int], bool] | None) -> None:
+        """Join two nodes that are apart so far, if they are linked."""
+        a, b = self.root(i), self.root(j)
+        if a != b and (linked is None or linked(i, j)):
+            self.parent[max(a, b)] = min(a, b)
+            self.links.append((self.ids[i], self.ids[j]))
+
+
+def tree_links(ids: list[int], values: list[int], radius: int, earlier: list[int], linked: Callable[[int, int], bool] | None) -> list[tuple[int, int]]:
+    """Links that span each component among the nodes of one shard, by its BK-tree; linked judges two nodes by their numbers.
+
+    A pair that also agrees in the bits of one of the `earlier` masks meets in that shard of its table, and is left to it.
+    """
+    tree, forest = BKTree(), Forest(ids)
+    for i, value in enumerate(values):
+        for j in tree.within(value, radius):
+            if not any((value ^ values[j]) & e == 0 for e in earlier):
+                forest.join(i, j, linked)
         tree.add(value)
-        order.append(i)
-    return [(ids[r], ids[i]) for i in range(len(ids)) if (r := root(i)) != i]
+    return forest.links
 
 
-def block_stars(ids: np.ndarray, values: np.ndarray, checks: np.ndarray, radius: int, check_bits: int, earlier: list[int]) -> list[tuple[int, int]]:
-    """As local_stars, but of arrays (checks as words of each node), comparing each node with each: equal values cost no more than others."""
-    match = np.empty((len(ids), len(ids)), bool)
+def block_links(ids: list[int], values: np.ndarray, radius: int, earlier: list[int], linked: Callable[[int, int], bool] | None) -> list[tuple[int, int]]:
+    """As tree_links, but of an array, comparing each node with each: equal values cost no more than others."""
+    out, label = [], np.arange(len(ids))
     for at in range(0, len(ids), 256):
-        differ = values[at : at + 256, None] ^ values
+        differ = values[at : at + 256, None] ^ values[: at + 256]
         near = np.bitwise_count(differ) <= radius
         for mask in earlier:
             near &= differ & np.uint64(mask) != 0
-        if check_bits:
-            near &= sum(np.bitwise_count(checks[at : at + 256, None, k] ^ checks[:, k]).astype(np.uint16) for k in range(checks.shape[1])) <= check_bits
-        match[at : at + 256] = near
-    np.fill_diagonal(match, True)
-    label = ids
-    while True:
-        low = np.concatenate([np.where(match[at : at + 256], label, np.iinfo(np.int64).max).min(1) for at in range(0, len(ids), 256)])
-        if np.array_equal(low, label):
-            return [(a, b) for a, b in zip(label.tolist(), ids.tolist(), strict=True) if a != b]
-        label = low
+        for i, row in enumerate(near, at):
+            hits = np.flatnonzero(row[:i])
+            # Only nodes that are not joined yet are judged.
+            while len(hits := hits[label[hits] != label[i]]):
+                j, hits = int(hits[0]), hits[1:]
+                if linked is None or linked(i, j):
+                    out.append((ids[i], ids[j]))
+                    label[label == label[j]] = label[i]
+    return out
 
 
 def _parts(free: int, n: int) -> list[int]:
@@ -184,9 +201,13 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def stars(nodes: DataFrame, tables: int = 1, radius: int = RADIUS, check_bits: int = 0, shard: int = SHARD) -> DataFrame:
-    """(a, b): links that join every pair of nodes (id, sketch) that link, though not each pair itself."""
+def links(nodes: DataFrame, tables: int = 1, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """(a, b): links that join every pair of nodes (node, id, sketch) that link, though not each pair itself.
+
+    Nodes may have a column shingles (sorted 32-bit hashes): pairs must then be similar as well. It is sent only to shards of two nodes or more.
+    """
     schema, out = pa.schema([("a", pa.int64()), ("b", pa.int64())]), []
+    judged = "shingles" in nodes.columns
     # A mask is a set of bits that agree; the level's masks are numbered, and each knows the parts before its own at every level.
     masks = _parts((1 << 64) - 1, radius + 1)
     before = [masks[:m] for m in range(len(masks))]
@@ -197,50 +218,48 @@ def stars(nodes: DataFrame, tables: int = 1, radius: int = RADIUS, check_bits: i
             for m, mask in enumerate(masks)
         )
     )
-    check = F.substring("sketch", 8 * tables + 1, 1 << 20).alias("check")
-    keyed = nodes.select("id", check, *(_word(t).alias(f"w{t}") for t in range(tables))).select("id", "check", F.explode(every).alias("k")).select("id", "check", "k.*")
+    keyed = nodes.select("node", "id", *(_word(t).alias(f"w{t}") for t in range(tables))).select("node", "id", F.explode(every).alias("k")).select("node", "id", "k.*")
     for level in range(CUTS + 1):
-        sizes = keyed.groupBy("t", "m", "v").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("w").alias("values"))
-        dense = (F.col("n") <= (radius + 1) * shard) | (F.col("values") * 4 < F.col("n")) | F.lit(level == CUTS)
-        large = written(sizes.filter(F.col("n") > shard).select("t", "m", "v", F.ceil(F.col("n") / shard).cast("int").alias("blocks"), dense.alias("dense")), "hot-shards")
-        kinds = {r["dense"] for r in large.select("dense").distinct().collect()}
-        small = keyed.join(large, ["t", "m", "v"], "left_anti") if kinds else keyed
-        member = F.collect_list(F.struct("id", "w", "check")).alias("members")
-
-        def search(batches: Iterator[pa.RecordBatch], before=before, whole=False) -> Iterator[pa.RecordBatch]:
+        sizes = keyed.groupBy("t", "m", "v").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("w").alias("values")).filter("n > 1")
+        dense = (F.col("n") > shard) & ((F.col("n") <= (radius + 1) * shard) | (F.col("values") * 4 < F.col("n")) | F.lit(level == CUTS))
+        several = written(sizes.select("t", "m", "v", F.ceil(F.col("n") / shard).cast("int").alias("blocks"), dense.alias("dense")), "shards")
+        kinds = {(r["large"], r["dense"]) for r in several.select((F.col("blocks") > 1).alias("large"), "dense").distinct().collect()}
+        members = keyed.join(several, ["t", "m", "v"])
+        whole = members.join(nodes.select("node", "shingles"), "node") if judged else members.withColumn("shingles", F.lit(None).cast("binary"))
+        member = F.array_sort(F.collect_list(F.struct("id", "w", "shingles"))).alias("members")
+
+        def search(batches: Iterator[pa.RecordBatch], before=before, blocks=False) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 found: list[tuple[int, int]] = []
                 own, ends = b["members"].values, b["members"].offsets.to_pylist()
-                ids, checks = own.field("id"), own.field("check").to_pylist()
+                ids, sets = own.field("id").to_pylist(), own.field("shingles")
                 values = own.field("w").to_numpy(zero_copy_only=False).view(np.uint64)
-                if whole:
-                    ids, checks = ids.to_numpy(zero_copy_only=False), np.frombuffer(b"".join(checks), "<u8").reshape(len(checks), len(checks[0]) // 8 if checks else 0)
-                else:
-                    ids, values, checks = ids.to_pylist(), values.tolist(), [int.from_bytes(x, "little") for x in checks]
-                stars_of = block_stars if whole else local_stars
                 for m, at, to in zip(b["m"].to_pylist(), ends, ends[1:], strict=False):
-                    found += stars_of(ids[at:to], values[at:to], checks[at:to], radius, check_bits, before[m])
+                    linked = None
+                    if judged:
+                        mine = sets[at:to].to_pylist()
+                        linked = lambda i, j, mine=mine: similar(mine[i], mine[j])
+                    found += block_links(ids[at:to], values[at:to], radius, before[m], linked) if blocks else tree_links(ids[at:to], values[at:to].tolist(), radius, before[m], linked)
                 yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=schema)
 
-        groups = small.groupBy("t", "m", "v").agg(member).filter(F.size("members") > 1)
-        out.append(written(groups.select("m", "members").mapInArrow(search, "a long, b long"), "stars"))
-        if True in kinds:
+        small = whole.filter("blocks = 1").groupBy("t", "m", "v").agg(member)
+        out.append(written(small.select("m", "members").mapInArrow(search, "a long, b long"), "links"))
+        if (True, True) in kinds:
             # A node of block k goes to the meeting of k with each block.
-            inside = keyed.join(large.filter("dense"), ["t", "m", "v"]).withColumn("k", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+            inside = whole.filter("dense").withColumn("k", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
             dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("k", "other")).withColumn("j", F.greatest("k", "other"))
             met = dealt.groupBy("t", "m", "v", "i", "j").agg(member).select("m", "members")
-            out.append(written(met.mapInArrow(partial(search, whole=True), "a long, b long"), "stars"))
-        if False not in kinds:
+            out.append(written(met.mapInArrow(partial(search, blocks=True), "a long, b long"), "links"))
+        if (True, False) not in kinds:
             break
-        hot = large.filter("not dense").select("t", "m", "v")
-        inside = keyed.join(hot, ["t", "m", "v"], "left_semi")
+        inside = members.filter("blocks > 1 and not dense").select("node", "id", "t", "m", "w")
         parts = [_parts(((1 << 64) - 1) & ~m, radius + 1) for m in masks]
         before = [[*before[m], *own[:i]] for m, own in enumerate(parts) for i in range(len(own))]
         cut = [[m | part for part in own] for m, own in zip(masks, parts, strict=True)]
         masks, width = [x for row in cut for x in row], radius + 1
         picks = F.array(*(F.array(*(F.lit(_signed(x)) for x in row)) for row in cut))
         finer = F.transform(F.get(picks, F.col("m")), lambda x, i: F.struct((F.col("m") * width + i).cast("int").alias("m"), F.col("w").bitwiseAND(x).alias("v")))
-        keyed = written(inside.withColumn("k", F.explode(finer)).select("id", "check", "t", "k.m", "k.v", "w"), "finer-shards")
+        keyed = written(inside.withColumn("k", F.explode(finer)).select("node", "id", "t", "k.m", "k.v", "w"), "finer-shards")
     return reduce(DataFrame.union, out)
 
 
@@ -252,12 +271,12 @@ def _word(t: int):
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(found: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable, for each id that has a link to another id.
 
     Large-star and small-star rounds over (a, b); each round is written, and the rounds end when nothing changes.
     """
-    edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = written(found.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -272,50 +291,57 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def classes(sketched: DataFrame, tables: int = 1, radius: int = RADIUS, check_bits: int = 0, shard: int = SHARD) -> DataFrame:
-    """sketched (doc_id, sketch) with component_id: the smallest doc_id reachable over links, itself included.
+def classes(sketched: DataFrame, tables: int = 1, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """sketched (doc_id, sketch, and shingles if links are to be judged by them) with component_id: the smallest doc_id reachable over links, itself included.
 
     Rows with one doc_id are one document, so their nodes share a component. A null doc_id has no links and a null component_id.
     """
-    nodes = written(sketched.filter("doc_id is not null").groupBy("sketch").agg(F.min("doc_id").alias("id")), "nodes")
-    same = sketched.filter("doc_id is not null").groupBy("doc_id").agg(F.min("sketch").alias("lo"), F.max("sketch").alias("hi")).filter("lo <> hi")
-    twice = sketched.join(same.select("doc_id"), "doc_id", "left_semi").join(nodes, "sketch").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    roots = components(stars(nodes, tables, radius, check_bits, shard).union(twice))
+    known = sketched.filter("doc_id is not null")
+    judged = ["shingles"] if "shingles" in sketched.columns else []
+    grouped = known.groupBy("sketch").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in judged))
+    nodes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "id", "sketch", *judged), "nodes")
+    same = known.groupBy("doc_id").agg(F.min("sketch").alias("lo"), F.max("sketch").alias("hi")).filter("lo <> hi")
+    twice = known.select("doc_id", "sketch").join(same.select("doc_id"), "doc_id", "left_semi").join(nodes.select("sketch", "id"), "sketch").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    roots = components(links(nodes, tables, radius, shard).union(twice))
     named = nodes.join(roots, "id", "left").select("sketch", F.coalesce("root", "id").alias("component_id"))
-    out = sketched.join(named, "sketch", "left")
+    out = sketched.select("doc_id", "sketch").join(named, "sketch", "left")
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
-def sketches(df: DataFrame, make) -> DataFrame:
-    """(doc_id long, sketch binary) of df (doc_id, text), written once."""
+def sketches(df: DataFrame, make: Callable[[bytes], tuple], judged: bool) -> DataFrame:
+    """(doc_id long, sketch binary, and shingles binary if judged) of df (doc_id, text), written once; make gives the latter of a text."""
+    names = ["sketch", "shingles"][: 1 + judged]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b["doc_id"].cast(pa.int64()), pa.array([make(x) for x in text_bytes(b["text"])], pa.binary())], names=["doc_id", "sketch"])
+            made = [make(x) for x in text_bytes(b["text"])]
+            yield pa.record_batch([b["doc_id"].cast(pa.int64()), *(pa.array([x[i] for x in made], pa.binary()) for i in range(len(names)))], names=["doc_id", *names])
 
-    return written(df.select("doc_id", "text").mapInArrow(run, "doc_id long, sketch binary"), "sketches")
+    return written(df.select("doc_id", "text").mapInArrow(run, ", ".join(["doc_id long", *(f"{n} binary" for n in names)])), "sketches")
 
 
 def simhash_classes(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of df (doc_id, text).
 
-    Null, empty and blank texts have fingerprint zero and link like any other. A tie (a bit set in exactly half of the
-    shingles) is 0. An empty table gives an empty result; other columns of df are ignored.
+    Null, empty and blank texts have fingerprint zero and link like any other; texts of any length are read whole. A tie (a bit set in exactly
+    half of the shingles) is 0. Repeated rows are returned each; a null doc_id has a null component_id. An empty table gives an
+    empty result; other columns of df are ignored, so they may have any name.
     """
-    found = classes(sketches(df, lambda x: simhash(x, shingle)), radius=radius, shard=shard)
+    found = classes(sketches(df, lambda x: (simhash(x, shingle),), False), radius=radius, shard=shard)
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("sketch")), 16, "0")).alias("little"), "component_id").select(
         "doc_id", F.concat(*(F.substring("little", i, 2) for i in range(15, 0, -2))).alias("fingerprint"), "component_id"
     )
 
 
 def near_classes(df: DataFrame, near: dict = NEAR) -> DataFrame:
-    """(doc_id, component_id): documents whose five-word shingles are about 0.8 similar or more, directly or over others.
+    """(doc_id, component_id): documents whose sets of five-word shingles are 0.8 similar or more, directly or over others.
 
-    The searched fingerprints are of the set of words, which a few edits change little; the link itself is judged by
-    256 fingerprint bits of the five-word shingles. Exact copies always share a class.
+    Exact copies always share a class; no pair that is less similar is linked. A pair of similarity s has the chance 1 - (1 - s^sample)^tables to be
+    found: 0.98 at 0.8, 0.997 at 0.85. Null, empty and blank texts are copies of each other; a text of fewer than five
+    words is one shingle. Repeated rows are returned each; a null doc_id has a null component_id; an empty table gives an empty result.
     """
-    tables, check = near["tables"], near["check_words"]
-    found = classes(sketches(df, lambda x: near_sketch(x, tables, check)), tables, near["radius"], near["check_bits"], near["shard"])
+    tables, sample = near["tables"], near["sample"]
+    found = classes(sketches(df, lambda x: near_sketch(x, tables, sample), True), tables, near["radius"], near["shard"])
     return found.select("doc_id", "component_id")
 
 

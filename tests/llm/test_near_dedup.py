@@ -93,11 +93,21 @@ def test_near_classes_keep_unlike_texts_apart(spark):
     assert all(found[i] == i and found[100 + i] == i for i in range(40))
 
 
-def test_more_nodes_of_one_searched_fingerprint_than_a_shard_holds(spark):
+def shingle_set(text):
+    words = text.lower().split()
+    return frozenset(zip(*(words[i:] for i in range(5)), strict=False))
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def test_permutations_of_one_set_of_words_end_apart(spark):
     rng = random.Random(9)
-    words = [f"word{i}" for i in range(60)]
+    words = [f"word{i}" for i in range(40)]
     rows = []
-    for i in range(150):
+    for i in range(1000):
         rng.shuffle(words)
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, words[-1]]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -106,13 +116,69 @@ def test_more_nodes_of_one_searched_fingerprint_than_a_shard_holds(spark):
     assert found == {d: d // 2 * 2 for d, _ in rows}
 
 
-@pytest.mark.parametrize("check_bits", [0, 20])
-def test_blocks_equal_trees(check_bits):
+def test_more_near_copies_than_a_shard_holds(spark):
+    rng = random.Random(12)
+    base = [f"word{i}" for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        copy = list(base)
+        copy[rng.randrange(300)] = f"new{i}"
+        rows.append((i, " ".join(copy)))
+    found = N.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), {**N.NEAR, "shard": 32}).collect()
+    assert {r["component_id"] for r in found} == {0}
+
+
+def test_recall_and_precision_by_similarity(spark):
+    """Pairs of scattered and of block edits at similarities from 0.7 to 0.95, each of its own base, so that a pair is linked directly or not at all."""
+    rng = random.Random(21)
+    words = [f"word{i}" for i in range(3000)]
+    pairs, rows = [], []
+    for i in range(700):
+        n = rng.choice([60, 200, 500])
+        base = [rng.choice(words) for _ in range(n)]
+        copy = list(base)
+        share = rng.uniform(0.02, 0.3)
+        if i % 2:
+            copy[n // 2 : n // 2] = [rng.choice(words) for _ in range(int(n * share))]
+        else:
+            for at in rng.sample(range(n), max(1, int(n * share / 9))):
+                copy[at] = "changed"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        pairs.append((2 * i, jaccard(rows[-2][1], rows[-1][1])))
+    found = {r["doc_id"]: r["component_id"] for r in N.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bands = {}
+    for d, s in pairs:
+        assert s >= 0.8 or found[d + 1] == d + 1, s
+        if s >= 0.8:
+            bands.setdefault(min(int(s * 20), 18), []).append(found[d + 1] == d)
+    assert set(bands) == {16, 17, 18} and all(len(x) >= 40 and sum(x) >= 0.9 * len(x) for x in bands.values()), {k: (len(x), sum(x)) for k, x in bands.items()}
+
+
+def spans(links):
+    """Components of links."""
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[root(a)] = root(b)
+    out = {}
+    for x in list(parent):
+        out.setdefault(root(x), set()).add(x)
+    return sorted(map(sorted, out.values()))
+
+
+@pytest.mark.parametrize("judged", [False, True])
+def test_blocks_equal_trees(judged):
     rng = random.Random(11)
     values = [rng.getrandbits(8) for _ in range(300)]
-    checks = [rng.getrandbits(64) & rng.getrandbits(64) for _ in values]
+    kinds = [rng.getrandbits(2) for _ in values]
     ids = rng.sample(range(10_000), len(values))
-    words = lambda x: N.np.array(x, N.np.uint64)
+    linked = (lambda i, j: kinds[i] == kinds[j]) if judged else None
     for earlier in ([], [3, 12]):
-        found = N.block_stars(N.np.array(ids), words(values), words(checks).reshape(-1, 1), 2, check_bits, earlier)
-        assert sorted(found) == sorted(N.local_stars(ids, values, checks, 2, check_bits, earlier))
+        found = N.block_links(ids, N.np.array(values, N.np.uint64), 2, earlier, linked)
+        trees = N.tree_links(ids, values, 2, earlier, linked)
+        assert spans(found) == spans(trees) and len(found) == len(trees)
