@@ -1,14 +1,16 @@
 """Benchmark decontamination by templates.
 
 Texts are brought to templates: numbers, units and names (capitalised words inside a sentence) become typed placeholders, other
-words lose case and punctuation. Windows of `PIECE` template tokens of the benchmark items are hashed; the same windows of
+words lose case and punctuation. A capitalised word that opens a sentence may be a name or not, so there is a second template in which
+it is one, and a third without placeholders. Windows of `PIECE` template tokens of the benchmark items are hashed; the same windows of
 every document meet them by a hash join against the items' windows, which are broadcast in blocks of bounded size. A
 matching window counts only if its slots are consistent: within an alignment, one value of an item's slot
 always goes with one value in the document. Alignments start from each run of windows along a diagonal in turn, so a look-alike elsewhere
 does not bind the slots of a true copy, and take up what else is consistent: short windows on diagonals nearby, and runs of `WINDOW`
 tokens anywhere. The best one counts. A document leaks an item if its tokens in them are `SHARE` of the item's, so an edit costs
 only the tokens around it, or if one run has `RUN` tokens, so a passage of a long item is enough; slot values may be
-the item's own (exact) or others (re-parameterised).
+the item's own (exact) or others (re-parameterised). Items of fewer than `PIECE` tokens are found where a whole sentence or line of the
+document is the item, value for value.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Tokens of a window that is looked up, of a run that counts at any place in a document, and of a run that is a leak by itself.
 PIECE = 5
@@ -30,8 +33,6 @@ WINDOW = 8
 RUN = 13
 #: Diagonals apart that are one alignment: so many tokens may be put in or left out.
 NEARBY = 8
-#: Items of fewer template tokens than this say too little to be looked for.
-LEAST = 5
 SHARE = 0.5
 #: Tokens of benchmark items that are broadcast at once; a larger benchmark is joined block by block.
 BLOCK_TOKENS = 1_000_000
@@ -60,12 +61,12 @@ SLOT_HASH = np.array([_hash(f"\0slot{k}") for k in range(3)], np.uint64)
 
 
 class Template(NamedTuple):
-    """A text's tokens: surfaces (lower case, made when asked for), kind, hash of the template token, hash of the plain token."""
+    """A text's tokens: surfaces (lower case, made when asked for), whether each opens a sentence, and the views: kinds and hashes of the template
+    tokens, with names inside sentences, with names anywhere, and without placeholders."""
 
     surface: Callable[[int], str]
-    kind: np.ndarray
-    slotted: np.ndarray
-    plain: np.ndarray
+    opens: np.ndarray
+    views: list[tuple[np.ndarray, np.ndarray]]
 
 
 class Canonical:
@@ -125,14 +126,23 @@ class Canonical:
     def template(self, text: str) -> Template:
         words = text.replace("\n", f" {LINE_END} ").split()
         ids = self._numbers(words)
-        kind, plain = self.kind[ids], self.plain[ids]
+        kind, plain, name = self.kind[ids], self.plain[ids], self.name[ids]
         starts = np.ones(len(ids), bool)
         starts[1:] = self.ends[ids[:-1]]
-        kind = np.where(self.name[ids] & ~starts, np.int8(NAME), kind)
         stay = np.flatnonzero(kind != SKIP)
-        kind, plain = kind[stay], plain[stay]
-        slotted = np.where(kind < PLAIN, SLOT_HASH[np.minimum(kind, 2)], plain)
-        return Template(lambda i: self.read(words[stay[i]])[0], kind, slotted, plain)
+        sentence = np.cumsum(starts)[stay]
+        opens = np.ones(len(stay), bool)
+        opens[1:] = sentence[1:] != sentence[:-1]
+        kind, plain, name = kind[stay], plain[stay], name[stay]
+
+        def view(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            own = np.where(names, np.int8(NAME), kind)
+            return own, np.where(own < PLAIN, SLOT_HASH[np.minimum(own, 2)], plain)
+
+        views = [view(name & ~starts[stay])]
+        if (name & starts[stay]).any():
+            views.append(view(name))
+        return Template(lambda i: self.read(words[stay[i]])[0], opens, [*views, (np.full(len(stay), PLAIN, np.int8), plain)])
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -168,21 +178,24 @@ def bind(slots: list[tuple[int, str, str]], to: dict, back: dict) -> bool:
 class Index:
     """Windows of a block of items by their hash."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[object, str]]):
         canonical, entries = Canonical(), defaultdict(list)
         self.vocabulary: set[str] = set()
-        self.items: dict[int, tuple[object, list[str], np.ndarray, int, int]] = {}
+        self.items: dict[int, tuple[object, list[str], int, int]] = {}
         for number, (item_id, text) in enumerate(items):
             t = canonical.template(text or "")
-            if len(t.kind) < LEAST:
+            n = len(t.opens)
+            if not n:
                 continue
-            width, n = PIECE, len(t.kind)
-            self.vocabulary |= {t.surface(i) for i in range(len(t.kind))}
-            self.items[number] = (item_id, [t.surface(i) for i in range(len(t.kind))], t.kind, width, n)
-            for view in (t.slotted, t.plain):
+            width, surface = min(PIECE, n), [t.surface(i) for i in range(n)]
+            self.vocabulary.update(surface)
+            self.items[number] = (item_id, surface, width, n)
+            # A match of plain words binds the slots of the first view to themselves; a short item has its words alone.
+            for kind, view in [*t.views[:-1], (t.views[0][0], t.views[-1][1])] if n >= PIECE else t.views[-1:]:
                 for at, h in enumerate(windows(view, width).tolist()):
-                    if (number, at) not in entries[width, h]:
-                        entries[width, h].append((number, at))
+                    slots = tuple((k, int(kind[at + k])) for k in range(width) if kind[at + k] < PLAIN)
+                    if (number, at, slots) not in entries[width, h]:
+                        entries[width, h].append((number, at, slots))
         self.entries = dict(entries)
         self.keys = {w: np.array(sorted(h for v, h in entries if v == w), np.uint64) for w in {v for v, _ in entries}}
         # By the first bits of a hash, whether any key begins with them.
@@ -190,42 +203,52 @@ class Index:
         for w, keys in self.keys.items():
             self.flags[w][(keys >> np.uint64(64 - FLAG_BITS)).astype(np.int64)] = True
 
-    def matches(self, t: Template) -> dict[int, list[tuple[int, int]]]:
-        """(item position, document position) of the windows that a document shares with each item."""
-        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        views = [t.plain] if np.array_equal(t.plain, t.slotted) else [t.slotted, t.plain]
+    def matches(self, t: Template) -> dict[int, set[tuple[int, int, tuple]]]:
+        """(item position, document position, slots of the window) of the windows that a document shares with each item."""
+        out: dict[int, set[tuple[int, int, tuple]]] = defaultdict(set)
         for width, keys in self.keys.items():
-            for hashes in views:
-                own = windows(hashes, width)
+            for _, view in t.views if width == PIECE else t.views[-1:]:
+                own = windows(view, width)
                 if not len(own):
                     continue
                 maybe = np.flatnonzero(self.flags[width][(own >> np.uint64(64 - FLAG_BITS)).astype(np.int64)])
                 few = own[maybe]
                 for at in maybe[keys[np.minimum(np.searchsorted(keys, few), len(keys) - 1)] == few].tolist():
-                    for number, position in self.entries[width, int(own[at])]:
-                        out[number].append((position, at))
+                    for number, position, slots in self.entries[width, int(own[at])]:
+                        # A short item is a whole sentence.
+                        if width == PIECE or self.items[number][3] >= PIECE or (t.opens[at] and (at + width == len(t.opens) or t.opens[at + width])):
+                            out[number].add((position, at, slots))
         return out
 
-    def runs(self, number: int, pairs: list[tuple[int, int]], t: Template) -> list[Run]:
+    def runs(self, number: int, pairs: set[tuple[int, int, tuple]], t: Template) -> list[Run]:
         """An item's matching windows in maximal runs along a diagonal that bind their slots consistently, longest first."""
-        _, surface, kind, width, _ = self.items[number]
+        surface = self.items[number][1]
         out, last = [], None
-        for position, at in sorted(set(pairs), key=lambda x: (x[1] - x[0], x[0])):
-            slots = [(int(kind[position + k]), surface[position + k], t.surface(at + k)) for k in range(width) if kind[position + k] < PLAIN]
-            if last != (position - 1, at - 1) or not bind(slots, *bound):
+        for position, at, places in sorted(pairs, key=lambda x: (x[1] - x[0], x[0], len(x[2]))):
+            slots = [(kind, surface[position + k], t.surface(at + k)) for k, kind in places]
+            if last == (position, at):
+                # The same window by another view: with the fewest slots that fit.
+                if bound_here or not bind(slots, *bound):
+                    continue
+                bound_here = True
+                out[-1].windows.append((position, slots))
+                continue
+            bound_here = last == (position - 1, at - 1) and bind(slots, *bound)
+            if not bound_here:
                 bound = {}, {}
-                bind(slots, *bound)
+                bound_here = bind(slots, *bound)
                 out.append(Run(at - position, []))
-            out[-1].windows.append((position, slots))
+            if bound_here:
+                out[-1].windows.append((position, slots))
             last = position, at
-        return sorted(out, key=lambda x: -len(x.windows))
+        return sorted((x for x in out if x.windows), key=lambda x: -len(x.windows))
 
     def leaks(self, t: Template, share: float = SHARE) -> list[tuple[object, int, float, str]]:
         """(item_id, windows of WINDOW tokens, share of the item's tokens, exact or reparameterised) of the items that a document leaks."""
         out = []
         for number, pairs in self.matches(t).items():
-            item_id, _, _, width, n = self.items[number]
-            found = {position + k for position, _ in pairs for k in range(width)}
+            item_id, _, width, n = self.items[number]
+            found = {position + k for position, _, _ in pairs for k in range(width)}
             if len(found) < min(share * n, RUN):
                 continue
             best, tried, longest = (0, False, 0), set(), 0
@@ -252,7 +275,7 @@ class Index:
         return sorted(out, key=repr)
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
     """Items (item_id, text) in blocks of about BLOCK_TOKENS tokens."""
     block, size = [], 0
     for r in benchmark.select("item_id", "text").filter("text is not null").toLocalIterator():
@@ -268,11 +291,13 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def leaks(df: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, kind) for each document of df (doc_id, text) and item that it leaks.
 
-    Null and empty texts leak nothing; items with null texts or under LEAST tokens are not looked for; repeated items and rows give a row
-    each. An empty table on either side gives an empty result. Other columns are ignored.
+    Null and empty texts leak nothing and are not leaked; texts of any length are read whole; repeated items and rows give a row each; null
+    ids are returned as they are. An empty table on either side gives an empty result. Other columns are ignored, so they may have any name.
     """
     spark: SparkSession = df.sparkSession
-    schema = "doc_id long, item_id long, n_windows long, coverage double, kind string"
+    id_type = benchmark.schema["item_id"].dataType
+    arrow_id = to_arrow_type(id_type)
+    schema = f"doc_id long, item_id {id_type.simpleString()}, n_windows long, coverage double, kind string"
     out = spark.createDataFrame([], schema)
     for block in blocks(benchmark):
         shared = spark.sparkContext.broadcast(Index(block))
@@ -283,7 +308,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFram
             for b in batches:
                 rows = [(doc, *leak) for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True) if text for leak in index.leaks(canonical.template(text), share)]
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
+                types = [pa.int64(), arrow_id, pa.int64(), pa.float64(), pa.string()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "n_windows", "coverage", "kind"])
 
         out = out.union(df.select(F.col("doc_id").cast("long"), "text").mapInArrow(find, schema))
