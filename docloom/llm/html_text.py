@@ -1,10 +1,12 @@
 """Main text of web pages by composite text density.
 
 For every node of a page, the composite density is its characters per tag, adjusted by how many of its characters and
-tags are links. A node's density sum adds the densities of its children; the node with the largest sum is the main
-subtree. The smallest density on its path to the body is the threshold: block-level children of the main subtree stay
-if their density, or that of something below them, reaches it, and short plain blocks always stay. Elements that
-are not content by their kind (menus, forms, scripts, adverts and the like) are cut off before anything is measured.
+tags are links; tags of words inside a line (but links) do not count, and text that a node holds itself counts as a child of one tag. A
+node's density sum adds the densities of its children; the container with the largest sum is the main subtree, whatever it is called. If it lies in an article
+element, that article is meant. The smallest density on its path to the body is the threshold: blocks beside the
+path join the main subtree if they reach it and are of the same kind, as does a block before it with the page's heading; lists of links inside
+that do not reach it go. Elements that are no content by their kind (menus, forms, scripts, adverts, reader comments and the
+like) are cut off before anything is measured.
 """
 
 from __future__ import annotations
@@ -31,11 +33,19 @@ NOISE_TAGS = frozenset("nav aside footer form button select option dialog menu h
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+# Words of classes and ids: of what is never content; of what is none if they stand alone or last; of what makes a list of the latter; of content.
 NOISE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar "
-    "aside footer header masthead topbar cookie cookies consent notice gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related "
-    "recommended comment comments commentlist disqus reply replies respond pagination pager widget toolbar skip hidden".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored breadcrumb breadcrumbs sidebar navbar navigation masthead topbar cookie cookies consent gdpr popup modal "
+    "overlay newsletter subscribe subscription signup disqus comments commentlist pagination pager social".split()
 )
+WEAK_NAMES = frozenset("promo promotion banner menu nav aside footer header notice login share sharing related recommended comment reply replies respond widget toolbar skip hidden".split())
+LIST_NAMES = frozenset("area articles bar block box buttons form items link links list posts section stories tools wrapper".split())
+CONTENT_NAMES = frozenset("article blog content entry main page post story text".split())
+#: Elements of text: only a class that is a noise word by itself tells of them.
+TEXT_TAGS = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption".split())
+#: Elements that may be the main subtree.
+CONTAINERS = frozenset("html body div article main section td center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Implied end tags: an opening tag closes an open one of these, looked for up to the second set.
 CLOSED_BY = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -52,29 +62,51 @@ GAPS = re.compile(r"\s+")
 class Node:
     """An element: what it directly holds, in order, and the sums of its subtree."""
 
-    __slots__ = ("tag", "parent", "items", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "inside")
+    __slots__ = ("tag", "parent", "items", "kind", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "inside", "head")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, kind: str = "", noise: str = ""):
+        self.tag, self.parent, self.kind, self.noise = tag, parent, kind, noise
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.inside = bool(parent and parent.inside) or tag in ("article", "main")
+        self.head = tag == "h1"
 
+    def kids(self) -> list[Node]:
+        """Children that are no noise."""
+        return [x for x in self.items if isinstance(x, Node) and not x.noise]
 
-def is_noise(tag: str, attributes: str, parent: Node) -> bool:
-    """Whether an element is no content by its tag, role, or the words of its class and id."""
-    if tag in NOISE_TAGS or (tag == "header" and not parent.inside):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+
+def is_noise_name(name: str, tag: str) -> bool:
+    """Whether one word of a class or id tells that an element is no content."""
+    parts = [x for x in re.split(r"[_\-]+", name) if x]
+    if not parts or len(parts) == 1:
+        return name in NOISE_NAMES or (name in WEAK_NAMES and tag not in HEADINGS)
+    if tag in TEXT_TAGS:
         return False
+    if not NOISE_NAMES.isdisjoint(parts):
+        return True
+    if parts[-1] in ("header", "banner"):
+        return CONTENT_NAMES.isdisjoint(parts[:-1]) or parts[0] == "page"
+    return parts[-1] in WEAK_NAMES or (parts[0] in WEAK_NAMES and parts[-1] in LIST_NAMES)
+
+
+def read_attributes(tag: str, attributes: str, parent: Node) -> tuple[str, str]:
+    """An element's class, and why it is noise: by kind, by name, or not (empty)."""
+    kind, named = "", False
+    if tag in NOISE_TAGS or (tag == "header" and not parent.inside):
+        return kind, "kind"
+    if not attributes or tag in ("html", "body", "main"):
+        return kind, ""
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        if (name == "role" and value in NOISE_ROLES) or (name in ("class", "id") and not NOISE_NAMES.isdisjoint(re.split(r"[\s_\-]+", value))):
-            return True
-    return False
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)) or (name == "role" and value in NOISE_ROLES):
+            return kind, "kind"
+        if name == "class":
+            kind = value
+        if name in ("class", "id"):
+            named |= any(is_noise_name(x, tag) for x in value.split())
+    return kind, "name" if named else ""
 
 
 def parse(html: str) -> Node:
@@ -104,7 +136,7 @@ def parse(html: str) -> Node:
                 at = _closed(at, *CLOSED_BY[tag])
             if tag == "body" and at.tag == "head":
                 at = at.parent
-            new = Node(tag, at, is_noise(tag, m[4], at))
+            new = Node(tag, at, *read_attributes(tag, m[4], at))
             at.items.append(new)
             if tag not in VOID and not m[4].endswith("/"):
                 at = new
@@ -125,48 +157,87 @@ def _closed(at: Node, tags: frozenset, scope: frozenset) -> Node:
     return up.parent if up.tag in tags and up.parent else at
 
 
-def _ordered(root: Node) -> list[Node]:
-    """Nodes without noise, parents before children."""
+def _ordered(root: Node, noise: bool = False) -> list[Node]:
+    """Nodes, parents before children, without noise unless asked for."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
         out.append(node)
-        todo += [x for x in reversed(node.items) if isinstance(x, Node) and not x.noise]
+        todo += [x for x in reversed(node.items) if isinstance(x, Node) and (noise or not x.noise)]
     return out
 
 
+def clear_holders(root: Node) -> None:
+    """An element that is noise by its name but holds an article or the main part of the page is none."""
+    for node in _ordered(root, noise=True):
+        if node.tag in ("article", "main") and not node.noise:
+            up = node.parent
+            held = []
+            while up and up.noise != "kind":
+                held.append(up)
+                up = up.parent
+            if up is None:
+                for x in held:
+                    x.noise = ""
+
+
 def measure(root: Node) -> list[Node]:
     """Sums, composite densities and density sums of all nodes that are not noise, parents first."""
+    clear_holders(root)
     nodes = _ordered(root)
+    own = {}
     for node in reversed(nodes):
-        own = sum(len(GAPS.sub(" ", entities.unescape(x)).strip()) for x in node.items if isinstance(x, str))
-        kids = [x for x in node.items if isinstance(x, Node) and not x.noise]
-        node.chars = own + sum(k.chars for k in kids)
-        node.tags = sum(k.tags + 1 for k in kids)
+        own[node] = sum(len(GAPS.sub(" ", entities.unescape(x)).strip()) for x in node.items if isinstance(x, str))
+        kids = node.kids()
         link = node.tag == "a"
+        node.head |= any(k.head for k in kids)
+        node.chars = own[node] + sum(k.chars for k in kids)
+        node.tags = sum(k.tags + (k.tag not in INLINE or k.tag == "a") for k in kids)
         node.link_chars = node.chars if link else sum(k.link_chars for k in kids)
         node.link_tags = node.tags if link else sum(k.link_tags + (k.tag == "a") for k in kids)
     body_chars, body_links = max(1, root.chars), root.link_chars
     for node in reversed(nodes):
         c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-        plain = max(1, node.chars - node.link_chars)
-        base = math.log(c * lc / plain + body_links * c / body_chars + math.e)
-        ratio = (c / lc) * (t / lt)
-        node.density = c / t * math.log(ratio) / math.log(base) if ratio > 1 and base > 1 else (c / t if c and node.link_chars == 0 else 0.0)
-        node.total = sum(x.density for x in node.items if isinstance(x, Node) and not x.noise)
+        if not node.link_chars:
+            node.density = c / t
+        else:
+            plain = max(1, c - node.link_chars)
+            base = math.log(c * lc / plain + body_links * c / body_chars + math.e)
+            ratio = (c / lc) * (t / lt)
+            # Links never raise a density.
+            node.density = c / t * min(1.0, math.log(ratio) / math.log(base)) if ratio > 1 and base > 1 else 0.0
+        node.total = own[node] + sum(x.density for x in node.kids())
     return nodes
 
 
-def main_node(nodes: list[Node]) -> tuple[Node, float]:
-    """The node with the largest density sum and the smallest density on its path to the body; a page that marks articles is judged among them."""
-    named = [n for n in nodes if n.tag in ("article", "main") and n.chars]
-    best = max(named or nodes, key=lambda n: (n.total, n.chars))
-    if not named and not best.total:
-        best = nodes[0]
+def main_nodes(nodes: list[Node]) -> tuple[list[Node], float]:
+    """The roots of the main text in page order, and the threshold: the container with the largest density sum and the blocks that join it."""
+    best = max((n for n in nodes if n.tag in CONTAINERS), key=lambda n: (n.total, n.chars))
     threshold, up = best.density, best
     while up.parent and up.tag != "body":
-        threshold, up = min(threshold, up.density), up.parent
-    return best, threshold
+        up = up.parent
+        threshold = min(threshold, up.density)
+    whole, up = best, best
+    while up.parent:
+        if up.tag == "article":
+            whole = up
+        up = up.parent
+    chosen = [whole]
+    at = whole
+    while at.parent:
+        kids = at.parent.kids()
+        place = kids.index(at)
+        # The page's heading joins whatever its length; other blocks by their density and kind.
+        heading = [x for x in kids[:place] if x.head and not at.head and not _is_link_list(x)]
+        alike = [x for x in kids if x is not at and x.chars and x.density >= threshold and not _is_link_list(x) and _alike(x, at)]
+        chosen = [x for x in kids[:place] if x in heading or x in alike] + chosen + [x for x in kids[place + 1 :] if x in alike]
+        at = at.parent
+    return chosen, threshold
+
+
+def _alike(x: Node, other: Node) -> bool:
+    """Whether two blocks are of one kind: tag and class, and paragraphs where a div has no class."""
+    return x.tag == other.tag and x.kind == other.kind and (bool(x.kind) or x.tag != "div" or any(k.tag == "p" for k in x.kids()))
 
 
 def _is_link_list(node: Node) -> bool:
@@ -177,7 +248,7 @@ def _is_link_list(node: Node) -> bool:
 def main_text(html: str) -> str:
     """The blocks of the main subtree in page order, joined by newlines."""
     nodes = measure(parse(html))
-    main, threshold = main_node(nodes)
+    roots, threshold = main_nodes(nodes)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -186,18 +257,17 @@ def main_text(html: str) -> str:
             blocks.append(text)
         line.clear()
 
-    todo: list[Node | str | None] = [main]
+    todo: list[Node | str | None] = [x for root in reversed(roots) for x in (None, root)]
     while todo:
         item = todo.pop()
         if item is None:
             ended()
         elif isinstance(item, str):
             line.append(item)
-        elif item.noise or (item is not main and item.tag not in INLINE and item.density < threshold and _is_link_list(item)):
+        elif item.noise or (item not in roots and item.tag not in INLINE and item.density < threshold and _is_link_list(item)):
             ended() if item.tag not in INLINE else None
         else:
-            block = item.tag not in INLINE
-            if block:
+            if item.tag not in INLINE:
                 ended()
                 todo.append(None)
             todo += reversed(item.items)
@@ -208,8 +278,8 @@ def main_text(html: str) -> str:
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:
     """df without html_col, with text and n_chars (long, code points).
 
-    A null or empty html has an empty text. Each row is read alone, so repeated rows and null ids are returned as they are; an empty
-    table gives an empty result; columns of df named text or n_chars are replaced.
+    A null or empty html has an empty text; a page of any length or depth is read whole. Each row is read alone, so repeated rows and null ids are
+    returned as they are; an empty table gives an empty result; columns of df named text or n_chars are replaced.
     """
     rest = [c for c in df.columns if c not in (html_col, "text", "n_chars")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema.fields)
