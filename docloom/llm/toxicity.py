@@ -1,51 +1,66 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Only documents carry labels, so tokens are labelled first: a word (or its stem of four bytes) is suspect if it stands in many different contexts of
-toxic training documents and in few of clean ones; suspect words in toxic documents are labelled 1, all other tokens 0. A
-two-label CRF with the word, its neighbours and label transitions as features is fitted to these tokens. Forward-backward
-marginals give each document the expected number of toxic tokens and the largest marginal; a logistic
-regression turns both into the document's score. The fit runs on the driver over a bounded sample of labelled rows; the
-scoring reads every token of every text.
+A two-label CRF tags every token of every text. Its features are the word, its first four and last three characters, its
+shape, the words on both sides, and the transitions of labels. Forward-backward marginals give each document the expected number of
+toxic tokens and the largest marginal; a logistic regression turns both into the document's score, and tokens of a marginal
+of one half or more are its toxic spans.
+
+Only documents carry labels, so token labels are learned with the model: tokens of clean documents are 0; in toxic ones those are 1
+whose word or beginning stands in many different contexts of toxic documents and in few of clean ones, then, in a second round,
+those that the CRF itself tags. The fit runs on the driver over a bounded sample of labelled rows; a third of the sample is kept for
+the logistic regression, so that it sees marginals of texts that the CRF did not learn from.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import byte_words, text_bytes
+from docloom.llm.common import byte_words, pieces, text_bytes
 
-#: Labelled training rows taken of each label, by the hash of their id, from texts of at most SAMPLE_CHARS characters.
-SAMPLE_ROWS = 3000
-SAMPLE_CHARS = 50_000
-MAX_WORDS = 512
-#: Tokens on each side of a suspect word whose marginals are computed; farther ones have the chain's stationary marginal.
-MARGIN = 8
+#: The sample: labelled rows of each label, by the hash of their id, and tokens of each, in blocks of BLOCK by the hash of their place.
+SAMPLE_ROWS = 2400
+SAMPLE_TOKENS = 4096
+BLOCK = 64
+#: Blocks of toxic and of clean documents that the CRF is fitted on.
+FITTED = 16_000
 REJECT_AT = 0.7
 STRIP = b".,!?;:#*$%&|<>\"'()[]{}-_~+="
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-#: Contexts, and root of twice the log-likelihood gain, that make a word, or a stem of STEM bytes, suspect.
-MIN_CONTEXTS, MIN_ROOT, STEM = 6, 5.0, 4
-STEPS, RATE, L2 = 150, 0.1, 0.01
+#: Contexts, and root of twice the log-likelihood gain, by which a word or beginning labels tokens of toxic documents at first.
+MIN_CONTEXTS, MIN_ROOT = 4, 4.0
+HEAD, TAIL = 4, 3
+#: Words, beginnings and endings have a weight if so many documents of the sample hold them.
+MIN_DOCS = 15
+EPOCHS, STEPS, BATCH, RATE, L2 = (10, 5), 250, 256, 0.5, 1e-5
+#: Tokens in a row of the forward-backward recursion over whole texts.
+ROW = 32
+#: Words without a weight of their own whose features a task remembers.
+REMEMBERED = 400_000
 
 
 class Model(NamedTuple):
-    """words and stems: suspect ones by number from 1; emit[k]: log weight of label 1 for word k (0: any other); near: for a suspect neighbour on the left and right; move: 2x2 transitions."""
+    """words: number from 1 of each word with weights; own, left, right: log weight of label 1 for the word itself (all its features) and as a neighbour on the left
+    and right, 0 for other words; heads, tails, shapes: weights by which other words count; move: 2x2 transitions."""
 
     words: dict[bytes, int]
-    stems: dict[bytes, int]
-    emit: np.ndarray
-    near: np.ndarray
+    own: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    heads: dict[bytes, float]
+    tails: dict[bytes, float]
+    shapes: np.ndarray
     move: np.ndarray
     logit: np.ndarray
-    rate: float
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -53,65 +68,25 @@ def tokens(text: bytes) -> list[bytes]:
     return [w.strip(STRIP) for w in byte_words(text)]
 
 
-class Sample:
-    """Tokenised documents as word numbers, with their labels."""
+def affixes(word: bytes) -> tuple[bytes, bytes]:
+    """The first HEAD and last TAIL characters of a longer word; empty for others."""
+    text = word.decode("utf-8", "replace")
+    return text[:HEAD].encode() if len(text) > HEAD else b"", text[-TAIL:].encode() if len(text) > TAIL else b""
 
-    def __init__(self):
-        self.numbers: dict[bytes, int] = {}
-        self.documents: list[np.ndarray] = []
-        self.labels: list[int] = []
 
-    def add(self, text: str | None, label: int) -> None:
-        """Tokenise a document and keep its word numbers alone."""
-        numbers = self.numbers
-        own = [numbers.setdefault(w, len(numbers)) for w in tokens((text or "").encode())]
-        self.documents.append(np.array(own, np.int32))
-        self.labels.append(label)
+SHAPES = 16
 
 
-def suspects(sample: Sample, item_of: np.ndarray, names: list[bytes]) -> list[bytes]:
-    """The items (words or stems; item_of: a word's) whose different contexts are far more frequent in toxic documents, by a likelihood-ratio test.
+def shape(word: bytes) -> int:
+    """A word's shape: length in four steps, whether it holds digits, whether it holds other marks than letters."""
+    return min(len(word) // 4, 3) + 4 * any(48 <= c <= 57 for c in word) + 8 * any(c < 128 and not 48 <= c <= 57 and not 97 <= c <= 122 for c in word)
 
-    Only items that at least MIN_CONTEXTS toxic documents hold can have so many contexts there, so only their contexts are kept.
-    """
-    size, frequency = [1, 1], np.zeros((2, len(names)), np.int64)
-    for own, label in zip(sample.documents, sample.labels, strict=True):
-        size[label] += len(own)
-        frequency[label, np.unique(item_of[own])] += 1
-    often = (frequency[1] >= MIN_CONTEXTS) & ((frequency[1] + 0.5) / size[1] > 2 * (frequency[0] + 0.5) / size[0])
-    contexts: dict[int, tuple[set, set]] = {int(k): (set(), set()) for k in np.flatnonzero(often)}
-    for own, label in zip(sample.documents, sample.labels, strict=True):
-        items = item_of[own]
-        for i in np.flatnonzero(often[items]).tolist():
-            left, right = own[i - 1] if i else -1, own[i + 1] if i + 1 < len(own) else -1
-            contexts[int(items[i])][label].add((int(left), int(right)))
-    found = []
-    for k, (clean, toxic) in contexts.items():
-        p, n = len(toxic), len(clean)
-        odds = math.log((p + 0.5) / size[1]) - math.log((n + 0.5) / size[0])
-        share = size[1] / (size[0] + size[1])
-        gain = 2 * (p * math.log(p / ((p + n) * share)) + (n * math.log(n / ((p + n) * (1 - share))) if n else 0.0)) if p else 0.0
-        if names[k] and p >= MIN_CONTEXTS and odds > math.log(8) and math.sqrt(max(0.0, gain)) >= MIN_ROOT:
-            found.append((-odds, names[k]))
-    return [w for _, w in sorted(found)[:MAX_WORDS]]
-
-
-def stem(word: bytes) -> bytes:
-    """The first STEM bytes of a longer word; empty for others."""
-    return word[:STEM] if len(word) > STEM else b""
-
-
-def emissions(ids: np.ndarray, emit: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Log weight of label 1 over label 0 for each token of rows of word numbers."""
-    hit = (ids > 0).astype(float)
-    out = emit[ids]
-    out[:, 1:] += near[0] * hit[:, :-1]
-    out[:, :-1] += near[1] * hit[:, 1:]
-    return out
+
+# The chain
 
 
 def marginals(score: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward over rows: P(label 1) for each token, expected transitions (2x2) and log partition, per row summed or alone."""
+    """Forward-backward over rows of equal length: P(label 1) for each token, expected transitions (2x2) of all rows, and log partition of each."""
     rows, length = score.shape
     emit = np.stack([np.zeros_like(score), score], axis=2)
     forward, backward = np.empty((rows, length, 2)), np.zeros((rows, length, 2))
@@ -130,104 +105,223 @@ def marginals(score: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return one, pairs, whole
 
 
-def fit_chain(ids: np.ndarray, labels: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """CRF weights (emit, near, move) by Adam on the penalised log likelihood of rows of tokens."""
-    sizes = (n_words + 1, 2, 4)
-    w, m, v = np.zeros(sum(sizes)), np.zeros(sum(sizes)), np.zeros(sum(sizes))
-    hit = (ids > 0).astype(float)
-    seen = np.zeros((2, 2))
-    for a in range(2):
-        for b in range(2):
-            seen[a, b] = ((labels[:, :-1] == a) & (labels[:, 1:] == b)).sum()
-    for step in range(1, STEPS + 1):
-        emit, near, move = w[: sizes[0]], w[sizes[0] : sizes[0] + 2], w[-4:].reshape(2, 2)
-        one, pairs, _ = marginals(emissions(ids, emit, near), move)
-        off = labels - one
-        g_emit = np.bincount(ids.ravel(), off.ravel(), sizes[0])
-        g_near = np.array([(off[:, 1:] * hit[:, :-1]).sum(), (off[:, :-1] * hit[:, 1:]).sum()])
-        g = np.concatenate([g_emit, g_near, (seen - pairs).ravel()]) / len(ids) - L2 * w / len(ids)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w[: sizes[0]].copy(), w[sizes[0] : sizes[0] + 2].copy(), w[-4:].reshape(2, 2).copy()
-
-
-def stretches(at: list[int], length: int) -> list[tuple[int, int]]:
-    """Merged stretches of MARGIN tokens around positions."""
-    out: list[list[int]] = []
-    for i in at:
-        a, z = max(0, i - MARGIN), min(length, i + MARGIN + 1)
-        if out and a <= out[-1][1]:
-            out[-1][1] = z
-        else:
-            out.append([a, z])
-    return [(a, z) for a, z in out]
-
-
-def tagged_numbers(numbers: np.ndarray, model: Model) -> list[tuple[int, float]]:
-    """(token number, P(toxic)) for the tokens near suspect words, of a document as suspect-word numbers."""
-    out = []
-    for a, z in stretches(np.flatnonzero(numbers).tolist(), len(numbers)):
-        one, _, _ = marginals(emissions(numbers[None, a:z], model.emit, model.near), model.move)
-        out += zip(range(a, z), one[0].tolist(), strict=True)
-    return out
+def text_marginals(score: np.ndarray, sizes: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """P(label 1) for each token of texts that lie one after the other in score, sizes giving their tokens.
 
+    Texts are cut into rows of ROW tokens. The products of each row's transfer matrices carry the forward and backward weights from
+    row to row, so the result is that of one recursion over each whole text.
+    """
+    rows_of = -(-sizes // ROW)
+    n = int(rows_of.sum())
+    if not n:
+        return np.empty(0)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    within = np.arange(len(score)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first_row = np.cumsum(rows_of) - rows_of
+    at = (first_row[text] + within // ROW, within % ROW)
+    real = np.zeros((n, ROW), bool)
+    real[at] = True
+    odds = np.ones((n, ROW))
+    odds[at] = np.exp(np.clip(score, -30, 30))
+    m = np.exp(move)
+    # A step of the matrix product: columns are labels after the step; past a text's end it stays as it is.
+    whole = np.zeros((n, 2, 2))
+    whole[:, 0, 0] = whole[:, 1, 1] = 1
+    for t in range(ROW):
+        if t == 0:
+            # A text's first token has no transition before it.
+            step = whole @ m
+            step[first_row[rows_of > 0]] = np.eye(2)
+        else:
+            step = whole @ m
+        step[:, :, 1] *= odds[:, t, None]
+        step /= step.max((1, 2), keepdims=True)
+        whole = np.where(real[:, t, None, None], step, whole)
+    begin, end = np.ones((n, 2)), np.ones((n, 2))
+    order = np.argsort(-rows_of, kind="stable")
+    counts = rows_of[order]
+    for j in range(1, int(counts[0])):
+        live = first_row[order[: np.searchsorted(-counts, -j, side="left")]] + j
+        ahead = np.einsum("ka,kab->kb", begin[live - 1], whole[live - 1])
+        begin[live] = ahead / ahead.max(1, keepdims=True)
+    for j in range(int(counts[0]) - 2, -1, -1):
+        live = first_row[order[: np.searchsorted(-counts, -(j + 1), side="left")]] + j
+        back = np.einsum("kab,kb->ka", whole[live + 1], end[live + 1])
+        end[live] = back / back.max(1, keepdims=True)
+    starts = np.zeros(n, bool)
+    starts[first_row[rows_of > 0]] = True
+    forward, ahead = np.empty((n, ROW, 2)), begin
+    for t in range(ROW):
+        step = ahead @ m
+        if t == 0:
+            step[starts] = 1
+        step[:, 1] *= odds[:, t]
+        step /= step.max(1, keepdims=True)
+        forward[:, t] = ahead = step
+    one, back = np.empty((n, ROW)), end
+    for t in range(ROW - 1, -1, -1):
+        both = forward[:, t] * back
+        one[:, t] = both[:, 1] / both.sum(1)
+        step = np.stack([back[:, 0], back[:, 1] * odds[:, t]], axis=1) @ m.T
+        step /= step.max(1, keepdims=True)
+        back = np.where(real[:, t, None], step, back)
+    return one[at]
+
+
+# The fit
 
-def tagged(words: list[bytes], model: Model) -> list[tuple[int, float]]:
-    """(token number, P(toxic)) for the tokens near suspect words, of a document as raw words."""
-    known, stems = model.words, model.stems
-    found = {}
-    for i, w in enumerate(words):
-        s = w.strip(STRIP)
-        if s in known:
-            found[i] = known[s]
-        elif s[:STEM] in stems and len(s) > STEM:
-            found[i] = stems[s[:STEM]]
-    if not found:
-        return []
-    numbers = np.zeros(len(words), np.int64)
-    numbers[list(found)] = list(found.values())
-    return tagged_numbers(numbers, model)
 
+class Sample:
+    """Tokenised documents as numbers of words, and the words' features."""
 
-def _features(found: list[tuple[int, float]]) -> tuple[float, float, float]:
-    p = [x for _, x in found]
-    return 1.0, max(p, default=0.0), math.log1p(sum(p))
+    def __init__(self, rows):
+        self.numbers: dict[bytes, int] = {}
+        self.documents: list[np.ndarray] = []
+        self.labels: list[int] = []
+        for words, label in rows:
+            self.documents.append(np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int64))
+            self.labels.append(int(label))
+        self.words = list(self.numbers)
+        own = [affixes(w) for w in self.words]
+        self.head, self.heads = self._numbered([x[0] for x in own])
+        self.tail, self.tails = self._numbered([x[1] for x in own])
+        self.shape = np.array([shape(w) for w in self.words], np.int64)
+        self.word = self._kept(np.arange(len(self.words)))
+
+    @staticmethod
+    def _numbered(parts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        numbers: dict[bytes, int] = {b"": 0}
+        return np.array([numbers.setdefault(x, len(numbers)) for x in parts], np.int64), list(numbers)
+
+    def _kept(self, item_of: np.ndarray) -> np.ndarray:
+        """For each word, the number from 1 of its item if MIN_DOCS documents hold it, else 0."""
+        found = np.zeros(int(item_of.max(initial=-1)) + 1, np.int64)
+        for own in self.documents:
+            found[np.unique(item_of[own])] += 1
+        number = np.where(found >= MIN_DOCS, np.cumsum(found >= MIN_DOCS), 0)
+        return number[item_of] if len(item_of) else item_of
+
+    def suspects(self, item_of: np.ndarray) -> np.ndarray:
+        """Whether each item (a word's, by item_of) stands in far more different contexts in toxic documents, by a likelihood-ratio test."""
+        items = int(item_of.max(initial=-1)) + 1
+        contexts, size = np.zeros((2, items)), np.zeros(2)
+        for label in (0, 1):
+            own = [d for d, y in zip(self.documents, self.labels, strict=True) if y == label]
+            flat = np.concatenate([np.empty(0, np.int64), *own])
+            around = np.concatenate([np.empty((0, 2), np.int64), *(np.stack([np.append(-1, d[:-1]), np.append(d[1:], -1)], axis=1) for d in own if len(d))])
+            mixed = (item_of[flat] * 0x9E3779B1 + around[:, 0]) * 0x85EBCA6B + around[:, 1]
+            _, first = np.unique(mixed, return_index=True)
+            contexts[label] = np.bincount(item_of[flat][first], minlength=items)
+            size[label] = len(flat)
+        if not size.all():
+            return np.zeros(items, bool)
+        clean, toxic = contexts
+        share = size[1] / size.sum()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = 2 * (np.where(toxic, toxic * np.log(toxic / ((toxic + clean) * share)), 0) + np.where(clean, clean * np.log(clean / ((toxic + clean) * (1 - share))), 0))
+            odds = (toxic + 0.5) / size[1] / ((clean + 0.5) / size[0])
+        return (toxic >= MIN_CONTEXTS) & (odds > 4) & (np.sqrt(np.maximum(gain, 0)) >= MIN_ROOT)
+
+
+class Weights:
+    """The CRF's parameters in one vector: word, head, tail, shape, left and right neighbour, transitions."""
+
+    def __init__(self, sample: Sample):
+        words = int(sample.word.max(initial=0)) + 1
+        self.sizes = [words, len(sample.heads), len(sample.tails), SHAPES, words, words, 4]
+        self.at = np.cumsum([0, *self.sizes])
+        self.w, self.squares = np.zeros(self.at[-1]), np.full(self.at[-1], 1e-3)
+        self.w[self.at[3] : self.at[4]] = -2.0
+
+    def part(self, i: int) -> np.ndarray:
+        return self.w[self.at[i] : self.at[i + 1]]
+
+    def score(self, features: list[np.ndarray]) -> np.ndarray:
+        return sum(self.part(i)[f] * (f > 0 if i != 3 else 1) for i, f in enumerate(features))
+
+    def learn(self, features: list[np.ndarray], labels: np.ndarray) -> None:
+        """One step of Adagrad on the log likelihood of rows of tokens."""
+        one, pairs, _ = marginals(self.score(features), self.part(6).reshape(2, 2))
+        off = labels - one
+        parts = [np.bincount(f.ravel(), (off * (f > 0) if i != 3 else off).ravel(), self.sizes[i]) for i, f in enumerate(features)]
+        a, b = labels[:, :-1], labels[:, 1:]
+        seen = np.array([((1 - a) * (1 - b)).sum(), ((1 - a) * b).sum(), (a * (1 - b)).sum(), (a * b).sum()])
+        g = np.concatenate([*parts, seen - pairs.ravel()]) / len(labels) - L2 * self.w
+        self.squares += g * g
+        self.w += RATE * g / np.sqrt(self.squares)
+
+
+def _features(one: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each text: 1, the largest marginal, and the logs of 1 and the sums of marginals inside spans and outside of them."""
+    out = np.zeros((len(sizes), 4))
+    out[:, 0] = 1
+    full = np.flatnonzero(sizes)
+    if len(full):
+        at = (np.cumsum(sizes) - sizes)[full]
+        out[full, 1] = np.maximum.reduceat(one, at)
+        out[full, 2], out[full, 3] = (np.log1p(np.add.reduceat(x, at)) for x in (one * (one >= 0.5), one * (one < 0.5)))
+    return out
 
 
 def fit(rows, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """A model of (text, label) rows; weights: how many labelled rows one of each label stands for."""
-    sample = Sample()
-    for text, label in rows:
-        sample.add(text, int(label))
-    n = [sample.labels.count(k) * weights[k] for k in (0, 1)]
-    rate = (n[1] + 1) / (n[0] + n[1] + 2)
-    every = list(sample.numbers)
-    stem_number: dict[bytes, int] = {}
-    stem_of = np.array([stem_number.setdefault(stem(w), len(stem_number)) for w in every], np.int64)
-    words: dict[bytes, int] = {}
-    stems: dict[bytes, int] = {}
-    if n[0] and n[1]:
-        words = {w: i + 1 for i, w in enumerate(suspects(sample, np.arange(len(every)), every))}
-        stems = {w: len(words) + i + 1 for i, w in enumerate(suspects(sample, stem_of, list(stem_number)))}
-    if not words and not stems:
-        flat = np.array([math.log(rate / (1 - rate)), 0.0, 0.0])
-        return Model({}, {}, np.zeros(1), np.zeros(2), np.zeros((2, 2)), flat, rate)
-    suspect = np.array([words.get(w) or stems.get(stem(w), 0) for w in every], np.int64)
-    width, ids, labels = 2 * MARGIN + 1, [], []
-    for own, y in zip(sample.documents, sample.labels, strict=True):
-        numbers = suspect[own]
-        for i in [*np.flatnonzero(numbers).tolist(), *range(MARGIN, len(own), 20 * width)]:
-            a = max(0, min(i - MARGIN, len(own) - width))
-            part = numbers[a : a + width]
-            if len(part) == width:
-                ids.append(part)
-                labels.append((part > 0) & bool(y))
-    if not ids:
-        ids, labels = [[0] * width], [[0] * width]
-    emit, near, move = fit_chain(np.array(ids), np.array(labels, float), len(words) + len(stems))
-    model = Model(words, stems, emit, near, move, np.zeros(3), rate)
-    x = np.array([_features(tagged_numbers(suspect[own], model)) for own in sample.documents])
-    y = np.array(sample.labels, float)
+    """A model of (words, label) rows; weights: how many labelled rows one of each label stands for. Every third row of a label fits the logistic regression alone."""
+    rows = [(words, int(label)) for words, label in rows]
+    seen = Counter(label for _, label in rows)
+    n = [seen[k] * weights[k] for k in (0, 1)]
+    flat = np.array([math.log((n[1] + 1) / (n[0] + 1)), 0.0, 0.0, 0.0])
+    place, turn = Counter(), []
+    for _, label in rows:
+        turn.append(place[label] % 3)
+        place[label] += 1
+    sample = Sample([r for r, k in zip(rows, turn, strict=True) if k < 2])
+    suspect = np.zeros(len(sample.words), bool)
+    if n[0] and n[1] and sample.words:
+        head = sample.suspects(sample.head)
+        head[0] = False
+        suspect = sample.suspects(np.arange(len(sample.words))) | head[sample.head]
+        suspect &= np.array([bool(w) for w in sample.words])
+    if not suspect.any():
+        return Model({}, np.zeros(1), np.zeros(1), np.zeros(1), {}, {}, np.zeros(SHAPES), np.zeros((2, 2)), flat)
+    learned = Weights(sample)
+    # Blocks of documents with their neighbours; the last block of each is filled up with its document's first tokens.
+    filled = []
+    for d, y in zip(sample.documents, sample.labels, strict=True):
+        if len(d):
+            whole = np.resize(d, -(-len(d) // BLOCK) * BLOCK)
+            around = np.append(-1, whole[:-1]), np.append(whole[1:], -1)
+            filled.append([*(x.reshape(-1, BLOCK) for x in (whole, *around)), np.full(len(whole) // BLOCK, y)])
+    word, before, after, toxic = (np.concatenate([x[i] for x in filled]) for i in range(4))
+    labels = suspect[word] & (toxic > 0)[:, None]
+    rng = np.random.default_rng(0)
+    chosen = np.sort(np.concatenate([rng.permutation(np.flatnonzero(toxic == y))[:FITTED] for y in (0, 1)]))
+    number = np.append(sample.word, 0)
+    take = lambda at: [number[word[at]], sample.head[word[at]], sample.tail[word[at]], sample.shape[word[at]], number[before[at]], number[after[at]]]
+    for k, epochs in enumerate(EPOCHS):
+        if k:
+            for at in np.array_split(chosen, max(1, len(chosen) // 1024)):
+                one, _, _ = marginals(learned.score(take(at)), learned.part(6).reshape(2, 2))
+                labels[at] = (one >= 0.5) & (toxic[at] > 0)[:, None]
+        batches = max(1, len(chosen) // BATCH)
+        # A small sample is gone through more often.
+        for _ in range(max(epochs, -(-STEPS // batches))):
+            for at in np.array_split(rng.permutation(chosen), batches):
+                learned.learn(take(at), labels[at].astype(float))
+    heads = {h: float(w) for h, w in zip(sample.heads, learned.part(1), strict=True) if h and w}
+    tails = {t: float(w) for t, w in zip(sample.tails, learned.part(2), strict=True) if t and w}
+    shapes = learned.part(3).copy()
+    words = {w: int(i) for w, i in zip(sample.words, sample.word, strict=True) if i}
+    own = learned.part(0).copy()
+    for w, i in words.items():
+        h, t = affixes(w)
+        own[i] += heads.get(h, 0.0) + tails.get(t, 0.0) + shapes[shape(w)]
+    model = Model(words, own, learned.part(4).copy(), learned.part(5).copy(), heads, tails, shapes, learned.part(6).reshape(2, 2).copy(), flat)
+    model.left[0] = model.right[0] = 0.0
+    kept = [r for r, k in zip(rows, turn, strict=True) if k == 2]
+    if len({y for _, y in kept}) < 2:
+        kept = rows
+    tagger = Tagger(model)
+    x = np.concatenate([_features(*tagger.tag([w for w, _ in kept[at : at + 256]])) for at in range(0, len(kept), 256)])
+    y = np.array([y for _, y in kept], float)
     return model._replace(logit=logistic(x, y, np.where(y > 0, weights[1], weights[0])))
 
 
@@ -244,59 +338,112 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return b
 
 
+# The use
+
+
+class Tagger:
+    """A model at work in a task; features of words without weights of their own are remembered."""
+
+    def __init__(self, model: Model):
+        self.model, self.other = model, {}
+
+    def affix_score(self, word: bytes) -> float:
+        """What a word without a weight of its own scores by its beginning, ending and shape."""
+        found = self.other.get(word)
+        if found is None:
+            h, t = affixes(word)
+            found = self.model.heads.get(h, 0.0) + self.model.tails.get(t, 0.0) + float(self.model.shapes[shape(word)])
+            if len(self.other) < REMEMBERED:
+                self.other[word] = found
+        return found
+
+    def tag(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """P(label 1) of all tokens of the texts, one after the other, and the texts' tokens."""
+        model, sizes = self.model, np.array([len(x) for x in texts], np.int64)
+        words = [w for x in texts for w in x]
+        ids = np.fromiter((model.words.get(w, 0) for w in words), np.int64, len(words))
+        score = model.own[ids]
+        others = np.flatnonzero(ids == 0)
+        score[others] = [self.affix_score(words[i]) for i in others.tolist()]
+        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        left, right = np.append(0.0, model.left[ids[:-1]]), np.append(model.right[ids[1:]], 0.0)
+        if len(words):
+            left[starts] = 0.0
+            right[starts[1:] - 1] = 0.0
+            score = score + left + right
+        return text_marginals(score, sizes, model.move), sizes
+
+
 def held_out():
-    """Rows that no model may learn from."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    """Rows that no model may learn from; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def _sampled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each text, of long ones SAMPLE_TOKENS words in blocks from all over it."""
+    for b in batches:
+        out = []
+        for text in text_bytes(b["text"]):
+            words = tokens(text)
+            if len(words) > SAMPLE_TOKENS:
+                starts = sorted(range(0, len(words), BLOCK), key=lambda i: xxhash.xxh3_64_intdigest(i.to_bytes(8, "little")))
+                words = [w for i in sorted(starts[: SAMPLE_TOKENS // BLOCK]) for w in words[i : i + BLOCK]]
+            out.append(b" ".join(w or b"-" for w in words))
+        yield pa.record_batch([b["doc_id"], b["toxic"], pa.array(out, pa.binary())], names=["doc_id", "toxic", "words"])
 
 
 def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model of a bounded sample of the labelled rows outside the held-out third."""
-    usable = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
+    """A model of a bounded sample of the labelled rows outside the held-out third: sample_rows ids of each label, of each SAMPLE_TOKENS tokens."""
+    usable = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out())
     n = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     picked = [usable.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for k in (0, 1)]
     # At most 2 * sample_rows ids, so they may be broadcast.
     few = F.broadcast(picked[0].union(picked[1]))
-    texts = documents.filter(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select("doc_id", "text").join(few, "doc_id")
-    # Ordered, so that the model does not depend on the order of tasks.
-    rows = texts.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    texts = documents.select("doc_id", "text").join(few, "doc_id").select("doc_id", "toxic", "text")
+    words = texts.mapInArrow(_sampled_words, f"doc_id {dict(texts.dtypes)['doc_id']}, toxic int, words binary")
+    # One row for each id, in an order that does not depend on the tasks.
+    rows = words.groupBy("doc_id", "toxic").agg(F.min("words").alias("words")).toArrow().sort_by([("doc_id", "ascending")])
     labelled = rows["toxic"].to_pylist()
     weights = tuple(n.get(k, 0) / max(1, labelled.count(k)) for k in (0, 1))
-    return fit(((t.as_py(), y) for t, y in zip(rows["text"], labelled, strict=True)), weights)
+    return fit(((t.as_py().split(), y) for t, y in zip(rows["words"], labelled, strict=True)), weights)
 
 
 def scored(documents: DataFrame, model: Model, reject_at: float = REJECT_AT) -> DataFrame:
     """documents with score (0 to 1), predicted (int) and spans (start, end, p: characters of tokens with P(toxic) of at least one half).
 
-    Null and empty texts have no suspect word and get the score of such texts. Each row is scored alone, so repeated rows and null
-    ids are returned as they are; an empty table gives an empty result; columns named like a result are replaced.
+    Texts of any length are tagged whole; null and empty texts have no token and get the score of such texts. Each row is scored alone, so
+    repeated rows and null ids are returned as they are; an empty table gives an empty result; columns named like a result are replaced.
     """
-    rest = [c for c in documents.columns if c not in ("score", "predicted", "spans")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*rest).schema.fields)
+    rest = [c for c in documents.columns if c.lower() not in ("score", "predicted", "spans")]
+    kept = documents.select(*(f"`{c}`" for c in rest))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        tagger = Tagger(own)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
-        for b in batches:
-            scores, spans = [], []
-            for text in text_bytes(b["text"]):
-                found = tagged(byte_words(text), own)
-                z = sum(a * c for a, c in zip(own.logit, _features(found), strict=True))
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-                spans.append(_spans(text, [x for x in found if x[1] >= 0.5]))
-            yield pa.record_batch(
-                [*(b[c] for c in rest), pa.array(scores, pa.float64()), pa.array([int(s >= reject_at) for s in scores], pa.int32()), pa.array(spans, span)],
-                names=[*rest, "score", "predicted", "spans"],
-            )
-
-    return documents.select(*rest).mapInArrow(run, f"{fields}, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
-
-
-def _spans(text: bytes, found: list[tuple[int, float]]) -> list[dict]:
-    if not found:
-        return []
+        for whole in batches:
+            for b in pieces(whole, 256):
+                texts = text_bytes(b["text"])
+                one, sizes = tagger.tag([tokens(t) for t in texts])
+                score = 1 / (1 + np.exp(-np.clip(_features(one, sizes) @ own.logit, -30, 30)))
+                spans: list[list[dict]] = [[] for _ in texts]
+                ends = np.cumsum(sizes)
+                hot = np.flatnonzero(one >= 0.5)
+                of = np.searchsorted(ends, hot, side="right")
+                for i in np.unique(of).tolist():
+                    mine = hot[of == i]
+                    spans[i] = _spans(texts[i], (mine - (ends[i] - sizes[i])).tolist(), one[mine].tolist())
+                yield pa.record_batch([*(b[c] for c in rest), pa.array(score), pa.array((score >= reject_at).astype(np.int32)), pa.array(spans, span)], names=[*rest, "score", "predicted", "spans"])
+
+    return kept.mapInArrow(run, f"{fields}, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
+
+
+def _spans(text: bytes, numbers: list[int], p: list[float]) -> list[dict]:
+    """The characters of tokens by their numbers."""
     at = [m.span() for m in TOKEN.finditer(text.decode())]
-    return [{"start": at[i][0], "end": at[i][1], "p": p} for i, p in found]
+    return [{"start": at[i][0], "end": at[i][1], "p": x} for i, x in zip(numbers, p, strict=True)]
 
 
 def op5_crf_spans(spark, sf_dir: str) -> DataFrame:
