@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import markdown as M
 from docloom.operators.web import joined_in_order
+from docloom.session import written
 
 
 def resolve_inputs(explicit: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -24,10 +27,14 @@ def combine_markdown(run_pages: DataFrame) -> DataFrame:
     return run_pages.groupBy("run_id").agg(joined_in_order("markdown", "seq", "\n\n---\n\n").alias("markdown"))
 
 
-def session_sink(snapshots: DataFrame) -> DataFrame:
-    """(session_key, page_url, title, meta_json) of snapshots (url, title), one row a session."""
-    d = snapshots.select(T.session_key(F.col("url")).alias("session_key"), F.col("url").alias("page_url"), "title")
-    return d.groupBy("session_key").agg(F.max(F.struct("page_url", "title")).alias("p")).select("session_key", "p.page_url", "p.title", F.to_json("p").alias("meta_json"))
+def session_sink(snapshots: DataFrame, out: str | None = None) -> DataFrame:
+    """(session_key, page_url, title, markdown, meta_json): the latest snapshot (url, title, markdown, captured_seq) of each session; written below out, a folder a session, if named."""
+    d = snapshots.select(T.session_key(F.col("url")).alias("session_key"), F.col("url").alias("page_url"), "title", "markdown", "captured_seq")
+    last = d.groupBy("session_key").agg(F.max_by(F.struct("page_url", "title", "markdown"), "captured_seq").alias("p"))
+    found = last.select("session_key", "p.*", F.to_json(F.struct("p.page_url", "p.title")).alias("meta_json"))
+    if out:
+        found.write.partitionBy("session_key").json(out)
+    return found
 
 
 def archive_manifest(results: DataFrame) -> DataFrame:
@@ -152,11 +159,10 @@ def snapshot_diff(current: DataFrame, cache: DataFrame) -> DataFrame:
 
 def invalidate_changed(cache: DataFrame, changed: DataFrame) -> DataFrame:
     """(path, invalid): cache rows at or below a changed path; no changed path invalidates all."""
-    if changed.isEmpty():
-        return cache.select("path", F.lit(True).alias("invalid"))
+    none = changed.select(F.count(F.lit(1)) == 0).scalar()
     above = cache.select("path", F.explode(path_prefixes(F.col("path"))).alias("up"))
     hit = above.join(changed.select(F.col("path").alias("up")).distinct(), "up", "left_semi").select("path").distinct().withColumn("hit", F.lit(True))
-    return cache.select("path").join(hit, "path", "left").select("path", F.coalesce("hit", F.lit(False)).alias("invalid"))
+    return cache.select("path").join(hit, "path", "left").select("path", (F.coalesce("hit", F.lit(False)) | none).alias("invalid"))
 
 
 def active_heading(probes: DataFrame, headings: DataFrame) -> DataFrame:
@@ -244,12 +250,19 @@ def failure_streak_stop(log: DataFrame, n: int = 3) -> DataFrame:
     return _marked(log).filter(F.col("streak") == n).groupBy("run_id").agg(F.min("seq").alias("stop_seq"))
 
 
-def stop_rules(log: DataFrame, max_pages: int | None = None, stop: Column | None = None, n: int = 3) -> DataFrame:
-    """(run_id, stop_seq, reason): the first visit that ends a run: loop, failures, max_pages, stop, or no_more_pages at the end of the log."""
+def stop_rules(log: DataFrame, max_pages: int | None = None, stop: Column | None = None, n: int = 3, navigates: bool = True) -> DataFrame:
+    """(run_id, stop_seq, reason): the first visit that ends a run: loop, failures, max_pages, stop, or no_more_pages at the end of the log.
+
+    A run that does not navigate ends at its first visit: extract_failed or extract_null if that failed, single_page after an extracted one.
+    """
     ok = F.col("status") == "ok"
     reason = F.when(F.col("revisit"), "loop").when(F.col("streak") >= n, "failures")
+    if not navigates:
+        reason = reason.when(F.col("status") == "null", "extract_null").when(~ok, "extract_failed")
     if max_pages is not None:
         reason = reason.when(ok & (F.col("pages") >= max_pages), "max_pages")
+    if not navigates:
+        reason = reason.when(ok, "single_page")
     if stop is not None:
         reason = reason.when(ok & stop, "stop")
     d = _marked(log).withColumn("reason", reason)
@@ -308,31 +321,56 @@ def stop_predicate(log: DataFrame, predicate) -> DataFrame:
 TRANSPARENT_ROLES = ["none", "presentation", "generic"]
 
 
-def hierarchy_collapse(nodes: DataFrame, transparent: tuple[str, ...] = tuple(TRANSPARENT_ROLES)) -> DataFrame:
-    """(page_id, node_id, kept_parent, depth, name) of trees (page_id, node_id, parent_id, role, name, ignored): ignored and transparent nodes hand
-    their children up, text leaves go, nodes without name and kept child go, names are cut at 100 characters. A page's tree is one group."""
+def _jumps(edges: DataFrame) -> list[DataFrame]:
+    """Tables (page_id, node_id, up, far) of ancestors 1, 2, 4, ... edges (page_id, node_id, up) away, until none is so far: the number of tables is the log of the depth."""
+    at = written(edges.select("page_id", "node_id", "up", F.lit(1).cast("long").alias("far")), "jumps")
+    out = []
+    while not at.isEmpty():
+        out.append(at)
+        again = at.select("page_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("far").alias("more"))
+        at = written(at.join(again, ["page_id", "up"]).select("page_id", "node_id", F.col("next").alias("up"), (F.col("far") + F.col("more")).alias("far")), "jumps")
+    return out
 
-    def one(pdf):
-        rows = {r.node_id: r for r in pdf.itertuples()}
-        children: dict = {}
-        for r in pdf.sort_values("node_id").itertuples():
-            children.setdefault(r.parent_id if r.parent_id in rows else None, []).append(r.node_id)
-        out = []
 
-        def walk(node, parent, depth):
-            r = rows[node]
-            if r.role == "text":
-                return []
-            if r.ignored or r.role in transparent:
-                return [x for c in children.get(node, []) for x in walk(c, parent, depth)]
-            below = [x for c in children.get(node, []) for x in walk(c, node, depth + 1)]
-            return [(r.page_id, node, parent, depth, (r.name or "")[:100]), *below] if r.name or below else []
-
-        for top in children.get(None, []):
-            out += walk(top, -1, 0)
-        return type(pdf)(out, columns=["page_id", "node_id", "kept_parent", "depth", "name"])
+def hierarchy_collapse(nodes: DataFrame, transparent: tuple[str, ...] = tuple(TRANSPARENT_ROLES)) -> DataFrame:
+    """(page_id, node_id, kept_parent, depth, name) of trees (page_id, node_id, parent_id, role, name, ignored): ignored and transparent nodes hand
+    their children up, text leaves go, nodes without name and kept child go, names are cut at 100 characters.
 
-    return nodes.groupBy("page_id").applyInPandas(one, "page_id long, node_id long, kept_parent long, depth int, name string")
+    Ancestors are found by pointer doubling: a tree of depth d takes log d joins, and no page is gathered in one row. What is below a text
+    leaf goes with it.
+    """
+    d = written(
+        nodes.select(
+            "page_id", "node_id", F.col("parent_id").alias("up"), F.coalesce("name", F.lit("")).alias("name"), (F.col("role") == "text").alias("is_text"), (~F.col("ignored") & ~F.col("role").isin(*transparent) & (F.col("role") != "text")).alias("solid")
+        ),
+        "nodes",
+    )
+    own = d.select("page_id", F.col("node_id").alias("up"), F.col("solid").alias("up_solid"), F.col("is_text").alias("up_text"))
+    # A node's link leads to its parent; a transparent parent is passed, until the nearest solid ancestor (or none) is reached.
+    link = written(d.join(own, ["page_id", "up"], "left").select("page_id", "node_id", F.when(F.col("up_solid").isNotNull(), F.col("up")).alias("up"), F.coalesce("up_solid", F.lit(True)).alias("done"), F.coalesce("up_text", F.lit(False)).alias("gone")), "links")
+    while not link.filter("not done").isEmpty():
+        further = link.select("page_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("done").alias("next_done"), F.col("gone").alias("next_gone"))
+        met = link.filter("not done").join(further, ["page_id", "up"]).select("page_id", "node_id", F.col("next").alias("up"), F.col("next_done").alias("done"), (F.col("gone") | F.col("next_gone")).alias("gone"))
+        link = written(link.filter("done").select("page_id", "node_id", "up", "done", "gone").union(met), "links")
+    solid = written(d.filter("solid").join(link.select("page_id", "node_id", F.col("up").alias("parent"), "gone"), ["page_id", "node_id"]).select("page_id", "node_id", "parent", "name", "gone"), "solid")
+    jumps = _jumps(solid.filter("parent is not null").select("page_id", "node_id", F.col("parent").alias("up")))
+    gone = solid.filter("gone").select("page_id", "node_id")
+    if not gone.isEmpty():
+        for jump in jumps:
+            below = jump.join(gone.select("page_id", F.col("node_id").alias("up")), ["page_id", "up"], "left_semi").select("page_id", "node_id")
+            gone = written(gone.union(below).distinct(), "gone")
+        solid = written(solid.join(gone, ["page_id", "node_id"], "left_anti"), "solid")
+    kept = solid.filter("name <> ''").select("page_id", "node_id")
+    depth = solid.select("page_id", "node_id", F.col("node_id").alias("at"), F.lit(0).cast("long").alias("depth"))
+    for jump in jumps:
+        above = kept.join(jump, ["page_id", "node_id"]).select("page_id", F.col("up").alias("node_id"))
+        kept = written(kept.union(above).distinct(), "kept")
+    for jump in reversed(jumps):
+        # The longest jumps first: each is taken at most once.
+        step = jump.select("page_id", F.col("node_id").alias("at"), "up", "far")
+        depth = written(depth.join(step, ["page_id", "at"], "left").select("page_id", "node_id", F.coalesce("up", "at").alias("at"), (F.col("depth") + F.coalesce("far", F.lit(0))).alias("depth")), "depth")
+    found = solid.join(kept, ["page_id", "node_id"], "left_semi").join(depth, ["page_id", "node_id"])
+    return found.select("page_id", "node_id", F.coalesce("parent", F.lit(-1)).alias("kept_parent"), F.col("depth").cast("int").alias("depth"), F.left("name", F.lit(100)).alias("name"))
 
 
 def incremental_render(docs: DataFrame, cache: DataFrame, render) -> DataFrame:
@@ -347,20 +385,23 @@ def incremental_render(docs: DataFrame, cache: DataFrame, render) -> DataFrame:
 
 def undo_stack(edit_log: DataFrame, cap: int = 50) -> DataFrame:
     """(session, seq, depth, top) after each operation of a log (session, seq, op, records): commits with records push (the oldest goes beyond cap), undo_one
-    pops, undo_all and reset clear; top is the seq of the surviving commit. A session's log is folded in one row."""
-    state = "struct<stack:array<bigint>,out:array<struct<seq:bigint,depth:int,top:bigint>>>"
-    start = F.struct(F.array().cast("array<bigint>").alias("stack"), F.array().cast("array<struct<seq:bigint,depth:int,top:bigint>>").alias("out")).cast(state)
-
-    def step(s, e):
-        pushed = F.concat(s["stack"], F.array(e["seq"].cast("bigint")))
-        kept = F.slice(pushed, F.greatest(F.size(pushed) - cap + 1, F.lit(1)), F.lit(cap))
-        stack = (
-            F.when((e["op"] == "commit") & (e["records"] > 0), kept)
-            .when(e["op"] == "undo_one", F.slice(s["stack"], F.lit(1), F.greatest(F.size(s["stack"]) - 1, F.lit(0))))
-            .when(e["op"].isin("undo_all", "reset"), F.array().cast("array<bigint>"))
-            .otherwise(s["stack"])
-        )
-        return F.struct(stack.alias("stack"), F.concat(s["out"], F.array(F.struct(e["seq"].cast("bigint").alias("seq"), F.size(stack).alias("depth"), F.get(stack, F.size(stack) - 1).alias("top")))).alias("out")).cast(state)
-
-    logs = edit_log.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "records"))).alias("log"))
-    return logs.select("session", F.explode(F.aggregate("log", start, step, lambda s: s["out"])).alias("x")).select("session", "x.*")
+    pops, undo_all and reset clear; top is the seq of the surviving commit. Sorted rows stream through each task, which holds one stack."""
+    schema = f"session {dict(edit_log.dtypes)['session']}, seq long, depth int, top long"
+
+    def fold(frames):
+        session, stack = None, deque(maxlen=cap)
+        for pdf in frames:
+            rows = []
+            for s, seq, op, records in zip(pdf["session"], pdf["seq"], pdf["op"], pdf["records"], strict=True):
+                if s != session:
+                    session, stack = s, deque(maxlen=cap)
+                if op == "commit" and records > 0:
+                    stack.append(seq)
+                elif op == "undo_one" and stack:
+                    stack.pop()
+                elif op in ("undo_all", "reset"):
+                    stack.clear()
+                rows.append((s, seq, len(stack), stack[-1] if stack else None))
+            yield pd.DataFrame(rows, columns=["session", "seq", "depth", "top"]).astype({"top": "Int64"})
+
+    return edit_log.select("session", "seq", "op", "records").repartition("session").sortWithinPartitions("session", "seq").mapInPandas(fold, schema)

@@ -19,7 +19,7 @@ CALLOUT_BANG = r"^\s*!!!\s*(\S+)(.*)$"
 HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
 CJK = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
 OPEN_MARKS, CLOSE_MARKS = "「『（【〔〈《〖〘〚\"'⟨⟪(\\[{", "」』）】〕〉》〗〙〛\"'⟩⟫)\\]}"
-#: Text that rules a formula out: scripts that formulas do not use, and endings of an unfinished one.
+# Text that rules a formula out: scripts that formulas do not use, and endings of an unfinished one.
 NOT_MATH = "[⺀-⿟　-ㄯㆠ-ㆿㇰ-ㇿ㐀-䶿一-鿿가-힯豈-﫿＀-￯]"
 UNFINISHED = r"[+–—−=/*:;,→←↔⇒⇐⇔-]$"
 
@@ -31,16 +31,30 @@ def line_array(text: Column) -> Column:
     return F.transform(kept, lambda x: F.regexp_replace(x, "\r$", ""))
 
 
-def is_flat_mapping(block: Column) -> Column:
-    """Whether the lines of a front-matter block are a flat mapping (comments and blank lines aside)."""
-    full = F.filter(block, lambda x: ~x.rlike(r"^\s*(#.*)?$"))
-    return (F.size(full) > 0) & F.forall(full, lambda x: x.rlike(r"^[A-Za-z0-9_.-]+:(\s.*)?$"))
+#: Kinds of front-matter lines: blank or comment, list item, indented, block text, key alone, key with a value; then the blocks of kinds that are a mapping.
+FM_SKIP = r"^\s*(#.*)?$"
+FM_INDENT = r"^[ \t]+\S"
+FM_ITEM = r"^-(\s.*)?$"
+FM_KEY = r"""("[^"]*"|'[^']*'|[^\s"'#\[\]{}:,&*!|>%@`?-][^:]*)"""
+FM_TEXT = rf"^{FM_KEY}\s*:\s+[|>][0-9+-]*\s*(#.*)?$"
+FM_OPEN = rf"^{FM_KEY}\s*:\s*(#.*)?$"
+FM_FULL = rf"""^{FM_KEY}\s*:\s+("[^"]*"|'[^']*'|\[[^\]]*\]|\{{[^}}]*\}}|[^\s"'\[\]{{}}#&*!|>%@`,]([^:]|:\S)*)\s*(#.*)?$"""
+FM_ENTRY = rf"^{FM_KEY}\s*:(\s.*)?$"
+FM_MAPPING = "^(K[N]*|E[NI]*|S[N]*)+$"
 
 
-def front_matter(docs: DataFrame, is_mapping=is_flat_mapping) -> DataFrame:
-    """docs with has_fm, fm (map) and body: a leading --- block goes if it is empty or a mapping.
+def is_mapping(block: Column) -> Column:
+    """Whether the lines of a front-matter block are a YAML mapping, by the kinds of its lines: keys with values on their line, indented or listed below, or as block text."""
+    kind = lambda x: (
+        F.when(x.rlike(FM_SKIP), "").when(x.rlike(FM_INDENT), "N").when(x.rlike(FM_ITEM), "I").when(x.rlike(FM_TEXT), "S").when(x.rlike(FM_OPEN), "E").when(x.rlike(FM_FULL), "K").otherwise("X")
+    )
+    return F.array_join(F.transform(block, kind), "").rlike(FM_MAPPING)
+
+
+def front_matter(docs: DataFrame, is_mapping=is_mapping) -> DataFrame:
+    """docs with has_fm, fm (map) and body: a leading --- block goes if it is empty or a mapping. fm has the top-level keys and what stands on their lines.
 
-    is_mapping takes the block's lines as an array Column; pass one built on a pandas UDF to accept any YAML mapping.
+    is_mapping takes the block's lines as an array Column; pass one built on a pandas UDF to parse YAML in full.
     """
     d = docs.withColumn("_lines", line_array(F.regexp_replace("text", "^﻿", "")))
     ends = F.filter(F.transform("_lines", lambda x, i: F.when((i > 0) & (F.trim(x) == "---"), i)), lambda i: i.isNotNull())
@@ -50,8 +64,8 @@ def front_matter(docs: DataFrame, is_mapping=is_flat_mapping) -> DataFrame:
     d = d.withColumn("has_fm", F.coalesce(blank | is_mapping(F.col("_block")), F.lit(False)))
     rest = F.array_join(F.slice("_lines", F.col("_end") + 2, F.greatest(F.size("_lines") - F.col("_end") - 1, F.lit(0))), "\n")
     body = F.when(F.col("has_fm"), F.concat(rest, F.when(F.col("text").endswith("\n") & ~rest.endswith("\n"), "\n").otherwise(""))).otherwise(F.col("text"))
-    keyed = F.filter("_block", lambda x: x.rlike(r"^[A-Za-z0-9_.-]+:"))
-    pairs = F.map_from_entries(F.transform(keyed, lambda x: F.struct(F.regexp_extract(x, "^([^:]+):", 1), F.trim(F.regexp_extract(x, "^[^:]+:(.*)$", 1)))))
+    keyed = F.filter("_block", lambda x: x.rlike(FM_ENTRY) & ~x.rlike(FM_SKIP))
+    pairs = F.map_from_entries(F.transform(keyed, lambda x: F.struct(F.regexp_extract(x, FM_ENTRY, 1), F.trim(F.regexp_extract(x, FM_ENTRY, 2)))))
     empty = F.create_map().cast("map<string,string>")
     return d.withColumn("fm", F.when(F.col("has_fm") & ~blank, pairs).otherwise(empty)).withColumn("body", body).select(*docs.columns, "has_fm", "fm", "body")
 
@@ -95,14 +109,10 @@ def fence_mask(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", "line", (F.size(own) > 0).alias("in_fence"), F.get(own, F.lit(0)).alias("fence_id"))
 
 
-def code_blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, start_line, info, lang, class, n_lines, code) of every fence."""
-    rows = with_fences(docs).select("doc_id", "lines", F.explode_outer("fences").alias("f")).filter(F.col("f").isNotNull())
-    info = F.trim(F.regexp_replace(F.get("lines", F.col("f.a")), "^\\s*`+", ""))
+def fence_class(info: Column) -> Column:
+    """The kind of a fence by the first word of its info, and the second for diagrams."""
     lang = F.lower(F.regexp_extract(info, r"^(\S*)", 1))
-    closed = F.get("lines", F.col("f.b")).rlike(r"^\s*`+\s*$") & (F.col("f.b") > F.col("f.a"))
-    n = F.col("f.b") - F.col("f.a") - F.when(closed, 1).otherwise(0)
-    kind = (
+    return (
         F.when((lang == "diagram") & F.regexp_extract(info, r"^\S+\s+(\S+)", 1).eqNullSafe("html"), "diagram-html")
         .when(lang.isin("math", "latex"), "math")
         .when(lang.isin("mermaid", "mmd"), "mermaid")
@@ -111,8 +121,17 @@ def code_blocks(docs: DataFrame) -> DataFrame:
         .when(lang == "", "plain")
         .otherwise("code")
     )
+
+
+def code_blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, start_line, info, lang, class, n_lines, code) of every fence."""
+    rows = with_fences(docs).select("doc_id", "lines", F.explode_outer("fences").alias("f")).filter(F.col("f").isNotNull())
+    info = F.trim(F.regexp_replace(F.get("lines", F.col("f.a")), "^\\s*`+", ""))
+    lang = F.lower(F.regexp_extract(info, r"^(\S*)", 1))
+    closed = F.get("lines", F.col("f.b")).rlike(r"^\s*`+\s*$") & (F.col("f.b") > F.col("f.a"))
+    n = F.col("f.b") - F.col("f.a") - F.when(closed, 1).otherwise(0)
     code = F.array_join(F.slice("lines", F.col("f.a") + 2, F.greatest(n, F.lit(0))), "\n")
-    return rows.select("doc_id", F.col("f.a").alias("start_line"), info.alias("info"), lang.alias("lang"), kind.alias("class"), n.alias("n_lines"), code.alias("code"))
+    return rows.select("doc_id", F.col("f.a").alias("start_line"), info.alias("info"), lang.alias("lang"), fence_class(info).alias("class"), n.alias("n_lines"), code.alias("code"))
 
 
 SKINPARAMS = "skinparam backgroundColor transparent"
@@ -186,37 +205,40 @@ def callouts(docs: DataFrame) -> DataFrame:
 
 def callout_tables(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, n_absorbed, body) of callouts that hold a table and are followed by table lines without marker, blank lines between them included."""
-    d = with_callouts(docs)
-    table = F.transform("lines", lambda x: x.contains("|"))
-    filled = F.transform("lines", lambda x: T.trim_all(x) != "")
-    d = d.withColumn("table", table).withColumn("filled", filled)
-    follows = F.transform(
-        "lines",
-        lambda x, i: F.get("table", i) | (~F.get("filled", i) & F.coalesce(F.get("table", _first_from(F.col("filled"), i + 1)), F.lit(False))),
-    )
-    d = d.withColumn("stops", F.transform(follows, lambda x: ~x))
+    d = with_callouts(docs).withColumn("table", F.transform("lines", lambda x: x.contains("|")))
+    d = d.withColumn("stops", F.transform("lines", lambda x: ~x.contains("|") & (T.trim_all(x) != "")))
     rows = d.select("doc_id", "lines", "stops", "table", F.explode_outer("found").alias("m")).filter(F.col("m").isNotNull())
     first = F.col("m.last") + 1
     own = F.slice("lines", F.col("m.i") + 2, F.greatest(F.col("m.last") - F.col("m.i"), F.lit(0)))
     holds = F.exists(own, lambda x: x.contains("|"))
-    n = F.when(holds, _first_from(F.col("stops"), first) - first).otherwise(0)
+    # Up to the next line of text; blank lines at the end are not taken.
+    following = F.slice("table", first + 1, F.greatest(_first_from(F.col("stops"), first) - first, F.lit(0)))
+    back = F.array_position(F.reverse(following), F.lit(True)).cast("int")
+    n = F.when(holds & (back > 0), F.size(following) - back + 1).otherwise(0)
     inner = F.transform(F.filter(own, lambda x: ~((F.col("m.syntax") == ":::") & (F.trim(x) == ":::"))), lambda x: _callout_line(F.col("m.syntax"), x))
     taken = F.transform(F.slice("lines", first + 1, F.greatest(n, F.lit(0))), lambda x: T.trim_all(x))
     return rows.withColumn("n", n).filter("n > 0").select("doc_id", F.col("m.i").alias("line_no"), F.col("n").alias("n_absorbed"), F.array_join(F.concat(inner, taken), "\n").alias("body"))
 
 
-def open_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, in_fence, in_callout): in_callout for bodies of ::: and !!! callouts."""
-    rows = with_callouts(docs).select("doc_id", "fences", "found", F.posexplode_outer("lines").alias("line_no", "line")).filter(F.col("line_no").isNotNull())
-    n = F.col("line_no")
-    return rows.select(
-        "doc_id", "line_no", "line", F.exists("fences", lambda f: n.between(f["a"], f["b"])).alias("in_fence"), F.exists("found", lambda m: (m["syntax"] != ">") & n.between(m["i"], m["last"])).alias("in_callout")
-    )
+def _in_fence(i: Column) -> Column:
+    return F.exists("fences", lambda f: i.between(f["a"], f["b"]))
+
+
+def _picked(d: DataFrame, wanted) -> DataFrame:
+    """(doc_id, line_no, line) of the lines that wanted(line, line_no) picks; only these are exploded."""
+    rows = F.filter(F.transform("lines", lambda x, i: F.when(wanted(x, i), F.struct(i.alias("i"), x.alias("x")))), lambda r: r.isNotNull())
+    return d.select("doc_id", F.explode_outer(rows).alias("r")).filter(F.col("r").isNotNull()).select("doc_id", F.col("r.i").alias("line_no"), F.col("r.x").alias("line"))
+
+
+def unfenced_lines(docs: DataFrame, wanted) -> DataFrame:
+    """(doc_id, line_no, line) of the lines outside fences that wanted(line) picks."""
+    return _picked(with_fences(docs), lambda x, i: wanted(x) & ~_in_fence(i))
 
 
 def raw_headings(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, level, text): ATX headings outside fences and callout bodies."""
-    lines = open_lines(docs).filter(~F.col("in_fence") & ~F.col("in_callout") & F.col("line").rlike(HEADING))
+    """(doc_id, line_no, level, text): ATX headings outside fences and the bodies of ::: and !!! callouts."""
+    in_callout = lambda i: F.exists("found", lambda m: (m["syntax"] != ">") & i.between(m["i"], m["last"]))
+    lines = _picked(with_callouts(docs), lambda x, i: x.rlike(HEADING) & ~_in_fence(i) & ~in_callout(i))
     return lines.select("doc_id", "line_no", F.length(F.regexp_extract("line", HEADING, 1)).alias("level"), T.plain_text(T.trim_all(F.regexp_extract("line", HEADING, 2))).alias("text"))
 
 
@@ -243,32 +265,32 @@ def cjk_emphasis_repair(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.regexp_replace(once, opening, "$1$2​$3").alias("text"), (F.regexp_count("text", F.lit(closing)) + F.regexp_count(once, F.lit(opening))).alias("n_fixes"))
 
 
-def inline_math_candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, pos, expr): text between single dollars outside fences that may be a formula; blank, CJK and unfinished ones are out.
-
-    Dollars are paired from the left: a pair that is no formula gives up its first dollar only.
-    """
-    lines = open_lines(docs).filter(~F.col("in_fence") & F.col("line").contains("$"))
-    masked = F.regexp_replace(F.regexp_replace("line", r"\\\\|\\\$", "\u0001\u0001"), r"\${2,}", "\u0002")
-    parts = lines.withColumn("parts", F.split(masked, r"\$"))
+def _formulas(line: Column) -> Column:
+    """array<struct<pos, expr>>: what may be formulas between single dollars of a line, paired from the left; a pair that is none gives up its first dollar only."""
+    masked = F.regexp_replace(F.regexp_replace(line, r"\\\\|\\\$", "\u0001\u0001"), r"\${2,}", "\u0002")
+    cells = F.transform(F.split(masked, r"\$"), lambda e, i: F.struct(i.alias("pos"), T.trim_all(e).alias("expr")))
+    inner = F.when(F.size(cells) > 2, F.slice(cells, F.lit(2), F.size(cells) - 2)).otherwise(F.slice(cells, F.lit(1), F.lit(0)))
     bad = lambda e: (e == "") | e.rlike(NOT_MATH) | e.rlike(UNFINISHED)
     start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<struct<pos:int,expr:string>>").alias("out"))
 
-    def step(s, i):
-        # Part i stands between dollar i and dollar i + 1.
-        e = T.trim_all(F.get("parts", i))
-        take = (s["skip"] == 0) & ~bad(e)
-        return F.when(take, F.struct(F.lit(1).alias("skip"), F.concat(s["out"], F.array(F.struct(i.alias("pos"), e.alias("expr")))).alias("out"))).otherwise(F.struct(F.lit(0).alias("skip"), s["out"].alias("out")))
+    def step(s, m):
+        take = (s["skip"] == 0) & ~bad(m["expr"])
+        return F.when(take, F.struct(F.lit(1).alias("skip"), F.concat(s["out"], F.array(m)).alias("out"))).otherwise(F.struct(F.lit(0).alias("skip"), s["out"].alias("out")))
+
+    return F.aggregate(inner, start, step, lambda s: s["out"])
 
-    inner = F.when(F.size("parts") > 2, F.sequence(F.lit(1), F.size("parts") - 2)).otherwise(F.array().cast("array<int>"))
-    return parts.select("doc_id", "line_no", F.explode_outer(F.aggregate(inner, start, step, lambda s: s["out"])).alias("m")).filter(F.col("m").isNotNull()).select("doc_id", "line_no", "m.pos", "m.expr")
+
+def inline_math_candidates(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, pos, expr): text between single dollars outside fences that may be a formula; blank, CJK and unfinished ones are out."""
+    lines = unfenced_lines(docs, lambda x: x.contains("$"))
+    return lines.select("doc_id", "line_no", F.explode_outer(_formulas(F.col("line"))).alias("m")).filter(F.col("m").isNotNull()).select("doc_id", "line_no", "m.pos", "m.expr")
 
 
 def display_math(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, expr, form): one-line $$x$$, blocks between $$ lines, and math fences; empty and unclosed ones are text."""
-    lines = open_lines(docs)
+    lines = unfenced_lines(docs, lambda x: x.contains("$$"))
     one = T.trim_all(F.regexp_extract(T.trim_all(F.col("line")), r"^\$\$(.*)\$\$$", 1))
-    single = lines.filter(~F.col("in_fence") & (one != "") & ~one.contains("$$")).select("doc_id", "line_no", one.alias("expr"), F.lit("inline").alias("form"))
+    single = lines.filter((one != "") & ~one.contains("$$")).select("doc_id", "line_no", one.alias("expr"), F.lit("inline").alias("form"))
     d = with_fences(docs)
     fenced = lambda i: F.exists("fences", lambda f: i.between(f["a"], f["b"]))
     marks = F.filter(F.transform("lines", lambda x, i: F.when((T.trim_all(x) == "$$") & ~fenced(i), i)), lambda i: i.isNotNull())
@@ -300,7 +322,7 @@ def md_tables(docs: DataFrame) -> DataFrame:
 def task_items(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, checked, text) of - [ ] and - [x] items outside fences."""
     rx = r"^\s*[-*+] \[([ xX])\] (.*)$"
-    lines = open_lines(docs).filter(~F.col("in_fence") & F.col("line").rlike(rx))
+    lines = unfenced_lines(docs, lambda x: x.rlike(rx))
     return lines.select("doc_id", "line_no", (F.lower(F.regexp_extract("line", rx, 1)) == "x").alias("checked"), T.trim_all(F.regexp_extract("line", rx, 2)).alias("text"))
 
 
@@ -309,7 +331,7 @@ LINK = r"(!?)\[([^\]\[]*)\]\(([^()\s]+)(?:\s+\"([^\"]*)\")?\)"
 
 def md_links(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, is_image, text, dest, title): inline links and images outside fences."""
-    lines = open_lines(docs).filter(~F.col("in_fence"))
+    lines = unfenced_lines(docs, lambda x: x.contains("]("))
     found = lines.select("doc_id", "line_no", F.explode_outer(F.regexp_extract_all("line", F.lit(LINK), F.lit(0))).alias("m")).filter(F.col("m").isNotNull())
     part = lambda k: F.regexp_extract("m", LINK, k)
     return found.select("doc_id", "line_no", (part(1) == "!").alias("is_image"), part(2).alias("text"), part(3).alias("dest"), part(4).alias("title"))
@@ -364,7 +386,8 @@ def footnote_sort(defs: DataFrame, group: tuple[str, ...] = ("doc_id",)) -> Data
     """defs with rank: numeric labels first and in order of number, then the others by text."""
     from pyspark.sql import Window
 
-    number = F.when(F.col("label").rlike(r"^\d{1,9}$"), F.col("label").try_cast("bigint"))
+    parsed = F.when(F.col("label").rlike(r"^\d{1,10}$"), F.col("label").try_cast("bigint"))
+    number = F.when(parsed < 1 << 32, parsed)
     order = Window.partitionBy(*group).orderBy(number.asc_nulls_last(), "label", *(c for c in ("doc_id",) if c not in group))
     return defs.withColumn("rank", F.row_number().over(order))
 
@@ -398,14 +421,17 @@ def footnote_repair(docs: DataFrame) -> DataFrame:
 
 def construct_counts(docs: DataFrame) -> DataFrame:
     """(source, lang, doc_id, kind, n): callouts, formulas, diagrams and footnotes by document, with totals by rollup."""
-    fences = code_blocks(docs).filter(F.col("class").isin("mermaid", "plantuml", "typst", "diagram-html")).select("doc_id", F.col("class").alias("kind"))
-    facts = [
-        callouts(docs).select("doc_id", F.lit("callout").alias("kind")),
-        inline_math_candidates(docs).select("doc_id", F.lit("inline_math").alias("kind")),
-        footnote_defs(docs).select("doc_id", F.lit("footnote").alias("kind")),
-    ]
-    for f in facts:
-        fences = fences.union(f)
-    counted = fences.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n")).join(docs.select("doc_id", "source", "lang"), "doc_id")
+    d = with_callouts(docs)
+    infos = F.transform("fences", lambda f: F.trim(F.regexp_replace(F.get("lines", f["a"]), "^\\s*`+", "")))
+    formulas = F.transform(F.transform("lines", lambda x, i: F.when(x.contains("$") & ~_in_fence(i), x)), lambda x: F.when(x.isNotNull(), F.size(_formulas(x))).otherwise(0))
+    count = lambda kind, n: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"))
+    of_class = lambda kind: count(kind, F.size(F.filter(infos, lambda x: fence_class(x) == kind)))
+    facts = F.array(
+        *(of_class(k) for k in ("mermaid", "plantuml", "typst", "diagram-html")),
+        count("callout", F.size("found")),
+        count("inline_math", F.aggregate(formulas, F.lit(0), lambda s, x: s + x)),
+        count("footnote", F.size(F.filter("lines", lambda x: x.rlike(DEF) & ~x.rlike("^(    |\t)")))),
+    )
+    counted = d.select("source", "lang", "doc_id", F.explode(facts).alias("f")).select("source", "lang", "doc_id", "f.kind", "f.n").filter("n > 0")
     # Counts by document, then totals by source and language, by source, and of all.
     return counted.groupingSets([["source", "lang", "doc_id", "kind"], ["source", "lang", "kind"], ["source", "kind"], ["kind"]], "source", "lang", "doc_id", "kind").agg(F.sum("n").alias("n"))

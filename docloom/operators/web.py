@@ -16,6 +16,13 @@ CLEAN_SELECTORS = ("header", "footer", "nav", "aside", ".sidebar", ".ads", ".coo
 PAGE_NOISE = (*CLEAN_SELECTORS, ".ad")
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 NOTICE = "\n\n[truncated at {n} chars]"
+#: Stand-ins for the blanks, newlines and tabs of preformatted text.
+HELD = "\ue000\ue001\ue002"
+#: A tag or style sheet in pieces: attributes that name a resource, CSS references, and what lies between; then the reference in such a piece.
+_VALUE = r"""(?:"[^"]*"|'[^']*')"""
+PIECE_RX = r"""(?is)\s(?:{names})\s*=\s*""" + _VALUE + r"""|url\(\s*(?:"[^"]*"|'[^']*'|[^\s)'"]+)\s*\)|[^\suU]+|[\suU]"""
+ATTR_RX = r"""(?is)^(\s(?:src|poster|href)\s*=\s*)["'](.*)["']$"""
+CSS_RX = r"""(?is)^url\(\s*["']?(.*?)["']?\s*\)$"""
 
 
 def scan_pages(pages: DataFrame, body_only: bool = False) -> DataFrame:
@@ -47,6 +54,11 @@ def explode_html_tokens(pages: DataFrame) -> DataFrame:
     return tokens.select("page_id", "tok_no", kind.alias("kind"), tag.alias("tag"), F.trim(attrs).alias("attrs"), "text")
 
 
+def tokens_by_page(pages: DataFrame) -> DataFrame:
+    """explode_html_tokens of pages that are dealt by page_id first: windows and joins by page then need no shuffle of tokens."""
+    return explode_html_tokens(pages.repartition("page_id"))
+
+
 def attribute(name: str) -> Column:
     """An attribute of a tag's attrs; empty where absent."""
     return F.regexp_extract("attrs", rf'(?is)(?:^|\s){name}\s*=\s*["\']([^"\']*)["\']', 1)
@@ -82,11 +94,18 @@ def element_extents(tokens: DataFrame, selectors: tuple[str, ...] | list[str]) -
 
 
 def clean_noise(tokens: DataFrame, selectors: tuple[str, ...] | list[str] = PAGE_NOISE) -> tuple[DataFrame, DataFrame]:
-    """(tokens outside all matching elements, (page_id, selector, removed) counts)."""
+    """(tokens outside all matching elements, (page_id, selector, removed) counts).
+
+    A token is inside an element if the furthest end of those that began before reaches it: one running maximum over a page.
+    """
     extents = element_extents(tokens, selectors)
-    cut = extents.select(F.col("page_id").alias("cut_page"), "start_tok", "end_tok").distinct()
-    inside = (F.col("page_id") == F.col("cut_page")) & F.col("tok_no").between(F.col("start_tok"), F.col("end_tok"))
-    return tokens.join(cut, inside, "left_anti"), extents.groupBy("page_id", "selector").agg(F.count(F.lit(1)).alias("removed"))
+    names = tokens.columns
+    rows = tokens.select(*names, F.lit(1).alias("is_token"), F.lit(None).cast("int").alias("end_tok"))
+    marks = extents.select(*(F.col("start_tok" if c == "tok_no" else c) if c in ("page_id", "tok_no") else F.lit(None).cast(t) for c, t in tokens.dtypes), F.lit(0), F.col("end_tok"))
+    upto = Window.partitionBy("page_id").orderBy("tok_no", "is_token").rowsBetween(Window.unboundedPreceding, 0)
+    reach = rows.union(marks).withColumn("reach", F.max("end_tok").over(upto))
+    kept = reach.filter("is_token = 1 and (reach is null or reach < tok_no)").select(*names)
+    return kept, extents.groupBy("page_id", "selector").agg(F.count(F.lit(1)).alias("removed"))
 
 
 def joined_in_order(value: str, order: str, separator: str = "") -> Column:
@@ -125,18 +144,28 @@ def fragments(tokens: DataFrame) -> DataFrame:
     t = t.withColumn("rows_ended", F.sum(((F.col("kind") == "close") & (F.col("tag") == "tr")).cast("int")).over(in_table))
     t = t.withColumn("cells", F.sum(((F.col("kind") == "open") & F.col("tag").isin("td", "th")).cast("int")).over(in_table))
     o, c, tag = F.col("kind") == "open", F.col("kind") == "close", F.col("tag")
+    step = lambda *tags: F.sum(F.when(o & tag.isin(*tags), 1).when(c & tag.isin(*tags), -1).otherwise(0)).over(upto)
+    t = t.withColumn("in_pre", step("pre") > 0).withColumn("list_depth", step("ul", "ol"))
+    # The list of an item is the last one that began at its depth.
+    at_depth = Window.partitionBy("page_id", "list_depth").orderBy("tok_no").rowsBetween(Window.unboundedPreceding, 0)
+    begins = o & tag.isin("ul", "ol")
+    t = t.withColumn("list_no", F.sum(begins.cast("int")).over(at_depth)).withColumn("list_kind", F.last(F.when(begins, tag), ignorenulls=True).over(at_depth))
+    in_list = Window.partitionBy("page_id", "list_depth", "list_no").orderBy("tok_no").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("item_no", F.sum((o & (tag == "li")).cast("int")).over(in_list))
     heading = tag.rlike("^h[1-6]$")
+    bullet = F.when(F.col("list_kind") == "ol", F.concat(F.col("item_no").cast("string"), F.lit(". "))).otherwise("- ")
     frag = (
-        F.when(F.col("kind") == "text", F.regexp_replace(T.decode_entities(F.col("text")), r"\s+", " "))
+        F.when((F.col("kind") == "text") & F.col("in_pre"), F.translate(T.decode_entities(F.col("text")), " \n\t", HELD))
+        .when(F.col("kind") == "text", F.regexp_replace(T.decode_entities(F.col("text")), r"\s+", " "))
         .when(o & heading, F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), F.substring("tag", 2, 1).try_cast("int")), F.lit(" ")))
         .when(c & heading, "\n\n")
         .when((o | c) & tag.isin("p", "ul", "ol", "div", "table", "section", "article", "blockquote"), "\n\n")
-        .when(o & (tag == "li"), "\n- ")
+        .when(o & (tag == "li"), F.concat(F.lit("\n"), bullet))
         .when(o & (tag == "br"), "\n")
         .when(o & (tag == "hr"), "\n\n---\n\n")
         .when((o | c) & tag.isin("b", "strong"), "**")
         .when((o | c) & tag.isin("i", "em"), "*")
-        .when((o | c) & (tag == "code"), "`")
+        .when((o | c) & (tag == "code") & ~F.col("in_pre"), "`")
         .when((o | c) & (tag == "pre"), "\n```\n")
         .when(o & (tag == "a"), "[")
         .when(c & (tag == "a"), F.concat(F.lit("]("), F.coalesce("href", F.lit("")), F.lit(")")))
@@ -149,10 +178,10 @@ def fragments(tokens: DataFrame) -> DataFrame:
 
 
 def html_to_markdown(tokens: DataFrame) -> DataFrame:
-    """(page_id, markdown): headings, paragraphs, lists, links, emphasis, code and tables; zero-widths removed, trimmed."""
+    """(page_id, markdown): headings, paragraphs, lists, links, emphasis, code and tables; zero-widths removed, trimmed. Preformatted text keeps its white space."""
     whole = fragments(tokens).groupBy("page_id").agg(joined_in_order("frag", "tok_no").alias("md"))
     md = F.regexp_replace(F.regexp_replace("md", r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n")
-    return whole.select("page_id", T.trim_all(F.translate(md, T.ZERO_WIDTH, "")).alias("markdown"))
+    return whole.select("page_id", F.translate(T.trim_all(F.translate(md, T.ZERO_WIDTH, "")), HELD, " \n\t").alias("markdown"))
 
 
 def page_envelope(pages_md: DataFrame, include_title: bool = True, include_source: bool = True) -> DataFrame:
@@ -210,36 +239,50 @@ def url_filter(pages: DataFrame, pattern: str, col: str = "url") -> DataFrame:
     return pages.filter(hay.rlike(T.glob_regex(pattern)) if re.search(r"[*?]", pattern) else hay.startswith(pattern))
 
 
-def recipe_predicate(pattern: str) -> Column:
-    """Whether host, path, scheme columns fit a recipe's URL pattern."""
-    pat = pattern.strip()
-    host, path = F.col("host"), F.col("path")
-    if pat in ("", "*"):
-        return F.lit(True)
-    if pat.startswith("/"):
-        return path.rlike(T.glob_regex(pat)) if re.search(r"[*?]", pat) else path.startswith(pat)
-    on = lambda h: host.endswith(h[1:]) if h.startswith("*.") else (host == h) | (host == f"www.{h}")
-    if found := re.match(r"(?i)^(https?)://([^/]*)(/.*)?$", pat):
-        wild = re.search(r"/\*+/?$", pat)
-        base = re.sub(r"/\*+/?$", "", found[3] or "") if wild else found[3] or "/"
-        same = (F.col("scheme") == found[1].lower()) & on(found[2].lower())
-        if wild:
-            return same if base in ("", "/") else same & ((path == base) | path.startswith(f"{base}/"))
-        return same & (path == base)
-    h, _, p = re.sub(r"^\*://", "", pat).partition("/")
-    return on(h) if p in ("", "*") else on(h) & F.substring(path, 2, 1 << 20).startswith(p[:-1] if p.endswith("*") else p)
+RULES = "ord int, recipe_id string, scheme string, host_key string, path_kind string, path string"
+_PATTERN = re.compile(r"(?:(?P<scheme>\*|https?)://)?(?P<host>[^/]*)(?P<path>/.*)?", re.I | re.S)
+
+
+def recipe_rules(recipes: list[tuple[str, str]]) -> list[tuple]:
+    """RULES rows of recipes (id, pattern): what a URL's host (a name, *.domain or none), scheme and path must be.
+
+    A path is to be equal (`is`), to start with a text (`from`), to be a folder or below it (`in`), to fit a regular expression (`like`), or anything.
+    """
+    rows = []
+    for ord_, (recipe_id, pattern) in enumerate(recipes):
+        found = _PATTERN.fullmatch(pattern.strip())
+        scheme, host, path = found["scheme"], found["host"].lower(), found["path"]
+        if host in ("", "*") and not scheme:
+            globbed = path and re.search(r"[*?]", path)
+            rule = (None, [""], "like" if globbed else "from" if path else "any", T.glob_regex(path) if globbed else path)
+        else:
+            hosts = [host] if host.startswith("*.") else [host, f"www.{host}"]
+            if scheme in (None, "*"):
+                rest = (path or "/")[1:]
+                rule = (None, hosts, *(("any", None) if rest in ("", "*") else ("from", "/" + rest.removesuffix("*"))))
+            else:
+                folder = re.sub(r"/\*+/?$", "", path or "/")
+                kind = ("is", path or "/") if folder == (path or "/") else ("in", folder) if folder else ("any", None)
+                rule = (scheme.lower(), hosts, *kind)
+        rows += [(ord_, recipe_id, rule[0], key, rule[2], rule[3]) for key in rule[1]]
+    return rows
 
 
 def recipe_first_match(pages: DataFrame, recipes: list[tuple[str, str]]) -> DataFrame:
-    """(page_id, recipe_id): the first recipe (id, pattern) whose pattern fits the page's URL; null if none does."""
-    parts = pages.select(
-        "page_id",
-        F.lower(F.regexp_extract("url", "^([^:]+)://", 1)).alias("scheme"),
-        F.lower(F.regexp_extract("url", r"^[^:]+://([^/?#:]*)", 1)).alias("host"),
-        T.url_path(F.col("url")).alias("path"),
-    )
-    found = F.coalesce(*(F.when(recipe_predicate(p), F.lit(name)) for name, p in recipes))
-    return parts.select("page_id", found.alias("recipe_id"))
+    """(page_id, recipe_id): the first recipe (id, pattern) whose pattern fits the page's URL; null if none does.
+
+    URLs meet the rules by an equi-join on their host and the domains above it.
+    """
+    rules = pages.sparkSession.createDataFrame(recipe_rules(recipes), RULES)
+    host = F.lower(F.regexp_extract("url", r"^[^:]+://([^/?#:]*)", 1))
+    labels = F.split(host, r"\.")
+    domains = F.transform(F.sequence(F.lit(2), F.greatest(F.size(labels), F.lit(2))), lambda i: F.concat(F.lit("*."), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    parts = pages.select("page_id", F.lower(F.regexp_extract("url", "^([^:]+)://", 1)).alias("page_scheme"), T.url_path(F.col("url")).alias("page_path"), F.array_distinct(F.concat(F.array(F.lit(""), host), domains)).alias("keys"))
+    met = parts.select("page_id", "page_scheme", "page_path", F.explode("keys").alias("host_key")).join(rules, "host_key")
+    kind, own, want = F.col("path_kind"), F.col("page_path"), F.col("path")
+    fits = F.when(kind == "any", True).when(kind == "is", own == want).when(kind == "from", own.startswith(want)).when(kind == "in", (own == want) | own.startswith(F.concat(want, F.lit("/")))).otherwise(F.expr("page_path rlike path"))
+    first = met.filter((F.col("scheme").isNull() | (F.col("scheme") == F.col("page_scheme"))) & fits).groupBy("page_id").agg(F.min_by("recipe_id", "ord").alias("recipe_id"))
+    return pages.select("page_id").join(first, "page_id", "left")
 
 
 def url_equivalence(pages: DataFrame) -> DataFrame:
@@ -279,28 +322,39 @@ def html_resource_refs(tokens: DataFrame) -> DataFrame:
     return named("src").union(named("poster")).union(named("href", "link")).union(css).filter("ref <> ''")
 
 
-def bundle_html_resources(tokens: DataFrame, assets: DataFrame, placeholder: str = "data:,") -> DataFrame:
-    """(page_id, html, n_inlined, n_failed): src, poster and link href references replaced by data URIs of assets (path, mime, content).
+def bundle_html_resources(tokens: DataFrame, assets: DataFrame, placeholder: str = "data:,", max_bytes: int = 25 << 20) -> DataFrame:
+    """(page_id, html, n_inlined, n_failed): every src, poster and link href attribute and CSS url() replaced by the data URI of its asset (path, mime, content).
 
-    Fragments and data URIs stay; a reference without asset becomes the placeholder.
+    Fragments and data URIs stay. A reference without asset, or with one of over max_bytes, becomes the placeholder and counts as failed. Only
+    tags and style sheets that refer to something are cut in pieces, and only their references meet the assets.
     """
-    target = (F.col("kind") == "open") & ~F.lower("attrs").rlike(r"^\s*$")
-    ref = F.when(attribute("src") != "", attribute("src")).when(attribute("poster") != "", attribute("poster")).when(F.col("tag") == "link", attribute("href")).otherwise("")
-    own = F.when(target & (ref != "") & ~ref.rlike("^(#|data:)"), ref)
+    pieces = F.when(F.col("tag") == "link", F.regexp_extract_all("text", F.lit(PIECE_RX.format(names="src|poster|href")), F.lit(0))).otherwise(
+        F.regexp_extract_all("text", F.lit(PIECE_RX.format(names="src|poster")), F.lit(0))
+    )
+    may_refer = ((F.col("kind") == "open") | ((F.col("kind") == "raw") & (F.col("tag") == "style"))) & F.col("text").rlike(r"(?is)\s(src|poster|href)\s*=|url\(")
+    cut = tokens.filter(may_refer).select("page_id", "tok_no", F.posexplode(pieces).alias("part", "piece"))
+    css = F.col("piece").rlike(CSS_RX)
+    is_attr = F.col("piece").rlike(ATTR_RX)
+    ref = F.when(is_attr, F.regexp_extract("piece", ATTR_RX, 2)).when(css, F.regexp_extract("piece", CSS_RX, 1))
+    cut = cut.withColumn("ref", F.when(~F.trim(ref).rlike("^(#|data:|$)"), ref))
     data = F.concat(F.lit("data:"), F.col("mime"), F.lit(";base64,"), F.base64("content"))
-    known = assets.filter("content is not null").select(F.col("path").alias("ref"), data.alias("data"))
-    met = tokens.withColumn("ref", own).join(known, "ref", "left")
-    new = F.when(F.col("ref").isNotNull(), F.replace(F.col("text"), F.col("ref"), F.coalesce("data", F.lit(placeholder)))).otherwise(F.col("text"))
-    return met.withColumn("new", new).groupBy("page_id").agg(
-        joined_in_order("new", "tok_no").alias("html"),
-        F.count(F.when(F.col("data").isNotNull(), 1)).alias("n_inlined"),
-        F.count(F.when(F.col("ref").isNotNull() & F.col("data").isNull(), 1)).alias("n_failed"),
+    known = assets.filter((F.octet_length("content") <= max_bytes)).select(F.col("path").alias("ref"), data.alias("data"))
+    refs = cut.filter("ref is not null").join(known, "ref", "left")
+    uri = F.coalesce("data", F.lit(placeholder))
+    quote = F.right("piece", F.lit(1))
+    new = F.when(css, F.concat(F.lit('url("'), uri, F.lit('")'))).otherwise(F.concat(F.regexp_extract("piece", ATTR_RX, 1), quote, uri, quote))
+    whole = cut.filter("ref is null").select("page_id", "tok_no", "part", F.col("piece").alias("new"), F.lit(None).cast("boolean").alias("hit"))
+    whole = whole.union(refs.select("page_id", "tok_no", "part", new, F.col("data").isNotNull()))
+    rest = tokens.filter(~may_refer).select("page_id", "tok_no", F.lit(0), "text", F.lit(None).cast("boolean"))
+    order = F.array_sort(F.collect_list(F.struct("tok_no", "part", "new")))
+    return whole.union(rest).groupBy("page_id").agg(
+        F.array_join(F.transform(order, lambda x: x["new"]), "").alias("html"), F.count(F.when(F.col("hit"), 1)).alias("n_inlined"), F.count(F.when(~F.col("hit"), 1)).alias("n_failed")
     )
 
 
 def page_report(pages: DataFrame) -> DataFrame:
     """(host, pages, removed, chars_kept): pages cleaned, extracted and turned into Markdown, by host."""
-    tokens = explode_html_tokens(scan_pages(pages))
+    tokens = tokens_by_page(scan_pages(pages))
     clean, removed = clean_noise(tokens)
     md = html_to_markdown(content_tokens(clean, "article"))
     gone = removed.groupBy("page_id").agg(F.sum("removed").alias("removed"))

@@ -21,6 +21,8 @@ from docloom.sources import fixtures as X
 from docloom.streaming import flows
 
 PATTERNS = ["src3", "src1/**", "src4/*/d0000*.md", "*.tmp.md", " "]
+RUN_PAGES_EACH = 40
+CORPUS_DOCS_EACH = 200
 MAX_PAGES, STOP_URL = 12, "https://site.example/p/42"
 
 
@@ -42,13 +44,19 @@ def _cache(s, d):
 
 def _run_pages(s, d):
     md = W._markdown(s, d)
-    return md.select((F.col("page_id") % 25).alias("run_id"), F.col("page_id").alias("seq"), "url", "title", "markdown")
+    # Runs of a fixed length, so that their number grows with the pages.
+    return md.select(F.floor(F.col("page_id") / RUN_PAGES_EACH).alias("run_id"), F.col("page_id").alias("seq"), "url", "title", "markdown")
+
+
+def _corpus():
+    """Corpora of a bounded number of documents of one source."""
+    return F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / CORPUS_DOCS_EACH))
 
 
 def _sections(s, d):
     docs = _docs(s, d)
     title = M.headings(docs).filter("level = 1").groupBy("doc_id").agg(F.min_by("text", "line_no").alias("title"))
-    return docs.join(title, "doc_id", "left").select(F.col("source").alias("corpus"), F.col("doc_id").alias("pos"), "path", F.coalesce("title", F.lit("")).alias("title"), F.when(F.col("doc_id") % 4 == 0, F.col("lang")).alias("label"), (F.col("doc_id") % 8).cast("int").alias("level"), F.left("text", F.lit(80)).alias("body"))
+    return docs.join(title, "doc_id", "left").select(_corpus().alias("corpus"), F.col("doc_id").alias("pos"), "path", F.coalesce("title", F.lit("")).alias("title"), F.when(F.col("doc_id") % 4 == 0, F.col("lang")).alias("label"), (F.col("doc_id") % 8).cast("int").alias("level"), F.col("text").alias("body"))
 
 
 def _refs(s, d):
@@ -67,7 +75,7 @@ def _image_refs(s, d):
 
 
 def _probes(s, d):
-    return M.explode_lines(_docs(s, d)).filter("line_no % 10 = 0").select("doc_id", F.col("line_no").alias("pos"))
+    return M.explode_lines(_docs(s, d)).select("doc_id", F.col("line_no").alias("pos"))
 
 
 def _headings(s, d):
@@ -96,17 +104,27 @@ def _written_pages(s, d):
     pages = _run_pages(s, d)
     named = pages.join(C.unique_filename(pages), ["run_id", "seq"])
     out = _scratch(s, "pages")
-    files.sink_page_files(named.filter("run_id < 5").select(F.concat(F.col("run_id"), F.lit("-"), F.col("file_name")).alias("file_name"), "markdown"), out)
+    files.sink_page_files(named.select(F.concat(F.col("run_id"), F.lit("-"), F.col("file_name")).alias("file_name"), "markdown"), out)
     return out
 
 
+def _name():
+    """A file's name by its path."""
+    return F.try_url_decode(F.regexp_extract("path", "([^/]*)$", 1)).alias("name")
+
+
+def _sunk(s, d):
+    """What the sink wrote: files and their bytes."""
+    return s.read.format("binaryFile").load(_written_pages(s, d)).select(_name(), "length")
+
+
 def _scan(s, d):
     found = files.scan_markdown(s, [_written_pages(s, d)])
-    return found.select(F.try_url_decode(F.regexp_extract("path", "file_name=([^/]*)", 1)).alias("name"), F.length("text").alias("chars"))
+    return found.select(_name(), F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def _scan_assets(s, d):
-    return files.scan_assets(s, _written_pages(s, d)).select(F.regexp_extract("path", "file_name=([^/]*)", 1).alias("name"), "mime", "length")
+    return files.scan_assets(s, _written_pages(s, d)).select(_name(), "mime", "length")
 
 
 def _ingest(s, d):
@@ -117,8 +135,8 @@ def _ingest(s, d):
 
 
 def _changed(s, d):
-    docs = _docs(s, d)
-    return docs.filter("doc_id % 17 = 0").select("path").union(docs.filter("doc_id = 3").select(F.col("source").alias("path")))
+    # Files that events create, and a folder.
+    return _events(s, d).filter("kind = 'create'").select("path").union(_docs(s, d).filter("source = 'src3'").select(F.col("source").alias("path"))).distinct()
 
 
 def _render(s, d):
@@ -145,13 +163,26 @@ def _hooked(s, d):
     return H.hook_pipeline(table(s, d, "pages"), H.Recipe("articles", clean_nav, extract_article))
 
 
+def _sessions(s, d):
+    """The latest captures as the sink wrote them."""
+    out = _scratch(s, "sessions")
+    C.session_sink(W.captures(s, d), out)
+    return s.read.schema("session_key string, page_url string, title string, markdown string, meta_json string").json(out)
+
+
+def _stops(s, d):
+    """Stops of runs that navigate and of runs that do not."""
+    rules = lambda on: C.stop_rules(_log(s, d), MAX_PAGES, F.col("url") == STOP_URL, navigates=on).withColumn("navigates", F.lit(on))
+    return rules(True).union(rules(False))
+
+
 QUERIES = {
     "scan_markdown": _scan,
     "scan_assets": _scan_assets,
-    "sink_page_files": _scan,
-    "resolve_inputs": lambda s, d: C.resolve_inputs(_docs(s, d).filter("doc_id % 7 = 0").select(F.col("doc_id").alias("pos"), F.concat(F.lit("./"), "path").alias("path")), _docs(s, d).select(F.col("doc_id").alias("pos"), "path")),
+    "sink_page_files": _sunk,
+    "resolve_inputs": lambda s, d: C.resolve_inputs(_docs(s, d).filter("lang = 'en'").select((-F.col("doc_id")).alias("pos"), F.concat(F.lit("./"), "path").alias("path")), _docs(s, d).select(F.col("doc_id").alias("pos"), "path")),
     "combine_markdown": lambda s, d: C.combine_markdown(_run_pages(s, d)),
-    "session_sink": lambda s, d: C.session_sink(W._markdown(s, d)),
+    "session_sink": _sessions,
     "archive_manifest": lambda s, d: C.archive_manifest(_run_pages(s, d).select(F.col("run_id").alias("archive"), F.col("seq").alias("entry_no"), "title", F.col("markdown").alias("content"))).drop("crc32"),
     "section_order": lambda s, d: C.section_order(_sections(s, d)),
     "assemble_document": lambda s, d: C.assemble_document(_sections(s, d)),
@@ -159,7 +190,7 @@ QUERIES = {
     "exclude_filter": lambda s, d: C.exclude_filter(_docs(s, d).select("path"), PATTERNS),
     "content_change_filter": lambda s, d: C.content_change_filter(_events(s, d)).select("event_id", "path", "kind"),
     "classify_reference": lambda s, d: C.classify_reference(_refs(s, d)),
-    "nearest_scan_root": lambda s, d: C.nearest_scan_root(_docs(s, d), _docs(s, d).filter("doc_id < 6").select(F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.concat_ws("/", "source", "lang")).alias("root"))),
+    "nearest_scan_root": lambda s, d: C.nearest_scan_root(_docs(s, d), _docs(s, d).select(F.when(F.col("lang") == "en", F.concat_ws("/", "source", "lang")).when(F.col("lang") == "fr", F.col("source")).alias("root")).filter("root is not null")),
     "link_resolution": lambda s, d: C.link_resolution(M.md_links(_docs(s, d)).filter("not is_image"), _docs(s, d), _headings(s, d)),
     "footnote_integrity": lambda s, d: C.footnote_integrity(M.footnote_refs(_docs(s, d)), M.footnote_defs(_docs(s, d))),
     "asset_inline": lambda s, d: C.asset_inline(_image_refs(s, d), _assets(s)),
@@ -171,10 +202,10 @@ QUERIES = {
     "run_report": lambda s, d: C.run_report(_log(s, d), C.stop_rules(_log(s, d), MAX_PAGES, F.col("url") == STOP_URL)),
     "dependency_set": lambda s, d: C.dependency_set(_docs(s, d)),
     "referenced_labels": lambda s, d: C.referenced_labels(M.footnote_refs(_docs(s, d))),
-    "corpus_footnotes": lambda s, d: C.corpus_footnotes(M.footnote_defs(_docs(s, d)).join(_docs(s, d).select("doc_id", F.col("source").alias("corpus")), "doc_id")),
+    "corpus_footnotes": lambda s, d: C.corpus_footnotes(M.footnote_defs(_docs(s, d)).join(_docs(s, d).select("doc_id", _corpus().alias("corpus")), "doc_id")),
     "crawl_loop_cut": lambda s, d: C.crawl_loop_cut(_log(s, d)),
     "failure_streak_stop": lambda s, d: C.failure_streak_stop(_log(s, d)),
-    "stop_rules": lambda s, d: C.stop_rules(_log(s, d), MAX_PAGES, F.col("url") == STOP_URL),
+    "stop_rules": _stops,
     "unique_filename": lambda s, d: C.unique_filename(_run_pages(s, d)),
     "version_publish": lambda s, d: C.version_publish(_events(s, d).select("path", F.col("event_id").alias("seq"), F.col("kind").alias("content"))),
     "max_pages_limit": lambda s, d: C.max_pages_limit(_log(s, d).filter("status = 'ok'"), 5).select("run_id", "seq", "url"),
@@ -194,10 +225,11 @@ QUERIES = {
 LOG, EVENTS, EDITS = (f"{name} AS ({X.duck_text(sql)})" for name, sql in (("log", X.CRAWL_LOG), ("fs_events", X.FS_EVENTS), ("edits", X.EDIT_LOG)))
 CACHE = f"{Q.DOCS}, cache AS ({X.OLD_CACHE})"
 RUN_PAGES = f"""{D.CLEAN},{D.content('clean')},{D.MARKDOWN},{D.TITLES},
-run_pages AS (SELECT page_id % 25 AS run_id, page_id AS seq, url, title, markdown FROM pages JOIN titles USING (page_id) JOIN markdowns USING (page_id))"""
+run_pages AS (SELECT page_id // {RUN_PAGES_EACH} AS run_id, page_id AS seq, url, title, markdown FROM pages JOIN titles USING (page_id) JOIN markdowns USING (page_id))"""
+_CORPUS = f"source || '/' || (doc_id // {CORPUS_DOCS_EACH})"
 SECTIONS = f"""{Q.HEADINGS},
 first_titles AS (SELECT doc_id, arg_min(text, line_no) AS title FROM headings WHERE level = 1 GROUP BY doc_id),
-sections AS (SELECT source AS corpus, doc_id AS pos, path, coalesce(title, '') AS title, CASE WHEN doc_id % 4 = 0 THEN lang END AS label, (doc_id % 8)::INT AS level, left(text, 80) AS body FROM docs LEFT JOIN first_titles USING (doc_id))"""
+sections AS (SELECT {_CORPUS} AS corpus, doc_id AS pos, path, coalesce(title, '') AS title, CASE WHEN doc_id % 4 = 0 THEN lang END AS label, (doc_id % 8)::INT AS level, text AS body FROM docs LEFT JOIN first_titles USING (doc_id))"""
 LINKS = rf"""{Q.HEADINGS},
 link_hits AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '{M.LINK}')) AS m FROM masked WHERE NOT in_fence),
 links AS (SELECT doc_id, line_no, starts_with(m, '!') AS is_image, regexp_extract(m, '{M.LINK}', 3) AS dest FROM link_hits)"""
@@ -237,13 +269,16 @@ hooked AS (
   SELECT page_id, removed, length(c) AS n, regexp_matches(c, '(?is)<article>(.*?)</article>') AS found FROM cleaned),
 outcome AS (SELECT *, CASE WHEN NOT found THEN 'null' WHEN n % 7 = 0 THEN 'error' ELSE 'ok' END AS status FROM hooked)"""
 ORACLES = {
-    "scan_markdown": f"WITH {FILE_NAMES} SELECT run_id || '-' || file_name AS name, (length(markdown) + 1)::INT AS chars FROM file_names WHERE run_id < 5",
-    "sink_page_files": f"WITH {FILE_NAMES} SELECT run_id || '-' || file_name AS name, (length(markdown) + 1)::INT AS chars FROM file_names WHERE run_id < 5",
-    "resolve_inputs": f"""WITH {Q.DOCS}, both_of AS (SELECT 0 AS origin, doc_id AS pos, path FROM docs WHERE doc_id % 7 = 0 UNION ALL SELECT 1, doc_id, path FROM docs)
-SELECT min(origin * 1099511627776 + pos) AS pos, path FROM both_of GROUP BY path""",
+    "scan_markdown": f"WITH {FILE_NAMES} SELECT run_id || '-' || file_name AS name, length(markdown)::INT AS chars, md5(markdown) AS text_md5 FROM file_names",
+    "scan_assets": f"WITH {FILE_NAMES} SELECT run_id || '-' || file_name AS name, 'application/octet-stream' AS mime, strlen(markdown) AS length FROM file_names",
+    "sink_page_files": f"WITH {FILE_NAMES} SELECT run_id || '-' || file_name AS name, strlen(markdown) AS length FROM file_names",
+    "resolve_inputs": f"""WITH {Q.DOCS}, both_of AS (SELECT 0 AS origin, -doc_id AS pos, path FROM docs WHERE lang = 'en' UNION ALL SELECT 1, doc_id, path FROM docs),
+firsts AS (SELECT path, arg_min(origin * 1099511627776 + pos, (origin, pos)) AS pos FROM both_of GROUP BY path)
+SELECT pos, path FROM firsts""",
     "combine_markdown": f"WITH {RUN_PAGES} SELECT run_id, string_agg(markdown, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY seq) AS markdown FROM run_pages GROUP BY run_id",
-    "session_sink": f"""WITH {RUN_PAGES}, keyed AS (SELECT {D.session_key('url')} AS session_key, url, title FROM run_pages)
-SELECT session_key, arg_max(url, (url, title)) AS page_url, arg_max(title, (url, title)) AS title, json_object('page_url', arg_max(url, (url, title)), 'title', arg_max(title, (url, title)))::VARCHAR AS meta_json FROM keyed GROUP BY 1""",
+    "session_sink": f"""WITH {W._BOTH},{D.TITLES}, keyed AS (SELECT {D.session_key('url')} AS session_key, url, title, markdown, captured_seq FROM captures JOIN titles ON page_id = captured_seq % 1000000000),
+last AS (SELECT session_key, arg_max(url, captured_seq) AS page_url, arg_max(title, captured_seq) AS title, arg_max(markdown, captured_seq) AS markdown FROM keyed GROUP BY 1)
+SELECT *, json_object('page_url', page_url, 'title', title)::VARCHAR AS meta_json FROM last""",
     "archive_manifest": rf"""WITH {RUN_PAGES}, entries AS (
   SELECT run_id AS archive, seq AS entry_no, CASE WHEN seq < 1000 THEN lpad(seq::VARCHAR, 3, '0') ELSE seq::VARCHAR END || '_' || left(regexp_replace(regexp_replace(regexp_replace(title, '[<>:"/\\|?*]', '_', 'g'), '\s+', '_', 'g'), '_+', '_', 'g'), 80) || '.md' AS name, strlen(markdown) AS size FROM run_pages)
 SELECT *, coalesce(sum(30 + strlen(name) + size) OVER (PARTITION BY archive ORDER BY entry_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM entries""",
@@ -258,7 +293,7 @@ SELECT corpus, coalesce(arg_min(title, pos) FILTER (trim(title) <> ''), regexp_e
   AND NOT regexp_matches(path, '^src4/[^/]*/d0000[^/]*[.]md$') AND NOT regexp_matches(path, '^[^/]*[.]tmp[.]md$')""",
     "content_change_filter": f"WITH {EVENTS} SELECT event_id, path, kind FROM {_CHANGES}",
     "classify_reference": rf"""WITH RECURSIVE {LINKS} SELECT doc_id, line_no, dest AS ref, CASE WHEN regexp_matches(dest, '(?i)^https?://') THEN 'remote' WHEN trim(dest) = '' OR regexp_matches(dest, '(?i)^(data:|#|mailto:|tel:|javascript:|about:)') THEN 'special' ELSE 'local' END AS ref_class FROM links""",
-    "nearest_scan_root": rf"""WITH {Q.DOCS}, roots AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN source ELSE source || '/' || lang END AS root FROM docs WHERE doc_id < 6),
+    "nearest_scan_root": rf"""WITH {Q.DOCS}, roots AS (SELECT DISTINCT CASE WHEN lang = 'en' THEN source || '/' || lang ELSE source END AS root FROM docs WHERE lang IN ('en', 'fr')),
 fits AS (SELECT path, root, row_number() OVER (PARTITION BY path ORDER BY length(root) DESC) AS r FROM docs JOIN roots ON starts_with(path, root || '/'))
 SELECT path, coalesce(root, regexp_extract(path, '^(.*)/[^/]*$', 1)) AS root FROM docs LEFT JOIN (SELECT * FROM fits WHERE r = 1) USING (path)""",
     "link_resolution": rf"""WITH RECURSIVE {LINKS},
@@ -272,9 +307,9 @@ SELECT doc_id, label, 'ok' AS status FROM (SELECT * FROM a INTERSECT SELECT * FR
 SELECT doc_id, path, ref, CASE WHEN starts_with(ref, '../../') THEN substr(ref, 7) ELSE regexp_extract(path, '^(.*/)[^/]*$', 1) || ref END AS resolved_path,
   CASE WHEN ref LIKE '%logo.png' THEN 'data:image/png;base64,iVBORw==' ELSE 'data:,' END AS data_uri, CASE WHEN ref LIKE '%logo.png' THEN 'inlined' WHEN ref LIKE '%big.svg' THEN 'too_large' ELSE 'missing' END AS status FROM r""",
     "snapshot_diff": f"""WITH {CACHE} SELECT coalesce(d.path, c.path) AS path, CASE WHEN d.path IS NULL THEN 'removed' WHEN c.path IS NULL THEN 'new' WHEN d.mtime = c.mtime THEN 'reuse' ELSE 'stale' END AS status FROM docs d FULL JOIN cache c ON c.path = d.path""",
-    "invalidate_changed": f"""WITH {CACHE}, changed AS (SELECT path FROM docs WHERE doc_id % 17 = 0 UNION ALL SELECT source FROM docs WHERE doc_id = 3)
-SELECT path, EXISTS (SELECT 1 FROM changed x WHERE cache.path = x.path OR starts_with(cache.path, x.path || '/')) AS invalid FROM cache""",
-    "active_heading": f"""WITH RECURSIVE {Q.HEADINGS}, probes AS (SELECT doc_id, line_no AS pos FROM mlines WHERE line_no % 10 = 0)
+    "invalidate_changed": f"""WITH {CACHE}, {EVENTS}, created AS (SELECT DISTINCT path FROM fs_events WHERE kind = 'create')
+SELECT path, path IN (SELECT path FROM created) OR starts_with(path, 'src3/') AS invalid FROM cache""",
+    "active_heading": f"""WITH RECURSIVE {Q.HEADINGS}, probes AS (SELECT doc_id, line_no AS pos FROM mlines)
 SELECT p.doc_id, p.pos, coalesce(h.id, (SELECT arg_min(f.id, f.line_no) FROM headings f WHERE f.doc_id = p.doc_id)) AS heading_id FROM probes p ASOF LEFT JOIN headings h ON h.doc_id = p.doc_id AND p.pos >= h.line_no""",
     "common_path_prefix": f"""WITH {Q.DOCS}, parts AS (SELECT source, doc_id, unnest(string_split(path, '/')) AS c, unnest(generate_series(1, len(string_split(path, '/')))) AS i FROM docs),
 same AS (SELECT source, i, min(c) AS c, count(DISTINCT c) = 1 AND count(*) = (SELECT count(*) FROM docs d WHERE d.source = parts.source) AS ok FROM parts GROUP BY source, i),
@@ -293,12 +328,13 @@ SELECT s.run_id, count(k.seq) AS pages, coalesce(sum(length(k.title)), 0)::BIGIN
   SELECT doc_id, unnest(regexp_extract_all(text, '!?\[[^\]]*\]\(([^)]+)\)', 1)) AS ref FROM docs UNION SELECT doc_id, unnest(regexp_extract_all(text, '(?:src|href|poster)\s*=\s*["'']([^"'']+)["'']', 1)) FROM docs UNION SELECT doc_id, unnest(regexp_extract_all(text, 'url\(\s*[''"]?([^''")]+)[''"]?\s*\)', 1)) FROM docs)
 SELECT doc_id, ref FROM r WHERE NOT regexp_matches(ref, '(?i)^(https?://|data:|#|mailto:|tel:|javascript:|about:)') AND trim(ref) <> ''""",
     "referenced_labels": f"WITH {Q.BODY},{Q.REFS} SELECT doc_id, count(DISTINCT label) AS n_labels, count(*) AS n_uses FROM refs GROUP BY doc_id",
-    "corpus_footnotes": rf"""WITH RECURSIVE {Q.FENCED},{Q.DEFS}, c AS (SELECT source AS corpus, f.doc_id, label, body FROM first_defs f JOIN docs USING (doc_id)),
+    "corpus_footnotes": rf"""WITH RECURSIVE {Q.FENCED},{Q.DEFS}, c AS (SELECT {_CORPUS} AS corpus, f.doc_id, label, body FROM first_defs f JOIN docs USING (doc_id)),
 p AS (SELECT corpus, doc_id, label, left({D.trim(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '<.*', ' ', 'g'), '[\n\r\t]', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g')")}, 180) AS plain FROM c)
 SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY {Q._NUMBER} NULLS LAST, label, doc_id)::INT AS rank FROM p""",
     "crawl_loop_cut": f"WITH {MARKED}, cuts AS (SELECT run_id, min(seq) FILTER (revisit) AS cut FROM crawl GROUP BY run_id) SELECT run_id, seq, url FROM crawl JOIN cuts USING (run_id) WHERE cut IS NULL OR seq < cut",
     "failure_streak_stop": f"WITH {MARKED} SELECT run_id, min(seq) AS stop_seq FROM crawl WHERE streak = 3 GROUP BY run_id",
-    "stop_rules": f"WITH {MARKED} SELECT run_id, stop_seq, reason FROM stops",
+    "stop_rules": f"""WITH {MARKED}, ending AS (SELECT *, CASE WHEN revisit THEN 'loop' WHEN streak >= 3 THEN 'failures' WHEN status = 'null' THEN 'extract_null' WHEN status <> 'ok' THEN 'extract_failed' WHEN pages >= {MAX_PAGES} THEN 'max_pages' ELSE 'single_page' END AS why FROM crawl)
+SELECT run_id, stop_seq, reason, true AS navigates FROM stops UNION ALL SELECT run_id, min(seq), arg_min(why, seq), false FROM ending GROUP BY run_id""",
     "unique_filename": f"WITH {FILE_NAMES} SELECT run_id, seq, file_name FROM file_names",
     "version_publish": f"WITH {EVENTS} SELECT path, event_id AS seq, (row_number() OVER w)::INT AS version, (lag(kind) OVER w) IS DISTINCT FROM kind AS changed FROM fs_events WINDOW w AS (PARTITION BY path ORDER BY event_id)",
     "max_pages_limit": f"WITH {LOG} SELECT run_id, seq, url FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM log WHERE status = 'ok') WHERE n <= 5",

@@ -121,24 +121,31 @@ _W = "(PARTITION BY page_id ORDER BY tok_no)"
 MARKDOWN = rf"""
 marked AS (
   SELECT *, last_value(CASE WHEN kind = 'open' AND tag = 'a' THEN {attribute('href')} END IGNORE NULLS) OVER {_W} AS href,
-         sum((kind = 'open' AND tag = 'table')::INT) OVER {_W} AS table_no FROM content),
+         sum((kind = 'open' AND tag = 'table')::INT) OVER {_W} AS table_no,
+         sum(CASE WHEN tag <> 'pre' THEN 0 WHEN kind = 'open' THEN 1 WHEN kind = 'close' THEN -1 ELSE 0 END) OVER {_W} > 0 AS in_pre,
+         sum(CASE WHEN tag NOT IN ('ul', 'ol') THEN 0 WHEN kind = 'open' THEN 1 WHEN kind = 'close' THEN -1 ELSE 0 END) OVER {_W} AS list_depth FROM content),
+marked_lists AS (
+  SELECT *, sum((kind = 'open' AND tag IN ('ul', 'ol'))::INT) OVER (PARTITION BY page_id, list_depth ORDER BY tok_no) AS list_no,
+         last_value(CASE WHEN kind = 'open' AND tag IN ('ul', 'ol') THEN tag END IGNORE NULLS) OVER (PARTITION BY page_id, list_depth ORDER BY tok_no) AS list_kind FROM marked),
 counted AS (
-  SELECT *, sum((kind = 'close' AND tag = 'tr')::INT) OVER (PARTITION BY page_id, table_no ORDER BY tok_no) AS rows_ended,
-         sum((kind = 'open' AND tag IN ('td', 'th'))::INT) OVER (PARTITION BY page_id, table_no ORDER BY tok_no) AS cells FROM marked),
+  SELECT *, sum((kind = 'open' AND tag = 'li')::INT) OVER (PARTITION BY page_id, list_depth, list_no ORDER BY tok_no) AS item_no,
+         sum((kind = 'close' AND tag = 'tr')::INT) OVER (PARTITION BY page_id, table_no ORDER BY tok_no) AS rows_ended,
+         sum((kind = 'open' AND tag IN ('td', 'th'))::INT) OVER (PARTITION BY page_id, table_no ORDER BY tok_no) AS cells FROM marked_lists),
 frags AS (
   SELECT page_id, tok_no, CASE
+    WHEN kind = 'text' AND in_pre THEN translate({decode('text')}, ' ' || chr(10) || chr(9), '{web.HELD}')
     WHEN kind = 'text' THEN regexp_replace({decode('text')}, '\s+', ' ', 'g')
     WHEN kind NOT IN ('open', 'close') THEN ''
     WHEN kind = 'open' AND regexp_matches(tag, '^h[1-6]$') THEN chr(10) || chr(10) || repeat('#', substr(tag, 2, 1)::INT) || ' '
     WHEN regexp_matches(tag, '^h[1-6]$') OR tag IN ('p', 'ul', 'ol', 'div', 'table', 'section', 'article', 'blockquote') THEN chr(10) || chr(10)
-    WHEN kind = 'open' AND tag = 'li' THEN chr(10) || '- ' WHEN kind = 'open' AND tag = 'br' THEN chr(10)
+    WHEN kind = 'open' AND tag = 'li' THEN chr(10) || CASE WHEN list_kind = 'ol' THEN item_no || '. ' ELSE '- ' END WHEN kind = 'open' AND tag = 'br' THEN chr(10)
     WHEN kind = 'open' AND tag = 'hr' THEN chr(10) || chr(10) || '---' || chr(10) || chr(10)
-    WHEN tag IN ('b', 'strong') THEN '**' WHEN tag IN ('i', 'em') THEN '*' WHEN tag = 'code' THEN '`'
+    WHEN tag IN ('b', 'strong') THEN '**' WHEN tag IN ('i', 'em') THEN '*' WHEN tag = 'code' AND NOT in_pre THEN '`' WHEN tag = 'code' THEN ''
     WHEN tag = 'pre' THEN chr(10) || '```' || chr(10)
     WHEN kind = 'open' AND tag = 'a' THEN '[' WHEN tag = 'a' THEN '](' || coalesce(href, '') || ')'
     WHEN kind = 'open' AND tag IN ('td', 'th') THEN '| ' WHEN tag IN ('td', 'th') THEN ' '
     WHEN kind = 'close' AND tag = 'tr' THEN '|' || chr(10) || CASE WHEN rows_ended = 1 THEN repeat('| --- ', cells::INT) || '|' || chr(10) ELSE '' END
     ELSE '' END AS frag FROM counted),
 markdowns AS (
-  SELECT page_id, {trim(f"regexp_replace(regexp_replace(regexp_replace(string_agg(frag, '' ORDER BY tok_no), '[ " + chr(92) + "t]*" + chr(92) + "n[ " + chr(92) + "t]*', chr(10), 'g'), '" + chr(92) + "n{3,}', chr(10) || chr(10), 'g'), '[" + T.ZERO_WIDTH + "]', '', 'g')")} AS markdown
+  SELECT page_id, translate({trim(f"regexp_replace(regexp_replace(regexp_replace(string_agg(frag, '' ORDER BY tok_no), '[ " + chr(92) + "t]*" + chr(92) + "n[ " + chr(92) + "t]*', chr(10), 'g'), '" + chr(92) + "n{3,}', chr(10) || chr(10), 'g'), '[" + T.ZERO_WIDTH + "]', '', 'g')")}, '{web.HELD}', ' ' || chr(10) || chr(9)) AS markdown
   FROM frags GROUP BY page_id)"""

@@ -11,7 +11,6 @@ from docloom.sources import fixtures as X
 
 _N = "chr(10)"
 DOCS = f"docs AS ({X.duck_text(X.DOCS)})"
-FLAT = r"'^[A-Za-z0-9_.-]+:(\s.*)?$'"
 
 
 def _line_list(text: str) -> str:
@@ -24,11 +23,13 @@ BODY = rf"""{DOCS},
 cut_lines AS (SELECT *, {_line_list("text")} AS l FROM docs),
 cut_at AS (SELECT *, CASE WHEN trim(l[1]) = '---' THEN list_filter(generate_series(2, len(l)), lambda i: trim(l[i]) = '---')[1] END AS c FROM cut_lines),
 cut_block AS (SELECT *, CASE WHEN c IS NOT NULL THEN l[2:c - 1] END AS block FROM cut_at),
-cut_full AS (SELECT *, list_filter(block, lambda x: NOT regexp_matches(x, '^\s*(#.*)?$')) AS filled FROM cut_block),
-cut_kind AS (SELECT *, c IS NOT NULL AND (len(list_filter(block, lambda x: trim(x) <> '')) = 0 OR (len(filled) > 0 AND len(list_filter(filled, lambda x: NOT regexp_matches(x, {FLAT}))) = 0)) AS has_fm FROM cut_full),
+cut_kinds AS (
+  SELECT *, array_to_string(list_transform(block, lambda x: CASE WHEN regexp_matches(x, {D.q(M.FM_SKIP)}) THEN '' WHEN regexp_matches(x, {D.q(M.FM_INDENT)}) THEN 'N' WHEN regexp_matches(x, {D.q(M.FM_ITEM)}) THEN 'I'
+    WHEN regexp_matches(x, {D.q(M.FM_TEXT)}) THEN 'S' WHEN regexp_matches(x, {D.q(M.FM_OPEN)}) THEN 'E' WHEN regexp_matches(x, {D.q(M.FM_FULL)}) THEN 'K' ELSE 'X' END), '') AS kinds FROM cut_block),
+cut_kind AS (SELECT *, c IS NOT NULL AND (len(list_filter(block, lambda x: trim(x) <> '')) = 0 OR regexp_matches(kinds, {D.q(M.FM_MAPPING)})) AS has_fm FROM cut_kinds),
 bodies AS (
-  SELECT * EXCLUDE (l, c, block, filled), CASE WHEN has_fm THEN array_to_string(l[c + 1:], {_N}) || CASE WHEN ends_with(text, {_N}) AND NOT ends_with(array_to_string(l[c + 1:], {_N}), {_N}) THEN {_N} ELSE '' END ELSE text END AS body,
-         list_filter(block, lambda x: regexp_matches(x, '^[A-Za-z0-9_.-]+:')) AS keyed FROM cut_kind),
+  SELECT * EXCLUDE (l, c, block, kinds), CASE WHEN has_fm THEN array_to_string(l[c + 1:], {_N}) || CASE WHEN ends_with(text, {_N}) AND NOT ends_with(array_to_string(l[c + 1:], {_N}), {_N}) THEN {_N} ELSE '' END ELSE text END AS body,
+         list_filter(block, lambda x: regexp_matches(x, {D.q(M.FM_ENTRY)}) AND NOT regexp_matches(x, {D.q(M.FM_SKIP)})) AS keyed FROM cut_kind),
 body_lines AS (SELECT doc_id, source, lang, {_line_list("body")} AS l FROM bodies),
 mlines AS (SELECT doc_id, unnest(l) AS line, unnest(generate_series(0, len(l) - 1)) AS line_no FROM body_lines)"""
 
@@ -98,7 +99,7 @@ REFS = r"""
 refs AS (
   SELECT doc_id, line_no, regexp_extract(m, '\^([^\]]+)', 1) AS label
   FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '\[\^([^\]\[:]+)\](:?)')) AS m FROM mlines) WHERE NOT ends_with(m, ':'))"""
-_NUMBER = r"CASE WHEN regexp_matches(label, '^\d{1,9}$') THEN TRY_CAST(label AS BIGINT) END"
+_NUMBER = r"CASE WHEN regexp_matches(label, '^\d{1,10}$') AND TRY_CAST(label AS BIGINT) < 4294967296 THEN TRY_CAST(label AS BIGINT) END"
 MATH = rf"""
 math_parts AS (
   SELECT doc_id, line_no, string_split(regexp_replace(replace(replace(line, '\\', chr(1) || chr(1)), '\$', chr(1) || chr(1)), '\$\$+', chr(2), 'g'), '$') AS p FROM opened WHERE NOT in_fence AND contains(line, '$')),
@@ -147,7 +148,7 @@ _CELLS = r"string_split(regexp_replace(regexp_replace({x}, '^\s*\|', ''), '\|\s*
 _REPAIR_RX = r"\[\^([^\]\[:]+)\][ \t]*[:：]"
 ORACLES = {
     "front_matter": rf"""WITH {BODY}
-SELECT doc_id, has_fm, body, CASE WHEN has_fm THEN coalesce(array_to_string(list_sort(list_transform(keyed, lambda x: regexp_extract(x, '^([^:]+):', 1) || '=' || trim(regexp_extract(x, '^[^:]+:(.*)$', 1)))), ','), '') ELSE '' END AS fm FROM bodies""",
+SELECT doc_id, has_fm, body, CASE WHEN has_fm THEN coalesce(array_to_string(list_sort(list_transform(keyed, lambda x: regexp_extract(x, {D.q(M.FM_ENTRY)}, 1) || '=' || trim(regexp_extract(x, {D.q(M.FM_ENTRY)}, 2)))), ','), '') ELSE '' END AS fm FROM bodies""",
     "explode_lines": f"WITH {BODY} SELECT doc_id, line_no, line FROM mlines",
     "fence_mask": f"WITH RECURSIVE {FENCED} SELECT doc_id, line_no, line, in_fence, fence_id FROM masked",
     "headings": f"WITH RECURSIVE {HEADINGS} SELECT doc_id, line_no, level, text, id FROM headings",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -18,9 +20,9 @@ RECIPES = [
     ("exact", "https://ththwh.example.org/en/270"),
     ("rest", "*"),
 ]
-TARGETS = r"""SELECT page_id % 20 AS grp, page_id AS ord,
+TARGETS = r"""SELECT CAST(floor(page_id / 50) AS BIGINT) AS grp, page_id AS ord,
   CASE page_id % 7 WHEN 0 THEN 'about:blank' WHEN 1 THEN 'chrome://settings' WHEN 2 THEN 'devtools://x' WHEN 3 THEN 'file:///a' ELSE url END AS url,
-  CASE WHEN page_id % 3 = 0 THEN '' ELSE substr(url, 9, 12) END AS title FROM pages WHERE page_id % 20 <> 19 OR page_id % 7 < 4"""
+  CASE WHEN page_id % 3 = 0 THEN '' ELSE substr(url, 9, 12) END AS title FROM pages"""
 
 
 def _pages(spark, d):
@@ -31,22 +33,27 @@ def _tokens(spark, d):
     return web.explode_html_tokens(web.scan_pages(_pages(spark, d)))
 
 
+def _keyed(spark, d):
+    return web.tokens_by_page(web.scan_pages(_pages(spark, d)))
+
+
 def _content(spark, d):
-    return web.content_tokens(web.clean_noise(_tokens(spark, d))[0], "article")
+    return web.content_tokens(web.clean_noise(_keyed(spark, d))[0], "article")
 
 
 def _markdown(spark, d):
     """(page_id, url, title, markdown) of every page."""
-    tokens = _tokens(spark, d)
+    tokens = _keyed(spark, d)
     md = web.html_to_markdown(web.content_tokens(web.clean_noise(tokens)[0], "article"))
     return _pages(spark, d).select("page_id", "url").join(web.page_titles(tokens), "page_id").join(md, "page_id")
 
 
 def captures(spark, d):
     """Two passes over the pages: all Markdown, then that of the main content."""
-    tokens, url = _tokens(spark, d), _pages(spark, d).select("page_id", "url")
-    raw = web.html_to_markdown(tokens).join(url, "page_id").select("url", F.col("page_id").alias("captured_seq"), "markdown")
-    return raw.union(web.html_to_markdown(_content(spark, d)).join(url, "page_id").select("url", (F.col("page_id") + 1_000_000_000).alias("captured_seq"), "markdown"))
+    tokens, url = _keyed(spark, d), _pages(spark, d).select("page_id", "url")
+    url = url.join(web.page_titles(tokens), "page_id")
+    raw = web.html_to_markdown(tokens).join(url, "page_id").select("url", "title", F.col("page_id").alias("captured_seq"), "markdown")
+    return raw.union(web.html_to_markdown(_content(spark, d)).join(url, "page_id").select("url", "title", (F.col("page_id") + 1_000_000_000).alias("captured_seq"), "markdown"))
 
 
 def _targets(spark, d):
@@ -54,10 +61,26 @@ def _targets(spark, d):
     return spark.sql(TARGETS)
 
 
+BUNDLED = (
+    '<p><img src="logo.png" alt="logo.png"><link href="site.css"><a href="#x">x</a><a href="site.css">y</a><img src="gone.png"></p><video poster=\'logo.png\' src="a"></video>'
+    '<style>b{background:url("bg.png")} i{x:url(gone.gif)} u{y:url(#z)}</style><div style="b:url(\'bg.png\')" class="src = banana">'
+)
+ASSETS = [("logo.png", "image/png", b"\x89PNG"), ("site.css", "text/css", b"a{}"), ("a", "video/mp4", b"vid"), ("bg.png", "image/png", b"bg")]
+
+
 def _bundle(spark, d):
-    link = F.concat(F.lit('<p><img src="logo.png"><link href="site.css"><a href="#x">x</a><img src="gone.png"></p>'), F.col("html"))
-    assets = spark.createDataFrame([("logo.png", "image/png", bytearray(b"\x89PNG")), ("site.css", "text/css", bytearray(b"a{}"))], "path string, mime string, content binary")
-    return web.bundle_html_resources(web.explode_html_tokens(_pages(spark, d).withColumn("html", link)), assets)
+    assets = spark.createDataFrame([(p, m, bytearray(c)) for p, m, c in ASSETS], "path string, mime string, content binary")
+    return web.bundle_html_resources(web.explode_html_tokens(_pages(spark, d).withColumn("html", F.concat(F.lit(BUNDLED), F.col("html")))), assets)
+
+
+#: Preformatted text and numbered lists before the article of each page.
+LISTS = "<article><pre>a  b\n  <code>c</code>\n\n\nd</pre><ol><li>one<ul><li>x</ul><li>two</ol>"
+
+
+def _listed(spark, d):
+    """Markdown of the pages' content with LISTS before it."""
+    pages = _pages(spark, d).withColumn("html", F.concat(F.lit(LISTS), F.col("html")))
+    return web.html_to_markdown(web.content_tokens(web.clean_noise(web.tokens_by_page(pages))[0], "article"))
 
 
 def _columns(spark, d, **columns):
@@ -65,7 +88,7 @@ def _columns(spark, d, **columns):
 
 
 def _snapshot(spark, d):
-    found = web.page_snapshot(_pages(spark, d), _tokens(spark, d))
+    found = web.page_snapshot(_pages(spark, d), _keyed(spark, d))
     return found.withColumn("outline", F.array_join("outline", " / "))
 
 
@@ -85,15 +108,15 @@ QUERIES = {
     "scan_pages": lambda s, d: web.scan_pages(_pages(s, d), body_only=True),
     "explode_html_tokens": _tokens,
     "element_extents_join": lambda s, d: web.element_extents(_tokens(s, d), [*web.PAGE_NOISE, "article", "p", "b"]),
-    "clean_noise": lambda s, d: web.clean_noise(_tokens(s, d))[0],
-    "noise_removed": lambda s, d: web.noise_removed(_pages(s, d), _tokens(s, d)),
-    "extract_content": lambda s, d: web.extract_content(_tokens(s, d), "article", ("h1",)),
-    "html_to_markdown": lambda s, d: web.html_to_markdown(_content(s, d)),
+    "clean_noise": lambda s, d: web.clean_noise(_keyed(s, d))[0],
+    "noise_removed": lambda s, d: web.noise_removed(_pages(s, d), _keyed(s, d)),
+    "extract_content": lambda s, d: web.extract_content(_keyed(s, d), "article", ("h1",)),
+    "html_to_markdown": _listed,
     "page_envelope": lambda s, d: web.page_envelope(_markdown(s, d)),
     "page_snapshot": _snapshot,
     "truncate_text": lambda s, d: web.truncate_text(table(configure(s), d, "conversations"), "text", 120),
     "extract_status": lambda s, d: web.extract_status(
-        web.extract_content(_tokens(s, d)).withColumn("html", F.when(F.col("page_id") % 5 == 0, F.lit(None)).when(F.col("page_id") % 7 == 0, " ").otherwise(F.col("html"))).withColumn("markdown", F.when(F.col("page_id") % 3 == 0, "").otherwise(F.col("html")))
+        web.extract_content(_keyed(s, d)).withColumn("html", F.when(F.col("page_id") % 5 == 0, F.lit(None)).when(F.col("page_id") % 7 == 0, " ").otherwise(F.col("html"))).withColumn("markdown", F.when(F.col("page_id") % 3 == 0, "").otherwise(F.col("html")))
     ),
     "url_filter": lambda s, d: web.url_filter(_pages(s, d), "/en/*").select("page_id", "url"),
     "recipe_first_match": lambda s, d: web.recipe_first_match(_pages(s, d), RECIPES),
@@ -103,8 +126,8 @@ QUERIES = {
     "session_history": lambda s, d: web.session_history(captures(s, d)),
     "html_resource_refs": lambda s, d: web.html_resource_refs(web.explode_html_tokens(_pages(s, d).withColumn("html", F.concat(F.lit('<style>a{background:url("x.png")}</style><img src="a.svg" style="b:url(c.gif)">'), F.col("html"))))),
     "bundle_html_resources": _bundle,
-    "slugify": lambda s, d: table(configure(s), d, "documents").select("doc_id", T.slugify(F.left("text", F.lit(60))).alias("slug")),
-    "html_escape": lambda s, d: _columns(s, d, escaped=T.html_escape(F.left("html", F.lit(400)))),
+    "slugify": lambda s, d: table(configure(s), d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug")),
+    "html_escape": lambda s, d: _columns(s, d, escaped=T.html_escape(F.col("html"))),
     "plain_text": lambda s, d: table(configure(s), d, "conversations").select("conv_id", "turn", T.plain_text(F.concat(F.lit("**[a](b)** `c` "), F.col("text"))).alias("plain")),
     "footnote_plain_title": lambda s, d: _columns(s, d, plain=T.footnote_plain_title(F.col("html"))),
     "session_key": lambda s, d: _columns(s, d, session_key=T.session_key(F.col("url"))),
@@ -116,7 +139,9 @@ QUERIES = {
 }
 
 _HTML2 = """pages AS (SELECT page_id, url, '<style>a{background:url("x.png")}</style><img src="a.svg" style="b:url(c.gif)">' || html AS html FROM main.pages)"""
-_BUNDLED = """pages AS (SELECT page_id, url, '<p><img src="logo.png"><link href="site.css"><a href="#x">x</a><img src="gone.png"></p>' || html AS html FROM main.pages)"""
+_BUNDLED = f"""pages AS (SELECT page_id, url, {D.q(BUNDLED)} || html AS html FROM main.pages)"""
+_LISTED = f"""pages AS (SELECT page_id, url, {D.q(LISTS)} || html AS html FROM main.pages)"""
+_ASSETS = " UNION ALL ".join(f"SELECT {D.q(p)} AS ref, 'data:{m};base64,{base64.b64encode(c).decode()}' AS data" for p, m, c in ASSETS)
 _TARGET_ORACLE = f"""WITH targets AS ({TARGETS}), scored AS (
   SELECT *, CASE WHEN {D.url_key('url')} = {D.url_key("'https://therst.example.net/de/1373/'")} THEN 10000 ELSE 0 END +
     CASE WHEN regexp_matches(url, '^https?://') THEN 1000 + least(strlen({D.trim('title')}), 200) + least(strlen(url), 100)
@@ -143,7 +168,7 @@ FROM pages WHERE coalesce({D.trim('html')}, '') <> ''""",
     "extract_content": f"""WITH {D.TOKENS},{D.extents(['h1'], 'strip')},
 kept AS (SELECT * FROM tokens t WHERE NOT EXISTS (SELECT 1 FROM strip n WHERE n.page_id = t.page_id AND t.tok_no BETWEEN n.start_tok AND n.end_tok)),{D.content('kept')},{D.TITLES}
 SELECT page_id, title, string_agg(text, '' ORDER BY tok_no) AS html FROM titles LEFT JOIN content USING (page_id) GROUP BY page_id, title""",
-    "html_to_markdown": f"WITH {D.CLEAN},{D.content('clean')},{D.MARKDOWN} SELECT page_id, markdown FROM markdowns",
+    "html_to_markdown": f"WITH {_LISTED},{D.CLEAN},{D.content('clean')},{D.MARKDOWN} SELECT page_id, markdown FROM markdowns",
     "page_envelope": f"""WITH {D.CLEAN},{D.content('clean')},{D.MARKDOWN},{D.TITLES}
 SELECT page_id, url, title, CASE WHEN title <> '' THEN '# ' || title || chr(10) || chr(10) ELSE '' END || '> Source: ' || url || chr(10) || chr(10) || markdown || chr(10) AS markdown
 FROM pages JOIN titles USING (page_id) JOIN markdowns USING (page_id)""",
@@ -187,13 +212,22 @@ refs AS (
   UNION ALL SELECT page_id, tok_no, 'href', {D.attribute('href')} FROM tokens WHERE kind = 'open' AND tag = 'link'
   UNION ALL SELECT page_id, tok_no, 'css', unnest(regexp_extract_all(text, 'url\(\s*[''"]?([^''")]+)[''"]?\s*\)', 1)) FROM tokens WHERE kind = 'open' OR (kind = 'raw' AND tag = 'style'))
 SELECT * FROM refs WHERE ref <> ''""",
-    "bundle_html_resources": f"""WITH {_BUNDLED},{D.TOKENS}
-SELECT page_id, string_agg(CASE WHEN text = '<img src="logo.png">' THEN '<img src="data:image/png;base64,iVBORw==">' WHEN text = '<link href="site.css">' THEN '<link href="data:text/css;base64,YXt9">'
-  WHEN text = '<img src="gone.png">' THEN '<img src="data:,">' ELSE text END, '' ORDER BY tok_no) AS html,
-  count(*) FILTER (text IN ('<img src="logo.png">', '<link href="site.css">')) AS n_inlined, count(*) FILTER (text = '<img src="gone.png">') AS n_failed
-FROM tokens GROUP BY page_id""",
-    "slugify": f"SELECT doc_id, {D.slug('left(text, 60)')} AS slug FROM documents",
-    "html_escape": "SELECT page_id, replace(replace(replace(replace(replace(left(html, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages",
+    "bundle_html_resources": rf"""WITH {_BUNDLED},{D.TOKENS},
+assets AS ({_ASSETS}),
+flagged AS (SELECT *, (kind = 'open' OR (kind = 'raw' AND tag = 'style')) AND regexp_matches(text, '(?is)\s(src|poster|href)\s*=|url\(') AS refers FROM tokens),
+cut AS (
+  SELECT page_id, tok_no, unnest(ps) AS piece, unnest(generate_series(0, len(ps) - 1)) AS part
+  FROM (SELECT *, CASE WHEN tag = 'link' THEN regexp_extract_all(text, {D.q(web.PIECE_RX.format(names="src|poster|href"))}) ELSE regexp_extract_all(text, {D.q(web.PIECE_RX.format(names="src|poster"))}) END AS ps FROM flagged WHERE refers)),
+named AS (
+  SELECT *, regexp_matches(piece, {D.q(web.CSS_RX)}) AS css, CASE WHEN regexp_matches(piece, {D.q(web.ATTR_RX)}) THEN regexp_extract(piece, {D.q(web.ATTR_RX)}, 2) WHEN regexp_matches(piece, {D.q(web.CSS_RX)}) THEN regexp_extract(piece, {D.q(web.CSS_RX)}, 1) END AS r FROM cut),
+refs AS (SELECT *, CASE WHEN NOT regexp_matches(trim(r), '^(#|data:|$)') THEN r END AS ref FROM named),
+met AS (
+  SELECT page_id, tok_no, part, refs.ref, data, CASE WHEN refs.ref IS NULL THEN piece WHEN css THEN 'url("' || coalesce(data, 'data:,') || '")'
+    ELSE regexp_extract(piece, {D.q(web.ATTR_RX)}, 1) || piece[-1] || coalesce(data, 'data:,') || piece[-1] END AS new FROM refs LEFT JOIN assets ON assets.ref = refs.ref),
+every AS (SELECT page_id, tok_no, part, ref, data, new FROM met UNION ALL SELECT page_id, tok_no, 0, NULL, NULL, text FROM flagged WHERE NOT refers)
+SELECT page_id, string_agg(new, '' ORDER BY tok_no, part) AS html, count(*) FILTER (data IS NOT NULL) AS n_inlined, count(*) FILTER (ref IS NOT NULL AND data IS NULL) AS n_failed FROM every GROUP BY page_id""",
+    "slugify": f"SELECT doc_id, {D.slug('text')} AS slug FROM documents",
+    "html_escape": "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages",
     "plain_text": f"SELECT conv_id, turn, {D.plain("'**[a](b)** `c` ' || text")} AS plain FROM conversations",
     "footnote_plain_title": rf"""SELECT page_id, left({D.trim(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '<.*', ' ', 'g'), '[\n\r\t]', ' ', 'g'), '\p{Cc}', '', 'g'), '[\s\p{Z}]+', ' ', 'g')")}, 180) AS plain FROM pages""",
     "session_key": f"SELECT page_id, {D.session_key('url')} AS session_key FROM pages",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results or layout; everything else stays the cluster's.
 SETTINGS = {
@@ -44,9 +45,19 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one of our own where none is named (local tests)."""
+    """The cluster's shared folder, or one of our own where none is named and the session is a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-docloom-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in the shared folder and read back: lineage ends there, and lost executors lose nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

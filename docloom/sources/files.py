@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,28 +16,41 @@ MAX_ASSET = 25 << 20
 
 
 def scan_markdown(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """(path, text, mtime, length) of .md and .markdown files below the roots, in any case; files that are not UTF-8 are left out (see scan_rejects).
-
-    A folder named like a Markdown file, as sink_page_files writes it, is one file.
-    """
+    """(path, text, mtime, length) of .md and .markdown files below the roots, in any case; files that are not UTF-8 are left out (see scan_rejects)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
-    kept = files.filter(F.lower(F.regexp_replace("path", r"/part-[^/]*$", "")).rlike(r"\.(md|markdown)$"))
+    kept = files.filter(F.lower("path").rlike(r"\.(md|markdown)$"))
     return kept.filter(F.is_valid_utf8(F.col("content").cast("string"))).select("path", F.col("content").cast("string").alias("text"), F.col("modificationTime").alias("mtime"), "length")
 
 
 def scan_rejects(spark: SparkSession, roots: list[str]) -> DataFrame:
     """(path, reason) of Markdown files that are not UTF-8."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
-    kept = files.filter(F.lower("path").rlike(r"\.(md|markdown)(/part-[^/]*)?$"))
+    kept = files.filter(F.lower("path").rlike(r"\.(md|markdown)$"))
     return kept.filter(~F.is_valid_utf8(F.col("content").cast("string"))).select("path", F.lit("not UTF-8").alias("reason"))
 
 
 def scan_assets(spark: SparkSession, root: str, max_bytes: int = MAX_ASSET) -> DataFrame:
     """(path, mime, length, content) of files of at most max_bytes; larger ones are never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= max_bytes)
-    return files.select("path", T.ref_extension_mime(F.regexp_replace("path", r"/part-[^/]*$", "")).alias("mime"), "length", "content")
+    return files.select("path", T.ref_extension_mime(F.col("path")).alias("mime"), "length", "content")
 
 
 def sink_page_files(pages_md: DataFrame, out: str) -> None:
-    """One Markdown file for each row (file_name, markdown), as a folder file_name=<name> with one part."""
-    pages_md.select("file_name", "markdown").write.partitionBy("file_name").option("lineSep", "\n").text(out)
+    """One Markdown file for each row (file_name, markdown) in the folder out, in any store that pyarrow knows (file, hdfs, s3, gs).
+
+    Each task writes its rows; a file gets its name when it is whole, so tasks may be repeated.
+    """
+    target = out if "://" in out else f"file://{out}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pa_fs.FileSystem.from_uri(target)
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            for name, text in zip(b["file_name"].to_pylist(), b["markdown"].to_pylist(), strict=True):
+                part = f"{base}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
+                    f.write((text or "").encode())
+                store.move(part, f"{base}/{name}")
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    pages_md.select("file_name", "markdown").mapInArrow(write, "n long").agg({"n": "sum"}).collect()

@@ -28,8 +28,11 @@ def _when(condition: str, *lines: str) -> str:
 _PARTS = [
     _when("doc_id % 5 = 0", "'---'", "'lang: ' || lang", "'source: ' || source", "'chars: ' || CAST(n_chars AS STRING)", "'---'"),
     _when("doc_id % 35 = 1", "'---'", "''", "'# Not frontmatter'", "'---'"),
+    _when("doc_id % 35 = 2", "'---'", "'tags:'", "'  - a'", "'- b'", "'# comment'", "'author:'", "'    name: X'", "'note: |'", "'  free: text: here'", "'\"my key\": v'", "'---'"),
+    _when("doc_id % 35 = 3", "'---'", "'a: b: c'", "'---'"),
+    _when("doc_id % 35 = 4", "'---'", "'plain words'", "'k: v'", "'---'"),
     _when("doc_id % 13 = 0", "'## Preface'", "''"),
-    _lines("'# ' || title", "''", "'## Overview'", "''", "para", "''"),
+    _lines("'# ' || title", "''", "'## Overview'", "''", "coalesce(text, '')", "''"),
     _when("doc_id % 3 = 0", "'## Overview'", "''", "'Again with `code` and **bold** text'", "''"),
     f"CASE doc_id % 3 WHEN 0 THEN {_lines("'> [!' || upper(alias) || '] Titled here'", "'> First line'", "'> Second line'", "''")} "
     f"WHEN 1 THEN {_lines("':::' || alias || ' Titled here'", "'# Inside callout'", "'Second line'", "':::'", "''")} "
@@ -56,9 +59,8 @@ DOCS = f"""
 SELECT doc_id, source || '/' || lang || '/d' || lpad(CAST(doc_id AS STRING), 6, '0') || '.md' AS path, lang, source,
   {" || ".join(_PARTS)} AS text, 1704067200 + doc_id AS mtime
 FROM (
-  SELECT doc_id, lang, source, n_chars, {_ALIAS} AS alias, {_FENCE_LANG} AS fence_lang,
-    trim(regexp_replace(substring(split_part(text, chr(10), 1), 1, 40), '[^[:alnum:] ]', ''{{g}})) AS title,
-    regexp_replace(substring(text, 41, 200), '[^[:alnum:] ,.]', ' '{{g}}) AS para
+  SELECT doc_id, lang, source, n_chars, text, {_ALIAS} AS alias, {_FENCE_LANG} AS fence_lang,
+    trim(regexp_replace(split_part(text, chr(10), 1), '[^[:alnum:] ]', ''{{g}})) AS title
   FROM documents)
 """
 CRAWL_LOG = """
@@ -70,8 +72,8 @@ FROM (SELECT *, regexp_replace(props, '[^0-9]', ''{g}) AS k FROM events)
 FS_EVENTS = """
 SELECT e.event_id, e.ts, d.path,
   CASE e.event_type WHEN 'view' THEN 'access' WHEN 'click' THEN 'modify' WHEN 'purchase' THEN 'create' WHEN 'error' THEN 'metadata' ELSE 'close_write' END AS kind
-FROM (SELECT *, CAST(regexp_replace(props, '[^0-9]', ''{g}) AS BIGINT) AS k FROM events) e
-JOIN (SELECT doc_id, source || '/' || lang || '/d' || lpad(CAST(doc_id AS STRING), 6, '0') || '.md' AS path FROM documents) d ON d.doc_id = e.k % 10
+FROM (SELECT *, event_id % (SELECT count(*) FROM documents) AS k FROM events) e
+JOIN (SELECT row_number() OVER (PARTITION BY doc_id % 64 ORDER BY doc_id) * 64 + doc_id % 64 - 64 AS k, source || '/' || lang || '/d' || lpad(CAST(doc_id AS STRING), 6, '0') || '.md' AS path FROM documents) d ON d.k = e.k
 """
 EDIT_LOG = """
 SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
