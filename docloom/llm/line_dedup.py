@@ -26,7 +26,7 @@ from docloom.session import shared_dir
 
 STRIP = b" \t\n\x0b\x0c\r"
 FAN_IN = 3
-BATCHES = 6
+BATCHES = 4
 MIN_DOCS = 10
 #: Up to so many repeated lines (16 bytes each) are broadcast to the tasks that rewrite the texts; beyond, both sides are joined by a shuffle.
 BROADCAST_LINES = 1 << 18

@@ -39,8 +39,8 @@ SEED = 42
 SHARD = 1024
 #: Times that a shard is cut by its bits before it is dealt into blocks.
 CUTS = 2
-#: For dedup by five-word shingles: searched fingerprints, shingles in the sample of each, radius, and nodes in a tree.
-NEAR = {"tables": 10, "sample": 5, "radius": 1, "shard": 512}
+#: For dedup by five-word shingles: searched fingerprints, shingles in the sample of each, radius (samples are equal or differ in many bits), and nodes in a tree.
+NEAR = {"tables": 10, "sample": 5, "radius": 0, "shard": 512}
 #: Jaccard similarity of near copies, as a fraction.
 SIMILAR = (4, 5)
 _CHUNK = 1 << 15

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import byte_words, pieces, text_bytes
 
 #: The sample: labelled rows of each label, by the hash of their id, and tokens of each, in blocks of BLOCK by the hash of their place.
-SAMPLE_ROWS = 2400
+SAMPLE_ROWS = 2000
 SAMPLE_TOKENS = 4096
 BLOCK = 64
 #: Blocks of toxic and of clean documents that the CRF is fitted on.
@@ -265,7 +265,9 @@ def _features(one: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def fit(rows, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
     """A model of (words, label) rows; weights: how many labelled rows one of each label stands for. Every third row of a label fits the logistic regression alone."""
-    rows = [(words, int(label)) for words, label in rows]
+    # Equal words are one object.
+    pool: dict[bytes, bytes] = {}
+    rows = [([pool.setdefault(w, w) for w in words], int(label)) for words, label in rows]
     seen = Counter(label for _, label in rows)
     n = [seen[k] * weights[k] for k in (0, 1)]
     flat = np.array([math.log((n[1] + 1) / (n[0] + 1)), 0.0, 0.0, 0.0])
