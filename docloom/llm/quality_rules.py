@@ -48,45 +48,48 @@ RULES = (
 
 
 def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long), and the counts that the rules need."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """df with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long), and the counts that the rules need; df's columns may have any other name."""
+    names = df.columns
+    text = F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACES))
     empty = F.array().cast("array<string>")
-    d = df.withColumn("_text", text).withColumn("_words", F.when(trimmed == "", empty).otherwise(F.split(trimmed, WORD_GAP)))
-    d = d.withColumn("n_words", F.size("_words").cast("long"))
+    words = lambda x: F.when(trimmed == "", empty).otherwise(F.split(x, WORD_GAP))
+    # Columns are numbered meanwhile, so that no name of df is one of ours.
+    d = df.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("text", text).withColumn("words", words(trimmed))
     # A window of three words is known by its 64-bit hash within its own text.
     windows = F.transform(
-        F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0))),
-        lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)),
+        F.slice("words", F.lit(1), F.greatest(F.size("words") - 2, F.lit(0))),
+        lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)),
     )
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    d = d.withColumn("_windows", windows).withColumn("_lines", lines)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    d = d.withColumn("windows", windows).withColumn("lines", lines)
     none = F.array().cast("array<struct<h:bigint,i:int>>")
-    paired = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    d = d.withColumn("_pairs", F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), none).otherwise(paired))
-    same = lambda x, k: F.coalesce(F.get("_pairs", k)["h"] == x["h"], F.lit(False))
-    starts = F.transform(F.filter("_pairs", lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])
-    d = d.withColumn("_starts", F.sort_array(starts))
+    paired = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    d = d.withColumn("pairs", F.when(F.size(F.array_distinct("windows")) == F.size("windows"), none).otherwise(paired))
+    same = lambda x, k: F.coalesce(F.get("pairs", k)["h"] == x["h"], F.lit(False))
+    starts = F.transform(F.filter("pairs", lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])
+    d = d.withColumn("starts", F.sort_array(starts))
     covered = F.aggregate(
-        F.transform("_starts", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("_starts", k + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x
-    )
-    n_lines = F.size("_lines")
-    return d.select(
-        *df.columns,
-        "n_words",
-        F.aggregate("_words", F.lit(0), lambda a, w: a + F.length(w)).cast("long").alias("word_chars"),
-        F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (n_lines - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"),
-        n_lines.cast("long").alias("n_lines"),
-        F.regexp_count("_text", F.lit("!")).cast("long").alias("n_shouts"),
-        F.regexp_count("_text", F.lit(r"\p{L}")).cast("long").alias("n_letters"),
-        F.regexp_count("_text", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        F.size(F.filter("_words", lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
-        F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long").alias("n_ellipsis_lines"),
-        F.size(F.filter("_lines", lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•]"))).cast("long").alias("n_bullet_lines"),
+        F.transform("starts", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("starts", k + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x
     )
+    n_lines = F.size("lines")
+    found = {
+        "n_words": F.size("words"),
+        "word_chars": F.length(F.array_join("words", "")),
+        "n_symbols": F.regexp_count("text", F.lit(SYMBOLS)),
+        "n_dup_lines": n_lines - F.size(F.array_distinct("lines")),
+        "n_repeat_words": covered,
+        "n_lines": n_lines,
+        "n_shouts": F.regexp_count("text", F.lit("!")),
+        # Letters are counted by what is left without them, words with letters by one match each.
+        "n_letters": F.length("text") - F.length(F.regexp_replace("text", r"\p{L}+", "")),
+        "n_upper": F.length("text") - F.length(F.regexp_replace("text", r"\p{Lu}+", "")),
+        "n_letter_words": F.regexp_count("text", F.lit(r"\p{L}[^\x20\x09-\x0D]*")),
+        "n_stop_words": F.size(F.filter(words(F.lower(trimmed)), lambda w: w.isin(STOP_WORDS))),
+        "n_ellipsis_lines": F.size(F.filter("lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))),
+        "n_bullet_lines": F.size(F.filter("lines", lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•]"))),
+    }
+    return d.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), *(c.cast("long").alias(k) for k, c in found.items()))
 
 
 def measures() -> dict[str, Column]:
@@ -116,11 +119,11 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
 def judged(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """df with the counts, base_failed (under 50 words, or over half of the words in repeated windows) and kept.
 
-    Null and empty texts have no words and fail. Each row is judged alone, so repeated rows and null ids are returned
-    as they are; an empty table gives an empty result. Columns of df named like a count are replaced.
+    Null and empty texts have no words and fail; texts of any length are read whole. Each row is judged alone, so repeated rows and null ids are
+    returned as they are; an empty table gives an empty result. Columns of df named like a count are replaced, others pass through.
     """
-    own = [c for c in df.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts", "n_letters", "n_upper", "n_letter_words", "n_stop_words", "n_ellipsis_lines", "n_bullet_lines", "base_failed", "kept")]
-    counted = with_counts(df.select(*own), text_col)
+    own = [c for c in df.columns if c.lower() not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts", "n_letters", "n_upper", "n_letter_words", "n_stop_words", "n_ellipsis_lines", "n_bullet_lines", "base_failed", "kept")]
+    counted = with_counts(df.select(*(f"`{c}`" for c in own)), text_col)
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & compile_rules(rules))
 
