@@ -63,20 +63,24 @@ def _folded(url: Column) -> Column:
 
 
 def _grams(urls: DataFrame) -> DataFrame:
-    """One row for each symbol of each url: gram, its code and those of the three before, in base 32."""
-    codes = F.transform(F.sequence(F.lit(1), F.length("folded")), lambda i: (F.instr(F.lit(ALPHABET), F.substring("folded", i, F.lit(1))) - 1).cast("long"))
+    """One row for each symbol of each url, known by its key alone: gram, the symbol's code and those of the three before, in base 32."""
+    codes = F.transform(F.regexp_extract_all("folded", F.lit("(?s)."), F.lit(0)), lambda c: (F.instr(F.lit(ALPHABET), c) - 1).cast("long"))
     d = urls.withColumn("folded", _folded(F.col("url"))).filter(F.length("folded") > 0).withColumn("codes", codes)
     at = lambda i: F.coalesce(F.when(i >= 0, F.get("codes", i)), F.lit(PAD).cast("long"))
     gram = F.transform("codes", lambda c, i: ((at(i - 3) * SIZE + at(i - 2)) * SIZE + at(i - 1)) * SIZE + c)
-    return d.withColumn("gram", F.explode(gram)).drop("folded", "codes")
+    return d.select("key", "rule_verdict", "use", F.explode(gram).alias("gram"))
 
 
-def log_ratios(grams: DataFrame) -> DataFrame:
-    """(gram, micro): millionths of ln P(accepted) - ln P(rejected) for every gram that occurs, learned from rows with use = 'fit'."""
-    seen = grams.groupBy("gram").agg(
+def gram_counts(grams: DataFrame) -> DataFrame:
+    """(gram, a, r): every gram that occurs, at most SIZE^4, with its count in accepted and in rejected urls that the models learn from."""
+    return grams.groupBy("gram").agg(
         F.sum(F.when((F.col("use") == "fit") & (F.col("rule_verdict") == "allow"), 1).otherwise(0)).alias("a"),
         F.sum(F.when((F.col("use") == "fit") & (F.col("rule_verdict") == "block"), 1).otherwise(0)).alias("r"),
     )
+
+
+def log_ratios(seen: DataFrame) -> DataFrame:
+    """(gram, micro): millionths of ln P(accepted) - ln P(rejected) for every gram of gram_counts()."""
     table = seen.select("gram")
     for order in range(4):
         width = SIZE ** (order + 1)
@@ -102,22 +106,25 @@ def url_verdicts(df: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
     """df with host, path, rule, verdict and micro (the mean log ratio in millionths; null where the url has no symbol).
 
     Each different url trains and calibrates once, however often it occurs. Without labelled urls on both sides the
-    threshold is 0. A null or empty url has no rule and takes the verdict of score 0. Repeated rows are
-    all returned; an empty table gives an empty result; columns of df named like a result are replaced.
+    threshold is 0. A null or empty url has no rule and takes the verdict of score 0; urls of any length are read whole. Repeated rows and null ids
+    are returned as they are; an empty table gives an empty result; columns of df named like a result, or rule_verdict, are replaced.
     """
     own = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "micro", "rule_verdict")]
     pages = ruled(df.select(*own), rules, url_col)
-    use = F.when(F.col("rule_verdict").isNull(), "none").when(F.md5("url") < "4", "check").otherwise("fit")
-    urls = pages.filter(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"), "rule_verdict").distinct().withColumn("use", use)
-    grams = _grams(urls)
+    key = F.md5(F.col(url_col).cast("binary"))
+    use = F.when(F.col("rule_verdict").isNull(), "none").when(F.col("key") < "4", "check").otherwise("fit")
+    urls = pages.filter(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"), key.alias("key"), "rule_verdict").distinct().withColumn("use", use)
+    # Urls are far smaller than their grams, so they are dealt anew before these are made.
+    grams = _grams(urls.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key"))
+    seen = written(gram_counts(grams), "gram-counts")
     scored = (
-        grams.join(F.broadcast(log_ratios(grams)), "gram")
-        .groupBy("url", "rule_verdict", "use")
+        grams.join(F.broadcast(log_ratios(seen)), "gram")
+        .groupBy("key", "rule_verdict", "use")
         .agg(F.floor(F.sum("micro") / F.count(F.lit(1))).cast("long").alias("micro"))
     )
     scored = written(scored, "url-scores")
     cut = _threshold(scored).first()["cut"]
-    out = pages.join(scored.select(F.col("url").alias(url_col), "micro"), url_col, "left")
+    out = pages.join(scored.select(F.col("key").alias("url_key"), "micro"), key == F.col("url_key"), "left")
     method = F.when(F.coalesce("micro", F.lit(0)) >= cut, "allow").otherwise("block")
     return out.select(*own, "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "micro")
 
