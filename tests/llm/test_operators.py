@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from oracle import DATA, compare, connect
+from pyspark.sql import functions as F
 
 from docloom.llm import decontamination, html_text, lattice_lm, line_dedup, packing, quality_rules, registry, sharding, toxicity, url_filter
 
@@ -38,7 +39,7 @@ def test_copy_after_a_partial_variant():
     index = decontamination.Index([(7, item)])
     canonical = decontamination.Canonical(frozenset(index.vocabulary))
     leak = lambda t: [(x[0], x[2], x[3]) for x in index.leaks(canonical.template(t))]
-    part = "Tom has 7 apples and gives 2 apples to nobody at all. "
+    part = "Tom has 7 apples and gives 2 apples away to nobody at all. "
     assert leak(part + item) == [(7, 1.0, "exact")]
     assert leak(part + part.replace("7", "5") + "Anna has 4 apples and gives 9 apples to Max before she walks 8 km home with Max.") == [(7, 1.0, "reparameterised")]
     assert leak(part) == []
@@ -61,6 +62,49 @@ def test_edited_copies_and_passages():
     assert leak(words[:5], " ".join(words[:5])) == [7]
 
 
+def leaked(items, text):
+    index = decontamination.Index(list(enumerate(items)))
+    return [(x[0], x[3]) for x in index.leaks(decontamination.Canonical(frozenset(index.vocabulary)).template(text))]
+
+
+def test_names_that_open_sentences():
+    item = "Anna has 5 apples. Anna gives 3 apples to Bob."
+    assert leaked([item], "Carla has 7 apples. Carla gives 2 apples to David.") == [(0, "reparameterised")]
+    assert leaked([item], "We read: carla has 7 apples. Carla gives 2 apples to David. The end.") == [(0, "reparameterised")]
+    assert leaked([item], item) == [(0, "exact")]
+
+
+def test_short_items_are_whole_sentences():
+    assert leaked(["What is 17 + 4?"], "First. What is 17 + 4? Then more.") == [(0, "exact")]
+    assert leaked(["What is 17 + 4?"], "what is 17 + 4") == [(0, "exact")]
+    assert leaked(["What is 17 + 4?", "the", ""], "I ask what is 17 + 4 or 5. The cat.") == []
+
+
+def test_slotted_windows_equal_brute_force():
+    """Questions of a few templates with random names and numbers, against a search over all bindings of whole questions."""
+    rng = random.Random(5)
+    names, filler = ["Anna", "Bob", "Carla", "David", "Emil"], [f"word{i}" for i in range(50)]
+    shapes = ["{a} has {x} apples and gives {y} apples to {b} on the way home", "{a} buys {x} pens . {b} buys {y} pens and {a} pays {z} euros for all", "the train of {a} leaves {x} minutes after that of {b} and takes {y} hours"]
+
+    def made(shape):
+        a, b = rng.sample(names, 2)
+        x, y, z = rng.sample(range(2, 99), 3)
+        return shape.format(a=a, b=b, x=x, y=y, z=z)
+
+    def same(item, text):
+        """Whether the words of both are equal under a one-to-one renaming of names and of numbers."""
+        i, t = item.replace(" .", ".").split(), text.replace(" .", ".").split()
+        slot = lambda w: w.strip(".") in names or w.strip(".").isdigit()
+        to, back = {}, {}
+        return len(i) == len(t) and all((slot(p) and slot(q) and to.setdefault(p.strip("."), q.strip(".")) == q.strip(".") and back.setdefault(q.strip("."), p.strip(".")) == p.strip(".")) if slot(p) or slot(q) else p == q for p, q in zip(i, t, strict=True))
+
+    for _ in range(60):
+        item, own = made(rng.choice(shapes)), made(rng.choice(shapes))
+        before, after = (" ".join(rng.choice(filler) for _ in range(12)) for _ in range(2))
+        found = leaked([item.replace(" .", ".")], f"{before}. {own.replace(' .', '.')}. {after}")
+        assert bool(found) == same(item, own), (item, own)
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(2)
     words = [f"word{i}" for i in range(300)]
@@ -75,7 +119,7 @@ def test_leaks_equal_brute_force(spark):
 
     def brute(text, item):
         t, i = text.split(), item.split()
-        if len(i) < decontamination.LEAST:
+        if len(i) < decontamination.PIECE:
             return False
         w = min(decontamination.WINDOW, len(i))
         own = {tuple(t[k : k + w]) for k in range(len(t) - w + 1)}
@@ -121,24 +165,70 @@ def test_lattice_sums_all_cuts():
         assert math.isclose(lattice.marginals([word])[0, 0], math.log(ways[-1]), rel_tol=1e-9)
 
 
+def cuts(lattice, log_p, word):
+    """(pieces, probability) of every cut of a word, by recursion."""
+    number = {p: i for i, p in lattice.plain}
+    marked = lattice_lm.MARK + word
+
+    def walk(at):
+        if at == len(marked):
+            yield (), 0.0
+        for end in range(at + 1, len(marked) + 1):
+            own = [number[marked[at:end]]] if marked[at:end] in number else [lattice.bytes[b] for b in marked[at].encode()] if end == at + 1 else None
+            if own:
+                for rest, lp in walk(end):
+                    yield (*own, *rest), lp + sum(log_p[i] for i in own)
+
+    return [(own, math.exp(lp)) for own, lp in walk(0)]
+
+
+def test_expected_counts_equal_enumeration():
+    lattice = lattice_lm.Lattice(lattice_lm.default_vocabulary())
+    words, times = ["the", "heble", "ñad", "x漢", "thorin"], np.array([3.0, 1.0, 2.0, 1.0, 5.0])
+    expected = np.zeros(lattice.size)
+    for w, n in zip(words, times, strict=True):
+        found = cuts(lattice, lattice.log_p, w)
+        whole = sum(p for _, p in found)
+        for own, p in found:
+            np.add.at(expected, list(own), n * p / whole)
+    assert np.allclose(lattice.expected(words, times), expected, atol=1e-9)
+
+
 @pytest.mark.parametrize("hot", [1_000_000, 5])
-def test_base_scores_equal_brute_force(spark, hot):
+def test_scores_equal_brute_force(spark, hot):
     rng = random.Random(4)
-    rows = [(i, " ".join(rng.choice(["a", "b", "the", f"w{rng.randrange(50)}"]) for _ in range(rng.randrange(30)))) for i in range(60)] + [(100, None), (101, "")]
-    df = spark.createDataFrame(rows, TEXTS)
-    found = {r["doc_id"]: r for r in lattice_lm.scores(df, lattice_lm.in_training(), lattice_lm.default_vocabulary(), hot=hot, rounds=0).collect()}
-    learn = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    rows = [(i, " ".join(rng.choice(["a", "b", "the", f"w{rng.randrange(50)}"]) for _ in range(rng.randrange(30)))) for i in range(60)] + [(100, None), (101, ""), (101, ""), (None, "the a"), (None, "b w1")]
+    df = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, base string")
+    found = lattice_lm.scores(df, lattice_lm.in_training(), lattice_lm.default_vocabulary(), hot=hot, rounds=0).collect()
+    learn = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2
     counts = Counter(w for i, t in rows if learn(i) for w in [*(t or "").split(), " "])
-    n, v = sum(counts.values()), len(counts)
+    n, v, docs = sum(counts.values()), len(counts), sum(learn(i) for i, _ in rows)
+    lattice = lattice_lm.Lattice(lattice_lm.default_vocabulary())
+    words = [w for w in counts if w != " "]
+    pieces = lattice.cut_counts(words, np.array([counts[w] for w in words], float))
+    end = docs / (pieces.sum() + docs)
+    log_p = lattice.learned(pieces) + math.log1p(-end)
+    lp = {w: math.log10(sum(p for _, p in cuts(lattice, log_p, w))) for w in {w for _, t in rows for w in (t or "").split()}}
+    expected = []
     for i, t in rows:
-        own = [*(t or "").split(), " "]
-        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own)
-        r = found[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["learned"]) == (len(own), sum(counts[w] > 0 for w in own), n, learn(i))
-        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0
+        own = (t or "").split()
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in [*own, " "])
+        expected.append((i, learn(i), len(own) + 1, sum(counts[w] > 0 for w in [*own, " "]), n, base, sum(lp[w] for w in own) + math.log10(end)))
+    key = lambda r: (repr(r[0]), round(r[5], 6))
+    for got, want in zip(sorted(map(tuple, found), key=key), sorted(expected, key=key), strict=True):
+        assert got[:5] == want[:5] and math.isclose(got[5], want[5], rel_tol=1e-9) and math.isclose(got[6], want[6], rel_tol=1e-6)
     assert lattice_lm.scores(df.limit(0), lattice_lm.in_training(), lattice_lm.default_vocabulary(), rounds=0).count() == 0
 
 
+def test_components_are_summed(spark):
+    """A document's probability is that of the mixture of the components, whichever its own class; classes beyond the last component share it."""
+    rows = [(i, ("the of and is " if i % 3 else "und der die das ") * 400, f"l{i % 3}") for i in range(30)]
+    df = spark.createDataFrame(rows, TEXTS + ", lang string")
+    score = lambda k: {r["doc_id"]: r["score"] for r in lattice_lm.scores(df, F.lit(True), lattice_lm.default_vocabulary(), "lang", rounds=1, components=k).collect()}
+    one, two, three = score(1), score(2), score(3)
+    assert sum(three.values()) > sum(one.values()) and all(len(x) == 30 for x in (one, two, three))
+
+
 # 4 packing
 
 
@@ -211,6 +301,7 @@ def test_crf_finds_planted_words(spark):
         labels.append((i, int(toxic)))
     df = spark.createDataFrame([(*r, 9.0) for r in rows + ODD[:5]], "doc_id long, text string, score double")
     model = toxicity.train(df, spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int"))
+    assert set(toxicity.scored(df, model).columns) == {"doc_id", "text", "score", "predicted", "spans"}
     found = toxicity.scored(df, model).collect()
     assert all(r["predicted"] == (r["doc_id"] % 5 == 0) for r in found if r["doc_id"] is not None and len(r["text"] or "") > 50)
     spans = next(r for r in found if r["doc_id"] == 5 and len(r["text"] or "") > 50)
@@ -232,6 +323,51 @@ def test_marginals_equal_enumeration():
     assert np.allclose(one[0], [sum(w for k, w in weight.items() if k >> i & 1) / total for i in range(6)])
 
 
+def test_text_marginals_equal_one_recursion():
+    rng = np.random.default_rng(5)
+    sizes = np.array([3, 0, 1, 32, 33, 64, 100, 0, 257])
+    score, move = rng.normal(size=sizes.sum()) * 3, rng.normal(size=(2, 2))
+    found, at = toxicity.text_marginals(score, sizes, move), 0
+    for n in sizes.tolist():
+        if n:
+            assert np.allclose(found[at : at + n], toxicity.marginals(score[None, at : at + n], move)[0][0])
+        at += n
+
+
+def test_scores_and_spans_equal_brute_force(spark):
+    """Every token's features, summed one by one, then one recursion over each whole text."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)] + ["vile", "vilest", "nasty"]
+    rows = [(i, " ".join(rng.choice(words[: 63 if i % 4 == 0 else 60]) + rng.choice(["", "!", ","]) for _ in range(rng.choice([5, 90])))) for i in range(400)]
+    model = toxicity.fit([(toxicity.tokens(t.encode()), int(i % 4 == 0)) for i, t in rows])
+    assert model.words
+    for i, t in rows[:40]:
+        own = toxicity.tokens(t.encode())
+        known = [model.words.get(w, 0) for w in own]
+        score = []
+        for k, w in enumerate(own):
+            h, e = toxicity.affixes(w)
+            x = model.own[known[k]] if known[k] else model.heads.get(h, 0) + model.tails.get(e, 0) + model.shapes[toxicity.shape(w)]
+            score.append(x + (model.left[known[k - 1]] if k else 0) + (model.right[known[k + 1]] if k + 1 < len(own) else 0))
+        one = toxicity.marginals(np.array([score]), model.move)[0][0]
+        z = model.logit @ [1, one.max(), math.log1p(one[one >= 0.5].sum()), math.log1p(one[one < 0.5].sum())]
+        r = toxicity.scored(spark.createDataFrame([(i, t)], TEXTS), model).first() if i < 8 else None
+        if r:
+            assert math.isclose(r["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-6)
+            at = [m.span() for m in re.finditer(r"\S+", t)]
+            assert [(s["start"], s["end"]) for s in r["spans"]] == [at[k] for k in np.flatnonzero(one >= 0.5)]
+
+
+def test_held_out_accuracy(spark):
+    """On labelled rows that the model may not learn from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    known = toxicity.scored(docs, model).filter(toxicity.held_out()).join(labels.select("doc_id", "toxic"), "doc_id").select("toxic", "predicted").collect()
+    toxic = [r["predicted"] for r in known if r["toxic"] == 1]
+    clean = [r["predicted"] for r in known if r["toxic"] == 0]
+    assert sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
 # 6 quality rules
 
 
@@ -274,12 +410,58 @@ def test_shards(spark):
         ("<body><nav><a href=x>Home</a></nav><article><h1>T &amp; x</h1><p><b>One\n two<br><p>Three</article><footer>&copy; f</footer>", "T & x\nOne two\nThree"),
         ('<body><div class="ad">Buy this very long advert text now, please</div><article><h1>A</h1><p>b</p><div id="comments"><p>long reader comment here</p></div></article>', "A\nb"),
         ("<body><header>Site</header><div><p>First long paragraph of text here.</p><p>Second long paragraph of text here.</p></div><aside>side</aside><script>var t='</p>';</script></body>", "First long paragraph of text here.\nSecond long paragraph of text here."),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>One text.</p><p class="related-work">Related work is this.</p></article>', "Title\nOne text.\nRelated work is this."),
+        ('<article><p>stub</p></article><div class="story"><h1>Real</h1><p>A long real paragraph of the story.</p><p>And a second long one.</p></div>', "Real\nA long real paragraph of the story.\nAnd a second long one."),
+        (
+            '<div class="site-header"><a href=x>Home</a></div><div class="post"><div class="entry-header"><h1>T</h1></div><div class="entry-content"><p>Paragraph one.</p><p>Paragraph two.</p></div>'
+            '<div class="post-comments"><p>I think that this is a long comment of a reader.</p></div></div>',
+            "T\nParagraph one.\nParagraph two.",
+        ),
+        ('<div class="page-with-sidebar"><main><section><h2>A</h2><p>First section text.</p></section><section><h2>B</h2><p>Second text.</p><p>More text.</p></section></main><div id="sidebar">long long text</div></div>', "A\nFirst section text.\nB\nSecond text.\nMore text."),
+        ("<article>Text only<br>second line</article><div class=ad>buy buy buy buy buy buy buy</div>", "Text only\nsecond line"),
+        ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+        ("<article><p>" + "many words " * 100_000 + "end</p></article>", "many words " * 100_000 + "end"),
     ],
 )
 def test_main_text(html, text):
     assert html_text.main_text(html or "") == text
 
 
+def test_density_sums_equal_recursion():
+    rng = random.Random(4)
+
+    def page(depth):
+        tag = rng.choice(["div", "p", "section", "b", "a", "ul", "li", "article"])
+        inner = "".join(rng.choice(["word ", "some more words ", page(depth - 1) if depth else ""]) for _ in range(rng.randrange(5)))
+        return f"<{tag}>{inner}</{tag}>"
+
+    def brute(node):
+        """(characters, tags, link characters, link tags, own characters) of a subtree."""
+        own = sum(len(" ".join(x.split())) for x in node.items if isinstance(x, str))
+        sums = [brute(k) for k in node.kids()]
+        chars = own + sum(x[0] for x in sums)
+        tags = sum(x[1] + (k.tag not in html_text.INLINE or k.tag == "a") for x, k in zip(sums, node.kids()))
+        link_tags = tags if node.tag == "a" else sum(x[3] + (k.tag == "a") for x, k in zip(sums, node.kids()))
+        return chars, tags, chars if node.tag == "a" else sum(x[2] for x in sums), link_tags, own
+
+    for _ in range(200):
+        nodes = html_text.measure(html_text.parse(f"<body>{page(4)}{page(3)}</body>"))
+        body = brute(nodes[0])
+
+        def density(x):
+            c, t, lc, lt, _ = x
+            if not lc:
+                return c / max(1, t)
+            ratio, base = c / lc * max(1, t) / max(1, lt), math.log(c * lc / max(1, c - lc) + body[2] * c / max(1, body[0]) + math.e)
+            return c / max(1, t) * min(1, math.log(ratio, base)) if ratio > 1 and base > 1 else 0
+
+        for n in nodes:
+            assert math.isclose(n.total, brute(n)[4] + sum(density(brute(k)) for k in n.kids()), abs_tol=1e-9)
+        best = html_text.main_nodes(nodes)[0]
+        top = max((n for n in nodes if n.tag in html_text.CONTAINERS), key=lambda n: (n.total, n.chars))
+        assert any(top in html_text._ordered(r) for r in best)
+
+
 def test_extract_edges(spark):
     df = spark.createDataFrame([(1, "u", None, "mine"), (1, "u", None, "mine"), (None, None, "<article><p>x</p></article>", "mine")], "page_id long, url string, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in html_text.extract(df).collect()) == [("", 0), ("", 0), ("x", 1)]
@@ -314,7 +496,7 @@ def test_first_seen_over_batches(spark):
         fresh = {x.lower() for _, t in rows for x in t.split("\n")} - seen
         assert sorted(r["line"].lower() for r in found) == sorted(fresh)
         seen |= fresh
-    assert max(level for level, _ in runs.runs) >= 1
+    assert max(level for level, _ in runs.runs) >= 1 and runs.again
 
 
 # pipeline
