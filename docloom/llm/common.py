@@ -35,6 +35,18 @@ def byte_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of small batches in larger ones of at least so many rows, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def pieces(batch_in: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     """A batch in slices of so many rows."""
     for at in range(0, batch_in.num_rows, rows):

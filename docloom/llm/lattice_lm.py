@@ -2,11 +2,10 @@
 
 A word is the sum over all its cuts into pieces of a public SentencePiece vocabulary, each piece drawn alone with its own
 probability: a forward recursion in log space over the lattice of all cuts gives this marginal, and no piece crosses the start
-of a word. One more arc spans the whole word if training texts hold it; it takes what absolute discounting leaves of the word's count, and the
-pieces share the discounted rest. The vocabulary's own ranking is the prior of the piece probabilities; their counts come
-from the different words of the corpus, first by the vocabulary's own cuts, then by expectation-maximisation over the
-lattice. All this is learned for each class of training documents (here by language), and a document's marginal probability sums over
-the classes, whichever its own may be.
+of a word. A text is its words and an end. The pieces' probabilities start from the vocabulary's own scores: it ranks its pieces, so its
+prior is a 1 / rank law; their counts come from all words of the training texts, first by the vocabulary's own cuts, then by
+expectation-maximisation over the lattice. All this is learned for each class of training documents (here by language) as one component
+of a mixture, and a document's marginal probability sums over the components, whichever its own may be.
 
 The corpus is read twice. The first pass counts words in each task and sums them by a shuffle. Every different word is then
 scored once. The second pass sums what each document needs: the `HOT` most frequent words are broadcast (a table of bounded
@@ -24,16 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import byte_words, pieces, text_bytes, written
+from docloom.llm.common import byte_words, gathered, pieces, text_bytes, written
 
-#: The most frequent words, broadcast as 64-bit hashes with their count and scores (16 bytes and 4 for each class).
+#: The most frequent words, broadcast as 64-bit hashes with their count and scores (16 bytes and 8 for each component).
 HOT = 1_000_000
-#: Classes that have a model of their own: the most frequent values; all others share one more.
-CLASSES = 7
+#: Components of the mixture at most: the most frequent classes have one each, the documents of all others learn one together.
+COMPONENTS = 8
 #: Different words that a task counts before it hands them on.
 COUNTED = 400_000
 ROUNDS = 2
-DISCOUNT = 0.75
+#: Words whose lattices are gone through at once.
+AT_ONCE = 120_000
 #: Weight of the prior in pieces, and the rank added to all in its 1 / rank law.
 PRIOR, PRIOR_RANK = 2_000.0, 200.0
 MARK = "▁"
@@ -41,6 +41,17 @@ CELLS = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Arcs:
+    """The pieces that fit in words of one length: for each length of piece, by start, the words (rows) and piece numbers."""
+
+    def __init__(self, rows: int, n: int, single: np.ndarray, longer: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]):
+        self.rows, self.n, self.single = rows, n, single
+        self.longer = []
+        for k, row, start, piece in longer:
+            order = np.argsort(start, kind="stable")
+            self.longer.append((k, row[order], np.searchsorted(start[order], np.arange(n + 1)), piece[order]))
+
+
 class Lattice:
     """The vocabulary's pieces by length, with log probabilities, and the forward and backward recursions."""
 
@@ -57,12 +68,13 @@ class Lattice:
                 self.bytes[int(piece[3:5], 16)] = i
             elif not (self.sp.is_control(i) or self.sp.is_unknown(i) or MARK in piece[1:]):
                 self.plain.append((i, piece))
+        # For each length, the hashes of all beginnings of pieces, and the piece that ends there (-1: none).
+        number = {p: i for i, p in self.plain}
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []
-        longest = max(len(p) for _, p in self.plain)
-        for k in range(1, longest + 1):
-            own = [(i, p) for i, p in self.plain if len(p) == k]
-            codes = np.frombuffer("".join(p for _, p in own).encode("utf-32-le"), "<u4").reshape(-1, k)
-            keys, at = self._hash(codes), np.array([i for i, _ in own], np.int64)
+        for k in range(1, max(map(len, number)) + 1):
+            own = sorted({p[:k] for p in number if len(p) >= k})
+            codes = np.frombuffer("".join(own).encode("utf-32-le"), "<u4").reshape(-1, k)
+            keys, at = self._hash(codes), np.array([number.get(x, -1) for x in own], np.int64)
             order = np.argsort(keys)
             self.tables.append((keys[order], at[order]))
         self.log_p = self.prior() if log_p is None else log_p
@@ -71,10 +83,15 @@ class Lattice:
     def _hash(codes: np.ndarray) -> np.ndarray:
         h = np.zeros(len(codes), np.uint64)
         for i in range(codes.shape[1]):
-            h = (h + codes[:, i].astype(np.uint64) + np.uint64(1)) * _P
-            h ^= h >> np.uint64(29)
+            h = Lattice._longer(h, codes[:, i])
         return h
 
+    @staticmethod
+    def _longer(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The hashes with one more character each."""
+        h = (h + code.astype(np.uint64) + np.uint64(1)) * _P
+        return h ^ (h >> np.uint64(29))
+
     def usable(self) -> np.ndarray:
         """Numbers of the pieces that a lattice may use."""
         return np.concatenate([self.bytes, [i for i, _ in self.plain]])
@@ -93,10 +110,11 @@ class Lattice:
         with np.errstate(divide="ignore"):
             return np.log(weight / weight.sum())
 
-    def cut_counts(self, words: list[str]) -> np.ndarray:
-        """Piece counts of the words by the vocabulary's own cuts."""
+    def cut_counts(self, words: list[str], times: np.ndarray) -> np.ndarray:
+        """Piece counts of words that stand so many times, by the vocabulary's own cuts."""
         cut = self.sp.encode(words, num_threads=1)
-        out = np.bincount(np.fromiter((i for ids in cut for i in ids), np.int64), minlength=self.size).astype(float)
+        ids = np.fromiter((i for own in cut for i in own), np.int64)
+        out = np.bincount(ids, np.repeat(times, [len(x) for x in cut]), self.size)
         out[np.setdiff1d(np.arange(self.size), self.usable())] = 0
         return out
 
@@ -113,80 +131,110 @@ class Lattice:
             yield own, np.frombuffer("".join(MARK + words[i] for i in own).encode("utf-32-le"), "<u4").reshape(-1, n)
             at = end
 
-    def _pieces(self, codes: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(length, piece number or -1) of the pieces that start at each position."""
+    def _arcs(self, codes: np.ndarray) -> Arcs:
+        """All pieces in words of one length. Where no piece begins with what was read, no longer one is looked for."""
         rows, n = codes.shape
-        out, h = [], np.zeros((rows, n), np.uint64)
-        for k in range(1, min(n, len(self.tables)) + 1):
-            h = (h[:, : n - k + 1] + codes[:, k - 1 :].astype(np.uint64) + np.uint64(1)) * _P
-            h ^= h >> np.uint64(29)
-            keys, ids = self.tables[k - 1]
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                piece = np.where(keys[at] == h, ids[at], -1)
-                if k == 1 or (piece >= 0).any():
-                    out.append((k, piece))
+        row, start = np.repeat(np.arange(rows), n), np.tile(np.arange(n), rows)
+        h, single, longer = np.zeros(rows * n, np.uint64), None, []
+        for k, (keys, ids) in enumerate(self.tables, 1):
+            if not len(row):
+                break
+            h = self._longer(h, codes[row, start + k - 1])
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            met = keys[at] == h
+            piece = np.where(met, ids[at], -1)
+            if k == 1:
+                single = piece.reshape(rows, n)
+            elif (hit := piece >= 0).any():
+                longer.append((k, row[hit], start[hit], piece[hit]))
+            on = met & (start + k < n)
+            row, start, h = row[on], start[on], h[on]
+        return Arcs(rows, n, single, longer)
+
+    def _singles(self, codes: np.ndarray, arcs: Arcs, log_p: np.ndarray) -> np.ndarray:
+        """Log probability of each single character; characters that are no piece are their UTF-8 bytes."""
+        hit = arcs.single >= 0
+        out = np.where(hit, log_p[arcs.single], 0.0)
+        for code in np.unique(codes[~hit]).tolist():
+            out[(codes == code) & ~hit] = log_p[self.bytes[list(chr(code).encode("utf-8", "surrogatepass"))]].sum()
         return out
 
-    def _weighted(self, codes: np.ndarray, found: list[tuple[int, np.ndarray]], log_p: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """The pieces' log probabilities; characters that are no piece are their UTF-8 bytes."""
-        out = []
-        for k, piece in found:
-            hit = piece >= 0
-            weight = np.where(hit, log_p[piece], -np.inf)
-            if k == 1 and not hit.all():
-                for code in np.unique(codes[~hit]).tolist():
-                    weight[(codes == code) & ~hit] = log_p[self.bytes[list(chr(code).encode())]].sum()
-            out.append((k, weight))
-        return out
+    @staticmethod
+    def _summed(dense: np.ndarray, sparse: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """log(exp(dense) + the exps of the sparse terms (rows, values)), each term having a row once."""
+        top = dense.copy()
+        for row, value in sparse:
+            top[row] = np.maximum(top[row], value)
+        total = np.exp(dense - top)
+        for row, value in sparse:
+            total[row] += np.exp(value - top[row])
+        return top + np.log(total)
+
+    def _forward(self, arcs: Arcs, singles: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """Log weight of all cuts of each beginning of each word, by position."""
+        alpha = np.zeros((arcs.n + 1, arcs.rows))
+        for j in range(1, arcs.n + 1):
+            sparse = []
+            for k, row, bounds, piece in arcs.longer:
+                if k <= j and bounds[j - k] < bounds[j - k + 1]:
+                    at = slice(bounds[j - k], bounds[j - k + 1])
+                    sparse.append((row[at], alpha[j - k, row[at]] + log_p[piece[at]]))
+            alpha[j] = self._summed(alpha[j - 1] + singles[:, j - 1], sparse)
+        return alpha
+
+    def _backward(self, arcs: Arcs, singles: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """Log weight of all cuts of each ending of each word, by position."""
+        beta = np.zeros((arcs.n + 1, arcs.rows))
+        for j in range(arcs.n - 1, -1, -1):
+            sparse = []
+            for k, row, bounds, piece in arcs.longer:
+                if bounds[j] < bounds[j + 1]:
+                    at = slice(bounds[j], bounds[j + 1])
+                    sparse.append((row[at], beta[j + k, row[at]] + log_p[piece[at]]))
+            beta[j] = self._summed(beta[j + 1] + singles[:, j], sparse)
+        return beta
 
     def marginals(self, words: list[str], several: list[np.ndarray] | None = None) -> np.ndarray:
         """Natural-log probability of each word over all its cuts; a column for each of several log_p."""
         several = several or [self.log_p]
         out = np.empty((len(words), len(several)))
         for own, codes in self._groups(words):
-            found = self._pieces(codes)
+            arcs = self._arcs(codes)
             for k, log_p in enumerate(several):
-                out[own, k] = self._forward(codes.shape, self._weighted(codes, found, log_p))[:, -1]
+                out[own, k] = self._forward(arcs, self._singles(codes, arcs, log_p), log_p)[-1]
         return out
 
-    @staticmethod
-    def _forward(shape: tuple[int, int], arcs: list) -> np.ndarray:
-        rows, n = shape
-        alpha = np.full((rows, n + 1), -np.inf)
-        alpha[:, 0] = 0
-        for j in range(1, n + 1):
-            into = np.stack([alpha[:, j - k] + weight[:, j - k] for k, weight in arcs if k <= j])
-            top = into.max(0)
-            alpha[:, j] = top + np.log(np.exp(into - top).sum(0))
-        return alpha
-
-    def expected(self, words: list[str]) -> np.ndarray:
-        """Expected piece counts of the words over all cuts, by forward and backward recursion."""
+    def expected(self, words: list[str], times: np.ndarray) -> np.ndarray:
+        """Expected piece counts over all cuts of words that stand so many times, by forward and backward recursion."""
         out = np.zeros(self.size)
         for own, codes in self._groups(words):
-            found, (rows, n) = self._pieces(codes), codes.shape
-            arcs = self._weighted(codes, found, self.log_p)
-            alpha = self._forward(codes.shape, arcs)
-            beta = np.full((rows, n + 1), -np.inf)
-            beta[:, n] = 0
-            for j in range(n - 1, -1, -1):
-                away = np.stack([beta[:, j + k] + weight[:, j] for k, weight in arcs if j + k <= n])
-                top = away.max(0)
-                beta[:, j] = top + np.log(np.exp(away - top).sum(0))
-            for (k, piece), (_, weight) in zip(found, arcs, strict=True):
-                share = np.exp(alpha[:, : n - k + 1] + weight + beta[:, k:] - alpha[:, -1:])
-                hit = piece >= 0
-                out += np.bincount(piece[hit], share[hit], self.size)
-                if k == 1 and not hit.all():
-                    for code in np.unique(codes[~hit]).tolist():
-                        np.add.at(out, self.bytes[list(chr(code).encode())], share[(codes == code) & ~hit].sum())
+            arcs, weight = self._arcs(codes), times[own]
+            singles = self._singles(codes, arcs, self.log_p)
+            alpha, beta = self._forward(arcs, singles, self.log_p), self._backward(arcs, singles, self.log_p)
+            share = (np.exp(alpha[:-1] + singles.T + beta[1:] - alpha[-1]) * weight).T
+            hit = arcs.single >= 0
+            out += np.bincount(arcs.single[hit], share[hit], self.size)
+            for code in np.unique(codes[~hit]).tolist():
+                np.add.at(out, self.bytes[list(chr(code).encode("utf-8", "surrogatepass"))], share[(codes == code) & ~hit].sum())
+            for k, row, bounds, piece in arcs.longer:
+                start = np.repeat(np.arange(arcs.n), np.diff(bounds))
+                out += np.bincount(piece, np.exp(alpha[start, row] + self.log_p[piece] + beta[start + k, row] - alpha[-1, row]) * weight[row], self.size)
         return out
 
 
+_lattices: dict[str, Lattice] = {}
+
+
+def lattice_of(path: str) -> Lattice:
+    """The worker's lattice of a file, made once."""
+    if path not in _lattices:
+        _lattices[path] = Lattice(path)
+    return _lattices[path]
+
+
 def in_training():
-    """Rows that the model learns from."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    """Rows that the model learns from; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
 
 
 def word_counts(documents: DataFrame, classes: int) -> DataFrame:
@@ -213,28 +261,30 @@ def word_counts(documents: DataFrame, classes: int) -> DataFrame:
     return documents.mapInArrow(run, "word binary, class int, c long").groupBy("word").agg(*own)
 
 
-def _piece_counts(words: DataFrame, path: str, classes: int, log_p: list[np.ndarray] | None) -> np.ndarray:
-    """Piece counts of each class's different training words: by the vocabulary's own cuts without log_p, else expected over the lattice."""
+def _piece_counts(words: DataFrame, path: str, components: int, log_p: list[np.ndarray] | None) -> np.ndarray:
+    """Piece counts of each component's training words: by the vocabulary's own cuts without log_p, else expected over the lattice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(path)
-        out = np.zeros((classes, lattice.size))
-        for b in batches:
+        lattice = lattice_of(path)
+        out = np.zeros((components, lattice.size))
+        for b in gathered(batches, AT_ONCE):
             own = np.array([x.decode() for x in b["word"].to_pylist()], object)
-            for k in range(classes):
-                mine = own[b[f"c{k}"].to_numpy() > 0].tolist()
-                if mine:
+            for k in range(components):
+                times = b[f"c{k}"].to_numpy()
+                at = np.flatnonzero(times)
+                if len(at):
                     lattice.log_p = lattice.log_p if log_p is None else log_p[k]
-                    out[k] += lattice.cut_counts(mine) if log_p is None else lattice.expected(mine)
+                    count = lattice.cut_counts if log_p is None else lattice.expected
+                    out[k] += count(own[at].tolist(), times[at].astype(float))
         at = np.flatnonzero(out)
         yield pa.record_batch([pa.array(at), pa.array(out.ravel()[at])], names=["cell", "n"])
 
-    size = Lattice(path).size
-    counts = np.zeros(classes * size)
-    # At most as many rows as the classes have pieces.
+    size = lattice_of(path).size
+    counts = np.zeros(components * size)
+    # At most as many rows as the components have pieces.
     for r in words.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         counts[r["cell"]] = r["n"]
-    return counts.reshape(classes, size)
+    return counts.reshape(components, size)
 
 
 def _frequent(table: DataFrame, most: int) -> DataFrame:
@@ -253,58 +303,54 @@ def _hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter((digest(w) for w in words), np.uint64, len(words))
 
 
-def scores(df: DataFrame, learn, path: str, class_col: str | None = None, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, learned, n_tokens, n_known, train_tokens, base_score, score) of df (doc_id, text, and class_col if named).
+def scores(df: DataFrame, learn, path: str, class_col: str | None = None, hot: int = HOT, rounds: int = ROUNDS, components: int = COMPONENTS) -> DataFrame:
+    """(doc_id, learned, n_tokens, n_known, train_tokens, base_score, score) of df (doc_id, text, and class_col if named), a row for each row.
 
-    learn is a Column: rows that count for both models. score is the log10 marginal probability of the text's words and its end; base_score
-    that of an add-one word model. Null and empty texts are the end alone; a null class is a class. Rows that share a doc_id (or have none) are
-    one document: their words are added. An empty table gives an empty result; without training rows both models are their smoothing.
+    learn is a Column: rows that count for both models (null: they do not). score is the log10 marginal probability of the text's words and its
+    end; base_score that of an add-one word model. Null and empty texts are the end alone; texts of any length are read whole; a null class is a class.
+    Rows that share a doc_id or have none are scored each. An empty table gives an empty result; without training rows both models
+    are their smoothing. Other columns are ignored, so they may have any name.
     """
     spark = df.sparkSession
     label = F.coalesce(F.col(class_col).cast("string"), F.lit("")) if class_col else F.lit("")
     own = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), label.alias("label"), "text")
     sizes = own.filter("learn").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.orderBy(F.desc("n"), "label").limit(CLASSES).collect()
+    top = sizes.orderBy(F.desc("n"), "label").limit(components - 1).collect()
     n_docs = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     names, docs = [r["label"] for r in top], [r["n"] for r in top]
     docs.append(n_docs - sum(docs))
     docs = docs if docs[-1] or len(docs) == 1 else docs[:-1]
-    classes = len(docs)
-    number = F.lit(classes - 1)
-    for k, name in enumerate(names[:classes]):
+    components = len(docs)
+    number = F.lit(components - 1)
+    for k, name in enumerate(names[:components]):
         number = F.when(F.col("label") == name, k).otherwise(number)
-    words = written(word_counts(own.select(F.when(F.col("learn"), number).otherwise(-1).alias("class"), "text"), classes), "words")
-    cs = [f"c{k}" for k in range(classes)]
-    found = words.agg(
-        *(F.coalesce(F.sum(c), F.lit(0)).alias(f"n{c}") for c in cs), *(F.count(F.when(F.col(c) > 0, 1)).alias(f"v{c}") for c in cs), F.count(F.when(sum(map(F.col, cs)) > 0, 1)).alias("types")
-    ).first()
-    tokens, kinds = [found[f"nc{k}"] + docs[k] for k in range(classes)], [found[f"vc{k}"] for k in range(classes)]
-    total, types = sum(tokens), found["types"] + (n_docs > 0)
-    lattice, log_p = Lattice(path), None
+    words = written(word_counts(own.select(F.when(F.col("learn"), number).otherwise(-1).alias("class"), "text"), components), "words")
+    cs = [f"c{k}" for k in range(components)]
+    found = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"n{c}") for c in cs), F.count(F.when(sum(map(F.col, cs)) > 0, 1)).alias("types")).first()
+    total, types = sum(found[f"n{c}"] for c in cs) + n_docs, found["types"] + (n_docs > 0)
+    lattice, log_p = lattice_of(path), None
     for _ in range(1 + rounds):
-        log_p = [lattice.learned(x) for x in _piece_counts(words, path, classes, log_p)]
-    # What a class gives to words by their pieces, and to its end.
-    rest = [DISCOUNT * v / n if v else (1.0 if n == docs[k] == 0 else 0.5 / (n + 1)) for k, (v, n) in enumerate(zip(kinds, tokens, strict=True))]
-    ends = [np.log10(docs[k] / tokens[k]) if docs[k] else np.log10(0.5) for k in range(classes)]
+        counts = _piece_counts(words, path, components, log_p)
+        log_p = [lattice.learned(x) for x in counts]
+    # A text ends where a piece might stand.
+    ending = [(d + 1e-9) / (x.sum() + d + 2e-9) for x, d in zip(counts, docs, strict=True)]
+    log_p = [x + np.log1p(-e) for x, e in zip(log_p, ending, strict=True)]
+    ends = [float(np.log10(e)) for e in ending]
+    ls = [f"l{k}" for k in range(components)]
 
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(path)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            lp = lattice.marginals([x.decode() for x in b["word"].to_pylist()], log_p)
-            c = np.stack([b[x].to_numpy() for x in cs], axis=1)
-            with np.errstate(divide="ignore"):
-                whole = np.log(np.maximum(c - DISCOUNT, 0) / np.maximum(tokens, 1))
-            lp = (np.logaddexp(whole, lp + np.log(rest)) / np.log(10)).astype(np.float32)
-            yield pa.record_batch([b["word"], pa.array(c.sum(1)), pa.FixedSizeListArray.from_arrays(pa.array(lp.ravel()), classes).cast(pa.list_(pa.float32()))], names=["word", "c", "lp"])
-
-    table = written(words.mapInArrow(marginal, "word binary, c long, lp array<float>"), "scored-words")
-    frequent = _frequent(table, hot).toArrow().combine_chunks()
-    keys = _hashed(frequent["word"].to_pylist())
+        lattice = lattice_of(path)
+        for b in gathered(batches, AT_ONCE):
+            if b.num_rows:
+                lp = lattice.marginals([x.decode() for x in b["word"].to_pylist()], log_p) / np.log(10)
+                c = sum(b[x].to_numpy() for x in cs)
+                yield pa.record_batch([b["word"], pa.array(_hashed(b["word"].to_pylist()).view(np.int64)), pa.array(c), *(pa.array(lp[:, k]) for k in range(components))], names=["word", "h", "c", *ls])
+
+    table = written(words.mapInArrow(marginal, "word binary, h long, c long, " + ", ".join(f"{x} double" for x in ls)), "scored-words")
+    frequent = _frequent(table, hot).select("h", "c", *ls).toArrow().combine_chunks()
+    keys = frequent["h"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    lps = np.array(frequent["lp"].to_pylist(), np.float32).reshape(-1, classes)[order]
-    shared = spark.sparkContext.broadcast((keys[order], frequent["c"].to_numpy()[order], lps))
+    shared = spark.sparkContext.broadcast((keys[order], frequent["c"].to_numpy()[order], np.stack([frequent[x].to_numpy()[order] for x in ls])))
     base = lambda c: np.log10((c + 1.0) / (total + 1.0 * (types + 1)))
     end_base, known_end = float(base(float(n_docs))), int(n_docs > 0)
 
@@ -320,45 +366,42 @@ def scores(df: DataFrame, learn, path: str, class_col: str | None = None, hot: i
                 hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
                 own, k, m = doc[hit], n[hit], at[hit]
                 sums = lambda v, own=own, size=len(counts): np.bincount(own, v, size)
-                lp = np.stack([sums(k * lps[m, j].astype(float)) for j in range(classes)], axis=1)
                 cold = np.flatnonzero(~hit)
                 cells = pa.StructArray.from_arrays([pa.array([word[i] for i in cold], pa.binary()), pa.array(n[cold])], names=["word", "n"])
                 bounds = np.concatenate([[0], np.cumsum(np.bincount(doc[cold], minlength=len(counts)))]).astype(np.int32)
                 yield pa.record_batch(
                     [
+                        part["row_no"],
                         part["doc_id"],
                         part["learn"],
                         pa.array(np.bincount(doc, n, len(counts)).astype(np.int64) + 1),
                         pa.array(sums(k * (c[m] > 0)).astype(np.int64) + known_end),
                         pa.array(sums(k * base(c[m])) + end_base),
-                        *(pa.array(lp[:, j] + ends[j]) for j in range(classes)),
+                        *(pa.array(sums(k * lps[j][m]) + ends[j]) for j in range(components)),
                         pa.ListArray.from_arrays(pa.array(bounds), cells),
                     ],
-                    names=["doc_id", "learn", "n_tokens", "n_known", "base", *(f"s{j}" for j in range(classes)), "cold"],
+                    names=["row_no", "doc_id", "learn", "n_tokens", "n_known", "base", *(f"s{j}" for j in range(components)), "cold"],
                 )
 
-    ss = [f"s{j}" for j in range(classes)]
+    ss = [f"s{j}" for j in range(components)]
     fields = ", ".join(f"{x} double" for x in ["base", *ss])
-    found = own.select("doc_id", "learn", "text").mapInArrow(summed, f"doc_id long, learn boolean, n_tokens long, n_known long, {fields}, cold array<struct<word:binary,n:bigint>>")
-    rows = found.select("*", F.posexplode_outer("cold").alias("at", "x")).drop("cold")
-    first = lambda name: F.when(F.coalesce("at", F.lit(0)) == 0, F.col(name)).otherwise(F.lit(0)).alias(name)
-    # A row without a rare word gets a key that no word can be, another for each document.
-    none = F.concat(F.lit(" "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")
-    rows = rows.select("doc_id", "learn", *map(first, ["n_tokens", "n_known", "base", *ss]), F.coalesce("x.word", none).alias("word"), F.coalesce("x.n", F.lit(0)).alias("n"))
-    met = rows.join(table, "word", "left")
-    cold_base = F.log10((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(float(total + types + 1)))
-    summed_up = met.groupBy("doc_id").agg(
-        F.first("learn").alias("learned"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(F.col("n") > 0, F.col("n") * cold_base).otherwise(0.0)).alias("base_score"),
-        *(F.sum(F.col(s) + F.when(F.col("n") > 0, F.col("n") * F.get("lp", F.lit(j)).cast("double")).otherwise(0.0)).alias(s) for j, s in enumerate(ss)),
+    numbered = own.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "learn", "text")
+    # Written, so that a row's number is the same wherever it is used.
+    found = written(numbered.mapInArrow(summed, f"row_no long, doc_id long, learn boolean, n_tokens long, n_known long, {fields}, cold array<struct<word:binary,n:bigint>>"), "document-sums")
+    rare = found.select("row_no", F.explode("cold").alias("x")).select("row_no", "x.word", "x.n").join(table, "word")
+    cold_base = F.log10((F.col("c") + 1.0) / F.lit(float(total + types + 1)))
+    more = rare.groupBy("row_no").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * cold_base).alias("more_base"), *(F.sum(F.col("n") * F.col(x)).alias(f"more_{s}") for x, s in zip(ls, ss, strict=True))
     )
+    met = found.drop("cold").join(more, "row_no", "left")
+    plus = lambda name, extra: F.col(name) + F.coalesce(F.col(extra), F.lit(0))
     shares = [float(np.log10(max(d, 1e-9) / max(1, n_docs))) for d in docs]
-    joint = [F.col(s) + share for s, share in zip(ss, shares, strict=True)]
-    best = F.greatest(*joint) if classes > 1 else joint[0]
+    joint = [plus(s, f"more_{s}") + share for s, share in zip(ss, shares, strict=True)]
+    best = F.greatest(*joint) if components > 1 else joint[0]
     mixed = best + F.log10(sum(F.pow(F.lit(10.0), F.greatest(x - best, F.lit(-300.0))) for x in joint))
-    return summed_up.select("doc_id", "learned", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", mixed.alias("score"))
+    return met.select(
+        "doc_id", F.col("learn").alias("learned"), "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), mixed.alias("score")
+    )
 
 
 def default_vocabulary() -> str:
