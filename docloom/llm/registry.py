@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docloom.llm import decontamination, html_text, lattice_lm, line_dedup, near_dedup, packing, quality_rules, sharding, toxicity, url_filter
+from docloom.llm import decontamination, html_text, language_id, lattice_lm, line_dedup, near_dedup, packing, quality_rules, sharding, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op8_simhash_bktree": near_dedup.op8_simhash_bktree,
         "op9_text_density": html_text.op9_text_density,
         "op10_levelled_runs": line_dedup.op10_levelled_runs,
+        "op13_cross_parsing": language_id.op13_cross_parsing,
     }
 
 
