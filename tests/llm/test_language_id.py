@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -78,7 +79,8 @@ def test_blocks_of_languages_do_not_change_results(spark, monkeypatch):
 def test_edge_cases(spark):
     long = "the house and the garden " * 40_000
     rows = [(1, "the house and the garden", "en"), (2, "das haus und der garten", "de"), (3, "das haus und der garten", "de"), (4, "das haus", None), (None, "the garden", "en"), (None, None, "en"), (5, None, "de"), (6, "", "en"), (7, "12 + 3 !", "en"), (8, "²", None), (9, long, None), (9, long, None), (11, "haus", "de"), (12, "house", "en"), (13, "漢字", None)]
-    docs = spark.createDataFrame([(*r, "mine", "mine") for r in rows], "doc_id long, text string, lang string, bits_ string, c0 string")
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(r[0] and ids[r[0]], *r[1:], "mine", "mine") for r in rows], "doc_id long, text string, lang string, bits_ string, c0 string")
     found = L.identified(docs, L.train(docs)).collect()
     assert len(found) == len(rows) and {(r["bits_"], r["c0"]) for r in found} == {("mine", "mine")}
     by_text = {r["text"]: r["lang_pred"] for r in found}
