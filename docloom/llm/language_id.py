@@ -223,7 +223,7 @@ def identified(df: DataFrame, automata: DataFrame, text_col: str = "text") -> Da
     names = sorted(r["lang"] for r in automata.select("lang").collect())
     for at in range(0, len(names), BLOCK_LANGUAGES):
         state = _parsed(state, sorted(_loaded(automata.filter(F.col("lang").isin(names[at : at + BLOCK_LANGUAGES])).collect())))
-    share = F.least(F.lit(1.0), F.pow(F.lit(2.0), -F.col("bits_") - F.col("mass_")))
+    share = F.when(F.col("bits_").isNotNull(), F.least(F.lit(1.0), F.pow(F.lit(2.0), -F.col("bits_") - F.col("mass_"))))
     return state.select(*(F.col(k).alias(c) for c, k in zip(rest, keep, strict=True)), F.coalesce("best_", F.lit(UNDETERMINED)).alias("lang_pred"), F.coalesce(share, F.lit(0.0)).alias("score"))
 
 
