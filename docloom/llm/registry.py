@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docloom.llm import decontamination, html_text, language_id, lattice_lm, line_dedup, near_dedup, packing, quality_rules, sharding, toxicity, url_filter
+from docloom.llm import decontamination, html_text, language_id, lattice_lm, lexical_search, line_dedup, near_dedup, packing, quality_rules, sharding, toxicity, url_filter, whitening
 
 
 def queries() -> dict:
@@ -20,6 +20,8 @@ def queries() -> dict:
         "op8_simhash_bktree": near_dedup.op8_simhash_bktree,
         "op9_text_density": html_text.op9_text_density,
         "op10_levelled_runs": line_dedup.op10_levelled_runs,
+        "op11_exact_whitening": whitening.op11_exact_whitening,
+        "op12_geometric_blocks": lexical_search.op12_geometric_blocks,
         "op13_cross_parsing": language_id.op13_cross_parsing,
     }
 
@@ -30,4 +32,5 @@ def oracle_sql() -> dict:
         "op2_char_ratio": url_filter.OP2_SQL,
         "op6_threshold_rules": quality_rules.OP6_SQL,
         "op10_levelled_runs": line_dedup.OP10_SQL,
+        "op12_geometric_blocks": lexical_search.OP12_SQL,
     }
