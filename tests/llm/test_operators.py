@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -74,6 +75,52 @@ def test_names_that_open_sentences():
     assert leaked([item], item) == [(0, "exact")]
 
 
+def test_numbers_alone_are_no_window_but_continue_one():
+    item = "the series begins with 3 4 7 11 18 29 47 76 123"
+    assert leaked([item], "So the series begins with 5 8 13 21 34 55 89 144 233 as said.") == [(0, "reparameterised")]
+    assert leaked([item], " ".join(map(str, range(100, 1100)))) == []
+    assert leaked(["3 4 7 11 18 29 47 76 123"], "All of 3 4 7 11 18 29 47 76 123 here.") == [(0, "exact")]
+
+
+def test_matches_cost_no_more_than_they_are():
+    """Long texts of numbers, many copies with other values, and many items with one opening take linear time."""
+    started = time.time()
+    assert leaked(["3 4 7 11 18 29 47 76 123"], " ".join(map(str, range(100_000)))) == []
+    assert time.time() - started < 2
+    item = "anna has 5 apples and 7 pears and gives 3 apples to the man on the way home"
+    index = decontamination.Index([(1, item)])
+    canonical = decontamination.Canonical(frozenset(index.vocabulary))
+    started = time.time()
+    text = " ".join(f"anna has {i} apples and {i + 1} pears and gives {i + 3} apples to the man on the way home." for i in range(10, 3000))
+    assert [(x[0], x[2]) for x in index.leaks(canonical.template(text))] == [(1, 1.0)]
+    assert time.time() - started < 10
+    opening = "which of the following is the best answer to the question"
+    items = [(i, f"{opening} {' '.join(f'w{i}x{k}' for k in range(18))}") for i in range(20_000)]
+    started = time.time()
+    index = decontamination.Index(items)
+    built = time.time() - started
+    canonical = decontamination.Canonical(frozenset(index.vocabulary))
+    texts = [canonical.template(f"{opening} {k}") for k in range(200)]
+    started = time.time()
+    assert all(index.leaks(t) == [] for t in texts)
+    assert time.time() - started < 2 and built < 20
+    assert [x[0] for x in index.leaks(canonical.template(items[77][1]))] == [77]
+
+
+def test_common_windows_lose_no_leak():
+    """The same leaks whether windows that many items share are put off or not, and for equal items each id."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(["one two three four five six seven", *(rng.choice(words) for _ in range(rng.randint(0, 14)))])) for i in range(150)]
+    items += [(1000 + i, items[3][1]) for i in range(100)]
+    indexes = [decontamination.Index(items, common=c) for c in (1, 5, 10**9)]
+    canonical = decontamination.Canonical(frozenset(indexes[0].vocabulary))
+    for i, text in [*items[:20], *((0, " ".join(rng.choice([*words, "one two three four five six seven"]) for _ in range(30))) for _ in range(30))]:
+        found = [x.leaks(canonical.template(text)) for x in indexes]
+        assert found[0] == found[1] == found[2]
+    assert {x[0] for x in indexes[0].leaks(canonical.template(items[3][1]))} >= {3, *range(1000, 1100)}
+
+
 def test_short_items_are_whole_sentences():
     assert leaked(["What is 17 + 4?"], "First. What is 17 + 4? Then more.") == [(0, "exact")]
     assert leaked(["What is 17 + 4?"], "what is 17 + 4") == [(0, "exact")]
@@ -398,6 +445,28 @@ def test_shards(spark):
     assert sharding.histogram_shards(spark.createDataFrame([], TEXTS)).count() == 0
 
 
+@pytest.mark.parametrize("case", ["one text", "one row", "many", "two hot"])
+def test_cells_and_splitters_equal_brute_force(spark, case):
+    """No cell holds more than twice its bytes, and splitters are where the sorted rows put them, however few texts or rows there are."""
+    n, cell_bytes, shards = 30_000, 20_000, 7
+    text = {"one text": lambda i: "hot", "one row": lambda i: "hot", "many": lambda i: "x" * (i * 7919 % 90), "two hot": lambda i: ["hot", "other", f"text {i}"][i % 3]}[case]
+    df = spark.range(n).toPandas()["id"]
+    docs = spark.createDataFrame([(7 if case == "one row" else int(i), text(int(i))) for i in df], TEXTS)
+    keys = sharding.keyed(docs, "doc_id", "text", {})
+    found, bounds = sharding.cells(keys, shards, 0.001, cell_bytes)
+    rows = sorted(((r["key_hash"], r["key_id"], r["tie"] % (1 << 64)), r["size"]) for r in keys.collect())
+    order = sharding.packed(*(np.array([r[0][k] if k < 2 else r[0][2] - (1 << 64) * (r[0][2] >> 63) for r in rows], np.int64) for k in range(3)))
+    place = np.argsort(order, kind="stable")
+    order, size = order[place], np.array([r[1] for r in rows])[place]
+    assert len(set(order.tolist())) == n
+    below = np.concatenate([[0], np.cumsum(size)])
+    at = below[np.searchsorted(order, sharding.as_keys(bounds), side="left")]
+    assert np.diff([0, *at, below[-1]]).max() <= 2 * cell_bytes
+    cut = below[np.searchsorted(order, sharding.as_keys(found), side="left")]
+    wanted = below[-1] * np.arange(1, shards) / shards
+    assert (np.abs(cut - wanted) <= np.maximum(0.001 * below[-1] / shards, size.max())).all()
+
+
 # 9 HTML extraction
 
 
@@ -458,8 +527,49 @@ def test_density_sums_equal_recursion():
         for n in nodes:
             assert math.isclose(n.total, brute(n)[4] + sum(density(brute(k)) for k in n.kids()), abs_tol=1e-9)
         best = html_text.main_nodes(nodes)[0]
-        top = max((n for n in nodes if n.tag in html_text.CONTAINERS), key=lambda n: (n.total, n.chars))
-        assert any(top in html_text._ordered(r) for r in best)
+        sums = {n: brute(n)[4] + sum(density(brute(k)) for k in n.kids()) for n in nodes if n.tag in html_text.CONTAINERS}
+        top = max(sums.values())
+        assert any(math.isclose(sums.get(r, -1), top, abs_tol=1e-9) for r in best)
+
+
+STORY = [f"Paragraph {k} " + "of the story goes on and on " * 15 for k in range(4)]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout has-sidebar">{}</div>',
+        '<div class="no-ads">{}</div>',
+        '<div class="social-science">{}</div>',
+        "<form id=aspnetForm action=x><input type=hidden>{}</form>",
+        "<form><article>{}</article></form>",
+        '<div class="content-sidebar-wrap"><div class="content">{}</div></div>',
+        '<aside class="sidebar-left"><div>{}</div></aside>',
+        '<div id="page" class="layout--with-sidebar cookie-consent-shown"><main>{}</main></div>',
+        '<div role="complementary">{}</div>',
+    ],
+)
+@pytest.mark.parametrize("heading", ["<h1>Heading</h1>", ""])
+def test_no_page_is_lost(page, heading):
+    """Layouts round a whole page are no noise, whatever they are called; menus, adverts and comments beside it still go."""
+    beside = '<nav><a href=a>Home</a></nav><div class="ad">Buy this now, please, buy this now.</div><div id="comments"><p>I find that the story is a long one.</p></div><footer>Copyright</footer>'
+    blocks = ([heading[4:-5]] if heading else []) + [s.strip() for s in STORY]
+    html = "<body>" + page.format(heading + "".join(f"<p>{s}</p>" for s in STORY) + beside) + "</body>"
+    assert html_text.main_text(html).split("\n") == blocks
+
+
+def test_long_comments_of_a_short_article_go():
+    comments = "".join(f'<article class="comment"><p>{"My opinion is as follows. " * 20}</p></article>' for _ in range(30))
+    for name in ("comments", "comments-area", "post-comments"):
+        assert html_text.main_text(f'<div class="post"><h1>Short</h1><p>A short story of some words.</p></div><div id="{name}">{comments}</div>') == "Short\nA short story of some words."
+
+
+def test_unended_tags_and_deep_pages():
+    assert html_text.main_text("<article><p>Text here.</p><p") == "Text here."
+    assert html_text.main_text('<article><p>Text here.</p><p title="x>more</article>') == "Text here.\nmore"
+    started = time.time()
+    assert html_text.main_text("<div>" * 20_000 + "deep</p></li></x>" * 20_000) == "\n".join(["deep"] * 20_000)
+    assert time.time() - started < 20
 
 
 def test_extract_edges(spark):
