@@ -5,7 +5,7 @@ words lose case and punctuation. A capitalised word that opens a sentence may be
 it is one, and a third without placeholders. Windows of `PIECE` template tokens of the benchmark items are hashed; the same windows of
 every document meet them by a hash join against the items' windows, which are broadcast in blocks of bounded size. A
 matching window counts only if its slots are consistent: within an alignment, one value of an item's slot
-always goes with one value in the document. Alignments start from each run of windows along a diagonal in turn, so a look-alike elsewhere
+always goes with one value in the document, and a window of slots alone counts only next to one that holds a plain word. Alignments start from each run of windows along a diagonal in turn, so a look-alike elsewhere
 does not bind the slots of a true copy, and take up what else is consistent: short windows on diagonals nearby, and runs of `WINDOW`
 tokens anywhere. The best one counts. A document leaks an item if its tokens in them are `SHARE` of the item's, so an edit costs
 only the tokens around it, or if one run has `RUN` tokens, so a passage of a long item is enough; slot values may be
@@ -16,8 +16,11 @@ document is the item, value for value.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from heapq import merge
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -36,6 +39,8 @@ NEARBY = 8
 SHARE = 0.5
 #: Tokens of benchmark items that are broadcast at once; a larger benchmark is joined block by block.
 BLOCK_TOKENS = 1_000_000
+#: A window of more items than this is looked up only for items that a rarer window has met, unless such windows alone could tell of a leak.
+COMMON = 64
 #: Raw words whose token a worker remembers.
 REMEMBERED = 800_000
 FLAG_BITS = 20
@@ -145,6 +150,11 @@ class Canonical:
         return Template(lambda i: self.read(words[stay[i]])[0], opens, [*views, (np.full(len(stay), PLAIN, np.int8), plain)])
 
 
+def windows_of(flags: np.ndarray, width: int) -> np.ndarray:
+    """The flags of each run of `width` tokens, as rows."""
+    return np.lib.stride_tricks.sliding_window_view(flags, width) if len(flags) >= width else np.empty((0, width), bool)
+
+
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of `width` tokens."""
     n = len(hashes) - width + 1
@@ -175,37 +185,66 @@ def bind(slots: list[tuple[int, str, str]], to: dict, back: dict) -> bool:
     return True
 
 
+Entry = tuple[int, int, tuple]
+
+
 class Index:
-    """Windows of a block of items by their hash."""
+    """Windows of a block of items by their hash; equal texts are one item with several ids."""
 
-    def __init__(self, items: list[tuple[object, str]]):
-        canonical, entries = Canonical(), defaultdict(list)
+    def __init__(self, items: list[tuple[object, str]], share: float = SHARE, common: int = COMMON):
+        canonical, entries = Canonical(), defaultdict(dict)
+        self.share = share
         self.vocabulary: set[str] = set()
-        self.items: dict[int, tuple[object, list[str], int, int]] = {}
-        for number, (item_id, text) in enumerate(items):
-            t = canonical.template(text or "")
+        self.items: dict[int, tuple[list[object], list[str], int, int]] = {}
+        #: By item and position, hashes and slots of windows of slots alone.
+        self.bare: dict[int, dict[int, dict[int, tuple]]] = defaultdict(lambda: defaultdict(dict))
+        same: dict[str, list[object]] = {}
+        for item_id, text in items:
+            same.setdefault(text or "", []).append(item_id)
+        for number, (text, ids) in enumerate(same.items()):
+            t = canonical.template(text)
             n = len(t.opens)
             if not n:
                 continue
             width, surface = min(PIECE, n), [t.surface(i) for i in range(n)]
             self.vocabulary.update(surface)
-            self.items[number] = (item_id, surface, width, n)
+            self.items[number] = (ids, surface, width, n)
             # A match of plain words binds the slots of the first view to themselves; a short item has its words alone.
-            for kind, view in [*t.views[:-1], (t.views[0][0], t.views[-1][1])] if n >= PIECE else t.views[-1:]:
+            views = [*t.views[:-1], (t.views[0][0], t.views[-1][1])] if n >= PIECE else t.views[-1:]
+            for k, (kind, view) in enumerate(views):
+                slotted = kind < PLAIN
+                kinds, has, bare = kind.tolist(), windows_of(slotted, width).any(axis=1).tolist(), windows_of(slotted, width).all(axis=1).tolist()
                 for at, h in enumerate(windows(view, width).tolist()):
-                    slots = tuple((k, int(kind[at + k])) for k in range(width) if kind[at + k] < PLAIN)
-                    if (number, at, slots) not in entries[width, h]:
-                        entries[width, h].append((number, at, slots))
-        self.entries = dict(entries)
+                    slots = tuple((i, kinds[at + i]) for i in range(width) if kinds[at + i] < PLAIN) if has[at] else ()
+                    if bare[at] and k < len(views) - 1:
+                        self.bare[number][at][h] = slots
+                    else:
+                        entries[width, h][number, at, slots] = None
+        self.entries: dict[tuple[int, int], list[Entry]] = {}
+        #: Entries of common windows by item, for items that these windows alone do not give away.
+        self.deferred: dict[tuple[int, int], dict[int, list[Entry]]] = {}
+        shared = {key: found for key, found in entries.items() if len(found) > common}
+        covered: dict[int, set[int]] = defaultdict(set)
+        for (width, _), found in shared.items():
+            for number, at, _ in found:
+                covered[number].update(range(at, at + width))
+        enough = {number for number, tokens in covered.items() if len(tokens) >= min(share * self.items[number][3], RUN)}
+        for key, found in entries.items():
+            self.entries[key] = [e for e in found if key not in shared or e[0] in enough]
+            for e in found:
+                if key in shared and e[0] not in enough:
+                    self.deferred.setdefault(key, {}).setdefault(e[0], []).append(e)
+        self.bare = {number: dict(at) for number, at in self.bare.items()}
         self.keys = {w: np.array(sorted(h for v, h in entries if v == w), np.uint64) for w in {v for v, _ in entries}}
         # By the first bits of a hash, whether any key begins with them.
         self.flags = {w: np.zeros(1 << FLAG_BITS, bool) for w in self.keys}
         for w, keys in self.keys.items():
             self.flags[w][(keys >> np.uint64(64 - FLAG_BITS)).astype(np.int64)] = True
 
-    def matches(self, t: Template) -> dict[int, set[tuple[int, int, tuple]]]:
+    def matches(self, t: Template) -> dict[int, set[Entry]]:
         """(item position, document position, slots of the window) of the windows that a document shares with each item."""
-        out: dict[int, set[tuple[int, int, tuple]]] = defaultdict(set)
+        out: dict[int, set[Entry]] = defaultdict(set)
+        later: list[tuple[tuple[int, int], int]] = []
         for width, keys in self.keys.items():
             for _, view in t.views if width == PIECE else t.views[-1:]:
                 own = windows(view, width)
@@ -214,12 +253,37 @@ class Index:
                 maybe = np.flatnonzero(self.flags[width][(own >> np.uint64(64 - FLAG_BITS)).astype(np.int64)])
                 few = own[maybe]
                 for at in maybe[keys[np.minimum(np.searchsorted(keys, few), len(keys) - 1)] == few].tolist():
-                    for number, position, slots in self.entries[width, int(own[at])]:
+                    key = width, int(own[at])
+                    if key in self.deferred:
+                        later.append((key, at))
+                    for number, position, slots in self.entries[key]:
                         # A short item is a whole sentence.
                         if width == PIECE or self.items[number][3] >= PIECE or (t.opens[at] and (at + width == len(t.opens) or t.opens[at + width])):
                             out[number].add((position, at, slots))
+        met = list(out)
+        for key, at in later:
+            found = self.deferred[key]
+            for number in met if len(met) < len(found) else [x for x in found if x in out]:
+                out[number].update((position, at, slots) for _, position, slots in found.get(number, ()))
+        self._beside(out, t)
         return out
 
+    def _beside(self, out: dict[int, set[Entry]], t: Template) -> None:
+        """Add the windows of slots alone that continue another match."""
+        bare = {number: self.bare[number] for number in out if number in self.bare}
+        if not bare:
+            return
+        own = [windows(view, PIECE).tolist() for _, view in t.views[:-1]]
+        for number, places in bare.items():
+            todo = list(out[number])
+            while todo:
+                position, at, _ = todo.pop()
+                for p, a in ((position - 1, at - 1), (position + 1, at + 1)):
+                    for h, slots in places.get(p, {}).items():
+                        if (p, a, slots) not in out[number] and any(0 <= a < len(view) and view[a] == h for view in own):
+                            out[number].add((p, a, slots))
+                            todo.append((p, a, slots))
+
     def runs(self, number: int, pairs: set[tuple[int, int, tuple]], t: Template) -> list[Run]:
         """An item's matching windows in maximal runs along a diagonal that bind their slots consistently, longest first."""
         surface = self.items[number][1]
@@ -243,37 +307,52 @@ class Index:
             last = position, at
         return sorted((x for x in out if x.windows), key=lambda x: -len(x.windows))
 
-    def leaks(self, t: Template, share: float = SHARE) -> list[tuple[object, int, float, str]]:
+    def leaks(self, t: Template) -> list[tuple[object, int, float, str]]:
         """(item_id, windows of WINDOW tokens, share of the item's tokens, exact or reparameterised) of the items that a document leaks."""
         out = []
         for number, pairs in self.matches(t).items():
-            item_id, _, width, n = self.items[number]
+            ids, _, width, n = self.items[number]
             found = {position + k for position, _, _ in pairs for k in range(width)}
-            if len(found) < min(share * n, RUN):
+            if len(found) < min(self.share * n, RUN):
                 continue
-            best, tried, longest = (0, False, 0), set(), 0
             runs = self.runs(number, pairs, t)
-            for seed in runs:
-                key = (seed.diagonal, frozenset(x for _, slots in seed.windows for x in slots))
-                if key in tried or best[:2] == (n, True):
-                    continue
-                tried.add(key)
-                to, back, good, tokens, exact = {}, {}, set(), set(), True
-                for run in [seed, *sorted(runs, key=lambda x: (abs(x.diagonal - seed.diagonal), -len(x.windows)))]:
-                    if abs(run.diagonal - seed.diagonal) > NEARBY and len(run.windows) + width - 1 < WINDOW:
-                        continue
-                    for position, slots in run.windows:
-                        if position not in good and bind(slots, to, back):
-                            good.add(position)
-                            tokens.update(range(position, position + width))
-                            exact &= all(a == b for _, a, b in slots)
-                whole = min(WINDOW, n)
-                best = max(best, (len(tokens), exact, sum(all(p + k in tokens for k in range(whole)) for p in range(n - whole + 1))))
-                longest = max(longest, len(seed.windows) + width - 1)
-            if best[0] >= share * n or longest >= RUN:
-                out.append((item_id, best[2], best[0] / n, "exact" if best[1] else "reparameterised"))
+            longest = max((len(x.windows) + width - 1 for x in runs), default=0)
+            best = self._best_alignment(runs, width, n)
+            if best[0] >= self.share * n or longest >= RUN:
+                out += [(item_id, best[2], best[0] / n, "exact" if best[1] else "reparameterised") for item_id in ids]
         return sorted(out, key=repr)
 
+    def _best_alignment(self, runs: list[Run], width: int, n: int) -> tuple[int, bool, int]:
+        """(tokens, exact, windows of WINDOW tokens) of the best alignment: each run in turn takes up what agrees with it, nearest diagonals first."""
+        best, tried = (0, False, 0), set()
+        positions = {p for run in runs for p, _ in run.windows}
+        by_diagonal = sorted(runs, key=lambda x: (x.diagonal, -len(x.windows)))
+        diagonals = [x.diagonal for x in by_diagonal]
+        up = [x for x in by_diagonal if len(x.windows) + width - 1 >= WINDOW]
+        down = sorted(up, key=lambda x: (-x.diagonal, -len(x.windows)))
+        ups, downs = [x.diagonal for x in up], [-x.diagonal for x in down]
+        for seed in runs:
+            key = (seed.diagonal, frozenset(x for _, slots in seed.windows for x in slots))
+            if key in tried or best[:2] == (n, True):
+                continue
+            tried.add(key)
+            to, back, good, tokens, exact = {}, {}, set(), set(), True
+            nearest = lambda x, d=seed.diagonal: (abs(x.diagonal - d), -len(x.windows))
+            near = by_diagonal[bisect_left(diagonals, seed.diagonal - NEARBY) : bisect_right(diagonals, seed.diagonal + NEARBY)]
+            below, above = islice(down, bisect_right(downs, NEARBY - seed.diagonal), None), islice(up, bisect_right(ups, seed.diagonal + NEARBY), None)
+            for run in chain([seed], sorted(near, key=nearest), merge(below, above, key=nearest)):
+                # Where every position is taken, no run adds any.
+                if len(good) == len(positions):
+                    break
+                for position, slots in run.windows:
+                    if position not in good and bind(slots, to, back):
+                        good.add(position)
+                        tokens.update(range(position, position + width))
+                        exact &= all(a == b for _, a, b in slots)
+            whole = min(WINDOW, n)
+            best = max(best, (len(tokens), exact, sum(all(p + k in tokens for k in range(whole)) for p in range(n - whole + 1))))
+        return best
+
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
     """Items (item_id, text) in blocks of about BLOCK_TOKENS tokens."""
@@ -300,13 +379,13 @@ def leaks(df: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFram
     schema = f"doc_id long, item_id {id_type.simpleString()}, n_windows long, coverage double, kind string"
     out = spark.createDataFrame([], schema)
     for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Index(block))
+        shared = spark.sparkContext.broadcast(Index(block, share))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             canonical = Canonical(frozenset(index.vocabulary))
             for b in batches:
-                rows = [(doc, *leak) for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True) if text for leak in index.leaks(canonical.template(text), share)]
+                rows = [(doc, *leak) for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True) if text for leak in index.leaks(canonical.template(text))]
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 5
                 types = [pa.int64(), arrow_id, pa.int64(), pa.float64(), pa.string()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "n_windows", "coverage", "kind"])
@@ -318,13 +397,13 @@ def leaks(df: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFram
 def without_leaks(df: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """The rows of df (text, ...) that leak no item, each judged in its place: nothing is joined or shuffled, and rows without an id are judged like others."""
     for block in blocks(benchmark):
-        shared = df.sparkSession.sparkContext.broadcast(Index(block))
+        shared = df.sparkSession.sparkContext.broadcast(Index(block, share))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             canonical = Canonical(frozenset(index.vocabulary))
             for b in batches:
-                clean = [not (text and index.leaks(canonical.template(text), share)) for text in b["text"].to_pylist()]
+                clean = [not (text and index.leaks(canonical.template(text))) for text in b["text"].to_pylist()]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         df = df.mapInArrow(keep, df.schema)
