@@ -1,7 +1,7 @@
 """Shards of near-equal bytes by histogram sort.
 
-Rows are ordered by (hash of the text, id, a tie number of the row), so equal texts are neighbours, and even one row repeated in a third
-of the table can be split between shards. Candidate boundaries are probed in rounds: every partition counts the exact bytes and
+Rows are ordered by (hash of the text, hash of the id, a tie number of the row), so equal texts are neighbours, and one text under many ids, or even one row
+repeated in a third of the table, can be split anywhere: between shards and between the cells that are sorted in one task. Candidate boundaries are probed in rounds: every partition counts the exact bytes and
 rows below each probe, the driver keeps for each wanted splitter the two probes around its target, and the next round probes between
 them. Only the counts of the probes (a number set by the shards, not by the rows) reach the driver. When every splitter is
 within tolerance, the rows are exchanged once, by cells of bounded size inside the shards.
@@ -106,16 +106,51 @@ def splitters(keys: DataFrame, total: int, n_rows: int, shards: int, tolerance:
     return [x[0] for x in best]
 
 
-def cell_bounds(bounds: list[int], total: int, large: list[tuple[int, int, int]], cell_bytes: int) -> list[int]:
-    """The splitters and further boundaries inside the shards: equal widths of the hashed key space, and of the ties of large groups (hash, id, bytes)."""
+def cell_bounds(bounds: list[int], total: int, texts: list[tuple[int, int]], large: list[tuple[int, int, int]], cell_bytes: int) -> list[int]:
+    """The splitters and further boundaries inside the shards: equal widths of the hashed key space, of the hashed ids of large texts (hash, bytes), and of the ties of large groups of equal rows (hash, id, bytes)."""
     out, edges = set(bounds), [0, *bounds, TOP]
     parts = max(1, -(-total // ((len(bounds) + 1) * cell_bytes)))
     for a, z in zip(edges, edges[1:], strict=False):
         out.update(a + (z - a) * k // parts for k in range(1, parts))
+    for key_hash, size in texts:
+        cut = -(-size // cell_bytes)
+        out.update(as_number(key_hash, -(1 << 63)) + (k << 128) // cut for k in range(cut + 1))
     for key_hash, key_id, size in large:
         cut = -(-size // cell_bytes)
-        out.update(as_number(key_hash, key_id, (k << 64) // cut) for k in range(cut))
-    return sorted(out - {0})
+        out.update(as_number(key_hash, key_id) + (k << 64) // cut for k in range(cut + 1))
+    return sorted(out - {0, TOP})
+
+
+def keyed(df: DataFrame, id_col: str, text_col: str, columns: dict[str, str]) -> DataFrame:
+    """A written table of what rows are dealt by (size, text_crc32, key_hash, key_id, tie) and of some columns under new names; written once, as tie numbers must be the same in every job."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return written(
+        df.select(
+            *(F.col(f"`{c}`").alias(k) for c, k in columns.items()),
+            (F.octet_length(text) + 8).cast("long").alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.xxhash64(text).alias("key_hash"),
+            F.xxhash64(F.col(f"`{id_col}`")).alias("key_id"),
+            F.xxhash64(F.monotonically_increasing_id()).alias("tie"),
+        ),
+        "shard-keys",
+    )
+
+
+def cells(keys: DataFrame, shards: int, tolerance: float, cell_bytes: int) -> tuple[list[int], list[int]]:
+    """(splitters of the shards, boundaries of the cells inside and between them)."""
+    total, n_rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    # Groups of a twentieth of a shard or half a cell: their number is bounded by that of the shards and cells.
+    least = max(1, min(total // (20 * shards), cell_bytes // 2))
+    is_large, size = (F.col("bytes") >= least) & (F.col("n") > 1), (F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    texts = [(r["key_hash"], r["bytes"]) for r in keys.groupBy("key_hash").agg(*size).filter(is_large).select("key_hash", "bytes").collect()]
+    large: list[tuple[int, int, int]] = []
+    if texts:
+        few = F.broadcast(keys.sparkSession.createDataFrame([(h,) for h, _ in texts], "key_hash long"))
+        large = [(r["key_hash"], r["key_id"], r["bytes"]) for r in keys.join(few, "key_hash").groupBy("key_hash", "key_id").agg(*size).filter(is_large).collect()]
+    edges = [as_number(h, -(1 << 63)) + t for h, _ in texts for t in (0, 1 << 128)] + [as_number(h, i) + t for h, i, _ in large for t in (0, 1 << 64)]
+    found = splitters(keys, total, n_rows, shards, tolerance, first=[x for x in edges if 0 < x < TOP])
+    return found, cell_bounds(found, total, texts, large, cell_bytes)
 
 
 def histogram_shards(
@@ -127,35 +162,16 @@ def histogram_shards(
     cell_bytes: int = CELL_BYTES,
     columns: list[str] | None = None,
 ) -> DataFrame:
-    """df (or its named columns) with size, text_crc32, shard and slot: `shards` runs of near-equal bytes in the order (text hash, id).
+    """df (or its named columns) with size, text_crc32, shard and slot: `shards` runs of near-equal bytes in the order (text hash, id hash).
 
-    size is the text's UTF-8 bytes plus 8, whatever the text's length; a null text counts as empty, a null id sorts as the smallest. Rows
+    size is the text's UTF-8 bytes plus 8, whatever the text's length; a null text counts as empty, a null id is one like others. Rows
     with the same id and text are ties: they are neighbours, in any order, and may be split between shards. An empty table gives an
     empty result. Other columns pass through under any name; columns named size, text_crc32, shard or slot are replaced.
     """
     rest = [c for c in (columns or df.columns) if c.lower() not in ("size", "text_crc32", "shard", "slot")]
     keep = [f"c{i}" for i in range(len(rest))]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # Written once, as the tie numbers must be the same in every job.
-    keys = written(
-        df.select(
-            *(F.col(f"`{c}`").alias(k) for c, k in zip(rest, keep, strict=True)),
-            (F.octet_length(text) + 8).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(text).alias("key_hash"),
-            F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key_id"),
-            F.xxhash64(F.monotonically_increasing_id()).alias("tie"),
-        ),
-        "shard-keys",
-    )
-    total, n_rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    # Groups of a twentieth of a shard or half a cell: their number is bounded by that of the shards and cells.
-    least = max(1, min(total // (20 * shards), cell_bytes // 2))
-    groups = keys.groupBy("key_hash", "key_id").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).filter((F.col("bytes") >= least) & (F.col("n") > 1))
-    large = [(r["key_hash"], r["key_id"], r["bytes"]) for r in groups.select("key_hash", "key_id", "bytes").collect()]
-    edges = [as_number(h, i) + t for h, i, _ in large for t in (0, 1 << 64)]
-    found = splitters(keys, total, n_rows, shards, tolerance, first=[x for x in edges if 0 < x < TOP])
-    bounds = cell_bounds(found, total, large, cell_bytes)
+    keys = keyed(df, id_col, text_col, dict(zip(rest, keep, strict=True)))
+    found, bounds = cells(keys, shards, tolerance, cell_bytes)
     # Equal splitters leave the shards between them empty: a cell belongs to the last shard that begins at or before it.
     shard_of = np.searchsorted(as_keys(found), as_keys([0, *bounds]), side="right").astype(np.int32)
     shared = df.sparkSession.sparkContext.broadcast((as_keys(bounds), shard_of))
