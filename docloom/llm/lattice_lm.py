@@ -8,8 +8,7 @@ expectation-maximisation over the lattice. All this is learned for each class of
 of a mixture, and a document's marginal probability sums over the components, whichever its own may be.
 
 The corpus is read twice. The first pass counts words in each task and sums them by a shuffle. Every different word is then
-scored once. The second pass sums what each document needs: the `HOT` most frequent words are broadcast (a table of bounded
-size), all others meet their scores by a join on the word.
+scored once. The second pass sums what each document needs: the most frequent words are broadcast (a table of HOT_BYTES), all others meet their scores by a join on the word.
 """
 
 from __future__ import annotations
@@ -25,10 +24,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import byte_words, gathered, pieces, text_bytes, written
 
-#: The most frequent words, broadcast as 64-bit hashes with their count and scores (16 bytes and 8 for each component).
-HOT = 1_000_000
-#: Components of the mixture at most: the most frequent classes have one each, the documents of all others learn one together.
-COMPONENTS = 8
+#: Bytes of the most frequent words, broadcast as 64-bit hashes with their count and scores (16 bytes and 8 for each component); the others are joined.
+HOT_BYTES = 48_000_000
 #: Different words that a task counts before it hands them on.
 COUNTED = 400_000
 ROUNDS = 2
@@ -303,11 +300,12 @@ def _hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter((digest(w) for w in words), np.uint64, len(words))
 
 
-def scores(df: DataFrame, learn, path: str, class_col: str | None = None, hot: int = HOT, rounds: int = ROUNDS, components: int = COMPONENTS) -> DataFrame:
+def scores(df: DataFrame, learn, path: str, class_col: str | None = None, hot: int | None = None, rounds: int = ROUNDS, components: int | None = None) -> DataFrame:
     """(doc_id, learned, n_tokens, n_known, train_tokens, base_score, score) of df (doc_id, text, and class_col if named), a row for each row.
 
     learn is a Column: rows that count for both models (null: they do not). score is the log10 marginal probability of the text's words and its
-    end; base_score that of an add-one word model. Null and empty texts are the end alone; texts of any length are read whole; a null class is a class.
+    end, summed over one component for each class (or over the `components` - 1 most frequent classes and one for all others, if that is given); base_score that of
+    an add-one word model. Null and empty texts are the end alone; texts of any length are read whole; a null class is a class.
     Rows that share a doc_id or have none are scored each. An empty table gives an empty result; without training rows both models
     are their smoothing. Other columns are ignored, so they may have any name.
     """
@@ -315,12 +313,15 @@ def scores(df: DataFrame, learn, path: str, class_col: str | None = None, hot: i
     label = F.coalesce(F.col(class_col).cast("string"), F.lit("")) if class_col else F.lit("")
     own = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), label.alias("label"), "text")
     sizes = own.filter("learn").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.orderBy(F.desc("n"), "label").limit(components - 1).collect()
+    ordered = sizes.orderBy(F.desc("n"), "label")
+    # A row for each class.
+    top = (ordered.limit(components - 1) if components else ordered).collect()
     n_docs = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     names, docs = [r["label"] for r in top], [r["n"] for r in top]
     docs.append(n_docs - sum(docs))
     docs = docs if docs[-1] or len(docs) == 1 else docs[:-1]
     components = len(docs)
+    hot = HOT_BYTES // (16 + 8 * components) if hot is None else hot
     number = F.lit(components - 1)
     for k, name in enumerate(names[:components]):
         number = F.when(F.col("label") == name, k).otherwise(number)

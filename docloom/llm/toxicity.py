@@ -21,26 +21,24 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import byte_words, pieces, text_bytes
 
-#: The sample: labelled rows of each label, by the hash of their id, and tokens of each, in blocks of BLOCK by the hash of their place.
+#: The sample: of each label whole rows in the order of a hash of their id, at most so many, while they have under so many bytes (the first in any case).
 SAMPLE_ROWS = 2000
-SAMPLE_TOKENS = 4096
+FIT_BYTES = 8 << 20
+#: Tokens in a row of the fit; texts are cut into rows with the tokens on both sides.
 BLOCK = 64
-#: Blocks of toxic and of clean documents that the CRF is fitted on.
-FITTED = 16_000
 REJECT_AT = 0.7
 STRIP = b".,!?;:#*$%&|<>\"'()[]{}-_~+="
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 #: Contexts, and root of twice the log-likelihood gain, by which a word or beginning labels tokens of toxic documents at first.
 MIN_CONTEXTS, MIN_ROOT = 4, 4.0
 HEAD, TAIL = 4, 3
-#: Words, beginnings and endings have a weight if so many documents of the sample hold them.
-MIN_DOCS = 15
+#: Words have a weight of their own if so many documents of the sample hold them: a hundredth of it, between these.
+FEWEST_DOCS, MIN_DOCS = 3, 15
 EPOCHS, STEPS, BATCH, RATE, L2 = (10, 5), 250, 256, 0.5, 1e-5
 #: Tokens in a row of the forward-backward recursion over whole texts.
 ROW = 32
@@ -194,11 +192,12 @@ class Sample:
         return np.array([numbers.setdefault(x, len(numbers)) for x in parts], np.int64), list(numbers)
 
     def _kept(self, item_of: np.ndarray) -> np.ndarray:
-        """For each word, the number from 1 of its item if MIN_DOCS documents hold it, else 0."""
+        """For each word, the number from 1 of its item if enough documents hold it, else 0."""
+        least = max(FEWEST_DOCS, min(MIN_DOCS, len(self.documents) // 100))
         found = np.zeros(int(item_of.max(initial=-1)) + 1, np.int64)
         for own in self.documents:
             found[np.unique(item_of[own])] += 1
-        number = np.where(found >= MIN_DOCS, np.cumsum(found >= MIN_DOCS), 0)
+        number = np.where(found >= least, np.cumsum(found >= least), 0)
         return number[item_of] if len(item_of) else item_of
 
     def suspects(self, item_of: np.ndarray) -> np.ndarray:
@@ -295,7 +294,7 @@ def fit(rows, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
     word, before, after, toxic = (np.concatenate([x[i] for x in filled]) for i in range(4))
     labels = suspect[word] & (toxic > 0)[:, None]
     rng = np.random.default_rng(0)
-    chosen = np.sort(np.concatenate([rng.permutation(np.flatnonzero(toxic == y))[:FITTED] for y in (0, 1)]))
+    chosen = np.arange(len(toxic))
     number = np.append(sample.word, 0)
     take = lambda at: [number[word[at]], sample.head[word[at]], sample.tail[word[at]], sample.shape[word[at]], number[before[at]], number[after[at]]]
     for k, epochs in enumerate(EPOCHS):
@@ -381,28 +380,25 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def _sampled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each text, of long ones SAMPLE_TOKENS words in blocks from all over it."""
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each text."""
     for b in batches:
-        out = []
-        for text in text_bytes(b["text"]):
-            words = tokens(text)
-            if len(words) > SAMPLE_TOKENS:
-                starts = sorted(range(0, len(words), BLOCK), key=lambda i: xxhash.xxh3_64_intdigest(i.to_bytes(8, "little")))
-                words = [w for i in sorted(starts[: SAMPLE_TOKENS // BLOCK]) for w in words[i : i + BLOCK]]
-            out.append(b" ".join(w or b"-" for w in words))
+        out = [b" ".join(w or b"-" for w in tokens(text)) for text in text_bytes(b["text"])]
         yield pa.record_batch([b["doc_id"], b["toxic"], pa.array(out, pa.binary())], names=["doc_id", "toxic", "words"])
 
 
-def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model of a bounded sample of the labelled rows outside the held-out third: sample_rows ids of each label, of each SAMPLE_TOKENS tokens."""
+def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
+    """A model of a bounded sample of the labelled rows outside the held-out third: of each label at most sample_rows ids, with whole texts, while they have under fit_bytes bytes."""
     usable = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out())
     n = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     picked = [usable.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for k in (0, 1)]
-    # At most 2 * sample_rows ids, so they may be broadcast.
+    # At most 2 * sample_rows ids, so they may be broadcast, and their sizes fit in a window.
     few = F.broadcast(picked[0].union(picked[1]))
-    texts = documents.select("doc_id", "text").join(few, "doc_id").select("doc_id", "toxic", "text")
-    words = texts.mapInArrow(_sampled_words, f"doc_id {dict(texts.dtypes)['doc_id']}, toxic int, words binary")
+    sizes = documents.select("doc_id", F.octet_length("text").alias("bytes")).join(few, "doc_id").groupBy("doc_id", "toxic").agg(F.coalesce(F.max("bytes"), F.lit(0)).alias("bytes"))
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = sizes.withColumn("before", F.coalesce(F.sum("bytes").over(order), F.lit(0))).filter(F.col("before") < fit_bytes).select("doc_id", "toxic")
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    words = texts.mapInArrow(_words, f"doc_id {dict(texts.dtypes)['doc_id']}, toxic int, words binary")
     # One row for each id, in an order that does not depend on the tasks.
     rows = words.groupBy("doc_id", "toxic").agg(F.min("words").alias("words")).toArrow().sort_by([("doc_id", "ascending")])
     labelled = rows["toxic"].to_pylist()

@@ -276,6 +276,16 @@ def test_components_are_summed(spark):
     assert sum(three.values()) > sum(one.values()) and all(len(x) == 30 for x in (one, two, three))
 
 
+def test_every_class_has_a_component(spark):
+    """Nine languages are nine components: the result does not change with what is the most frequent."""
+    words = ["the of", "und der", "les des", "los las", "och att", "ja ei", "het een", "nie tak", "og det"]
+    df = spark.createDataFrame([(i, f"{words[i % 9]} " * (200 + i % 9), f"l{i % 9}") for i in range(45)], TEXTS + ", lang string")
+    score = lambda k, hot=None: {r["doc_id"]: r["score"] for r in lattice_lm.scores(df, F.lit(True), lattice_lm.default_vocabulary(), "lang", rounds=1, components=k, hot=hot).collect()}
+    whole, nine, eight = score(None, 3), score(9), score(8)
+    assert all(math.isclose(whole[i], nine[i], rel_tol=1e-9) for i in whole)
+    assert all(nine[i] > eight[i] + 5 for i in nine if i % 9 in (7, 8))
+
+
 # 4 packing
 
 
@@ -357,6 +367,23 @@ def test_crf_finds_planted_words(spark):
     assert all(0 <= r["score"] <= 1 for r in toxicity.scored(df, flat).collect()) and toxicity.scored(df.limit(0), flat).count() == 0
 
 
+def test_toxic_words_in_the_middle_of_long_texts(spark):
+    """Whole labelled texts are learned from: here all that is toxic stands in the middle of 20,000 tokens."""
+    rng = random.Random(8)
+    clean = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(60):
+        text = [rng.choice(clean) for _ in range(20_000 if i % 4 == 0 else 200)]
+        if i % 4 == 0:
+            text[10_000:10_000] = [x for _ in range(4) for x in (rng.choice(clean), rng.choice(["vilest", "nasty"]))]
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(i % 4 == 0)))
+    df = spark.createDataFrame(rows, TEXTS)
+    found = toxicity.scored(df, toxicity.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+    assert all(r["predicted"] == (r["doc_id"] % 4 == 0) for r in found)
+    assert {r["text"][s["start"] : s["end"]] for r in found for s in r["spans"]} == {"vilest", "nasty"}
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(3)
     score, move = rng.normal(size=(1, 6)), rng.normal(size=(2, 2))
