@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions import inline
+
 #: Zero-width characters that never reach output text.
 ZERO_WIDTH = "\ufeff\u200b\u200c\u200d"
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -76,12 +78,8 @@ def html_escape(c: Column) -> Column:
 
 
 def plain_text(c: Column) -> Column:
-    """Visible text of inline Markdown: images become their alt text, links their text, code and emphasis their content; zero-widths go."""
-    c = F.regexp_replace(c, r"!?\[([^\]\[]*)\]\([^)]*\)", "$1")
-    c = F.regexp_replace(c, "`+([^`]*)`+", "$1")
-    c = F.regexp_replace(c, r"\*{1,3}([^*]+)\*{1,3}", "$1")
-    c = F.regexp_replace(c, r"[\r\n]+", " ")
-    return F.translate(c, ZERO_WIDTH, "")
+    """Visible text of inline Markdown: images become their alt text, links their text, code and emphasis their content, tags go, breaks are blanks; zero-widths go."""
+    return F.translate(F.regexp_replace(inline.plain_text(c), r"[\r\n]+", " "), ZERO_WIDTH, "")
 
 
 def footnote_plain_title(c: Column) -> Column:
@@ -164,9 +162,7 @@ def parse_param(text: Column) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """The character references that pages use."""
-    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(mark))
-    return c
+    return inline.entities(c)
 
 
 def glob_regex(pattern: str) -> str:

@@ -1,7 +1,7 @@
 """Markdown documents as rows: lines, fences, and the facts that lines hold.
 
-A document's lines are handled as an array of its own row; only what a fact needs is exploded, so none of these
-operators shuffles. Generators are outer ones with a filter on what they made: an inner one would have Catalyst infer a filter on its
+A document's lines are handled as an array of its own row; one pass over them finds what they are (fences, callouts, tables, definitions), and only what a
+fact needs is exploded, so none of these operators shuffles. Generators are outer ones with a filter on what they made: an inner one would have Catalyst infer a filter on its
 array and push copies of the array's whole expression down to the scan. ATX headings and inline links are covered; setext headings and reference links are not.
 """
 
@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions import inline
 from docloom.functions import text as T
+from docloom.functions.blocks import line_marks
+from docloom.functions.yaml_block import mapping_of
 
-TICKS = r"^\s*(`{3,})"
-CALLOUT_QUOTE = r"^ {0,3}> ?\s*\[!([^\]]*?)[+-]*\](.*)$"
-CALLOUT_FENCE = r"^\s*:::\s*(\S+)(.*)$"
-CALLOUT_BANG = r"^\s*!!!\s*(\S+)(.*)$"
 HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
 CJK = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
 OPEN_MARKS, CLOSE_MARKS = "「『（【〔〈《〖〘〚\"'⟨⟪(\\[{", "」』）】〕〉》〗〙〛\"'⟩⟫)\\]}"
@@ -31,70 +30,33 @@ def line_array(text: Column) -> Column:
     return F.transform(kept, lambda x: F.regexp_replace(x, "\r$", ""))
 
 
-#: Kinds of front-matter lines: blank or comment, list item, indented, block text, key alone, key with a value; then the blocks of kinds that are a mapping.
-FM_SKIP = r"^\s*(#.*)?$"
-FM_INDENT = r"^[ \t]+\S"
-FM_ITEM = r"^-(\s.*)?$"
-FM_KEY = r"""("[^"]*"|'[^']*'|[^\s"'#\[\]{}:,&*!|>%@`?-][^:]*)"""
-FM_TEXT = rf"^{FM_KEY}\s*:\s+[|>][0-9+-]*\s*(#.*)?$"
-FM_OPEN = rf"^{FM_KEY}\s*:\s*(#.*)?$"
-FM_FULL = rf"""^{FM_KEY}\s*:\s+("[^"]*"|'[^']*'|\[[^\]]*\]|\{{[^}}]*\}}|[^\s"'\[\]{{}}#&*!|>%@`,]([^:]|:\S)*)\s*(#.*)?$"""
-FM_ENTRY = rf"^{FM_KEY}\s*:(\s.*)?$"
-FM_MAPPING = "^(K[N]*|E[NI]*|S[N]*)+$"
+def front_matter(docs: DataFrame, parse=mapping_of) -> DataFrame:
+    """docs with has_fm, fm (map) and body: a leading --- block goes if it is empty or a YAML mapping. fm has the top-level keys with their scalars, the source of flow
+    collections, and nothing for blocks below a key.
 
-
-def is_mapping(block: Column) -> Column:
-    """Whether the lines of a front-matter block are a YAML mapping, by the kinds of its lines: keys with values on their line, indented or listed below, or as block text."""
-    kind = lambda x: (
-        F.when(x.rlike(FM_SKIP), "").when(x.rlike(FM_INDENT), "N").when(x.rlike(FM_ITEM), "I").when(x.rlike(FM_TEXT), "S").when(x.rlike(FM_OPEN), "E").when(x.rlike(FM_FULL), "K").otherwise("X")
-    )
-    return F.array_join(F.transform(block, kind), "").rlike(FM_MAPPING)
-
-
-def front_matter(docs: DataFrame, is_mapping=is_mapping) -> DataFrame:
-    """docs with has_fm, fm (map) and body: a leading --- block goes if it is empty or a mapping. fm has the top-level keys and what stands on their lines.
-
-    is_mapping takes the block's lines as an array Column; pass one built on a pandas UDF to parse YAML in full.
+    parse takes the block's lines as an array Column and gives a map, null for what is no mapping; only blocks between --- lines reach it.
     """
-    d = docs.withColumn("_lines", line_array(F.regexp_replace("text", "^﻿", "")))
+    d = docs.withColumn("_lines", line_array(F.regexp_replace("text", "^\ufeff", "")))
     ends = F.filter(F.transform("_lines", lambda x, i: F.when((i > 0) & (F.trim(x) == "---"), i)), lambda i: i.isNotNull())
     d = d.withColumn("_end", F.when(F.trim(F.get("_lines", F.lit(0))) == "---", F.get(ends, F.lit(0))))
     d = d.withColumn("_block", F.when(F.col("_end").isNotNull(), F.slice("_lines", F.lit(2), F.greatest(F.col("_end") - 1, F.lit(0)))))
+    d = d.withColumn("_fm", parse(F.col("_block")))
     blank = F.forall("_block", lambda x: T.trim_all(x) == "")
-    d = d.withColumn("has_fm", F.coalesce(blank | is_mapping(F.col("_block")), F.lit(False)))
+    d = d.withColumn("has_fm", F.coalesce(blank | F.col("_fm").isNotNull(), F.lit(False)))
     rest = F.array_join(F.slice("_lines", F.col("_end") + 2, F.greatest(F.size("_lines") - F.col("_end") - 1, F.lit(0))), "\n")
     body = F.when(F.col("has_fm"), F.concat(rest, F.when(F.col("text").endswith("\n") & ~rest.endswith("\n"), "\n").otherwise(""))).otherwise(F.col("text"))
-    keyed = F.filter("_block", lambda x: x.rlike(FM_ENTRY) & ~x.rlike(FM_SKIP))
-    pairs = F.map_from_entries(F.transform(keyed, lambda x: F.struct(F.regexp_extract(x, FM_ENTRY, 1), F.trim(F.regexp_extract(x, FM_ENTRY, 2)))))
     empty = F.create_map().cast("map<string,string>")
-    return d.withColumn("fm", F.when(F.col("has_fm") & ~blank, pairs).otherwise(empty)).withColumn("body", body).select(*docs.columns, "has_fm", "fm", "body")
-
-
-def _fold_fences(lines: Column) -> Column:
-    """Fences as array<struct<a, b, n>>: the opener's and the closer's line (the last line if unclosed) and the opener's backticks."""
-    marks = F.filter(
-        F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.length(F.regexp_extract(x, TICKS, 1)).alias("n"), x.rlike(r"^\s*`+\s*$").alias("bare"))), lambda m: m["n"] >= 3
-    )
-    start = F.struct(F.lit(-1).alias("open"), F.lit(0).alias("n"), F.array().cast("array<struct<a:int,b:int,n:int>>").alias("done"))
-    last = F.size(lines) - 1
-
-    def step(s, m):
-        closes = (s["open"] >= 0) & m["bare"] & (m["n"] == s["n"])
-        return (
-            F.when(s["open"] < 0, F.struct(m["i"].alias("open"), m["n"].alias("n"), s["done"].alias("done")))
-            .when(closes, F.struct(F.lit(-1).alias("open"), F.lit(0).alias("n"), F.concat(s["done"], F.array(F.struct(s["open"].alias("a"), m["i"].alias("b"), s["n"].alias("n")))).alias("done")))
-            .otherwise(s)
-        )
-
-    def finish(s):
-        return F.when(s["open"] >= 0, F.concat(s["done"], F.array(F.struct(s["open"].alias("a"), last.alias("b"), s["n"].alias("n"))))).otherwise(s["done"])
+    return d.withColumn("fm", F.coalesce("_fm", empty)).withColumn("body", body).select(*docs.columns, "has_fm", "fm", "body")
 
-    return F.aggregate(marks, start, step, finish)
 
+def with_marks(docs: DataFrame) -> DataFrame:
+    """docs with lines (array, of the body without front matter), and what one pass over them finds:
 
-def with_fences(docs: DataFrame) -> DataFrame:
-    """docs with lines (array, of the body without front matter) and fences."""
-    return front_matter(docs).withColumn("lines", line_array(F.col("body"))).withColumn("fences", _fold_fences(F.col("lines")))
+    in_fence and in_body (for each line whether it lies in a code fence, and in a ::: or !!! callout), fence_id (its fence by the stricter rule for footnotes, null outside),
+    fences (a, b, closed: first and last line), found (callouts: i, syntax, kind, title, last, depth, parent, body), tables (r, stop: rule and end) and defs (i, stop).
+    """
+    d = front_matter(docs).withColumn("lines", line_array(F.col("body")))
+    return d.withColumn("marks", line_marks("lines")).select(*docs.columns, "lines", "marks.*")
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:
@@ -104,9 +66,8 @@ def explode_lines(docs: DataFrame) -> DataFrame:
 
 def fence_mask(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, in_fence, fence_id): lines of a backtick fence, its marks included; only a line of exactly the opener's backticks closes it."""
-    rows = with_fences(docs).select("doc_id", "fences", F.posexplode_outer("lines").alias("line_no", "line")).filter(F.col("line_no").isNotNull())
-    own = F.filter(F.transform("fences", lambda f, i: F.when(F.col("line_no").between(f["a"], f["b"]), i)), lambda i: i.isNotNull())
-    return rows.select("doc_id", "line_no", "line", (F.size(own) > 0).alias("in_fence"), F.get(own, F.lit(0)).alias("fence_id"))
+    rows = with_marks(docs).select("doc_id", F.posexplode_outer(F.arrays_zip("lines", "fence_id")).alias("line_no", "r")).filter(F.col("line_no").isNotNull())
+    return rows.select("doc_id", "line_no", F.col("r.lines").alias("line"), F.col("r.fence_id").isNotNull().alias("in_fence"), "r.fence_id")
 
 
 def fence_class(info: Column) -> Column:
@@ -123,13 +84,16 @@ def fence_class(info: Column) -> Column:
     )
 
 
+def _info(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"^\s*(`+|~+)", ""))
+
+
 def code_blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, start_line, info, lang, class, n_lines, code) of every fence."""
-    rows = with_fences(docs).select("doc_id", "lines", F.explode_outer("fences").alias("f")).filter(F.col("f").isNotNull())
-    info = F.trim(F.regexp_replace(F.get("lines", F.col("f.a")), "^\\s*`+", ""))
+    """(doc_id, start_line, info, lang, class, n_lines, code) of every fence, of backticks or tildes; a line of as many marks or more closes it."""
+    rows = with_marks(docs).select("doc_id", "lines", F.explode_outer("fences").alias("f")).filter(F.col("f").isNotNull())
+    info = _info(F.get("lines", F.col("f.a")))
     lang = F.lower(F.regexp_extract(info, r"^(\S*)", 1))
-    closed = F.get("lines", F.col("f.b")).rlike(r"^\s*`+\s*$") & (F.col("f.b") > F.col("f.a"))
-    n = F.col("f.b") - F.col("f.a") - F.when(closed, 1).otherwise(0)
+    n = F.col("f.b") - F.col("f.a") - F.when(F.col("f.closed"), 1).otherwise(0)
     code = F.array_join(F.slice("lines", F.col("f.a") + 2, F.greatest(n, F.lit(0))), "\n")
     return rows.select("doc_id", F.col("f.a").alias("start_line"), info.alias("info"), lang.alias("lang"), fence_class(info).alias("class"), n.alias("n_lines"), code.alias("code"))
 
@@ -150,62 +114,31 @@ def diagram_sources(docs: DataFrame, skinparams: str = SKINPARAMS) -> DataFrame:
     return rows.select("doc_id", "start_line", "class", F.when(F.col("class") == "plantuml", plant).when(F.col("class") == "typst", typst).otherwise(code).alias("source"))
 
 
-def _callout_starts(lines: Column) -> Column:
-    """Markers of known kinds as array<struct<i, syntax, kind, title>>."""
-
-    def read(x, i):
-        quote, fence, bang = (F.regexp_extract(x, rx, 1) for rx in (CALLOUT_QUOTE, CALLOUT_FENCE, CALLOUT_BANG))
-        syntax = F.when(quote != "", ">").when(fence != "", ":::").when(bang != "", "!!!")
-        kind = T.canonical_callout_kind(F.when(quote != "", quote).when(fence != "", fence).otherwise(bang))
-        raw = T.trim_all(F.when(quote != "", F.regexp_extract(x, CALLOUT_QUOTE, 2)).when(fence != "", F.regexp_extract(x, CALLOUT_FENCE, 2)).otherwise(F.regexp_extract(x, CALLOUT_BANG, 2)))
-        title = F.when((syntax != ">") & raw.rlike("^\".*\"$|^'.*'$") & (F.length(raw) > 1), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-        return F.struct(i.alias("i"), F.when(kind.isNotNull(), syntax).alias("syntax"), kind.alias("kind"), title.alias("title"))
-
-    return F.filter(F.transform(lines, read), lambda m: m["syntax"].isNotNull())
-
-
 def _first_from(flags: Column, start: Column) -> Column:
     """The number of the first true flag from a position on, the size if there is none."""
     at = F.array_position(F.slice(flags, start + 1, F.greatest(F.size(flags) - start, F.lit(0))), F.lit(True))
     return F.when((start < F.size(flags)) & (at > 0), start + at.cast("int") - 1).otherwise(F.size(flags))
 
 
-def with_callouts(docs: DataFrame) -> DataFrame:
-    """docs with lines, fences and found: array<struct<i, syntax, kind, title, last>>, callouts that do not overlap, last being their last line."""
-    d = with_fences(docs).withColumn("starts", _callout_starts(F.col("lines")))
-    d = d.withColumn("not_quote", F.transform("lines", lambda x: ~x.rlike("^ {0,3}>"))).withColumn("is_end", F.transform("lines", lambda x: F.trim(x) == ":::"))
-    d = d.withColumn("not_inside", F.transform("lines", lambda x: ~x.rlike(r"^[ \t]|^\s*$")))
-
-    def ended(m):
-        size = F.size("lines")
-        quote = _first_from(F.col("not_quote"), m["i"] + 1) - 1
-        fence = F.least(_first_from(F.col("is_end"), m["i"] + 1), size - 1)
-        bang = _first_from(F.col("not_inside"), m["i"] + 1) - 1
-        return F.struct(m["i"].alias("i"), m["syntax"].alias("syntax"), m["kind"].alias("kind"), m["title"].alias("title"), F.when(m["syntax"] == ">", quote).when(m["syntax"] == ":::", fence).otherwise(bang).alias("last"))
-
-    d = d.withColumn("ended", F.transform("starts", ended))
-    empty = F.array().cast("array<struct<i:int,syntax:string,kind:string,title:string,last:int>>")
-    found = F.aggregate("ended", empty, lambda s, m: F.when(m["i"] > F.coalesce(F.get(s, F.size(s) - 1)["last"], F.lit(-1)), F.concat(s, F.array(m))).otherwise(s))
-    return d.withColumn("found", found).select(*docs.columns, "lines", "fences", "found")
-
-
 def _callout_line(syntax: Column, x: Column) -> Column:
     return F.when(syntax == ">", F.regexp_replace(x, "^ {0,3}> ?", "")).when(syntax == "!!!", F.when(x.rlike("^(    |\t)"), F.regexp_replace(x, "^(    |\t)", "")).otherwise(F.regexp_replace(x, r"^\s+", ""))).otherwise(x)
 
 
 def callouts(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, syntax, kind, title, body): three syntaxes, known kinds; the title falls back to the kind's label."""
-    rows = with_callouts(docs).select("doc_id", "lines", F.explode_outer("found").alias("m")).filter(F.col("m").isNotNull())
-    closed = (F.col("m.syntax") == ":::") & (F.trim(F.get("lines", F.col("m.last"))) == ":::") & (F.col("m.last") > F.col("m.i"))
-    n = F.col("m.last") - F.col("m.i") - F.when(closed, 1).otherwise(0)
-    body = F.array_join(F.transform(F.slice("lines", F.col("m.i") + 2, F.greatest(n, F.lit(0))), lambda x: _callout_line(F.col("m.syntax"), x)), "\n")
+    """(doc_id, line_no, syntax, kind, title, body, depth, parent_line): three syntaxes, known kinds; the title falls back to the kind's label.
+
+    A callout's body is read for callouts again: they have its depth plus one and its line as parent_line (null at depth 1). Bodies are read down to depth 8, so one of
+    depth 9 is a row whose body is text.
+    """
+    rows = with_marks(docs).select("doc_id", F.explode_outer("found").alias("m")).filter(F.col("m").isNotNull())
     title = F.when(F.col("m.title") != "", F.col("m.title")).otherwise(T.callout_label(F.col("m.kind")))
-    return rows.select("doc_id", F.col("m.i").alias("line_no"), "m.syntax", "m.kind", title.alias("title"), F.regexp_replace(body, "\n+$", "").alias("body"))
+    return rows.select("doc_id", F.col("m.i").alias("line_no"), "m.syntax", "m.kind", title.alias("title"), "m.body", "m.depth", F.col("m.parent").alias("parent_line"))
 
 
 def callout_tables(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, n_absorbed, body) of callouts that hold a table and are followed by table lines without marker, blank lines between them included."""
-    d = with_callouts(docs).withColumn("table", F.transform("lines", lambda x: x.contains("|")))
+    top = F.filter("found", lambda m: m["depth"] == 1)
+    d = with_marks(docs).withColumn("found", top).withColumn("table", F.transform("lines", lambda x: x.contains("|")))
     d = d.withColumn("stops", F.transform("lines", lambda x: ~x.contains("|") & (T.trim_all(x) != "")))
     rows = d.select("doc_id", "lines", "stops", "table", F.explode_outer("found").alias("m")).filter(F.col("m").isNotNull())
     first = F.col("m.last") + 1
@@ -220,10 +153,6 @@ def callout_tables(docs: DataFrame) -> DataFrame:
     return rows.withColumn("n", n).filter("n > 0").select("doc_id", F.col("m.i").alias("line_no"), F.col("n").alias("n_absorbed"), F.array_join(F.concat(inner, taken), "\n").alias("body"))
 
 
-def _in_fence(i: Column) -> Column:
-    return F.exists("fences", lambda f: i.between(f["a"], f["b"]))
-
-
 def _picked(d: DataFrame, wanted) -> DataFrame:
     """(doc_id, line_no, line) of the lines that wanted(line, line_no) picks; only these are exploded."""
     rows = F.filter(F.transform("lines", lambda x, i: F.when(wanted(x, i), F.struct(i.alias("i"), x.alias("x")))), lambda r: r.isNotNull())
@@ -232,13 +161,12 @@ def _picked(d: DataFrame, wanted) -> DataFrame:
 
 def unfenced_lines(docs: DataFrame, wanted) -> DataFrame:
     """(doc_id, line_no, line) of the lines outside fences that wanted(line) picks."""
-    return _picked(with_fences(docs), lambda x, i: wanted(x) & ~_in_fence(i))
+    return _picked(with_marks(docs), lambda x, i: wanted(x) & ~F.get("in_fence", i))
 
 
 def raw_headings(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, level, text): ATX headings outside fences and the bodies of ::: and !!! callouts."""
-    in_callout = lambda i: F.exists("found", lambda m: (m["syntax"] != ">") & i.between(m["i"], m["last"]))
-    lines = _picked(with_callouts(docs), lambda x, i: x.rlike(HEADING) & ~_in_fence(i) & ~in_callout(i))
+    lines = _picked(with_marks(docs), lambda x, i: F.contains(x, F.lit("#")) & x.rlike(HEADING) & ~F.get("in_fence", i) & ~F.get("in_body", i))
     return lines.select("doc_id", "line_no", F.length(F.regexp_extract("line", HEADING, 1)).alias("level"), T.plain_text(T.trim_all(F.regexp_extract("line", HEADING, 2))).alias("text"))
 
 
@@ -291,9 +219,8 @@ def display_math(docs: DataFrame) -> DataFrame:
     lines = unfenced_lines(docs, lambda x: x.contains("$$"))
     one = T.trim_all(F.regexp_extract(T.trim_all(F.col("line")), r"^\$\$(.*)\$\$$", 1))
     single = lines.filter((one != "") & ~one.contains("$$")).select("doc_id", "line_no", one.alias("expr"), F.lit("inline").alias("form"))
-    d = with_fences(docs)
-    fenced = lambda i: F.exists("fences", lambda f: i.between(f["a"], f["b"]))
-    marks = F.filter(F.transform("lines", lambda x, i: F.when((T.trim_all(x) == "$$") & ~fenced(i), i)), lambda i: i.isNotNull())
+    d = with_marks(docs)
+    marks = F.filter(F.transform("lines", lambda x, i: F.when(F.contains(x, F.lit("$$")) & (T.trim_all(x) == "$$") & ~F.get("in_fence", i), i)), lambda i: i.isNotNull())
     d = d.withColumn("marks", marks)
     pairs = F.filter(F.transform("marks", lambda a, k: F.when((k % 2 == 0) & (k + 1 < F.size("marks")), F.struct(a.alias("a"), F.get("marks", k + 1).alias("b")))), lambda p: p.isNotNull())
     rows = d.select("doc_id", "lines", F.explode_outer(pairs).alias("p")).filter(F.col("p").isNotNull())
@@ -303,38 +230,33 @@ def display_math(docs: DataFrame) -> DataFrame:
     return single.union(blocks).union(fences.filter("expr <> ''"))
 
 
-def md_tables(docs: DataFrame) -> DataFrame:
-    """(doc_id, table_no, row_no, col_no, is_header, align, cell): pipe tables outside fences; alignment from the separator row."""
-    d = with_fences(docs)
-    pipe = F.transform("lines", lambda x, i: x.contains("|") & ~F.exists("fences", lambda f: i.between(f["a"], f["b"])) & ~x.rlike("^ {0,3}>"))
-    d = d.withColumn("no_pipe", F.transform(pipe, lambda x: ~x))
-    rule = r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$"
-    rules = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(rule) & x.contains("|") & (i > 0) & ~F.get("no_pipe", i) & ~F.coalesce(F.get("no_pipe", i - 1), F.lit(True)), i)), lambda i: i.isNotNull())
-    t = d.withColumn("rules", rules).select("doc_id", "lines", "no_pipe", F.posexplode_outer("rules").alias("table_no", "r")).filter(F.col("table_no").isNotNull())
-    t = t.withColumn("end", _first_from(F.col("no_pipe"), F.col("r") + 1))
-    cells = lambda x: F.split(F.regexp_replace(F.regexp_replace(x, r"^\s*\|", ""), r"\|\s*$", ""), r"\|")
-    t = t.withColumn("aligns", F.transform(cells(F.get("lines", F.col("r"))), lambda c: F.when(F.trim(c).rlike("^:-+:$"), "center").when(F.trim(c).rlike("^:-+$"), "left").when(F.trim(c).rlike("^-+:$"), "right").otherwise("none")))
-    rows = F.concat(F.array(F.get("lines", F.col("r") - 1)), F.slice("lines", F.col("r") + 2, F.greatest(F.col("end") - F.col("r") - 1, F.lit(0))))
+def md_tables(docs: DataFrame, pipes_in_code_split: bool = False) -> DataFrame:
+    """(doc_id, table_no, row_no, col_no, is_header, align, cell): pipe tables outside fences; alignment from the separator row. An escaped pipe or one in a code span is text of its cell."""
+    cells = lambda x: inline.cells(x, pipes_in_code_split)
+    t = with_marks(docs).select("doc_id", "lines", F.posexplode_outer("tables").alias("table_no", "t")).filter(F.col("table_no").isNotNull())
+    t = t.withColumn("aligns", F.transform(cells(F.get("lines", F.col("t.r"))), lambda c: F.when(F.trim(c).rlike("^:-+:$"), "center").when(F.trim(c).rlike("^:-+$"), "left").when(F.trim(c).rlike("^-+:$"), "right").otherwise("none")))
+    rows = F.concat(F.array(F.get("lines", F.col("t.r") - 1)), F.slice("lines", F.col("t.r") + 2, F.greatest(F.col("t.stop") - F.col("t.r") - 1, F.lit(0))))
     out = t.select("doc_id", "table_no", "aligns", F.posexplode_outer(rows).alias("row_no", "row")).select("doc_id", "table_no", "row_no", "aligns", F.posexplode_outer(cells(F.col("row"))).alias("col_no", "cell")).filter(F.col("col_no").isNotNull())
     return out.select("doc_id", "table_no", "row_no", "col_no", (F.col("row_no") == 0).alias("is_header"), F.coalesce(F.get("aligns", F.col("col_no")), F.lit("none")).alias("align"), F.trim("cell").alias("cell"))
 
 
-def task_items(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, checked, text) of - [ ] and - [x] items outside fences."""
-    rx = r"^\s*[-*+] \[([ xX])\] (.*)$"
-    lines = unfenced_lines(docs, lambda x: x.rlike(rx))
-    return lines.select("doc_id", "line_no", (F.lower(F.regexp_extract("line", rx, 1)) == "x").alias("checked"), T.trim_all(F.regexp_extract("line", rx, 2)).alias("text"))
+TASK = r"^\s*(?:[-*+]|\d{1,9}[.)])[ \t]+\[([ xX])\][ \t]+(.*)$"
 
 
-LINK = r"(!?)\[([^\]\[]*)\]\(([^()\s]+)(?:\s+\"([^\"]*)\")?\)"
+def task_items(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, checked, text) of - [ ] and 1. [x] items outside fences."""
+    lines = unfenced_lines(docs, lambda x: F.contains(x, F.lit("[")) & x.rlike(TASK))
+    return lines.select("doc_id", "line_no", (F.lower(F.regexp_extract("line", TASK, 1)) == "x").alias("checked"), T.trim_all(F.regexp_extract("line", TASK, 2)).alias("text"))
 
 
 def md_links(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, is_image, text, dest, title): inline links and images outside fences."""
-    lines = unfenced_lines(docs, lambda x: x.contains("]("))
-    found = lines.select("doc_id", "line_no", F.explode_outer(F.regexp_extract_all("line", F.lit(LINK), F.lit(0))).alias("m")).filter(F.col("m").isNotNull())
-    part = lambda k: F.regexp_extract("m", LINK, k)
-    return found.select("doc_id", "line_no", (part(1) == "!").alias("is_image"), part(2).alias("text"), part(3).alias("dest"), part(4).alias("title"))
+    """(doc_id, line_no, is_image, text, dest, title): inline links and images outside fences and code spans; text is what a reader sees (an image's alternative text), also of a link round an image."""
+    lines = unfenced_lines(docs, lambda x: F.contains(x, F.lit("](")))
+    read = lines.withColumn("t", inline.tokens(F.col("line"))).withColumn("k", inline.links(F.col("t")))
+    read = read.withColumn("p", inline.shown(F.col("t"), F.col("k"))).select("doc_id", "line_no", "t", "p", F.explode_outer("k").alias("m")).filter(F.col("m").isNotNull())
+    text = inline.without_emphasis(F.array_join(F.slice("p", F.col("m.a") + 2, F.col("m.b") - F.col("m.a") - 1), ""))
+    target = F.get("t", F.col("m.b"))
+    return read.select("doc_id", "line_no", F.col("m.image").alias("is_image"), F.translate(text, T.ZERO_WIDTH, "").alias("text"), inline.destination(target).alias("dest"), inline.title(target).alias("title"))
 
 
 def block_inventory(docs: DataFrame) -> DataFrame:
@@ -351,7 +273,8 @@ def block_inventory(docs: DataFrame) -> DataFrame:
         .when(x.contains("|"), "table_row")
         .otherwise("paragraph")
     )
-    return fence_mask(docs).select("doc_id", "line_no", kind.alias("block_type"))
+    rows = with_marks(docs).select("doc_id", F.posexplode_outer(F.arrays_zip("lines", "in_fence")).alias("line_no", "r")).filter(F.col("line_no").isNotNull())
+    return rows.select("doc_id", "line_no", F.col("r.lines").alias("line"), "r.in_fence").select("doc_id", "line_no", kind.alias("block_type"))
 
 
 DEF = r"^\s*\[\^([^\]\[:]+)\]\s*[:：]\s*(.*)$"
@@ -359,15 +282,11 @@ DEF = r"^\s*\[\^([^\]\[:]+)\]\s*[:：]\s*(.*)$"
 
 def footnote_defs(docs: DataFrame) -> DataFrame:
     """(doc_id, label, body, line_no, in_fence): definitions with their indented continuation lines; fences do not hide them."""
-    d = with_fences(docs)
-    d = d.withColumn("no_more", F.transform("lines", lambda x: ~x.rlike("^(    |\t)")))
-    starts = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(DEF) & ~x.rlike("^(    |\t)"), i)), lambda i: i.isNotNull())
-    rows = d.select("doc_id", "lines", "fences", "no_more", F.explode_outer(starts).alias("i")).filter(F.col("i").isNotNull())
-    end = _first_from(F.col("no_more"), F.col("i") + 1)
-    first = F.regexp_extract(F.get("lines", F.col("i")), DEF, 2)
-    more = F.transform(F.slice("lines", F.col("i") + 2, F.greatest(end - F.col("i") - 1, F.lit(0))), lambda x: T.trim_all(x))
-    body = F.array_join(F.filter(F.concat(F.array(T.trim_all(first)), more), lambda x: x != ""), "\n")
-    return rows.select("doc_id", F.regexp_extract(F.get("lines", F.col("i")), DEF, 1).alias("label"), body.alias("body"), F.col("i").alias("line_no"), F.exists("fences", lambda f: F.col("i").between(f["a"], f["b"])).alias("in_fence"))
+    rows = with_marks(docs).select("doc_id", "lines", "fence_id", F.explode_outer("defs").alias("f")).filter(F.col("f").isNotNull())
+    line = F.get("lines", F.col("f.i"))
+    more = F.transform(F.slice("lines", F.col("f.i") + 2, F.greatest(F.col("f.stop") - F.col("f.i") - 1, F.lit(0))), lambda x: T.trim_all(x))
+    body = F.array_join(F.filter(F.concat(F.array(T.trim_all(F.regexp_extract(line, DEF, 2))), more), lambda x: x != ""), "\n")
+    return rows.select("doc_id", F.regexp_extract(line, DEF, 1).alias("label"), body.alias("body"), F.col("f.i").alias("line_no"), F.get("fence_id", F.col("f.i")).isNotNull().alias("in_fence"))
 
 
 def footnote_refs(docs: DataFrame) -> DataFrame:
@@ -396,9 +315,9 @@ def footnote_repair(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_stubs): definitions split onto their own paragraphs, spaced and full-width colons made plain, and empty stubs turned into a reference on
     the last line before them that is neither blank nor a definition (unless it has one); fences stay."""
     d = docs.withColumn("lines", line_array(F.col("text")))
-    d = d.withColumn("fences", _fold_fences(F.col("lines")))
+    d = d.withColumn("fence_id", line_marks("lines")["fence_id"])
     rx = r"\[\^([^\]\[:]+)\][ \t]*[:：]"
-    fenced = lambda i: F.exists("fences", lambda f: i.between(f["a"], f["b"]))
+    fenced = lambda i: F.get("fence_id", i).isNotNull()
     split = lambda x: F.split(F.regexp_replace(F.regexp_replace(x, rf"([^ \t])[ \t]*{rx}", "$1\n\n[^$2]:"), rx, "[^$1]:"), "\n")
     d = d.withColumn("rows", F.flatten(F.transform("lines", lambda x, i: F.transform(F.when(fenced(i), F.array(x)).otherwise(split(x)), lambda y: F.struct(y.alias("x"), fenced(i).alias("f"))))))
     is_def = lambda r: ~r["f"] & r["x"].rlike(DEF)
@@ -421,16 +340,16 @@ def footnote_repair(docs: DataFrame) -> DataFrame:
 
 def construct_counts(docs: DataFrame) -> DataFrame:
     """(source, lang, doc_id, kind, n): callouts, formulas, diagrams and footnotes by document, with totals by rollup."""
-    d = with_callouts(docs)
-    infos = F.transform("fences", lambda f: F.trim(F.regexp_replace(F.get("lines", f["a"]), "^\\s*`+", "")))
-    formulas = F.transform(F.transform("lines", lambda x, i: F.when(x.contains("$") & ~_in_fence(i), x)), lambda x: F.when(x.isNotNull(), F.size(_formulas(x))).otherwise(0))
+    d = with_marks(docs)
+    infos = F.transform("fences", lambda f: _info(F.get("lines", f["a"])))
+    formulas = F.transform(F.transform("lines", lambda x, i: F.when(x.contains("$") & ~F.get("in_fence", i), x)), lambda x: F.when(x.isNotNull(), F.size(_formulas(x))).otherwise(0))
     count = lambda kind, n: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"))
     of_class = lambda kind: count(kind, F.size(F.filter(infos, lambda x: fence_class(x) == kind)))
     facts = F.array(
         *(of_class(k) for k in ("mermaid", "plantuml", "typst", "diagram-html")),
         count("callout", F.size("found")),
         count("inline_math", F.aggregate(formulas, F.lit(0), lambda s, x: s + x)),
-        count("footnote", F.size(F.filter("lines", lambda x: x.rlike(DEF) & ~x.rlike("^(    |\t)")))),
+        count("footnote", F.size("defs")),
     )
     counted = d.select("source", "lang", "doc_id", F.explode(facts).alias("f")).select("source", "lang", "doc_id", "f.kind", "f.n").filter("n > 0")
     # Counts by document, then totals by source and language, by source, and of all.

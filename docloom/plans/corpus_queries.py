@@ -230,9 +230,7 @@ _CORPUS = f"source || '/' || (doc_id // {CORPUS_DOCS_EACH})"
 SECTIONS = f"""{Q.HEADINGS},
 first_titles AS (SELECT doc_id, arg_min(text, line_no) AS title FROM headings WHERE level = 1 GROUP BY doc_id),
 sections AS (SELECT {_CORPUS} AS corpus, doc_id AS pos, path, coalesce(title, '') AS title, CASE WHEN doc_id % 4 = 0 THEN lang END AS label, (doc_id % 8)::INT AS level, text AS body FROM docs LEFT JOIN first_titles USING (doc_id))"""
-LINKS = rf"""{Q.HEADINGS},
-link_hits AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '{M.LINK}')) AS m FROM masked WHERE NOT in_fence),
-links AS (SELECT doc_id, line_no, starts_with(m, '!') AS is_image, regexp_extract(m, '{M.LINK}', 3) AS dest FROM link_hits)"""
+LINKS = rf"""{Q.HEADINGS},{Q.LINKS}"""
 _NAME = D.slug("coalesce(title, '')")
 _LAST = D.slug("regexp_extract(rtrim(url, '/'), '([^/]*)$', 1)")
 FILE_NAMES = rf"""{RUN_PAGES},

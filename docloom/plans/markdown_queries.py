@@ -19,32 +19,38 @@ def _line_list(text: str) -> str:
     return f"list_transform(CASE WHEN {parts}[-1] = '' THEN {parts}[:-2] ELSE {parts} END, lambda x: regexp_replace(x, '\\r$', ''))"
 
 
+#: What YAML makes of the corpus's front matter, written by hand; blocks that documents share are lines of a lower-case word and a value.
+_JUDGED = ", ".join(f"({D.q(chr(10).join(lines))}, {'NULL' if fm is None else D.q(fm)})" for lines, fm in X.FRONT_MATTER.values())
 BODY = rf"""{DOCS},
+judged AS (SELECT * FROM (VALUES {_JUDGED}) AS j(block_text, fm_text)),
 cut_lines AS (SELECT *, {_line_list("text")} AS l FROM docs),
 cut_at AS (SELECT *, CASE WHEN trim(l[1]) = '---' THEN list_filter(generate_series(2, len(l)), lambda i: trim(l[i]) = '---')[1] END AS c FROM cut_lines),
 cut_block AS (SELECT *, CASE WHEN c IS NOT NULL THEN l[2:c - 1] END AS block FROM cut_at),
 cut_kinds AS (
-  SELECT *, array_to_string(list_transform(block, lambda x: CASE WHEN regexp_matches(x, {D.q(M.FM_SKIP)}) THEN '' WHEN regexp_matches(x, {D.q(M.FM_INDENT)}) THEN 'N' WHEN regexp_matches(x, {D.q(M.FM_ITEM)}) THEN 'I'
-    WHEN regexp_matches(x, {D.q(M.FM_TEXT)}) THEN 'S' WHEN regexp_matches(x, {D.q(M.FM_OPEN)}) THEN 'E' WHEN regexp_matches(x, {D.q(M.FM_FULL)}) THEN 'K' ELSE 'X' END), '') AS kinds FROM cut_block),
-cut_kind AS (SELECT *, c IS NOT NULL AND (len(list_filter(block, lambda x: trim(x) <> '')) = 0 OR regexp_matches(kinds, {D.q(M.FM_MAPPING)})) AS has_fm FROM cut_kinds),
+  SELECT b.*, CASE WHEN len(list_filter(block, lambda x: trim(x) <> '')) = 0 THEN '' WHEN j.block_text IS NOT NULL THEN j.fm_text
+    WHEN len(list_filter(block, lambda x: NOT regexp_matches(x, '^[a-z]+: [a-z0-9]+$'))) = 0 THEN array_to_string(list_sort(list_transform(block, lambda x: replace(x, ': ', '='))), ',') END AS fm
+  FROM cut_block b LEFT JOIN judged j ON j.block_text = array_to_string(block, {_N})),
+cut_kind AS (SELECT *, c IS NOT NULL AND fm IS NOT NULL AS has_fm FROM cut_kinds),
 bodies AS (
-  SELECT * EXCLUDE (l, c, block, kinds), CASE WHEN has_fm THEN array_to_string(l[c + 1:], {_N}) || CASE WHEN ends_with(text, {_N}) AND NOT ends_with(array_to_string(l[c + 1:], {_N}), {_N}) THEN {_N} ELSE '' END ELSE text END AS body,
-         list_filter(block, lambda x: regexp_matches(x, {D.q(M.FM_ENTRY)}) AND NOT regexp_matches(x, {D.q(M.FM_SKIP)})) AS keyed FROM cut_kind),
+  SELECT * EXCLUDE (l, c, block), CASE WHEN has_fm THEN array_to_string(l[c + 1:], {_N}) || CASE WHEN ends_with(text, {_N}) AND NOT ends_with(array_to_string(l[c + 1:], {_N}), {_N}) THEN {_N} ELSE '' END ELSE text END AS body FROM cut_kind),
 body_lines AS (SELECT doc_id, source, lang, {_line_list("body")} AS l FROM bodies),
 mlines AS (SELECT doc_id, unnest(l) AS line, unnest(generate_series(0, len(l) - 1)) AS line_no FROM body_lines)"""
 
 
-def fences(lines: str = "mlines", name: str = "fences") -> str:
-    """CTEs of fences by walking their marks in order."""
+def fences(lines: str = "mlines", name: str = "fences", code: bool = False) -> str:
+    """CTEs of fences by walking their marks in order: of backticks and closed by exactly as many, or (code) of backticks or tildes and closed by as many or more."""
+    mark = "(`{3,}|~{3,})" if code else "(`{3,})"
+    opens = r"NOT regexp_matches(line, '^\s*`{3,}.*[^`].*`')" if code else "true"
+    closes = "t.c = w.open_c AND t.n >= w.open_n" if code else "t.n = w.open_n"
     return rf"""
 {name}_ticks AS (
-  SELECT doc_id, line_no, length(regexp_extract(line, '^\s*(`{{3,}})', 1)) AS n, regexp_matches(line, '^\s*`+\s*$') AS bare,
-         row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM {lines} WHERE regexp_matches(line, '^\s*`{{3,}}')),
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM (
+    SELECT doc_id, line_no, length(regexp_extract(line, '^\s*{mark}', 1)) AS n, left(ltrim(line), 1) AS c, regexp_matches(line, '^\s*(`+|~+)\s*$') AS bare, {opens} AS opens FROM {lines} WHERE regexp_matches(line, '^\s*{mark}')) WHERE opens),
 {name}_walk AS (
-  SELECT doc_id, k, line_no, n AS open_n, line_no AS open_at, true AS is_open FROM {name}_ticks WHERE k = 1
+  SELECT doc_id, k, line_no, n AS open_n, c AS open_c, line_no AS open_at, true AS is_open FROM {name}_ticks WHERE k = 1
   UNION ALL
-  SELECT t.doc_id, t.k, t.line_no, CASE WHEN w.is_open THEN w.open_n ELSE t.n END, CASE WHEN w.is_open THEN w.open_at ELSE t.line_no END,
-         CASE WHEN w.is_open THEN NOT (t.bare AND t.n = w.open_n) ELSE true END
+  SELECT t.doc_id, t.k, t.line_no, CASE WHEN w.is_open THEN w.open_n ELSE t.n END, CASE WHEN w.is_open THEN w.open_c ELSE t.c END, CASE WHEN w.is_open THEN w.open_at ELSE t.line_no END,
+         CASE WHEN w.is_open THEN NOT (t.bare AND {closes}) ELSE true END
   FROM {name}_walk w JOIN {name}_ticks t ON t.doc_id = w.doc_id AND t.k = w.k + 1),
 {name} AS (
   SELECT w.doc_id, open_at AS a, CASE WHEN bool_or(NOT is_open) THEN max(w.line_no) ELSE any_value(m.last_line) END AS b, bool_or(NOT is_open) AS closed,
@@ -52,34 +58,61 @@ def fences(lines: str = "mlines", name: str = "fences") -> str:
   FROM {name}_walk w JOIN (SELECT doc_id, max(line_no) AS last_line FROM {lines} GROUP BY doc_id) m ON m.doc_id = w.doc_id GROUP BY w.doc_id, open_at)"""
 
 
-FENCED = f"""{BODY},{fences()},
+#: Lines with the fences that footnotes see (masked), and with those of code (coded).
+STRICT = f"""{BODY},{fences()},
 masked AS (SELECT m.*, f.fence_id, f.fence_id IS NOT NULL AS in_fence FROM mlines m LEFT JOIN fences f ON f.doc_id = m.doc_id AND m.line_no BETWEEN f.a AND f.b)"""
+FENCED = f"""{STRICT},{fences(name="code_fences", code=True)},
+coded AS (SELECT m.*, f.fence_id IS NOT NULL AS in_fence FROM mlines m LEFT JOIN code_fences f ON f.doc_id = m.doc_id AND m.line_no BETWEEN f.a AND f.b)"""
 _KIND = "CASE lower(trim({x})) " + " ".join(f"WHEN '{a}' THEN '{k}'" for a, k in ALIAS_KIND.items()) + " END"
+#: Markers of callouts: what stands before the kind, the kind, and the rest of the line.
+_QUOTE, _COLONS, _BANGS = r"^[ ]{0,3}>\s*\[!([a-zA-Z]+)[-+]*\](.*)$", r"^\s*[:]{3}\s*([a-zA-Z]+)(.*)$", r"^\s*[!]{3}\s*([a-zA-Z]+)(.*)$"
 CALLOUTS = rf"""
 marks AS (
-  SELECT doc_id, line_no, line, regexp_extract(line, '{M.CALLOUT_QUOTE}', 1) AS kq, regexp_extract(line, '{M.CALLOUT_FENCE}', 1) AS kf, regexp_extract(line, '{M.CALLOUT_BANG}', 1) AS kb FROM mlines),
+  SELECT doc_id, line_no, line, regexp_extract(line, '{_QUOTE}', 1) AS kq, regexp_extract(line, '{_COLONS}', 1) AS kf, regexp_extract(line, '{_BANGS}', 1) AS kb FROM mlines),
 starts AS (
   SELECT doc_id, line_no AS i, CASE WHEN kq <> '' THEN '>' WHEN kf <> '' THEN ':::' ELSE '!!!' END AS syntax, {_KIND.format(x="CASE WHEN kq <> '' THEN kq WHEN kf <> '' THEN kf ELSE kb END")} AS kind,
-         {D.trim(f"CASE WHEN kq <> '' THEN regexp_extract(line, '{M.CALLOUT_QUOTE}', 2) WHEN kf <> '' THEN regexp_extract(line, '{M.CALLOUT_FENCE}', 2) ELSE regexp_extract(line, '{M.CALLOUT_BANG}', 2) END")} AS title
+         {D.trim(f"CASE WHEN kq <> '' THEN regexp_extract(line, '{_QUOTE}', 2) WHEN kf <> '' THEN regexp_extract(line, '{_COLONS}', 2) ELSE regexp_extract(line, '{_BANGS}', 2) END")} AS title
   FROM marks WHERE kq <> '' OR kf <> '' OR kb <> ''),
 ends AS (
   SELECT s.*, (SELECT max(line_no) FROM mlines m WHERE m.doc_id = s.doc_id) AS last_line,
     (SELECT min(line_no) FROM mlines m WHERE m.doc_id = s.doc_id AND m.line_no > s.i AND CASE s.syntax WHEN '>' THEN NOT regexp_matches(m.line, '^ {{0,3}}>') WHEN ':::' THEN trim(m.line) = ':::' ELSE NOT regexp_matches(m.line, '^[ \t]|^\s*$') END) AS stop
   FROM starts s WHERE kind IS NOT NULL),
-found AS (SELECT *, CASE WHEN syntax = ':::' THEN coalesce(stop, last_line) ELSE coalesce(stop - 1, last_line) END AS last, CASE WHEN syntax = ':::' THEN coalesce(stop - 1, last_line) ELSE coalesce(stop - 1, last_line) END AS last_body FROM ends)"""
+found AS (SELECT *, CASE WHEN syntax = ':::' THEN coalesce(stop, last_line) ELSE coalesce(stop - 1, last_line) END AS last, CASE WHEN syntax = ':::' THEN coalesce(stop - 1, last_line) ELSE coalesce(stop - 1, last_line) END AS last_body, 1 AS depth, NULL::INT AS parent FROM ends)"""
+
+
+def _level(k: int) -> str:
+    """CTEs of the quotes at depth k: those that begin in the bodies of the quotes one level up."""
+    up, lines = ("found", "mlines") if k == 2 else (f"found{k - 1}", f"inner{k - 1}")
+    same = "" if k == 2 else " AND m.parent = f.parent"
+    return rf"""
+inner{k} AS (SELECT m.doc_id, f.i AS parent, m.line_no, regexp_replace(m.line, '^ {{0,3}}> ?', '') AS line FROM {lines} m JOIN {up} f ON f.doc_id = m.doc_id AND m.line_no > f.i AND m.line_no <= f.last{same} WHERE f.syntax = '>'),
+found{k} AS (
+  SELECT s.doc_id, line_no AS i, '>' AS syntax, {_KIND.format(x=f"regexp_extract(line, '{_QUOTE}', 1)")} AS kind, {D.trim(f"regexp_extract(line, '{_QUOTE}', 2)")} AS title,
+    coalesce((SELECT min(m.line_no) - 1 FROM inner{k} m WHERE m.doc_id = s.doc_id AND m.parent = s.parent AND m.line_no > s.line_no AND NOT regexp_matches(m.line, '^ {{0,3}}>')), (SELECT max(m.line_no) FROM inner{k} m WHERE m.doc_id = s.doc_id AND m.parent = s.parent)) AS last, {k} AS depth, parent
+  FROM inner{k} s WHERE regexp_matches(line, '{_QUOTE}'))"""
+
+
+_DEPTHS = range(2, 10)
+NESTED = f"""{CALLOUTS},{",".join(map(_level, _DEPTHS))},
+bodies1 AS (SELECT f.doc_id, f.i, f.depth, string_agg({{strip}}, {_N} ORDER BY m.line_no) AS body FROM found f JOIN mlines m ON m.doc_id = f.doc_id AND m.line_no > f.i AND m.line_no <= f.last_body GROUP BY ALL),
+inner_bodies AS ({" UNION ALL ".join(f"SELECT f.doc_id, f.i, f.depth, string_agg(regexp_replace(m.line, '^ {{0,3}}> ?', ''), {_N} ORDER BY m.line_no) AS body FROM found{k} f JOIN inner{k} m ON m.doc_id = f.doc_id AND m.parent = f.parent AND m.line_no > f.i AND m.line_no <= f.last GROUP BY ALL" for k in _DEPTHS)}),
+all_found AS (SELECT doc_id, i, syntax, kind, title, depth, parent FROM found {" ".join(f"UNION ALL SELECT doc_id, i, syntax, kind, title, depth, parent FROM found{k}" for k in _DEPTHS)}),
+all_bodies AS (SELECT * FROM bodies1 UNION ALL SELECT * FROM inner_bodies)"""
 _STRIP = r"CASE syntax WHEN '>' THEN regexp_replace(line, '^ {0,3}> ?', '') WHEN '!!!' THEN CASE WHEN regexp_matches(line, '^(    |\t)') THEN regexp_replace(line, '^(    |\t)', '') ELSE regexp_replace(line, '^\s+', '') END ELSE line END"
+NESTED = NESTED.replace("{strip}", _STRIP.replace("line", "m.line"))
 OPEN = f"""{FENCED},{CALLOUTS},
-opened AS (SELECT *, EXISTS (SELECT 1 FROM found f WHERE f.doc_id = masked.doc_id AND f.syntax <> '>' AND masked.line_no BETWEEN f.i AND f.last) AS in_callout FROM masked)"""
+opened AS (SELECT *, EXISTS (SELECT 1 FROM found f WHERE f.doc_id = coded.doc_id AND f.syntax <> '>' AND coded.line_no BETWEEN f.i AND f.last) AS in_callout FROM coded)"""
+_HEADING = r"^[ ]{0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$"
 HEADINGS = rf"""{OPEN},
 raw_headings AS (
-  SELECT doc_id, line_no, length(regexp_extract(line, '{M.HEADING}', 1)) AS level, {D.plain(D.trim(f"regexp_extract(line, '{M.HEADING}', 2)"))} AS text
-  FROM opened WHERE NOT in_fence AND NOT in_callout AND regexp_matches(line, '{M.HEADING}')),
+  SELECT doc_id, line_no, length(regexp_extract(line, '{_HEADING}', 1)) AS level, {D.plain(D.trim(f"regexp_extract(line, '{_HEADING}', 2)"))} AS text
+  FROM opened WHERE NOT in_fence AND NOT in_callout AND regexp_matches(line, '{_HEADING}')),
 slugged AS (SELECT *, CASE WHEN {D.slug('text')} = '' THEN 'heading' ELSE {D.slug('text')} END AS slug FROM raw_headings),
 headings AS (
   SELECT *, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY line_no) AS n FROM slugged))"""
 BLOCKS = rf"""{FENCED},
 infos AS (
-  SELECT f.*, trim(regexp_replace(m.line, '^\s*`+', '')) AS info FROM fences f JOIN mlines m ON m.doc_id = f.doc_id AND m.line_no = f.a),
+  SELECT f.*, trim(regexp_replace(m.line, '^\s*(`+|~+)', '')) AS info FROM code_fences f JOIN mlines m ON m.doc_id = f.doc_id AND m.line_no = f.a),
 blocks AS (
   SELECT i.doc_id, i.a AS start_line, i.info, lower(regexp_extract(i.info, '^(\S*)', 1)) AS lang, (i.b - i.a - i.closed::INT)::INT AS n_lines,
          coalesce((SELECT string_agg(m.line, {_N} ORDER BY m.line_no) FROM mlines m WHERE m.doc_id = i.doc_id AND m.line_no > i.a AND m.line_no <= i.b - i.closed::INT), '') AS code FROM infos i),
@@ -99,6 +132,32 @@ REFS = r"""
 refs AS (
   SELECT doc_id, line_no, regexp_extract(m, '\^([^\]]+)', 1) AS label
   FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '\[\^([^\]\[:]+)\](:?)')) AS m FROM mlines) WHERE NOT ends_with(m, ':'))"""
+#: Links by rewriting: what is escaped or code is blotted out, then the first bracket pair that holds no other is taken, again and again. A link becomes as many
+#: characters of chr(2), anything else of chr(1), so places stay; a pair with a target that holds a link is none, unless it is an image.
+_TARGET = r"""\((?:\s*<[^<>]*>|\s*[^()<\s]*(?:\([^()\s]*\)[^()\s]*)*)?(?:\s+(?:"[^"]*"|''[^'']*''|\([^()]*\)))?\s*\)"""
+_PAIR = rf"!?\[[^\[\]]*\](?:{_TARGET})?"
+LINKS = rf"""
+ticked AS (
+  SELECT doc_id, line_no, line, regexp_extract_all(regexp_replace(line, '\\[!-/:-@\[-`{{-~]', chr(1) || chr(1), 'g'), '`+|[^`]+') AS p FROM coded WHERE NOT in_fence AND contains(line, '](')),
+unticked AS (
+  SELECT doc_id, line_no, line, p, 1 AS k, '' AS m FROM ticked
+  UNION ALL
+  SELECT doc_id, line_no, line, p, k + 1 + j, m || CASE WHEN j > 0 THEN repeat(chr(1), length(array_to_string(p[k:k + j], ''))) ELSE p[k] END
+  FROM (SELECT *, CASE WHEN starts_with(p[k], '`') THEN coalesce(list_position(p[k + 1:], p[k]), 0) ELSE 0 END AS j FROM unticked WHERE k <= len(p))),
+blotted AS (SELECT doc_id, line_no, line, m FROM unticked WHERE k > len(p)),
+rewritten AS (
+  SELECT doc_id, line_no, line, m, 0 AS step, NULL::VARCHAR AS hit, 0 AS place FROM blotted
+  UNION ALL
+  SELECT doc_id, line_no, line, left(m, strpos(m, h) - 1) || repeat(CASE WHEN ends_with(h, ')') AND (NOT starts_with(h, '!') AND NOT contains(h, chr(2))) THEN chr(2) WHEN contains(h, chr(2)) THEN chr(2) ELSE chr(1) END, length(h)) || substr(m, strpos(m, h) + length(h)), step + 1, h, strpos(m, h)
+  FROM (SELECT *, regexp_extract(m, '{_PAIR}') AS h FROM rewritten) WHERE h <> ''),
+hits AS (
+  SELECT doc_id, line_no, starts_with(hit, '!') AS is_image, substr(line, place, length(hit)) AS whole, strpos(hit, '](') AS cut FROM rewritten
+  WHERE step > 0 AND ends_with(hit, ')') AND contains(hit, '](') AND (starts_with(hit, '!') OR NOT contains(hit, chr(2)))),
+parts AS (
+  SELECT doc_id, line_no, is_image, substr(whole, CASE WHEN is_image THEN 3 ELSE 2 END, cut - CASE WHEN is_image THEN 3 ELSE 2 END) AS inside, trim(substr(whole, cut + 2, length(whole) - cut - 2)) AS target FROM hits),
+titled AS (SELECT *, regexp_extract(target, '(?:^|\s)("[^"]*"|''[^'']*''|\([^()]*\))$', 1) AS quoted FROM parts),
+links AS (
+  SELECT doc_id, line_no, is_image, {D.plain('inside')} AS text, regexp_replace(trim(left(target, length(target) - length(quoted))), '^<(.*)>$', '\1') AS dest, CASE WHEN quoted = '' THEN '' ELSE quoted[2:-2] END AS title FROM titled)"""
 _NUMBER = r"CASE WHEN regexp_matches(label, '^\d{1,10}$') AND TRY_CAST(label AS BIGINT) < 4294967296 THEN TRY_CAST(label AS BIGINT) END"
 MATH = rf"""
 math_parts AS (
@@ -148,15 +207,14 @@ _CELLS = r"string_split(regexp_replace(regexp_replace({x}, '^\s*\|', ''), '\|\s*
 _REPAIR_RX = r"\[\^([^\]\[:]+)\][ \t]*[:：]"
 ORACLES = {
     "front_matter": rf"""WITH {BODY}
-SELECT doc_id, has_fm, body, CASE WHEN has_fm THEN coalesce(array_to_string(list_sort(list_transform(keyed, lambda x: regexp_extract(x, {D.q(M.FM_ENTRY)}, 1) || '=' || trim(regexp_extract(x, {D.q(M.FM_ENTRY)}, 2)))), ','), '') ELSE '' END AS fm FROM bodies""",
+SELECT doc_id, has_fm, body, coalesce(fm, '') AS fm FROM bodies""",
     "explode_lines": f"WITH {BODY} SELECT doc_id, line_no, line FROM mlines",
-    "fence_mask": f"WITH RECURSIVE {FENCED} SELECT doc_id, line_no, line, in_fence, fence_id FROM masked",
+    "fence_mask": f"WITH RECURSIVE {STRICT} SELECT doc_id, line_no, line, in_fence, fence_id FROM masked",
     "headings": f"WITH RECURSIVE {HEADINGS} SELECT doc_id, line_no, level, text, id FROM headings",
     "heading_ids": f"WITH RECURSIVE {HEADINGS} SELECT doc_id, line_no, level, text, slug, id FROM headings",
-    "callouts": rf"""WITH {BODY},{CALLOUTS}
-SELECT f.doc_id, i AS line_no, syntax, kind, CASE WHEN syntax <> '>' AND regexp_matches(title, '^".*"$') THEN title[2:-2] WHEN title <> '' THEN title ELSE upper(kind[1]) || kind[2:] END AS title,
-  regexp_replace(coalesce((SELECT string_agg({_STRIP}, {_N} ORDER BY line_no) FROM mlines m WHERE m.doc_id = f.doc_id AND m.line_no > f.i AND m.line_no <= f.last_body), ''), '\n+$', '') AS body
-FROM found f""",
+    "callouts": rf"""WITH {BODY},{NESTED}
+SELECT f.doc_id, f.i AS line_no, syntax, kind, CASE WHEN syntax <> '>' AND regexp_matches(title, '^".*"$') THEN title[2:-2] WHEN title <> '' THEN title ELSE upper(kind[1]) || kind[2:] END AS title,
+  regexp_replace(coalesce(body, ''), '\n+$', '') AS body, f.depth, parent::INT AS parent_line FROM all_found f LEFT JOIN all_bodies b ON b.doc_id = f.doc_id AND b.i = f.i AND b.depth = f.depth""",
     "callout_tables": rf"""WITH {BODY},{CALLOUTS},
 piped AS (SELECT *, contains(line, '|') AS is_table, {D.trim('line')} <> '' AS filled FROM mlines),
 next_filled AS (SELECT *, coalesce(first_value(CASE WHEN filled THEN is_table END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS next_table FROM piped),
@@ -166,11 +224,11 @@ sized AS (SELECT h.*, coalesce((SELECT min(line_no) FROM stops s WHERE s.doc_id
 SELECT doc_id, i AS line_no, n::INT AS n_absorbed,
   (SELECT string_agg(CASE WHEN m.line_no <= z.last THEN {_STRIP.replace('line', 'm.line')} ELSE {D.trim('m.line')} END, {_N} ORDER BY m.line_no) FROM mlines m WHERE m.doc_id = z.doc_id AND m.line_no > z.i AND m.line_no <= z.last + z.n) AS body
 FROM sized z WHERE n > 0""",
-    "canonical_callout_kind": f"WITH {BODY},{CALLOUTS} SELECT kind, count(*) AS n, upper(kind[1]) || kind[2:] AS label FROM found GROUP BY kind",
-    "footnote_defs": f"WITH RECURSIVE {FENCED},{DEFS} SELECT doc_id, label, body, line_no, in_fence FROM defs",
+    "canonical_callout_kind": f"WITH {BODY},{NESTED} SELECT kind, count(*) AS n, upper(kind[1]) || kind[2:] AS label FROM all_found GROUP BY kind",
+    "footnote_defs": f"WITH RECURSIVE {STRICT},{DEFS} SELECT doc_id, label, body, line_no, in_fence FROM defs",
     "footnote_refs": f"WITH {BODY},{REFS} SELECT doc_id, line_no, label FROM refs",
-    "footnote_first_wins": f"WITH RECURSIVE {FENCED},{DEFS} SELECT * FROM first_defs",
-    "footnote_sort": f"WITH RECURSIVE {FENCED},{DEFS} SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_NUMBER} NULLS LAST, label)::INT AS rank FROM first_defs",
+    "footnote_first_wins": f"WITH RECURSIVE {STRICT},{DEFS} SELECT * FROM first_defs",
+    "footnote_sort": f"WITH RECURSIVE {STRICT},{DEFS} SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_NUMBER} NULLS LAST, label)::INT AS rank FROM first_defs",
     "footnote_repair": rf"""WITH RECURSIVE {DOCS},
 whole AS (SELECT doc_id, {_line_list('text')} AS l FROM docs),
 wlines AS (SELECT doc_id, unnest(l) AS line, unnest(generate_series(0, len(l) - 1)) AS line_no FROM whole),{fences('wlines', 'wf')},
@@ -191,8 +249,8 @@ FROM done d JOIN docs USING (doc_id) GROUP BY d.doc_id""",
 SELECT doc_id, start_line, class, CASE class WHEN 'plantuml' THEN '@startuml' || {_N} || '{M.SKINPARAMS}' || {_N} || c || {_N} || '@enduml'
   WHEN 'typst' THEN '#set page(width: auto, height: auto, margin: 8pt)' || {_N} || c || {_N} ELSE c END AS source FROM t""",
     "display_math": rf"""WITH RECURSIVE {BLOCKS},
-singles AS (SELECT doc_id, line_no, {D.trim(f"regexp_extract({D.trim('line')}, '^" + chr(92) + "$" + chr(92) + "$(.*)" + chr(92) + "$" + chr(92) + "$$', 1)")} AS expr FROM masked WHERE NOT in_fence),
-dollars AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM masked WHERE NOT in_fence AND {D.trim('line')} = '$$'),
+singles AS (SELECT doc_id, line_no, {D.trim(f"regexp_extract({D.trim('line')}, '^" + chr(92) + "$" + chr(92) + "$(.*)" + chr(92) + "$" + chr(92) + "$$', 1)")} AS expr FROM coded WHERE NOT in_fence),
+dollars AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM coded WHERE NOT in_fence AND {D.trim('line')} = '$$'),
 pairs AS (SELECT x.doc_id, x.line_no AS a, y.line_no AS b FROM dollars x JOIN dollars y ON y.doc_id = x.doc_id AND y.k = x.k + 1 WHERE x.k % 2 = 1),
 inner_of AS (SELECT p.doc_id, p.a AS line_no, {D.trim(f"string_agg(m.line, {_N} ORDER BY m.line_no)")} AS expr FROM pairs p JOIN mlines m ON m.doc_id = p.doc_id AND m.line_no > p.a AND m.line_no < p.b GROUP BY 1, 2)
 SELECT doc_id, line_no, expr, 'inline' AS form FROM singles WHERE expr <> '' AND NOT contains(expr, '$$')
@@ -200,29 +258,32 @@ UNION ALL SELECT doc_id, line_no, expr, 'block' FROM inner_of WHERE expr <> ''
 UNION ALL SELECT doc_id, start_line, {D.trim('code')}, 'fence' FROM classed WHERE class = 'math' AND {D.trim('code')} <> ''""",
     "inline_math_candidates": f"WITH RECURSIVE {OPEN},{MATH} SELECT doc_id, line_no, pos::INT AS pos, expr FROM formulas",
     "md_tables": rf"""WITH RECURSIVE {FENCED},
-flags AS (SELECT *, contains(line, '|') AND NOT in_fence AND NOT regexp_matches(line, '^ {{0,3}}>') AS pipe FROM masked),
+flags AS (SELECT *, contains(line, '|') AND NOT in_fence AND NOT regexp_matches(line, '^ {{0,3}}>') AS pipe FROM coded),
 near AS (SELECT *, lag(pipe) OVER w AS before, lag(line) OVER w AS head FROM flags WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
 rules AS (SELECT doc_id, line_no AS r, line AS rule, head, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS table_no FROM near WHERE pipe AND before AND regexp_matches(line, '{_RULE}')),
-spans AS (SELECT r.*, coalesce((SELECT min(line_no) FROM flags f WHERE f.doc_id = r.doc_id AND f.line_no > r.r AND NOT pipe), 1000000000) AS stop FROM rules r),
+table_spans AS (SELECT r.*, coalesce((SELECT min(line_no) FROM flags f WHERE f.doc_id = r.doc_id AND f.line_no > r.r AND NOT pipe), 1000000000) AS stop FROM rules r),
 trows AS (
-  SELECT doc_id, table_no, 0 AS row_no, rule, head AS x FROM spans
-  UNION ALL SELECT s.doc_id, table_no, row_number() OVER (PARTITION BY s.doc_id, table_no ORDER BY line_no), rule, line FROM spans s JOIN flags f ON f.doc_id = s.doc_id AND f.line_no > s.r AND f.line_no < s.stop),
-cells AS (SELECT doc_id, table_no, row_no, {_CELLS.format(x='rule')} AS a, unnest({_CELLS.format(x='x')}) AS cell, unnest(generate_series(0, len({_CELLS.format(x='x')}) - 1)) AS col_no FROM trows)
+  SELECT doc_id, table_no, 0 AS row_no, rule, head AS x FROM table_spans
+  UNION ALL SELECT s.doc_id, table_no, row_number() OVER (PARTITION BY s.doc_id, table_no ORDER BY line_no), rule, line FROM table_spans s JOIN flags f ON f.doc_id = s.doc_id AND f.line_no > s.r AND f.line_no < s.stop),
+hidden AS (SELECT doc_id, table_no, row_no, rule, replace(x, '\|', chr(3)) AS x FROM trows),
+-- A pipe is text where the code spans around it are paired: two ticks as long as each other, counted from the left.
+spans AS (SELECT *, regexp_extract_all(x, '``[^`]+`[^`]+``|``[^`]+``|`[^`]+`') AS codes FROM hidden),
+masked_rows AS (SELECT * EXCLUDE (x), list_reduce(list_prepend(x, codes), lambda acc, c: replace(acc, c, replace(c, '|', chr(3)))) AS x FROM spans),
+cells AS (SELECT doc_id, table_no, row_no, {_CELLS.format(x='rule')} AS a, replace(unnest({_CELLS.format(x='x')}), chr(3), '|') AS cell, unnest(generate_series(0, len({_CELLS.format(x='x')}) - 1)) AS col_no FROM masked_rows)
 SELECT doc_id, table_no::INT AS table_no, row_no::INT AS row_no, col_no::INT AS col_no, row_no = 0 AS is_header,
   CASE WHEN regexp_matches(trim(a[col_no + 1]), '^:-+:$') THEN 'center' WHEN regexp_matches(trim(a[col_no + 1]), '^:-+$') THEN 'left' WHEN regexp_matches(trim(a[col_no + 1]), '^-+:$') THEN 'right' ELSE 'none' END AS align, trim(cell) AS cell FROM cells""",
-    "task_items": rf"""WITH RECURSIVE {FENCED} SELECT doc_id, line_no, lower(regexp_extract(line, '^\s*[-*+] \[([ xX])\] (.*)$', 1)) = 'x' AS checked, {D.trim(r"regexp_extract(line, '^\s*[-*+] \[([ xX])\] (.*)$', 2)")} AS text
-FROM masked WHERE NOT in_fence AND regexp_matches(line, '^\s*[-*+] \[[ xX]\] ')""",
-    "md_links": rf"""WITH RECURSIVE {FENCED}, hits AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '{M.LINK}')) AS m FROM masked WHERE NOT in_fence)
-SELECT doc_id, line_no, starts_with(m, '!') AS is_image, regexp_extract(m, '{M.LINK}', 2) AS text, regexp_extract(m, '{M.LINK}', 3) AS dest, regexp_extract(m, '{M.LINK}', 4) AS title FROM hits""",
-    "block_inventory": rf"""WITH RECURSIVE {FENCED} SELECT doc_id, line_no, CASE WHEN in_fence THEN 'fence' WHEN regexp_matches(line, '^\s*$') THEN 'blank' WHEN regexp_matches(line, '{M.HEADING}') THEN 'heading'
+    "task_items": rf"""WITH RECURSIVE {FENCED}, bulleted AS (SELECT doc_id, line_no, regexp_replace(ltrim(line), '^([-*+]|[0-9]+[.)]) +', chr(1)) AS x FROM coded WHERE NOT in_fence)
+SELECT doc_id, line_no, lower(x[3]) = 'x' AS checked, {D.trim("x[5:]")} AS text FROM bulleted WHERE x[1] = chr(1) AND x[2] = '[' AND x[3] IN (' ', 'x', 'X') AND x[4] = ']' AND x[5] = ' '""",
+    "md_links": f"WITH RECURSIVE {FENCED},{LINKS} SELECT * FROM links",
+    "block_inventory": rf"""WITH RECURSIVE {FENCED} SELECT doc_id, line_no, CASE WHEN in_fence THEN 'fence' WHEN regexp_matches(line, '^\s*$') THEN 'blank' WHEN regexp_matches(line, '{_HEADING}') THEN 'heading'
   WHEN regexp_matches(line, '^ {{0,3}}>') THEN 'blockquote' WHEN regexp_matches(line, '^ {{0,3}}([-*_])( *[-*_]){{2,}} *$') THEN 'rule' WHEN regexp_matches(line, '^\s*[-*+] ') THEN 'list_item'
-  WHEN regexp_matches(line, '^\s*\d+[.)] ') THEN 'ordered_item' WHEN contains(line, '|') THEN 'table_row' ELSE 'paragraph' END AS block_type FROM masked""",
+  WHEN regexp_matches(line, '^\s*\d+[.)] ') THEN 'ordered_item' WHEN contains(line, '|') THEN 'table_row' ELSE 'paragraph' END AS block_type FROM coded""",
     "cjk_emphasis_repair": rf"""WITH {DOCS}, fixed AS (SELECT doc_id, text, regexp_replace(text, '」(\*{{1,3}})([{M.CJK}])', '」' || chr(8203) || '\1\2', 'g') AS t FROM docs)
 SELECT doc_id, regexp_replace(t, '([{M.CJK}])(\*{{1,3}})「', '\1\2' || chr(8203) || '「', 'g') AS text, (len(regexp_extract_all(text, '」\*{{1,3}}[{M.CJK}]')) + len(regexp_extract_all(t, '[{M.CJK}]\*{{1,3}}「')))::INT AS n_fixes FROM fixed""",
-    "construct_counts": f"""WITH RECURSIVE {BLOCKS},{CALLOUTS},
-opened AS (SELECT *, false AS in_callout FROM masked),{MATH},{DEFS},
+    "construct_counts": f"""WITH RECURSIVE {BLOCKS},{NESTED},
+opened AS (SELECT *, false AS in_callout FROM coded),{MATH},{DEFS},
 facts AS (
-  SELECT doc_id, class AS kind FROM classed WHERE class IN ('mermaid', 'plantuml', 'typst', 'diagram-html') UNION ALL SELECT doc_id, 'callout' FROM found
+  SELECT doc_id, class AS kind FROM classed WHERE class IN ('mermaid', 'plantuml', 'typst', 'diagram-html') UNION ALL SELECT doc_id, 'callout' FROM all_found
   UNION ALL SELECT doc_id, 'inline_math' FROM formulas UNION ALL SELECT doc_id, 'footnote' FROM defs)
 SELECT source, lang, doc_id, kind, count(*) AS n FROM facts JOIN docs USING (doc_id) GROUP BY GROUPING SETS ((source, lang, doc_id, kind), (source, lang, kind), (source, kind), (kind))""",
 }

@@ -25,12 +25,33 @@ def _when(condition: str, *lines: str) -> str:
     return f"CASE WHEN {condition} THEN {_lines(*lines)} ELSE '' END"
 
 
+def _text(line: str) -> str:
+    """SQL of a line of text; backslashes by number."""
+    return "'" + line.replace("'", "''").replace("\\", "' || chr(92) || '") + "'"
+
+
+#: Front matter by doc_id % 35: its lines, and its keys and values in order of keys as YAML has them, None where it is no mapping.
+FRONT_MATTER: dict[int, tuple[list[str], str | None]] = {
+    1: (["", "# Only a heading"], None),
+    2: (["tags:", "- a", "- b", "# comment", "author:", "    name: X", "note: |", "  free: text: here", '"my key": v'], "author=,my key=v,note=free: text: here,tags="),
+    3: (["a: b: c"], None),
+    4: (["plain words", "k: v"], None),
+    6: (["title: 'It''s here'"], "title=It's here"),
+    7: (['title: "He said \\"hi\\""'], 'title=He said "hi"'),
+    8: (["tags: [one,", "  two]", "n: 3"], "n=3,tags=[one, two]"),
+    9: (["{a: 1, b: [x, y]}"], "a=1,b=[x, y]"),
+    11: (["first: &x 7", "second: *x"], "first=7,second=*x"),
+    12: (["key: - x"], None),
+    13: (["a: 1", "b: 2", "a: 3"], None),
+    14: (["'x': \"y\"", "k: v # cut"], "k=v,x=y"),
+    16: (["a:", "  b: 1", "   c: 2"], None),
+    17: (["list:", "  - a: 1", "    b: [2, 3]", "  - c", "last: >-", "  two", "  lines"], "last=two lines,list="),
+    18: (["open: [a, b"], None),
+    19: (["a: 'x' y"], None),
+}
 _PARTS = [
     _when("doc_id % 5 = 0", "'---'", "'lang: ' || lang", "'source: ' || source", "'chars: ' || CAST(n_chars AS STRING)", "'---'"),
-    _when("doc_id % 35 = 1", "'---'", "''", "'# Not frontmatter'", "'---'"),
-    _when("doc_id % 35 = 2", "'---'", "'tags:'", "'  - a'", "'- b'", "'# comment'", "'author:'", "'    name: X'", "'note: |'", "'  free: text: here'", "'\"my key\": v'", "'---'"),
-    _when("doc_id % 35 = 3", "'---'", "'a: b: c'", "'---'"),
-    _when("doc_id % 35 = 4", "'---'", "'plain words'", "'k: v'", "'---'"),
+    *(_when(f"doc_id % 35 = {k}", "'---'", *map(_text, lines), "'---'") for k, (lines, _) in FRONT_MATTER.items()),
     _when("doc_id % 13 = 0", "'## Preface'", "''"),
     _lines("'# ' || title", "''", "'## Overview'", "''", "coalesce(text, '')", "''"),
     _when("doc_id % 3 = 0", "'## Overview'", "''", "'Again with `code` and **bold** text'", "''"),
@@ -38,6 +59,8 @@ _PARTS = [
     f"WHEN 1 THEN {_lines("':::' || alias || ' Titled here'", "'# Inside callout'", "'Second line'", "':::'", "''")} "
     f"ELSE {_lines("'!!! ' || alias || ' \"Titled here\"'", "'    First line'", "'    Second line'", "''")} END",
     _when("doc_id % 10 = 3", "'> [!NOTE] T'", "'> | A | B |'", "'| --- | --- |'", "'| 1 | 2 |'", "''"),
+    _when("doc_id % 10 = 6", *map(_text, ["> [!NOTE] Outer", "> Outer text", "> > [!TIP] Inner", "> > Inner text", "> > > [!BUG]", "> > > Deep text", "> Outer again", "> > [!quote]- Second", ""])),
+    _when("doc_id % 20 = 7", *(_text("> " * k + f"[!TIP] Level {k}") for k in range(1, 12)), "''"),
     _lines("'Claim[^1] and claim[^n].'", "''", "'[^1]: First note ' || title", "'    and more'", "'[^n]: Other <b>note</b> here'", "''"),
     _when("doc_id % 4 = 0", "'[^orphan]: Nobody refers to me'"),
     _when("doc_id % 7 = 0", "'See[^missing].'", "''"),
@@ -45,15 +68,30 @@ _PARTS = [
     _when("doc_id % 6 = 5", "'Text before a stub'", "'[^s]:'", "'[^a]: one [^b] : two'", "''"),
     _lines("'```' || fence_lang", "'# not a heading'", "'[^x]: keep'", "'```'", "''"),
     _when("doc_id % 6 = 0", "'````text'", "'```'", "'inner'", "'````'", "''"),
+    _when("doc_id % 6 = 1", *map(_text, ["~~~python", "# not a heading either", "[none](fenced.md)", "~~~~", ""])),
     _lines("'| lang | source | chars |'", "'| :--- | :---: | ---: |'", "'| ' || lang || ' | ' || source || ' | ' || CAST(n_chars AS STRING) || ' |'", "''"),
+    _when("doc_id % 4 = 2", *map(_text, ["| a | b | c |", "|---|:-:|---|", "| x \\| y | `p | q` | ``r`s | t`` |", "| lone ` tick | 2 | 3", ""])),
+    _when("doc_id % 4 = 3", *map(_text, ["1. [x] ordered and done", "2) [ ] ordered and open", "3. [y] no task", ""])),
     _lines("'- [x] done ' || lang", "'- [' || CASE WHEN doc_id % 2 = 0 THEN 'X' ELSE ' ' END || '] open'", "'1. first'", "''"),
     _lines("'[next](d' || lpad(CAST(doc_id + 20 AS STRING), 6, '0') || '.md#overview)'", "'See [site](https://example.com/a) and ![logo](../../assets/logo.png)'"),
+    _when(
+        "doc_id % 8 = 3",
+        *map(
+            _text,
+            [
+                "See [spaced](<a b.md> 'one title') and [balanced](x_(y)_z.md \"two\").",
+                "[![badge](img/b.png)](https://example.com/c \"three\") then `[none](code.md)` and \\[no](esc.md).",
+                "Out [in [deep](d.md) side](e.md), [q](r.md (four)), [not closed](x.md and ![pic [nested] alt](p.png).",
+                "Words [with **bold** and `code`](b.md) ``a [tick`](t.md)`` end.",
+            ],
+        ),
+    ),
     _when("doc_id % 9 = 0", "'[gone](missing%20file.md)'"),
     _when("doc_id % 11 = 0", "'[lost](./d' || lpad(CAST(doc_id AS STRING), 6, '0') || '.md#no-such)'"),
     _lines("'Inline $x+y$ here.'", "'$$E=mc^2$$'", "''"),
-    _when("doc_id % 2 = 0", "'（$21 发行价，融资 $2.08 亿）'", "'Costs $5 and $7, plus'"),
+    _when("doc_id % 2 = 0", "'（门票 $30 一张，套票 $4.50 起）'", "'Tickets are $5 or $7, then'"),
     _when("doc_id % 4 = 1", "'$$'", "'a = b'", "'$$'", "''"),
-    _when("doc_id % 12 = 0", "'是**「陷入」**后'"),
+    _when("doc_id % 12 = 0", "'在**「晨雾」**里'"),
 ]
 DOCS = f"""
 SELECT doc_id, source || '/' || lang || '/d' || lpad(CAST(doc_id AS STRING), 6, '0') || '.md' AS path, lang, source,
