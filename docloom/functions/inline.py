@@ -7,6 +7,8 @@ the brackets of links around it, as links do not nest. All are column expression
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,15 +40,24 @@ EMPHASIS = [
 ]
 
 
-#: Character references by name that texts of pages and documents use.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-
-
 def entities(text: Column) -> Column:
-    """Text with these references as characters."""
-    for name, mark in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(mark))
-    return text
+    """Text with its character references as characters: by name as HTML 4 has them, by number in either base; others stay as they are.
+
+    Numbers of no character (surrogates, zero and beyond Unicode) become the replacement character.
+    """
+    names = F.create_map(*(F.lit(x) for name, code in {**name2codepoint, "apos": 39}.items() for x in (name, chr(code))))
+
+    def read(piece: Column) -> Column:
+        decimal, hexadecimal = F.regexp_extract(piece, r"^&#0*(\d{1,7});$", 1), F.regexp_extract(piece, r"(?i)^&#x0*([0-9a-f]{1,6});$", 1)
+        code = F.when(decimal != "", decimal).when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).cast("int")
+        sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        mark = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        named = F.try_element_at(names, F.regexp_extract(piece, "^&([A-Za-z][A-Za-z0-9]*);$", 1))
+        return F.when(code.isNotNull(), F.when(sound, mark).otherwise("\ufffd")).otherwise(F.coalesce(named, piece))
+
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)&#?[A-Za-z0-9]{1,32};|[^&]++|&"), F.lit(0))
+    read_all = F.array_join(F.transform(pieces, lambda x: F.when(F.startswith(x, F.lit("&")) & (F.length(x) > 1), read(x)).otherwise(x)), "")
+    return F.when(F.contains(text, F.lit("&")), read_all).otherwise(text)
 
 
 def tokens(text: Column) -> Column:

@@ -9,6 +9,10 @@ from docloom.functions import inline
 
 #: Zero-width characters that never reach output text.
 ZERO_WIDTH = "\ufeff\u200b\u200c\u200d"
+#: What a CSS url() names, up to its quote, bracket or blank.
+CSS_URL = r'''(?i)\burl\(\s*["']?\s*([^\s"'()]+)'''
+#: What an attribute of a tag in a document names.
+REF_ATTRIBUTE = r'''(?i)\s(?:src|href|poster)\s*=\s*["']\s*([^"'<>]+?)\s*["']'''
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 # Callout aliases by kind.
@@ -161,7 +165,7 @@ def parse_param(text: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """The character references that pages use."""
+    """Character references as characters: names of HTML 4 and numbers."""
     return inline.entities(c)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import markdown as M
 from docloom.operators.web import joined_in_order
-from docloom.session import written
+from docloom.session import written, written_alone
 
 
 def resolve_inputs(explicit: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -202,10 +202,10 @@ def nav_tree(files: DataFrame) -> DataFrame:
 
 
 def dependency_set(docs: DataFrame) -> DataFrame:
-    """(doc_id, ref): the distinct local references of a document, from Markdown links, HTML attributes and CSS."""
-    rx = (r"!?\[[^\]]*\]\(([^)]+)\)", r"""(?:src|href|poster)\s*=\s*["']([^"']+)["']""", r"""url\(\s*['"]?([^'")]+)['"]?\s*\)""")
-    found = F.concat(*(F.regexp_extract_all("text", F.lit(x), F.lit(1)) for x in rx))
-    refs = docs.select("doc_id", F.explode(F.array_distinct(found)).alias("ref"))
+    """(doc_id, ref): the distinct local references of a document, from Markdown links outside code, HTML attributes and CSS."""
+    links = M.md_links(docs).select("doc_id", F.col("dest").alias("ref"))
+    others = F.concat(*(F.regexp_extract_all("text", F.lit(rx), F.lit(1)) for rx in (T.REF_ATTRIBUTE, T.CSS_URL)))
+    refs = links.union(docs.select("doc_id", F.explode(F.array_distinct(others)).alias("ref"))).distinct()
     return refs.filter(ref_class(F.col("ref")) == "local")
 
 
@@ -332,13 +332,34 @@ def _jumps(edges: DataFrame) -> list[DataFrame]:
     return out
 
 
+def hierarchy_rejects(nodes: DataFrame) -> DataFrame:
+    """(page_id, node_id) of the nodes of trees (page_id, node_id, parent_id) that are on a cycle of parents or below one; a node that is its own parent is a root.
+
+    Ancestors are doubled: after k rounds only nodes with an ancestor 2^k away are left, and a page of n nodes has none beyond n without a cycle.
+    """
+    edges = nodes.filter("parent_id is not null and parent_id <> node_id").select("page_id", "node_id", F.col("parent_id").alias("up"))
+    most = nodes.groupBy("page_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    at = written(edges, "ancestors")
+    for _ in range(int(most).bit_length()):
+        if at.isEmpty():
+            break
+        at = written(at.join(at.select("page_id", F.col("node_id").alias("up"), F.col("up").alias("next")), ["page_id", "up"]).select("page_id", "node_id", F.col("next").alias("up")), "ancestors")
+    return at.select("page_id", "node_id")
+
+
 def hierarchy_collapse(nodes: DataFrame, transparent: tuple[str, ...] = tuple(TRANSPARENT_ROLES)) -> DataFrame:
     """(page_id, node_id, kept_parent, depth, name) of trees (page_id, node_id, parent_id, role, name, ignored): ignored and transparent nodes hand
     their children up, text leaves go, nodes without name and kept child go, names are cut at 100 characters.
 
     Ancestors are found by pointer doubling: a tree of depth d takes log d joins, and no page is gathered in one row. What is below a text
-    leaf goes with it.
+    leaf goes with it. A node that is its own parent, or whose parent is no node, is a root; nodes on or below a cycle go (hierarchy_rejects has them). The
+    result is written in the shared folder, and what it is made from is deleted.
     """
+    return written_alone(nodes.sparkSession, "hierarchy", lambda: _collapsed(nodes, transparent))
+
+
+def _collapsed(nodes: DataFrame, transparent: tuple[str, ...]) -> DataFrame:
+    nodes = nodes.withColumn("parent_id", F.when(F.col("parent_id") != F.col("node_id"), F.col("parent_id"))).join(hierarchy_rejects(nodes), ["page_id", "node_id"], "left_anti")
     d = written(
         nodes.select(
             "page_id", "node_id", F.col("parent_id").alias("up"), F.coalesce("name", F.lit("")).alias("name"), (F.col("role") == "text").alias("is_text"), (~F.col("ignored") & ~F.col("role").isin(*transparent) & (F.col("role") != "text")).alias("solid")

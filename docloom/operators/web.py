@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 
-TOKEN_RX = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]+>|[^<]+"
+#: A > in a quoted attribute does not end its tag; one whose quotes are not ended ends at the next >.
+TOKEN_RX = r'''(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<(?:[^"'>]++|"[^"]*+"|'[^']*+')++>|<[^>]+>|[^<]+'''
 # Selectors of elements that are noise by default.
 CLEAN_SELECTORS = ("header", "footer", "nav", "aside", ".sidebar", ".ads", ".cookie-notice", '[class*="sidebar"]', '[class*="comment"]', '[id*="comment"]')
 #: The default selectors and the advert class of the captured pages.
 PAGE_NOISE = (*CLEAN_SELECTORS, ".ad")
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 NOTICE = "\n\n[truncated at {n} chars]"
-#: Stand-ins for the blanks, newlines and tabs of preformatted text.
-HELD = "\ue000\ue001\ue002"
+#: Stand-ins for the blanks, newlines and tabs of preformatted text: noncharacters, which no page may hold (one that does has them replaced).
+HELD, REPLACED = "\ufdd4\ufdd5\ufdd6", "\ufffd" * 3
 #: A tag or style sheet in pieces: attributes that name a resource, CSS references, and what lies between; then the reference in such a piece.
 _VALUE = r"""(?:"[^"]*"|'[^']*')"""
 PIECE_RX = r"""(?is)\s(?:{names})\s*=\s*""" + _VALUE + r"""|url\(\s*(?:"[^"]*"|'[^']*'|[^\s)'"]+)\s*\)|[^\suU]+|[\suU]"""
@@ -50,7 +51,7 @@ def explode_html_tokens(pages: DataFrame) -> DataFrame:
         .otherwise("text")
     )
     tag = F.lower(F.regexp_extract(t, "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
-    attrs = F.when(kind == "open", F.regexp_extract(t, "(?s)^<[a-zA-Z][a-zA-Z0-9]*([^>]*)>$", 1)).otherwise("")
+    attrs = F.when(kind == "open", F.regexp_extract(t, "(?s)^<[a-zA-Z][a-zA-Z0-9]*(.*)>$", 1)).otherwise("")
     return tokens.select("page_id", "tok_no", kind.alias("kind"), tag.alias("tag"), F.trim(attrs).alias("attrs"), "text")
 
 
@@ -60,8 +61,10 @@ def tokens_by_page(pages: DataFrame) -> DataFrame:
 
 
 def attribute(name: str) -> Column:
-    """An attribute of a tag's attrs; empty where absent."""
-    return F.regexp_extract("attrs", rf'(?is)(?:^|\s){name}\s*=\s*["\']([^"\']*)["\']', 1)
+    """An attribute of a tag's attrs, in either quotes or without; empty where absent. What other attributes hold in their quotes is passed over."""
+    other = r"""(?:[^\s"'=<>]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"']++))?+|["'=<>])"""
+    value = rf"""(?is)^\s*+(?:(?!{name}\s*+=){other}\s*+)*+{name}\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))"""
+    return F.concat(*(F.regexp_extract("attrs", value, k) for k in (1, 2, 3)))
 
 
 def selector_matches(selector: str) -> Column:
@@ -154,9 +157,10 @@ def fragments(tokens: DataFrame) -> DataFrame:
     t = t.withColumn("item_no", F.sum((o & (tag == "li")).cast("int")).over(in_list))
     heading = tag.rlike("^h[1-6]$")
     bullet = F.when(F.col("list_kind") == "ol", F.concat(F.col("item_no").cast("string"), F.lit(". "))).otherwise("- ")
+    words = F.translate(T.decode_entities(F.col("text")), HELD, REPLACED)
     frag = (
-        F.when((F.col("kind") == "text") & F.col("in_pre"), F.translate(T.decode_entities(F.col("text")), " \n\t", HELD))
-        .when(F.col("kind") == "text", F.regexp_replace(T.decode_entities(F.col("text")), r"\s+", " "))
+        F.when((F.col("kind") == "text") & F.col("in_pre"), F.translate(words, " \n\t", HELD))
+        .when(F.col("kind") == "text", F.regexp_replace(words, r"\s+", " "))
         .when(o & heading, F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), F.substring("tag", 2, 1).try_cast("int")), F.lit(" ")))
         .when(c & heading, "\n\n")
         .when((o | c) & tag.isin("p", "ul", "ol", "div", "table", "section", "article", "blockquote"), "\n\n")
@@ -290,6 +294,13 @@ def url_equivalence(pages: DataFrame) -> DataFrame:
     return pages.groupBy(T.url_key(F.col("url")).alias("url_key")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("page_id")).alias("page_ids"))
 
 
+def url_classes(pages: DataFrame) -> DataFrame:
+    """(page_id, url_key, representative): pages with the smallest page_id of those whose URLs share their target. No group is gathered, so any number of pages may share one."""
+    keyed = pages.select("page_id", T.url_key(F.col("url")).alias("url_key"))
+    first = keyed.groupBy("url_key").agg(F.min("page_id").alias("representative"))
+    return keyed.join(first, "url_key").select("page_id", "url_key", "representative")
+
+
 def best_target(targets: DataFrame, preferred: str | None = None) -> DataFrame:
     """(grp, url, score): the best candidate page of each group; the last of equals wins."""
     url = F.col("url")
@@ -318,7 +329,7 @@ def session_history(captures: DataFrame) -> DataFrame:
 def html_resource_refs(tokens: DataFrame) -> DataFrame:
     """(page_id, tok_no, attr, ref): src, poster and link href attributes, and CSS url() in styles and style attributes."""
     named = lambda name, only=None: tokens.filter((F.col("kind") == "open") & ((F.col("tag") == only) if only else F.lit(True))).select("page_id", "tok_no", F.lit(name).alias("attr"), attribute(name).alias("ref"))
-    css = tokens.filter("(kind = 'raw' and tag = 'style') or kind = 'open'").select("page_id", "tok_no", F.lit("css").alias("attr"), F.explode(F.regexp_extract_all("text", F.lit(r"""url\(\s*['"]?([^'")]+)['"]?\s*\)"""), F.lit(1))).alias("ref"))
+    css = tokens.filter("(kind = 'raw' and tag = 'style') or kind = 'open'").select("page_id", "tok_no", F.lit("css").alias("attr"), F.explode(F.regexp_extract_all("text", F.lit(T.CSS_URL), F.lit(1))).alias("ref"))
     return named("src").union(named("poster")).union(named("href", "link")).union(css).filter("ref <> ''")
 
 

@@ -128,10 +128,11 @@ def _scan_assets(s, d):
 
 
 def _ingest(s, d):
+    """The corpus as Markdown files, read by the ingest's stream; a file's number is that of its document."""
     base = _scratch(s, "ingest")
-    _docs(s, d).select("doc_id", "path", "text").write.parquet(f"{base}/in")
+    files.sink_page_files(_docs(s, d).select(F.concat("doc_id", F.lit(".md")).alias("file_name"), F.col("text").alias("markdown")), f"{base}/in")
     flows.stream_ingest(s, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
-    return s.read.parquet(f"{base}/out").drop("batch")
+    return flows.current_facts(s, f"{base}/out").withColumn("doc_id", F.regexp_extract("doc_id", r"(\d+)\.md$", 1).cast("long"))
 
 
 def _changed(s, d):
@@ -214,6 +215,7 @@ QUERIES = {
     "stream_ingest": _ingest,
     "debounce_sessions": lambda s, d: flows.debounce_sessions(C.content_change_filter(_events(s, d)), "30 minutes"),
     "coalesce_changes": lambda s, d: flows.coalesce_changes(flows.debounce_sessions(C.content_change_filter(_events(s, d)), "30 minutes")).withColumn("paths", F.array_join("paths", ",")),
+    "coalesced_bursts": lambda s, d: flows.coalesced_bursts(C.content_change_filter(_events(s, d)), "30 minutes").withColumn("paths", F.array_join("paths", ",")),
     "incremental_render": _render,
     "undo_stack": lambda s, d: C.undo_stack(X.derived(s, d, X.EDIT_LOG), 3),
     "crawl_dedup_stream": lambda s, d: flows.crawl_dedup_stream(_log(s, d)).select("run_id", "seq", "url"),
@@ -322,8 +324,8 @@ every AS (
 SELECT *, (len(string_split(node_id, '/')) - 1)::INT AS depth, row_number() OVER (PARTITION BY parent_id ORDER BY kind DESC, lower(label), node_id)::INT AS pos FROM every""",
     "run_report": f"""WITH {MARKED}, kept AS (SELECT l.*, s.stop_seq, s.reason FROM log l JOIN stops s USING (run_id) WHERE status = 'ok' AND (seq < stop_seq OR (seq = stop_seq AND s.reason <> 'loop')))
 SELECT s.run_id, count(k.seq) AS pages, coalesce(sum(length(k.title)), 0)::BIGINT AS chars, s.reason AS stop_reason FROM stops s LEFT JOIN kept k USING (run_id) GROUP BY s.run_id, s.reason""",
-    "dependency_set": rf"""WITH {Q.DOCS}, r AS (
-  SELECT doc_id, unnest(regexp_extract_all(text, '!?\[[^\]]*\]\(([^)]+)\)', 1)) AS ref FROM docs UNION SELECT doc_id, unnest(regexp_extract_all(text, '(?:src|href|poster)\s*=\s*["'']([^"'']+)["'']', 1)) FROM docs UNION SELECT doc_id, unnest(regexp_extract_all(text, 'url\(\s*[''"]?([^''")]+)[''"]?\s*\)', 1)) FROM docs)
+    "dependency_set": rf"""WITH RECURSIVE {Q.FENCED},{Q.LINKS}, r AS (
+  SELECT doc_id, dest AS ref FROM links UNION SELECT doc_id, unnest(regexp_extract_all(text, '(?i)[ \t\n](?:src|href|poster) *= *["''] *([^"''<>]+?) *["'']', 1)) FROM docs UNION SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\burl[(] *["'']? *([^ \t\n"''()]+)', 1)) FROM docs)
 SELECT doc_id, ref FROM r WHERE NOT regexp_matches(ref, '(?i)^(https?://|data:|#|mailto:|tel:|javascript:|about:)') AND trim(ref) <> ''""",
     "referenced_labels": f"WITH {Q.BODY},{Q.REFS} SELECT doc_id, count(DISTINCT label) AS n_labels, count(*) AS n_uses FROM refs GROUP BY doc_id",
     "corpus_footnotes": rf"""WITH RECURSIVE {Q.FENCED},{Q.DEFS}, c AS (SELECT {_CORPUS} AS corpus, f.doc_id, label, body FROM first_defs f JOIN docs USING (doc_id)),
@@ -344,6 +346,7 @@ SELECT k.page_id, k.node_id, coalesce((SELECT max(u.up) FROM ups u JOIN keeps a
     "stream_ingest": f"WITH RECURSIVE {Q.HEADINGS} SELECT doc_id, line_no, level, text, id FROM headings",
     "debounce_sessions": f'WITH {BURSTS} SELECT path, start, "end", n FROM bursts',
     "coalesce_changes": f"WITH {BURSTS} SELECT date_trunc('hour', start) AS batch, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM bursts GROUP BY 1",
+    "coalesced_bursts": f"""WITH {BURSTS} SELECT date_trunc('hour', "end" - INTERVAL 1 MICROSECOND) AS batch, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM bursts GROUP BY 1""",
     "incremental_render": f"""WITH {CACHE}, d AS (SELECT d.*, c.path IS NOT NULL AS known, c.mtime = d.mtime AS same FROM docs d LEFT JOIN cache c USING (path))
 SELECT path, CASE WHEN known AND same THEN 'old ' || path WHEN doc_id % 13 <> 0 THEN 'new ' || path WHEN known THEN 'old ' || path END AS output,
   CASE WHEN known AND same THEN 'reused' WHEN doc_id % 13 <> 0 THEN 'rendered' WHEN known THEN 'kept_last' ELSE 'failed' END AS status FROM d""",

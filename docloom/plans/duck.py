@@ -58,7 +58,8 @@ def session_key(x: str) -> str:
 
 
 def attribute(name: str) -> str:
-    return rf"""regexp_extract(attrs, '(?is)(?:^|\s){name}\s*=\s*["'']([^"'']*)["'']', 1)"""
+    rx = r'''(?is)(?:^|\s){name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)'''.replace("{name}", name)
+    return f"trim(regexp_extract(attrs, '{rx}', 1), '\"''')"
 
 
 def matches(selector: str) -> str:
@@ -74,13 +75,14 @@ def matches(selector: str) -> str:
 KIND = r"""CASE WHEN starts_with(text, '<!--') THEN 'comment' WHEN starts_with(text, '<!') THEN 'decl'
   WHEN regexp_matches(text, '(?is)^<(script|style)\b.*</(script|style)\s*>$') THEN 'raw'
   WHEN regexp_matches(text, '^</[a-zA-Z]') THEN 'close' WHEN regexp_matches(text, '^<[a-zA-Z]') THEN 'open' ELSE 'text' END"""
+_TAG_OR_TEXT = r'''(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<(?:[^"'>]|"[^"]*"|'[^']*')+>|<[^>]+>|[^<]+'''
 TOKENS = rf"""
 raw_tokens AS (
   SELECT page_id, unnest(t) AS text, unnest(generate_series(0, len(t) - 1)) AS tok_no
-  FROM (SELECT page_id, regexp_extract_all(html, {q(web.TOKEN_RX)}) AS t FROM pages WHERE coalesce({trim('html')}, '') <> '')),
+  FROM (SELECT page_id, regexp_extract_all(html, {q(_TAG_OR_TEXT)}) AS t FROM pages WHERE coalesce({trim('html')}, '') <> '')),
 tokens AS (
   SELECT page_id, tok_no, kind, lower(regexp_extract(text, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag,
-         trim(CASE WHEN kind = 'open' THEN regexp_extract(text, '(?s)^<[a-zA-Z][a-zA-Z0-9]*([^>]*)>$', 1) ELSE '' END) AS attrs, text
+         trim(CASE WHEN kind = 'open' THEN regexp_extract(text, '(?s)^<[a-zA-Z][a-zA-Z0-9]*(.*)>$', 1) ELSE '' END) AS attrs, text
   FROM (SELECT *, {KIND} AS kind FROM raw_tokens))"""
 VOIDS = ", ".join(q(t) for t in web.VOID_TAGS)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,9 +56,36 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Lists that take the paths of tables written meanwhile.
+_RECORDS: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
+    for record in _RECORDS:
+        record.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_alone(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s result written; the tables that were written on the way are deleted, also if it fails."""
+    record: list[str] = []
+    _RECORDS.append(record)
+    done = 0
+    try:
+        out = written(make(), name)
+        done = 1
+        return out
+    finally:
+        _RECORDS.remove(record)
+        for path in record[: len(record) - done]:
+            removed(spark, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of scratch data, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.session import removed, shared_dir
 
 MAX_ASSET = 25 << 20
 
@@ -35,22 +36,59 @@ def scan_assets(spark: SparkSession, root: str, max_bytes: int = MAX_ASSET) -> D
     return files.select("path", T.ref_extension_mime(F.col("path")).alias("mime"), "length", "content")
 
 
+def store_uri(spark: SparkSession, out: str) -> str:
+    """The folder out, made if need be, as a URI that executors can write to by pyarrow.
+
+    Spark's file systems resolve it, so a path without scheme lies in the default one, and what is mounted elsewhere is found there. A path that would be a
+    local disk of each executor is an error: it must say file:// if that is a disk that all share.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(out)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    found = store.resolvePath(path).toString()
+    scheme, _, rest = found.partition(":")
+    if scheme == "file":
+        if "://" not in out and not out.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{out} is a path on each machine's own disk; name its store")
+        return "file:///" + rest.lstrip("/")
+    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest
+
+
 def sink_page_files(pages_md: DataFrame, out: str) -> None:
-    """One Markdown file for each row (file_name, markdown) in the folder out, in any store that pyarrow knows (file, hdfs, s3, gs).
+    """One Markdown file for each row (file_name, markdown) in the folder out, in any store that Spark and pyarrow both know (file, hdfs, s3a, gs, abfss).
 
-    Each task writes its rows; a file gets its name when it is whole, so tasks may be repeated.
+    Two jobs: the first stages the files, the second gives the staged ones of finished tasks their names. If the first fails, nothing is published; tasks of
+    either may be repeated or killed, and each file is there once. What is left of the stage is deleted in any case.
     """
-    target = out if "://" in out else f"file://{out}"
+    spark = pages_md.sparkSession
+    base = store_uri(spark, out)
+    stage = f"{base}/_stage-{uuid.uuid4().hex}"
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pa_fs.FileSystem.from_uri(target)
-        store.create_dir(base, recursive=True)
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = pa_fs.FileSystem.from_uri(stage)
+        store.create_dir(folder, recursive=True)
         for b in batches:
-            for name, text in zip(b["file_name"].to_pylist(), b["markdown"].to_pylist(), strict=True):
-                part = f"{base}/_{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as f:
+            parts = [uuid.uuid4().hex for _ in range(b.num_rows)]
+            for part, text in zip(parts, b["markdown"].to_pylist(), strict=True):
+                with store.open_output_stream(f"{folder}/{part}") as f:
                     f.write((text or "").encode())
-                store.move(part, f"{base}/{name}")
+            yield pa.record_batch([pa.array(parts, pa.string()), b["file_name"]], names=["part", "file_name"])
+
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = pa_fs.FileSystem.from_uri(base)
+        staged = f"{folder}/{stage.rsplit('/', 1)[1]}"
+        for b in batches:
+            for part, name in zip(b["part"].to_pylist(), b["file_name"].to_pylist(), strict=True):
+                # An earlier attempt of this task may have given it its name.
+                if store.get_file_info(f"{staged}/{part}").type != pa_fs.FileType.NotFound:
+                    store.move(f"{staged}/{part}", f"{folder}/{name}")
             yield pa.record_batch([pa.array([b.num_rows], pa.int64())], names=["n"])
 
-    pages_md.select("file_name", "markdown").mapInArrow(write, "n long").agg({"n": "sum"}).collect()
+    manifest = f"{shared_dir(spark)}/docloom-page-files-{uuid.uuid4().hex}"
+    try:
+        pages_md.select("file_name", "markdown").mapInArrow(put, "part string, file_name string").write.parquet(manifest)
+        spark.read.parquet(manifest).mapInArrow(publish, "n long").agg({"n": "sum"}).collect()
+    finally:
+        removed(spark, stage)
+        removed(spark, manifest)
