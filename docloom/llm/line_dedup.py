@@ -165,9 +165,11 @@ def drop_repeated(df: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHE
     empty result. Columns named n_lines and n_dropped are replaced, others pass through under any name.
     """
     runs = LineRuns(df.sparkSession)
-    runs.add(df, batches)
-    hot = written(runs.repeated(min_docs), "hot-lines")
-    runs.close()
+    try:
+        runs.add(df, batches)
+        hot = written(runs.repeated(min_docs), "hot-lines")
+    finally:
+        runs.close()
     rest = [c for c in df.columns if c.lower() not in ("text", "n_lines", "n_dropped")]
     shaped = df.select(*(f"`{c}`" for c in rest), "text")
     if hot.limit(broadcast_lines + 1).count() <= broadcast_lines:
