@@ -190,3 +190,14 @@ def path_glob_regex(pattern: str) -> str:
             out += quoted(segment) + ("" if last else "/")
     # A trailing ** also matches the folder itself.
     return "^" + out.replace("/.*", "(/.*)?" if pattern.endswith("/**") else "/.*") + "$"
+
+
+def path_glob_pattern(pattern: Column) -> Column:
+    """A column of path globs as regular expressions, as path_glob_regex makes them."""
+    quoted = F.regexp_replace(pattern, r"([.+^${}()|\[\]\\?])", r"\\$1")
+    last = F.regexp_replace(quoted, r"(^|/)\*\*$", "$1\ufdd0")
+    inner = F.regexp_replace(last, r"(^|/)\*\*(?=/)", "$1\ufdd1")
+    single = F.regexp_replace(inner, r"\*+", "[^/]*")
+    # ** between folders spans them or none; at the end it also matches the folder itself.
+    ended = F.regexp_replace(F.regexp_replace(single, "/\ufdd0$", "(/.*)?"), "^\ufdd0$", ".*")
+    return F.concat(F.lit("^"), F.regexp_replace(ended, "\ufdd1/", "(.*/)?"), F.lit("$"))

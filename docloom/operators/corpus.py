@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections import deque
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import markdown as M
+from docloom.operators.running import numbered
 from docloom.operators.web import joined_in_order
 from docloom.session import written, written_alone
 
 
 def resolve_inputs(explicit: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(pos, path) of two inputs (pos, path): explicit files first, each path once at its first place; pos orders the result."""
+    """(pos, path) of two inputs (pos, path): explicit files first, each path once at its first place, without . and .. components; pos orders the result. No input at all is an error."""
     both = explicit.select(F.lit(0).alias("origin"), "pos", "path").union(scanned.select(F.lit(1).alias("origin"), "pos", "path"))
-    first = both.groupBy(F.regexp_replace(F.regexp_replace("path", r"/\./", "/"), "^\\./", "").alias("path")).agg(F.min(F.struct("origin", "pos")).alias("p"))
+    if both.isEmpty():
+        raise ValueError("no input files")
+    first = both.groupBy(normal_path(F.col("path")).alias("path")).agg(F.min(F.struct("origin", "pos")).alias("p"))
     return first.select((F.col("p.origin") * F.lit(1 << 40) + F.col("p.pos")).alias("pos"), "path")
 
 
@@ -42,15 +45,13 @@ def archive_manifest(results: DataFrame) -> DataFrame:
     number = F.col("entry_no").cast("string")
     name = F.concat(F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number), F.lit("_"), T.sanitize_name(F.col("title")), F.lit(".md"))
     d = results.select("archive", "entry_no", name.alias("name"), F.crc32(F.col("content").cast("binary")).alias("crc32"), F.octet_length("content").cast("long").alias("size"))
-    before = Window.partitionBy("archive").orderBy("entry_no").rowsBetween(Window.unboundedPreceding, -1)
-    return d.withColumn("offset", F.coalesce(F.sum(30 + F.octet_length("name") + F.col("size")).over(before), F.lit(0)))
+    return numbered(d, ["archive"], [F.col("entry_no")], {"offset": 30 + F.octet_length("name") + F.col("size")}).drop("n_")
 
 
 def section_order(sections: DataFrame) -> DataFrame:
     """(corpus, pos, section_id, panel_title, depth) of sections (corpus, pos, label, title, level)."""
-    n = F.row_number().over(Window.partitionBy("corpus").orderBy("pos"))
     full = lambda c: F.when(T.trim_all(F.col(c)) != "", F.col(c))
-    d = sections.withColumn("n", n)
+    d = numbered(sections.select("corpus", "pos", "label", "title", "level"), ["corpus"], [F.col("pos")]).withColumnRenamed("n_", "n")
     return d.select("corpus", "pos", F.concat(F.lit("doc-"), "n").alias("section_id"), F.coalesce(full("label"), full("title"), F.concat(F.lit("Document "), "n")).alias("panel_title"), F.least(F.col("level") - 1, F.lit(5)).alias("depth"))
 
 
@@ -71,14 +72,24 @@ def document_title(sections: DataFrame, title: str | None = None, stem: str | No
     return sections.groupBy("corpus").agg(found.alias("title"))
 
 
-def exclude_filter(paths: DataFrame, patterns: list[str], root: str = "") -> DataFrame:
-    """Paths that no pattern matches: with / or * a glob on the path below the root, else the name of any component; blank ones say nothing."""
+def exclude_filter(paths: DataFrame, patterns: list[str] | DataFrame, root: str = "") -> DataFrame:
+    """Paths that no pattern matches: with / or * a glob on the path below the root, else the name of any component; blank ones say nothing.
+
+    patterns is a list or a table (pattern) of any number of them. Names and globs without wildcard meet a path's components and leading folders by
+    equality; other globs meet it by the folder before their first wildcard, and only those that share it are compared.
+    """
+    spark = paths.sparkSession
+    table = patterns if isinstance(patterns, DataFrame) else spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    rules = table.select(F.trim("pattern").alias("pattern")).filter("pattern <> ''").distinct()
     rel = F.coalesce(T.relative_path(F.col("path"), F.lit(root)), F.col("path")) if root else F.col("path")
-    hit = F.lit(False)
-    for p in (x.strip() for x in patterns):
-        if p:
-            hit = hit | (rel.rlike(T.path_glob_regex(p)) if re.search(r"[/*]", p) else F.array_contains(F.split(rel, "/"), p))
-    return paths.filter(~hit)
+    each = paths.select("path").distinct().withColumn("rel", rel)
+    names = rules.filter(~F.col("pattern").rlike("[/*]")).select(F.col("pattern").alias("key"))
+    by_name = each.select("path", F.explode(F.split("rel", "/")).alias("key")).join(names, "key", "left_semi").select("path")
+    globs = rules.filter(F.col("pattern").rlike("[/*]")).withColumn("before", F.regexp_extract("pattern", r"^([^*]*)", 1))
+    globs = globs.select("pattern", F.regexp_extract("before", "^((?:[^/]*/)*)", 1).alias("key"), T.path_glob_pattern(F.col("pattern")).alias("rx"))
+    folders = F.concat(F.array(F.lit("")), F.transform(path_prefixes(F.col("rel")), lambda x: F.concat(x, F.lit("/"))))
+    by_glob = each.select("path", "rel", F.explode(F.array_distinct(folders)).alias("key")).join(globs, "key").filter(F.regexp_like("rel", F.col("rx"))).select("path")
+    return paths.join(by_name.union(by_glob).distinct(), "path", "left_anti")
 
 
 def content_change_filter(fs_events: DataFrame) -> DataFrame:
@@ -140,14 +151,36 @@ def footnote_integrity(refs: DataFrame, defs: DataFrame) -> DataFrame:
     return a.join(b, ["doc_id", "label"], "full").select("doc_id", "label", F.when(F.col("defined").isNull(), "undefined").when(F.col("used").isNull(), "orphan").otherwise("ok").alias("status"))
 
 
+#: Paths of assets that are broadcast at once to fetch their contents.
+FETCH_PATHS = 500_000
+
+
+def fetched(assets: DataFrame, wanted: DataFrame, columns: list[str], block: int = FETCH_PATHS) -> DataFrame:
+    """The named columns of the assets (path, ...) whose path is in wanted (path), without sending the contents of any other.
+
+    Their paths are broadcast, in as many blocks of about `block` as they need, so that each scan drops what nobody refers to where it reads it.
+    """
+    keys = written(wanted.select("path").distinct(), "asset-paths")
+    blocks = max(1, -(-keys.count() // block))
+    lot = F.pmod(F.xxhash64("path"), F.lit(blocks))
+    parts = [assets.select(*columns).join(F.broadcast(keys.filter(lot == k)), "path", "left_semi") for k in range(blocks)]
+    return reduce(DataFrame.union, parts)
+
+
 def asset_inline(refs: DataFrame, assets: DataFrame, max_bytes: int = 25 << 20) -> DataFrame:
-    """refs (doc_id, path, ref) with resolved_path, data_uri and status (inlined, too_large, missing); the URI is a placeholder unless inlined."""
+    """refs (doc_id, path, ref) with resolved_path, data_uri and status (inlined, too_large, missing); the URI is a placeholder unless inlined.
+
+    Two phases: references first meet the assets' paths, types and lengths; then the contents of those to be inlined are fetched, each encoded once.
+    """
     folder = F.regexp_extract("path", "^(.*/)?[^/]*$", 1)
     d = refs.withColumn("resolved_path", normal_path(F.concat(folder, F.regexp_replace("ref", "[?#].*$", ""))))
-    d = d.join(assets.select(F.col("path").alias("resolved_path"), "mime", "length", "content"), "resolved_path", "left")
+    d = d.join(assets.select(F.col("path").alias("resolved_path"), "mime", "length"), "resolved_path", "left")
     status = F.when(F.col("mime").isNull(), "missing").when(F.col("length") > max_bytes, "too_large").otherwise("inlined")
-    uri = F.when(status == "inlined", F.concat(F.lit("data:"), F.col("mime"), F.lit(";base64,"), F.base64("content"))).otherwise("data:,")
-    return d.select(*refs.columns, "resolved_path", uri.alias("data_uri"), status.alias("status"))
+    d = d.withColumn("status", status)
+    hits = fetched(assets, d.filter("status = 'inlined'").select(F.col("resolved_path").alias("path")), ["path", "content"])
+    uris = hits.select(F.col("path").alias("resolved_path"), F.base64("content").alias("encoded"))
+    uri = F.when(F.col("status") == "inlined", F.concat(F.lit("data:"), F.col("mime"), F.lit(";base64,"), F.coalesce("encoded", F.lit("")))).otherwise("data:,")
+    return d.join(uris, "resolved_path", "left").select(*refs.columns, "resolved_path", uri.alias("data_uri"), "status")
 
 
 def snapshot_diff(current: DataFrame, cache: DataFrame) -> DataFrame:
@@ -197,8 +230,9 @@ def nav_tree(files: DataFrame) -> DataFrame:
     name = F.regexp_extract("path", "([^/]*)$", 1)
     leaves = files.select(F.col("path").alias("node_id"), folder.alias("parent_id"), F.lit("file").alias("kind"), F.when(T.trim_all(F.col("label")) != "", F.col("label")).otherwise(name).alias("label"))
     both = folders.union(leaves).withColumn("depth", F.size(F.split("node_id", "/")) - 1)
-    order = Window.partitionBy("parent_id").orderBy(F.col("kind").desc(), F.lower("label"), "node_id")
-    return both.withColumn("pos", F.row_number().over(order))
+    # A folder may hold any number of files.
+    found = numbered(both, ["parent_id"], [F.col("kind").desc(), F.lower("label"), F.col("node_id")])
+    return found.select(*both.columns, F.col("n_").cast("int").alias("pos"))
 
 
 def dependency_set(docs: DataFrame) -> DataFrame:

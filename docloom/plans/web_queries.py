@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import web
 from docloom.plans import duck as D
+from docloom.sources import fixtures as X
 from docloom.session import configure, table
 
 RECIPES = [
@@ -57,8 +58,8 @@ def captures(spark, d):
 
 
 def _targets(spark, d):
-    _pages(spark, d).createOrReplaceTempView("pages")
-    return spark.sql(TARGETS)
+    _pages(spark, d).createOrReplaceTempView("docloom_pages")
+    return spark.sql(X.spark_text(TARGETS))
 
 
 BUNDLED = (
@@ -121,6 +122,7 @@ QUERIES = {
     "url_filter": lambda s, d: web.url_filter(_pages(s, d), "/en/*").select("page_id", "url"),
     "recipe_first_match": lambda s, d: web.recipe_first_match(_pages(s, d), RECIPES),
     "url_equivalence": lambda s, d: web.url_equivalence(_pages(s, d).withColumn("url", F.regexp_replace("url", r"/[0-9]+.*$", "/"))).withColumn("page_ids", F.array_join(F.col("page_ids").cast("array<string>"), ",")),
+    "url_classes": lambda s, d: web.url_classes(_pages(s, d).withColumn("url", F.regexp_replace("url", r"/[0-9]+.*$", "/"))),
     "best_target": lambda s, d: web.best_target(_targets(s, d), "https://therst.example.net/de/1373/"),
     "baseline_compare": lambda s, d: web.baseline_compare(captures(s, d)),
     "session_history": lambda s, d: web.session_history(captures(s, d)),
@@ -198,6 +200,8 @@ SELECT page_id, CASE WHEN path LIKE '/es/%' THEN 'spanish'
   WHEN host IN ('ththor.example.com', 'www.ththor.example.com') THEN 'bare'
   WHEN scheme = 'https' AND host IN ('ththwh.example.org', 'www.ththwh.example.org') AND path = '/en/270' THEN 'exact'
   ELSE 'rest' END AS recipe_id FROM parts""",
+    "url_classes": f"""WITH cut AS (SELECT page_id, regexp_replace(url, '/[0-9]+.*$', '/') AS url FROM pages)
+SELECT page_id, {D.url_key('url')} AS url_key, min(page_id) OVER (PARTITION BY {D.url_key('url')}) AS representative FROM cut""",
     "url_equivalence": f"""WITH cut AS (SELECT page_id, regexp_replace(url, '/[0-9]+.*$', '/') AS url FROM pages)
 SELECT {D.url_key('url')} AS url_key, count(*) AS n, string_agg(page_id::VARCHAR, ',' ORDER BY page_id) AS page_ids FROM cut GROUP BY 1""",
     "best_target": _TARGET_ORACLE,

@@ -5,6 +5,8 @@ The texts avoid backslashes and use {g} where DuckDB wants the global flag of re
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.functions.text import ALIAS_KIND
@@ -111,7 +113,10 @@ FS_EVENTS = """
 SELECT e.event_id, e.ts, d.path,
   CASE e.event_type WHEN 'view' THEN 'access' WHEN 'click' THEN 'modify' WHEN 'purchase' THEN 'create' WHEN 'error' THEN 'metadata' ELSE 'close_write' END AS kind
 FROM (SELECT *, event_id % (SELECT count(*) FROM documents) AS k FROM events) e
-JOIN (SELECT row_number() OVER (PARTITION BY doc_id % 64 ORDER BY doc_id) * 64 + doc_id % 64 - 64 AS k, source || '/' || lang || '/d' || lpad(CAST(doc_id AS STRING), 6, '0') || '.md' AS path FROM documents) d ON d.k = e.k
+JOIN (
+  SELECT row_number() OVER (PARTITION BY n.part ORDER BY n.doc_id) + p.before - 1 AS k, n.path
+  FROM (SELECT doc_id, floor(doc_id / 4096.0) AS part, source || '/' || lang || '/d' || lpad(CAST(doc_id AS STRING), 6, '0') || '.md' AS path FROM documents) n
+  JOIN (SELECT part, coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT floor(doc_id / 4096.0) AS part, count(*) AS n FROM documents GROUP BY 1) c) p ON p.part = n.part) d ON d.k = e.k
 """
 EDIT_LOG = """
 SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
@@ -126,8 +131,9 @@ UNION ALL SELECT 'gone/' || path, mtime, doc_id FROM docs WHERE doc_id % 50 = 3
 
 
 def spark_text(sql: str) -> str:
-    """A shared text for Spark."""
-    return sql.replace("{g}", "").replace("[:alnum:]", "\\\\p{L}\\\\p{N}")
+    """A shared text for Spark, with its tables under names of our own, so that no view of the session is shadowed."""
+    own = re.sub(r"\b(FROM|JOIN) (\w+)\b", r"\1 docloom_\2", sql)
+    return own.replace("{g}", "").replace("[:alnum:]", "\\\\p{L}\\\\p{N}")
 
 
 def duck_text(sql: str) -> str:
@@ -140,9 +146,9 @@ def derived(spark: SparkSession, sf_dir: str, sql: str, **views: DataFrame) -> D
     configure(spark)
     for name in ("documents", "events", "pages"):
         if name in sql:
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
+            table(spark, sf_dir, name).createOrReplaceTempView(f"docloom_{name}")
     for name, view in views.items():
-        view.createOrReplaceTempView(name)
+        view.createOrReplaceTempView(f"docloom_{name}")
     return spark.sql(spark_text(sql))
 
 
