@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,8 +80,33 @@ def selector_matches(selector: str) -> Column:
     return F.col("tag") == selector.lower()
 
 
-def element_extents(tokens: DataFrame, selectors: tuple[str, ...] | list[str]) -> DataFrame:
-    """(page_id, selector, start_tok, end_tok) of the elements that match; an element without end tag reaches the page's last token.
+_ANY_PART = r"""^\[(\w+)\*=["']?(.*?)["']?\]$"""
+
+
+def _selector_hits(opened: DataFrame, rules: DataFrame) -> DataFrame:
+    """(page_id, tok_no, next_tok, selector) of opening tags and a table of selectors (selector) of any size.
+
+    Tags, classes and ids meet selectors by equality. [attr*="value"] meets an attribute's value by its first three characters, and only then is the rest compared.
+    """
+    r = rules.select(F.trim("selector").alias("selector")).filter("selector <> ''").distinct()
+    part = F.regexp_extract("selector", _ANY_PART, 2)
+    plain = r.filter(part == "").select("selector", F.when(F.col("selector").rlike("^[.#]"), F.col("selector")).otherwise(F.lower("selector")).alias("key"))
+    classes = F.transform(F.filter(F.split(attribute("class"), r"\s+"), lambda x: x != ""), lambda x: F.concat(F.lit("."), x))
+    keys = F.array_distinct(F.concat(F.array(F.col("tag")), classes, F.array(F.concat(F.lit("#"), attribute("id")))))
+    columns = ["page_id", "tok_no", "next_tok"]
+    found = [opened.select(*columns, F.explode(keys).alias("key")).join(plain, "key").select(*columns, "selector")]
+    held = r.filter(part != "").select("selector", F.lower(F.regexp_extract("selector", _ANY_PART, 1)).alias("attr"), part.alias("part")).withColumn("gram", F.left("part", F.lit(3)))
+    # A name for each attribute that selectors ask for, of which a page has few.
+    for name in sorted(x["attr"] for x in held.select("attr").distinct().collect()):
+        valued = opened.select(*columns, attribute(name).alias("value")).filter("value <> ''")
+        grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("value")), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.substring(F.col("value"), i, k))))
+        met = valued.select(*columns, "value", F.explode(F.array_distinct(grams)).alias("gram")).join(held.filter(F.col("attr") == name), "gram")
+        found.append(met.filter(F.contains("value", "part")).select(*columns, "selector").distinct())
+    return reduce(DataFrame.union, found)
+
+
+def element_extents(tokens: DataFrame, selectors: tuple[str, ...] | list[str] | DataFrame) -> DataFrame:
+    """(page_id, selector, start_tok, end_tok) of the elements that match selectors (a list, or a table of any size); an element without end tag reaches the page's last token.
 
     An end tag belongs to the last open tag of its name, by depth within the page and name, so other unclosed tags do no harm.
     """
@@ -90,13 +117,16 @@ def element_extents(tokens: DataFrame, selectors: tuple[str, ...] | list[str]) -
     level = depth.withColumn("level", F.col("depth") + F.when(F.col("kind") == "close", 1).otherwise(0))
     same = Window.partitionBy("page_id", "tag", "level").orderBy("tok_no")
     after = level.withColumn("next_tok", F.when(F.lead("kind").over(same) == "close", F.lead("tok_no").over(same)))
-    found = F.filter(F.array(*(F.when(selector_matches(s), F.lit(s)) for s in selectors)), lambda x: x.isNotNull())
     last = tokens.groupBy("page_id").agg(F.max("tok_no").alias("last_tok"))
-    hits = after.filter("kind = 'open'").select("page_id", "tok_no", "next_tok", F.explode(found).alias("selector"))
+    if isinstance(selectors, DataFrame):
+        hits = _selector_hits(after.filter("kind = 'open'"), selectors)
+    else:
+        found = F.filter(F.array(*(F.when(selector_matches(s), F.lit(s)) for s in selectors)), lambda x: x.isNotNull())
+        hits = after.filter("kind = 'open'").select("page_id", "tok_no", "next_tok", F.explode(found).alias("selector"))
     return hits.join(last, "page_id").select("page_id", "selector", F.col("tok_no").alias("start_tok"), F.coalesce("next_tok", "last_tok").alias("end_tok"))
 
 
-def clean_noise(tokens: DataFrame, selectors: tuple[str, ...] | list[str] = PAGE_NOISE) -> tuple[DataFrame, DataFrame]:
+def clean_noise(tokens: DataFrame, selectors: tuple[str, ...] | list[str] | DataFrame = PAGE_NOISE) -> tuple[DataFrame, DataFrame]:
     """(tokens outside all matching elements, (page_id, selector, removed) counts).
 
     A token is inside an element if the furthest end of those that began before reaches it: one running maximum over a page.
@@ -272,12 +302,21 @@ def recipe_rules(recipes: list[tuple[str, str]]) -> list[tuple]:
     return rows
 
 
-def recipe_first_match(pages: DataFrame, recipes: list[tuple[str, str]]) -> DataFrame:
-    """(page_id, recipe_id): the first recipe (id, pattern) whose pattern fits the page's URL; null if none does.
+def recipe_first_match(pages: DataFrame, recipes: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """(page_id, recipe_id): the first recipe whose pattern fits the page's URL; null if none does. recipes is a list of (id, pattern), or a table (ord, recipe_id, pattern).
 
     URLs meet the rules by an equi-join on their host and the domains above it.
     """
-    rules = pages.sparkSession.createDataFrame(recipe_rules(recipes), RULES)
+    if isinstance(recipes, DataFrame):
+
+        def read(frames):
+            for f in frames:
+                rows = [(ord_, *row[1:]) for ord_, i, p in zip(f["ord"], f["recipe_id"], f["pattern"], strict=True) for row in recipe_rules([(i, p)])]
+                yield pd.DataFrame(rows, columns=[x.split()[0] for x in RULES.split(", ")])
+
+        rules = recipes.select(F.col("ord").cast("int").alias("ord"), "recipe_id", "pattern").mapInPandas(read, RULES)
+    else:
+        rules = pages.sparkSession.createDataFrame(recipe_rules(recipes), RULES)
     host = F.lower(F.regexp_extract("url", r"^[^:]+://([^/?#:]*)", 1))
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(2), F.greatest(F.size(labels), F.lit(2))), lambda i: F.concat(F.lit("*."), F.array_join(F.slice(labels, i, F.size(labels)), ".")))

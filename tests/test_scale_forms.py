@@ -44,6 +44,27 @@ def test_many_exclude_rules_equal_the_branch_form(spark):
     assert {r["path"] for r in C.exclude_filter(df, table).collect()} == {p for p in paths if not branch("src/*", p) and not branch("draft", p)}
 
 
+def test_many_selectors_equal_the_branch_form(spark):
+    rng = random.Random(6)
+    draw = lambda: rng.choice(["nav", "div", "p", "section"])
+    attrs = ["", ' class="ads wide"', ' class=sidebar-left id="x"', ' id="comments-2"', ' class="a b c"', " data-x='y'"]
+    html = ["".join(f"<{t}{rng.choice(attrs)}>t{i}</{t}>" for i, t in enumerate(draw() for _ in range(12))) for _ in range(30)]
+    tokens = web.explode_html_tokens(spark.createDataFrame(list(enumerate(html)), "page_id long, html string").withColumn("url", F.lit("u")))
+    rules = ["nav", ".ads", "#x", '[class*="bar"]', '[id*="comment"]', '[class*="c"]', "SECTION", ".wi", ".c"]
+    table = spark.createDataFrame([(r,) for r in [*rules, *(f".none{i}" for i in range(30_000)), *(f'[class*="none{i}"]' for i in range(30_000))]], "selector string")
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    (a, b), (c, d) = web.clean_noise(tokens, rules), web.clean_noise(tokens, table)
+    assert rows(b) == rows(d.select(b.columns)) and rows(a) == rows(c.select(a.columns))
+
+
+def test_recipes_as_a_table(spark):
+    pages = spark.createDataFrame([(1, "https://a.org/x/1"), (2, "https://b.a.org/y"), (3, "http://c.org/")], "page_id long, url string")
+    recipes = [("r1", "https://a.org/x/*"), ("r2", "*.a.org"), ("r3", "/y"), ("r4", "c.org")]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(recipes)], "ord int, recipe_id string, pattern string")
+    rows = lambda r: sorted((x["page_id"], x["recipe_id"]) for x in web.recipe_first_match(pages, r).collect())
+    assert rows(recipes) == rows(table)
+
+
 def test_only_referenced_assets_are_fetched(spark, tmp_path):
     rows = [(f"d/{i}.png", "image/png", 3 if i != 7 else 99, bytearray(f"{i:03}".encode())) for i in range(200)]
     spark.createDataFrame(rows, "path string, mime string, length long, content binary").write.parquet(str(tmp_path / "assets"))
