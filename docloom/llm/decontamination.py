@@ -42,7 +42,7 @@ BLOCK_TOKENS = 1_000_000
 #: A window of more items than this is looked up only for items that a rarer window has met, unless such windows alone could tell of a leak.
 COMMON = 64
 #: Raw words whose token a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 FLAG_BITS = 20
 # Unit words and signs.
 UNITS = frozenset(

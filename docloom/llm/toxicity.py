@@ -43,7 +43,7 @@ EPOCHS, STEPS, BATCH, RATE, L2 = (10, 5), 250, 256, 0.5, 1e-5
 #: Tokens in a row of the forward-backward recursion over whole texts.
 ROW = 32
 #: Words without a weight of their own whose features a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 class Model(NamedTuple):

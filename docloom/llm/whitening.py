@@ -29,8 +29,10 @@ COMPONENTS = 32
 ROOT_BITS = 160
 #: Primes begin below this, so that sums of products of two remainders stay below 2^63.
 PRIME_BELOW = 1 << 28
-#: A row is used if its entries stay below this in x, so that exact sums have room.
-LARGEST = 1 << 40
+#: A row is used if its entries stay below this in x, so that a long holds them.
+LARGEST = 1 << 62
+#: Bits of the lower limb of an exact sum; either limb is summed as a decimal of 38 digits.
+LIMB = 60
 
 
 class Whitening(NamedTuple):
@@ -44,7 +46,7 @@ class Whitening(NamedTuple):
 
 
 def usable(df: DataFrame, vector_col: str) -> DataFrame:
-    """df with x_ (array of floor(SCALE * entry)), without rows whose vector is null or empty, holds null or non-finite entries or entries beyond LARGEST, or has another length than most.
+    """df with x_ (array of floor(SCALE * entry)), without rows whose vector is null or empty, holds null or non-finite entries or such beyond LARGEST, or has another length than most.
 
     Of two lengths that are equally common the longer one stays.
     """
@@ -76,6 +78,12 @@ def exact_product(x: np.ndarray) -> np.ndarray:
     return (both[:d, :d] << 40) + ((both[:d, d:] + both[d:, :d]) << 20) + both[d:, d:]
 
 
+def exact_sum(x: np.ndarray) -> np.ndarray:
+    """Column sums as Python integers."""
+    small = int(np.abs(x).max(initial=0)) * len(x) < 1 << 63
+    return x.sum(axis=0).astype(object) if small else x.astype(object).sum(axis=0)
+
+
 def moments(kept: DataFrame) -> tuple[int, list[int], np.ndarray]:
     """(rows, sums, sums of products) of x_, exact: each task adds up its rows, and Spark adds up the tasks by entry."""
 
@@ -84,16 +92,17 @@ def moments(kept: DataFrame) -> tuple[int, list[int], np.ndarray]:
         for b in batches:
             if b.num_rows:
                 x = _matrix(b["x_"])
-                n, sums, products = n + len(x), sums + x.sum(axis=0).astype(object), products + exact_product(x)
+                n, sums, products = n + len(x), sums + exact_sum(x), products + exact_product(x)
         if n:
             d = len(sums)
             entries = [(-1, -1, n), *((-1, i, int(sums[i])) for i in range(d)), *((i, j, int(products[i, j])) for i in range(d) for j in range(i, d))]
             i, j, value = zip(*entries, strict=True)
-            yield pa.record_batch([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array([str(v) for v in value], pa.string())], names=["i", "j", "value"])
+            high, low = ([str(v) for v in part] for part in zip(*(divmod(v, 1 << LIMB) for v in value), strict=True))
+            yield pa.record_batch([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(high, pa.string()), pa.array(low, pa.string())], names=["i", "j", "high", "low"])
 
-    parts = kept.select("x_").mapInArrow(add, "i int, j int, value string")
-    rows = parts.groupBy("i", "j").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()
-    found = {(r["i"], r["j"]): int(r["value"]) for r in rows}
+    parts = kept.select("x_").mapInArrow(add, "i int, j int, high string, low string")
+    rows = parts.groupBy("i", "j").agg(*(F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("high", "low"))).collect()
+    found = {(r["i"], r["j"]): (int(r["high"]) << LIMB) + int(r["low"]) for r in rows}
     n = found.pop((-1, -1), 0)
     d = sum(i == -1 for i, _ in found)
     products = np.array([[found[min(i, j), max(i, j)] for j in range(d)] for i in range(d)], dtype=object).reshape(d, d)
@@ -381,7 +390,7 @@ def identity_error(kept: DataFrame, own: Whitening) -> float:
 def whitened(df: DataFrame, vector_col: str = "embedding", components: int = COMPONENTS) -> tuple[DataFrame, Whitening]:
     """(df's usable rows with deviation and whitened, the fitted Whitening); whitened is an array of a value for each component, at most `components`.
 
-    Rows whose vector is null or empty, holds null, non-finite or unthinkably large entries (beyond LARGEST / SCALE), or has another length than
+    Rows whose vector is null or empty, holds null or non-finite entries or such that x is no long, or has another length than
     most are dropped. Repeated rows and null ids are rows like others. Components have eigenvalues above zero, so there are fewer
     of them in tables of few dimensions or dependent ones, and none where all vectors are equal; an empty table gives an empty result. deviation is the sum
     over the dimensions of (n*x - S)^2, null where a long cannot hold it. Columns named deviation, whitened or x_ are replaced, others pass through.

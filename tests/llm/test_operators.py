@@ -651,3 +651,41 @@ def test_pipeline(spark):
     ids = {r["doc_id"] for r in at.select("doc_id").collect()}
     packed = P.run(spark, DATA).collect()
     assert {r["doc_id"] for r in packed} == ids and 0 < len(ids) < docs.count()
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    """Planted toxic documents, repeated lines, copies and passages against what a plain reading of the stages keeps, down to the packed tokens."""
+    import corpus_pipeline as P
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    words = [f"{a}{b}{c}" for a in ("ta", "re", "mi", "so") for b in ("lan", "ver", "dor", "kin", "pos") for c in ("", "s", "er", "ing", "al", "on")] + [f"word{i}" for i in range(900)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    line, passage = "This very line stands in a great many documents", prose(30)
+    texts = {i: prose(90) + "\n" + prose(40) for i in range(420)}
+    toxic = {i for i in texts if i % 6 == 5}
+    for i in toxic:
+        own = texts[i].split(" ")
+        for _ in range(4):
+            own.insert(rng.randrange(len(own)), rng.choice(["vilest", "nasty", "foul"]))
+        texts[i] = " ".join(own)
+    for i in range(0, 60, 4):
+        texts[i] += f"\n {line.upper()}"
+    leaks = {10, 38}
+    for i in leaks:
+        texts[i] = prose(40) + " " + passage + " " + prose(40)
+    texts[1001] = texts[1002] = texts[3]
+    texts[1003] = texts[4].replace(texts[4].split(" ")[60], "changed", 1)
+    docs = [(i, t, "en", "s", len(t)) for i, t in sorted(texts.items())]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i in toxic)) for i in range(420)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    packed = P.run(spark, str(tmp_path)).collect()
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    kept = {i: "\n".join(x for x in t.split("\n") if x.strip().lower() != line.lower()) for i, t in texts.items() if i not in toxic and i not in leaks and i < 1000}
+    expected = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in kept.items()}
+    found = Counter()
+    for r in packed:
+        found[r["doc_id"]] += r["length"]
+    assert dict(found) == expected

@@ -1,5 +1,6 @@
 """Exact whitening against numpy's eigenvectors, exact arithmetic, and in edge cases."""
 
+import math
 import random
 from fractions import Fraction
 
@@ -75,6 +76,19 @@ def test_equal_and_dependent_eigenvalues(spark):
     assert abs(sum(own.explained) - 1) < 1e-15
 
 
+def test_large_entries(spark):
+    """Entries whose sums no long holds are still summed exactly."""
+    rng = np.random.default_rng(8)
+    vectors = [[float(np.float32(v)) for v in r] for r in rng.normal(size=(40, 3)) * [1.0, 1e9, 3e15]]
+    df = rows_of(spark, vectors)
+    n, sums, products = W.moments(W.usable(df, "embedding"))
+    x = [[math.floor(64 * v) for v in r] for r in vectors]
+    assert n == 40 and sums == [sum(r[i] for r in x) for i in range(3)] and products.tolist() == [[sum(r[i] * r[j] for r in x) for j in range(3)] for i in range(3)]
+    found, own = W.whitened(df)
+    assert len(own.vectors) == 3 and W.identity_error(W.usable(df, "embedding"), own) < 1e-6
+    assert all(r["deviation"] is None for r in found.collect())
+
+
 def test_exact_products_of_large_entries():
     rng = random.Random(2)
     for most in (10, 1 << 19, 1 << 25, 1 << 39):
