@@ -336,20 +336,37 @@ def version_publish(renders: DataFrame) -> DataFrame:
 
 def stop_predicate(log: DataFrame, predicate) -> DataFrame:
     """(run_id, stop_seq): the first extracted visit at which a predicate holds. predicate is a Column over url, page_index, collected_urls and
-    collected_titles, or a Python callable (url, page_index, urls, titles) -> bool, which runs once for each run."""
+    collected_titles, or a Python callable (url, page_index, urls, titles) -> bool, which runs visit by visit, its lists growing, until it holds.
+
+    A list is collected only if the Column names it; a growing list is in each visit's row, so the callable is the form for very long runs.
+    """
     ok = log.filter("status = 'ok'")
     if isinstance(predicate, Column):
         upto = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-        d = ok.withColumn("page_index", F.count(F.lit(1)).over(upto)).withColumn("collected_urls", F.collect_list("url").over(upto)).withColumn("collected_titles", F.collect_list("title").over(upto))
+        d = ok.withColumn("page_index", F.count(F.lit(1)).over(upto))
+        for name, column in (("collected_urls", "url"), ("collected_titles", "title")):
+            if name in str(predicate):
+                d = d.withColumn(name, F.collect_list(column).over(upto))
         return d.filter(predicate).groupBy("run_id").agg(F.min("seq").alias("stop_seq"))
 
-    def one(pdf):
-        pdf = pdf.sort_values("seq")
-        urls, titles = pdf["url"].tolist(), pdf["title"].tolist()
-        hit = [s for i, s in enumerate(pdf["seq"]) if predicate(urls[i], i + 1, urls[: i + 1], titles[: i + 1])]
-        return pdf.iloc[:1][["run_id"]].assign(stop_seq=hit[0]) if hit else pdf.iloc[:0][["run_id"]].assign(stop_seq=0)
+    schema = f"run_id {dict(log.dtypes)['run_id']}, stop_seq long"
 
-    return ok.select("run_id", "seq", "url", "title").groupBy("run_id").applyInPandas(one, f"run_id {dict(log.dtypes)['run_id']}, stop_seq long")
+    def fold(frames):
+        run, urls, titles, done = None, [], [], False
+        for pdf in frames:
+            rows = []
+            for r in pdf.itertuples():
+                if r.run_id != run:
+                    run, urls, titles, done = r.run_id, [], [], False
+                if not done:
+                    urls.append(r.url)
+                    titles.append(r.title)
+                    done = bool(predicate(r.url, len(urls), urls, titles))
+                    if done:
+                        rows.append((run, r.seq))
+            yield pd.DataFrame(rows, columns=["run_id", "stop_seq"])
+
+    return ok.select("run_id", "seq", "url", "title").repartition("run_id").sortWithinPartitions("run_id", "seq").mapInPandas(fold, schema)
 
 
 TRANSPARENT_ROLES = ["none", "presentation", "generic"]
