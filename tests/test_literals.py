@@ -153,7 +153,7 @@ def test_front_matter_with_nested_values(spark):
     yaml = "---\ntags:\n- a\n- b\nauthor:\n  name: X\nnote: |\n  free: text: here\n\"my key\": [1, 2]\n---\nbody"
     found = M.front_matter(docs(spark, yaml, "---\na: b: c\n---\nx", "---\nonly words\n---\nx", "---\n- a\n- b\n---\nx", "---\n# comment\n---\nx")).orderBy("doc_id").collect()
     assert [r["has_fm"] for r in found] == [True, False, False, False, False]
-    assert found[0]["body"] == "body" and set(found[0]["fm"]) == {"tags", "author", "note", '"my key"'}
+    assert found[0]["body"] == "body" and set(found[0]["fm"]) == {"tags", "author", "note", "my key"}
 
 
 def test_long_document(spark):
