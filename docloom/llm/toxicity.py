@@ -28,7 +28,7 @@ from docloom.llm.common import byte_words, pieces, text_bytes
 
 #: The sample: of each label whole rows in the order of a hash of their id, at most so many, while they have under so many bytes (the first in any case).
 SAMPLE_ROWS = 2000
-FIT_BYTES = 8 << 20
+FIT_BYTES = 4 << 20
 #: Tokens in a row of the fit; texts are cut into rows with the tokens on both sides.
 BLOCK = 64
 REJECT_AT = 0.7
@@ -177,7 +177,7 @@ class Sample:
         self.documents: list[np.ndarray] = []
         self.labels: list[int] = []
         for words, label in rows:
-            self.documents.append(np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int64))
+            self.documents.append(np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int32))
             self.labels.append(int(label))
         self.words = list(self.numbers)
         own = [affixes(w) for w in self.words]
@@ -208,6 +208,7 @@ class Sample:
             own = [d for d, y in zip(self.documents, self.labels, strict=True) if y == label]
             flat = np.concatenate([np.empty(0, np.int64), *own])
             around = np.concatenate([np.empty((0, 2), np.int64), *(np.stack([np.append(-1, d[:-1]), np.append(d[1:], -1)], axis=1) for d in own if len(d))])
+            around = around.astype(np.int64)
             mixed = (item_of[flat] * 0x9E3779B1 + around[:, 0]) * 0x85EBCA6B + around[:, 1]
             _, first = np.unique(mixed, return_index=True)
             contexts[label] = np.bincount(item_of[flat][first], minlength=items)
@@ -289,9 +290,13 @@ def fit(rows, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
     for d, y in zip(sample.documents, sample.labels, strict=True):
         if len(d):
             whole = np.resize(d, -(-len(d) // BLOCK) * BLOCK)
-            around = np.append(-1, whole[:-1]), np.append(whole[1:], -1)
+            around = (np.append(np.int32(-1), whole[:-1]), np.append(whole[1:], np.int32(-1)))
             filled.append([*(x.reshape(-1, BLOCK) for x in (whole, *around)), np.full(len(whole) // BLOCK, y)])
     word, before, after, toxic = (np.concatenate([x[i] for x in filled]) for i in range(4))
+    # Only the rows for the logistic regression are needed any more.
+    kept = [r for r, k in zip(rows, turn, strict=True) if k == 2]
+    kept = rows if len({y for _, y in kept}) < 2 else kept
+    del filled, rows, sample.documents
     labels = suspect[word] & (toxic > 0)[:, None]
     rng = np.random.default_rng(0)
     chosen = np.arange(len(toxic))
@@ -317,9 +322,6 @@ def fit(rows, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
         own[i] += heads.get(h, 0.0) + tails.get(t, 0.0) + shapes[shape(w)]
     model = Model(words, own, learned.part(4).copy(), learned.part(5).copy(), heads, tails, shapes, learned.part(6).reshape(2, 2).copy(), flat)
     model.left[0] = model.right[0] = 0.0
-    kept = [r for r, k in zip(rows, turn, strict=True) if k == 2]
-    if len({y for _, y in kept}) < 2:
-        kept = rows
     tagger = Tagger(model)
     x = np.concatenate([_features(*tagger.tag([w for w, _ in kept[at : at + 256]])) for at in range(0, len(kept), 256)])
     y = np.array([y for _, y in kept], float)
