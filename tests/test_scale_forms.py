@@ -107,3 +107,22 @@ def test_url_classes(spark):
 def test_html_to_markdown(spark, html, markdown):
     pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
     assert web.html_to_markdown(web.explode_html_tokens(pages)).first()["markdown"] == markdown
+
+
+def test_pages_of_many_files(spark, tmp_path):
+    """More files than shuffle partitions: a join that turns out small reads its shuffle by files, and a union must not pair such partitions with those by page."""
+    pages = spark.range(160).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<nav>n</nav><article><p>text "), "id", F.lit("</p><nav>x</nav></article>")).alias("html"))
+    pages.repartition(32).write.parquet(str(tmp_path / "pages"))
+    # Joins are planned as for large tables and found to be small when they run.
+    sizes = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.files.openCostInBytes": "128m"}
+    for key, value in sizes.items():
+        spark.conf.set(key, value)
+    try:
+        tokens = web.tokens_by_page(web.scan_pages(spark.read.parquet(str(tmp_path / "pages"))))
+        clean, removed = web.clean_noise(tokens)
+        md = web.html_to_markdown(web.content_tokens(clean))
+        assert {r["page_id"]: r["markdown"] for r in md.collect()} == {i: f"text {i}" for i in range(160)}
+        assert removed.agg(F.sum("removed")).first()[0] == 320
+    finally:
+        for key in sizes:
+            spark.conf.unset(key)
