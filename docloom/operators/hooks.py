@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Pages whose results are held at a time.
+PIECE = 128
 SCHEMA = "recipe_id string, page_id long, title string, html string, removed long, status string"
 
 
@@ -25,7 +27,7 @@ def hook_pipeline(pages: DataFrame, recipe: Recipe, params: dict | None = None)
     params = dict(params or {})
 
     def run(frames):
-        for pdf in frames:
+        for pdf in (whole[at : at + PIECE] for whole in frames for at in range(0, len(whole), PIECE)):
             rows = []
             for page_id, html in zip(pdf["page_id"], pdf["html"], strict=True):
                 removed = title = body = None

@@ -126,3 +126,29 @@ def test_pages_of_many_files(spark, tmp_path):
     finally:
         for key in sizes:
             spark.conf.unset(key)
+
+
+def test_python_holds_a_piece_of_a_batch(spark):
+    """A batch of any number of documents becomes Python objects piece by piece, with the results of one pass; hooks hand on piece by piece."""
+    import pyarrow as pa
+
+    from docloom.functions import blocks, yaml_block
+    from docloom.operators import hooks as H
+
+    n = 3 * blocks.PIECE + 5
+    lines = [None if i % 50 == 7 else [f"> [!NOTE] t{i}", "> x", "```", "[^1]: no", "```"] for i in range(n)]
+    sizes = []
+
+    def made(own):
+        sizes.append(len(own))
+        return pa.array([blocks.marks(x or []) for x in own], blocks._KIND)
+
+    found = blocks.in_pieces(pa.array(lines, pa.list_(pa.string())), made)
+    assert found.to_pylist() == [blocks.marks(x or []) for x in lines] and max(sizes) == blocks.PIECE
+    assert blocks.line_marks.func(pa.array(lines, pa.list_(pa.string()))).equals(found) and len(blocks.line_marks.func(pa.array([], pa.list_(pa.string())))) == 0
+    pairs = yaml_block.mapping_of.func(pa.array([None if i % 3 == 0 else [f"k: {i}"] if i % 3 == 1 else ["a: b: c"] for i in range(n)], pa.list_(pa.string())))
+    assert pairs.to_pylist() == [[("k", str(i))] if i % 3 == 1 else None for i in range(n)]
+    pages = spark.range(2 * H.PIECE + 1).select(F.col("id").alias("page_id"), F.col("id").cast("string").alias("html")).coalesce(1)
+    out = H.hook_pipeline(pages, H.Recipe("r", lambda html, p: (html, 1), lambda html, p: {"title": html, "html": html}))
+    assert {(r["page_id"], r["html"], r["removed"]) for r in out.collect()} == {(i, str(i), 1) for i in range(2 * H.PIECE + 1)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
