@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.common import pieces, removed, text_bytes, written
-from docloom.session import shared_dir
+from docloom.session import configure, shared_dir
 
 STRIP = b" \t\n\x0b\x0c\r"
 FAN_IN = 3
@@ -33,6 +33,8 @@ BROADCAST_LINES = 1 << 18
 HASHED = pa.schema([("batch", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("docs", pa.int64())])
 #: Rows of documents whose equal lines are counted before they are shuffled.
 COUNTED = 4096
+#: Rows whose texts are Python objects at a time.
+PIECE = 256
 
 
 def line_hash(line: bytes) -> bytes | None:
@@ -46,8 +48,9 @@ def _hashed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for whole in batches:
         for b in pieces(whole, COUNTED):
             found: dict[int, Counter] = {}
-            for lot, text in zip(b["batch"].to_pylist(), text_bytes(b["text"]), strict=True):
-                found.setdefault(lot, Counter()).update({line_hash(x) for x in text.split(b"\n")} - {None})
+            for own in pieces(b, PIECE):
+                for lot, text in zip(own["batch"].to_pylist(), text_bytes(own["text"]), strict=True):
+                    found.setdefault(lot, Counter()).update({line_hash(x) for x in text.split(b"\n")} - {None})
             pairs = np.frombuffer(b"".join(h for own in found.values() for h in own), dtype="<i8").reshape(-1, 2)
             lots = np.repeat(np.array(list(found), np.int32), [len(x) for x in found.values()])
             docs = np.fromiter((n for own in found.values() for n in own.values()), np.int64, len(pairs))
@@ -164,7 +167,8 @@ def drop_repeated(df: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHE
     different documents and each is returned; a null doc_id is allowed. Texts of any length are read whole. An empty table gives an
     empty result. Columns named n_lines and n_dropped are replaced, others pass through under any name.
     """
-    runs = LineRuns(df.sparkSession)
+    # Its settings bound the batches by their bytes.
+    runs = LineRuns(configure(df.sparkSession))
     try:
         runs.add(df, batches)
         hot = written(runs.repeated(min_docs), "hot-lines")
@@ -179,7 +183,7 @@ def drop_repeated(df: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHE
 
         def rewrite(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dropped = shared.value
-            for b in parts:
+            for b in (x for whole in parts for x in pieces(whole, PIECE)):
                 new = [_kept(x, dropped) for x in text_bytes(b["text"])]
                 yield pa.record_batch(
                     [*(b[c] for c in rest), pa.array([x[0] for x in new], pa.binary()).cast(pa.string()), pa.array([x[1] for x in new], pa.int64()), pa.array([x[2] for x in new], pa.int64())],
@@ -204,7 +208,7 @@ def _drop_by_shuffle(shaped: DataFrame, hot: DataFrame) -> DataFrame:
     schema = T.StructType([*keyed.drop("row_no").schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def rewrite(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
+        for b in (x for whole in parts for x in pieces(whole, PIECE)):
             texts, counts = [], []
             for text, gone in zip(text_bytes(b["text"]), b["gone"].to_pylist(), strict=True):
                 lines, out = text.split(b"\n"), frozenset(gone or ())

@@ -689,3 +689,16 @@ def test_pipeline_end_to_end(spark, tmp_path):
     for r in packed:
         found[r["doc_id"]] += r["length"]
     assert dict(found) == expected
+
+
+def test_line_hashes_hold_a_piece_of_a_batch(monkeypatch):
+    """A batch becomes Python texts piece by piece; its lines are counted over all of them."""
+    import pyarrow as pa
+
+    sizes, real = [], line_dedup.text_bytes
+    monkeypatch.setattr(line_dedup, "text_bytes", lambda column: sizes.append(len(column)) or real(column))
+    n = 2000
+    batch = pa.record_batch([pa.array([i % 2 for i in range(n)], pa.int32()), pa.array([f"same\n{i}\n{i}" for i in range(n)])], names=["batch", "text"])
+    out = pa.Table.from_batches(line_dedup._hashed_lines(iter([batch]))).to_pylist()
+    assert sum(sizes) == n and max(sizes) <= 256
+    assert len(out) == n + 2 and sorted(r["docs"] for r in out)[-3:] == [1, n // 2, n // 2]
