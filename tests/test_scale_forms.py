@@ -152,3 +152,23 @@ def test_python_holds_a_piece_of_a_batch(spark):
     out = H.hook_pipeline(pages, H.Recipe("r", lambda html, p: (html, 1), lambda html, p: {"title": html, "html": html}))
     assert {(r["page_id"], r["html"], r["removed"]) for r in out.collect()} == {(i, str(i), 1) for i in range(2 * H.PIECE + 1)}
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
+
+
+def test_cleaning_pairs_no_partitions(spark, tmp_path):
+    """As above where unions keep their inputs' partitioning, Spark's default: cleaning has none, nor a second shuffle of the tokens."""
+    pages = spark.range(160).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<title>t</title><article><h1>h</h1><p>text "), "id", F.lit("</p><nav>x</nav></article>")).alias("html"))
+    pages.repartition(32).write.parquet(str(tmp_path / "pages"))
+    sizes = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.files.openCostInBytes": "128m", "spark.sql.unionOutputPartitioning": "true"}
+    before = {key: spark.conf.get(key, None) for key in sizes}
+    for key, value in sizes.items():
+        spark.conf.set(key, value)
+    try:
+        tokens = web.tokens_by_page(web.scan_pages(spark.read.parquet(str(tmp_path / "pages"))))
+        assert {r["page_id"]: r["html"] for r in web.extract_content(tokens, "article", ("h1", "nav")).collect()} == {i: f"<p>text {i}</p>" for i in range(160)}
+        md = web.html_to_markdown(web.content_tokens(web.clean_noise(tokens)[0])).join(web.page_titles(tokens), "page_id")
+        assert {(r["page_id"], r["title"], r["markdown"]) for r in md.collect()} == {(i, "t", f"# h\n\ntext {i}") for i in range(160)}
+        plan = web.clean_noise(tokens)[0]._jdf.queryExecution().executedPlan().toString()
+        assert "Union" not in plan and "Join" not in plan and plan.count("Exchange") == 1
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
