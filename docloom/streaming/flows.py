@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import markdown as M
+from docloom.sources import files
 
 
 def debounce_sessions(fs_events: DataFrame, gap: str = "300 milliseconds", watermark: str | None = "1 minute") -> DataFrame:
@@ -48,20 +49,22 @@ def crawl_dedup_stream(log: DataFrame, watermark: str = "1 day") -> DataFrame:
 
 LISTING = "path string, mtime timestamp, length long, removed boolean, listing long"
 CHANGE = "path string, change string, mtime timestamp, version long"
+#: Files that a task of the ingest reads.
+FILES_EACH = 500
 
 
 def list_files(spark: SparkSession, root: str, listings: str) -> None:
     """Append a listing of the Markdown files below root (path, mtime, length; no content is read), with those of the last listing that are gone as removed."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.lower("path").rlike(r"\.(md|markdown)$"))
-    now = files.select("path", F.col("modificationTime").alias("mtime"), "length")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.lower("path").rlike(r"\.(md|markdown)$"))
+    now = found.select("path", F.col("modificationTime").alias("mtime"), "length")
     empty = spark.createDataFrame([], LISTING)
     try:
         before = spark.read.schema(LISTING).parquet(listings)
     except AnalysisException:
         before = empty
     last = before.agg(F.coalesce(F.max("listing"), F.lit(-1))).first()[0]
-    gone = before.filter(F.col("listing") == last).filter("not removed").join(now, "path", "left_anti").select("path", "mtime", "length")
-    both = now.withColumn("removed", F.lit(False)).union(gone.withColumn("removed", F.lit(True)))
+    old = before.filter(F.col("listing") == last).filter("not removed").select("path", F.col("mtime").alias("old_mtime"), F.col("length").alias("old_length"))
+    both = now.join(old, "path", "full").select("path", F.coalesce("mtime", "old_mtime").alias("mtime"), F.coalesce("length", "old_length").alias("length"), F.col("mtime").isNull().alias("removed"))
     both.withColumn("listing", F.lit(last + 1)).coalesce(1).write.mode("append").parquet(listings)
 
 
@@ -97,11 +100,9 @@ def stream_ingest(spark: SparkSession, root: str, sink: str, checkpoint: str, fa
         changes = f"{sink}/changes/batch={number}"
         batch.write.mode("overwrite").parquet(changes)
         found = spark.read.schema(CHANGE).parquet(changes).filter("change <> 'removed'")
-        since = found.agg(F.min("mtime")).first()[0]
-        if since is not None:
-            # Files that are older than the oldest change are not read.
-            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("modificationTime") >= F.lit(since))
-            docs = files.join(found.select("path"), "path").select(F.col("path").alias("doc_id"), F.col("content").cast("string").alias("text"))
+        n = found.count()
+        if n:
+            docs = files.contents(found.select("path").repartition(1 + n // FILES_EACH, "path"), root).select(F.col("path").alias("doc_id"), F.col("content").cast("string").alias("text"))
             facts(docs).write.mode("overwrite").parquet(f"{sink}/facts/batch={number}")
 
     stream = file_changes(spark.readStream.schema(LISTING).option("maxFilesPerTrigger", 1).parquet(f"{checkpoint}/listings"))

@@ -57,6 +57,20 @@ def test_ingest_follows_files(spark, tmp_path):
     assert {r["change"]: r["count"] for r in changes} == {"new": 4, "changed": 2, "removed": 1}
 
 
+def test_ingest_reads_changed_files_in_place(spark, tmp_path):
+    """The contents of files below a folder (of odd name, or named by a wildcard) are read without a listing, join or shuffle of them; a file that is gone has no row."""
+    folder = tmp_path / "odd %20 name"
+    os.makedirs(folder / "sub")
+    texts = {"a b.md": b"x" * 100, "sub/%41.md": b"\xff\x00"}
+    for name, text in texts.items():
+        (folder / name).write_bytes(text)
+    for root in (str(folder), f"{tmp_path}/odd*"):
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path").localCheckpoint()
+        found = files.contents(listed.union(listed.limit(1).select(F.concat("path", F.lit(".gone")))), root)
+        assert {r["path"].split("name/")[1]: bytes(r["content"]) for r in found.collect()} == texts
+        assert "Exchange" not in files.contents(listed, root)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_render_stream_equals_batch(spark, tmp_path):
     schema = "path string, mtime long, text string"
     first = spark.createDataFrame([("a", 1, "x"), ("b", 1, None), ("c", 1, "z"), ("e", 1, "q")], schema)
