@@ -172,3 +172,20 @@ def test_cleaning_pairs_no_partitions(spark, tmp_path):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+ARTICLES = ["<article>a<article>b</article>c</article><article>d</article>", "<p>x</p>", "<article>open <b>end</b>", "<article></article>z", "</article><article>y</article>"]
+
+
+def test_content_meets_nothing(spark):
+    """The first element, its end and a list's extents are found in the tokens' own rows: no join of tokens, one shuffle."""
+    pages = spark.createDataFrame([*((i, f"https://x.org/{i}", x) for i, x in enumerate(ARTICLES)), (None, "https://x.org/n", ARTICLES[0])], "page_id long, url string, html string")
+    tokens = web.tokens_by_page(web.scan_pages(pages))
+    text = lambda d: {r["page_id"]: r["t"] for r in d.groupBy("page_id").agg(web.joined_in_order("text", "tok_no").alias("t")).collect()}
+    content = web.content_tokens(tokens)
+    assert text(content) == {0: "a<article>b</article>c", 2: "open <b>end", 4: "y"}
+    extents = web.element_extents(tokens, ["article", "b"])
+    assert {(r["page_id"], r["start_tok"]): r["end_tok"] for r in extents.filter("selector = 'article'").collect()} == {(0, 0): 6, (0, 2): 4, (0, 7): 9, (2, 0): 4, (3, 0): 1, (4, 1): 3}
+    for d in (content, extents, web.content_tokens(web.clean_noise(tokens)[0])):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange") == 1
