@@ -189,3 +189,13 @@ def test_content_meets_nothing(spark):
     for d in (content, extents, web.content_tokens(web.clean_noise(tokens)[0])):
         plan = d._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_captures_pair_no_partitions(spark, tmp_path):
+    """Both captures of a page come without a union; a page without content has the first alone."""
+    from docloom.plans import web_queries as W
+
+    spark.createDataFrame([(i, f"https://x.org/{i}", x) for i, x in enumerate(ARTICLES)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = W.captures(spark, str(tmp_path))
+    assert "Union" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["captured_seq"], r["markdown"]) for r in found.collect()} == {(0, "a\n\nb\n\nc\n\nd"), (1, "x"), (2, "open **end**"), (3, "z"), (4, "y"), *((1_000_000_000 + i, m) for i, m in ((0, "a\n\nb\n\nc"), (2, "open **end"), (4, "y")))}
