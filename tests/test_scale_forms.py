@@ -199,3 +199,46 @@ def test_captures_pair_no_partitions(spark, tmp_path):
     found = W.captures(spark, str(tmp_path))
     assert "Union" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r["captured_seq"], r["markdown"]) for r in found.collect()} == {(0, "a\n\nb\n\nc\n\nd"), (1, "x"), (2, "open **end**"), (3, "z"), (4, "y"), *((1_000_000_000 + i, m) for i, m in ((0, "a\n\nb\n\nc"), (2, "open **end"), (4, "y")))}
+
+
+def test_content_and_markdown_share_one_order(spark):
+    """Content is what lies in the first extent, for tags and classes, on random pages; and all windows from clean tokens to Markdown need one more order, that of lists."""
+    rng = random.Random(11)
+    draw = lambda: rng.choice(["<article>", "</article>", "<article class='a b'>", "<p class=a>", "</p>", "<div>", "</div>", "<article/>", "<br>", "x", "<table>", "<tr>", "</tr>", "<td>", "</td>", "<ol>", "</ol>", "<ul>", "</ul>", "<li>"])
+    pages = [(i if i % 40 else None, "u", "".join(draw() for _ in range(rng.randint(1, 40)))) for i in range(200)]
+    tokens = web.tokens_by_page(spark.createDataFrame(pages, "page_id long, url string, html string")).localCheckpoint()
+    for selector in ("article", ".a"):
+        first = {}
+        for r in web.element_extents(tokens, [selector]).collect():
+            first[r["page_id"]] = min(first.get(r["page_id"], (1e9, 0)), (r["start_tok"], r["end_tok"]))
+        inside = {(r["page_id"], r["tok_no"]) for r in tokens.collect() if r["page_id"] in first and first[r["page_id"]][0] < r["tok_no"] < first[r["page_id"]][1]}
+        assert {(r["page_id"], r["tok_no"]) for r in web.content_tokens(tokens, selector).collect()} == inside and len(inside) > 100
+
+    def markdown(rows):
+        """Tables and numbered lists alone, as they are counted one token after the other."""
+        out, rows_ended, cells, depth, lists = "", 0, 0, 0, {}
+        for r in rows:
+            kind, tag = r["kind"], r["tag"]
+            if kind == "open" and tag == "table":
+                rows_ended = cells = 0
+            cells += kind == "open" and tag == "td"
+            rows_ended += kind == "close" and tag == "tr"
+            depth += (kind == "open" and tag in ("ul", "ol")) - (kind == "close" and tag in ("ul", "ol"))
+            if kind == "open" and tag in ("ul", "ol"):
+                lists[depth] = [tag, 0]
+            if kind == "open" and tag == "li":
+                at = lists.setdefault(depth, [None, 0])
+                at[1] += 1
+                out += f"\n{at[1]}. " if at[0] == "ol" else "\n- "
+            elif kind == "close" and tag == "tr":
+                out += "|\n" + ("| --- " * cells + "|\n" if rows_ended == 1 else "")
+        return out
+
+    by_page = {}
+    for r in sorted(tokens.filter("page_id is not null").collect(), key=lambda r: (r["page_id"], r["tok_no"])):
+        by_page.setdefault(r["page_id"], []).append(r)
+    only = web.fragments(tokens).join(tokens.filter("page_id is not null and (tag = 'li' and kind = 'open' or tag = 'tr' and kind = 'close')").select("page_id", "tok_no"), ["page_id", "tok_no"])
+    assert {r["page_id"]: r["t"] for r in only.groupBy("page_id").agg(web.joined_in_order("frag", "tok_no").alias("t")).collect()} == {k: m for k, v in by_page.items() if (m := markdown(v))}
+    sorts = lambda d: len(re.findall(r"\bSort \[", d._jdf.queryExecution().executedPlan().toString()))
+    clean = web.clean_noise(web.tokens_by_page(spark.createDataFrame(pages, "page_id long, url string, html string")))[0]
+    assert sorts(web.content_tokens(clean)) == sorts(clean) == 3 and sorts(web.fragments(web.content_tokens(clean))) == 4
