@@ -242,3 +242,12 @@ def test_content_and_markdown_share_one_order(spark):
     sorts = lambda d: len(re.findall(r"\bSort \[", d._jdf.queryExecution().executedPlan().toString()))
     clean = web.clean_noise(web.tokens_by_page(spark.createDataFrame(pages, "page_id long, url string, html string")))[0]
     assert sorts(web.content_tokens(clean)) == sorts(clean) == 3 and sorts(web.fragments(web.content_tokens(clean))) == 4
+
+
+def test_files_are_named_in_the_pages_own_rows(spark):
+    """A page keeps its columns beside its file's name, so naming needs no join with itself; repeated keys stay a row each."""
+    df = spark.createDataFrame([(1, 1, "u/x", "T", "a"), (1, 2, "u/x", "T", "b"), (1, 2, "u/y/", "", "c"), (2, 9, "u", None, None)], "run_id long, seq long, url string, title string, markdown string")
+    found = C.unique_filename(df, "markdown", "title")
+    assert found.columns == ["run_id", "seq", "file_name", "markdown", "title"] and found.count() == 4
+    assert {(r["markdown"], r["file_name"]) for r in found.filter("markdown in ('a', 'c') or run_id = 2").collect() if r["markdown"] != "c"} == {("a", "001-t.md"), (None, "001-u.md")}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
