@@ -251,3 +251,25 @@ def test_files_are_named_in_the_pages_own_rows(spark):
     assert found.columns == ["run_id", "seq", "file_name", "markdown", "title"] and found.count() == 4
     assert {(r["markdown"], r["file_name"]) for r in found.filter("markdown in ('a', 'c') or run_id = 2").collect() if r["markdown"] != "c"} == {("a", "001-t.md"), (None, "001-u.md")}
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Tasks follow the cores and the bytes, not the number of small files; every file is read, and one over the limit is not."""
+    from docloom.sources import files
+
+    for i in range(200):
+        (tmp_path / f"{i}.md").write_text(f"t{i}")
+    (tmp_path / "large.md").write_text("x" * 99)
+    before = {key: spark.conf.get(key) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for key in before:
+        spark.conf.set(key, "4m")
+    try:
+        found, text = files.scan_assets(spark, str(tmp_path), max_bytes=50), files.scan_markdown(spark, [str(tmp_path)])
+        cores = spark.sparkContext.defaultParallelism
+        assert found.rdd.getNumPartitions() <= 2 * cores and text.rdd.getNumPartitions() <= 2 * cores < 200
+        # The limit reaches the scan through the coalescing, so large files stay unread.
+        assert "LessThanOrEqual(length,50)" in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(bytes(r["content"]).decode() for r in found.collect()) == sorted(f"t{i}" for i in range(200)) and text.count() == 201
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
