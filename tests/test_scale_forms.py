@@ -273,3 +273,18 @@ def test_small_files_share_tasks(spark, tmp_path):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_written_pages_are_listed_in_few_tasks(spark):
+    """What the sink wrote is read back by tasks that follow the cores, not the number of files."""
+    from docloom.plans import registry
+
+    before = {key: spark.conf.get(key) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for key in before:
+        spark.conf.set(key, "4m")
+    try:
+        found = registry.queries()["sink_page_files"](spark, "/root/testdata/sf0.01")
+        assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism < 250 == found.count()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
