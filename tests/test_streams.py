@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import corpus as C
+from docloom.session import shared_dir
 from docloom.sources import files
 from docloom.streaming import flows
 
@@ -138,6 +139,17 @@ def test_stores_of_paths(spark, tmp_path):
     assert files.store_uri(spark, f"file:{tmp_path}/y") == f"file://{tmp_path}/y"
 
 
+def test_shared_folder_without_scheme_on_a_cluster(spark, tmp_path, monkeypatch):
+    """What spark.checkpoint.dir names is shared, also where no store is named and the master is a cluster; other folders without a store stay an error there."""
+    get = type(spark.conf).get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: str(tmp_path / "shared") if key == "spark.checkpoint.dir" else get(self, key, *a))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    files.sink_page_files(spark.createDataFrame([("a.md", "A"), ("b.md", "B")], "file_name string, markdown string"), f"{shared_dir(spark)}/out")
+    assert sorted(x for x in os.listdir(tmp_path / "shared" / "out") if not x.endswith(".crc")) == ["a.md", "b.md"]
+    with pytest.raises(ValueError, match="name its store"):
+        files.store_uri(spark, str(tmp_path / "own"))
+
+
 # Trees
 
 
