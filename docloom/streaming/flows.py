@@ -48,14 +48,14 @@ def crawl_dedup_stream(log: DataFrame, watermark: str = "1 day") -> DataFrame:
 
 
 LISTING = "path string, mtime timestamp, length long, removed boolean, listing long"
-CHANGE = "path string, change string, mtime timestamp, version long"
+CHANGE = "path string, change string, mtime timestamp, version long, listing long"
 #: Files that a task of the ingest reads.
 FILES_EACH = 500
 
 
 def list_files(spark: SparkSession, root: str, listings: str) -> None:
     """Append a listing of the Markdown files below root (path, mtime, length; no content is read), with those of the last listing that are gone as removed."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.lower("path").rlike(r"\.(md|markdown)$"))
+    found = files.listed(spark, root).filter(F.lower("path").rlike(r"\.(md|markdown)$"))
     now = found.select("path", F.col("modificationTime").alias("mtime"), "length")
     empty = spark.createDataFrame([], LISTING)
     try:
@@ -65,11 +65,11 @@ def list_files(spark: SparkSession, root: str, listings: str) -> None:
     last = before.agg(F.coalesce(F.max("listing"), F.lit(-1))).first()[0]
     old = before.filter(F.col("listing") == last).filter("not removed").select("path", F.col("mtime").alias("old_mtime"), F.col("length").alias("old_length"))
     both = now.join(old, "path", "full").select("path", F.coalesce("mtime", "old_mtime").alias("mtime"), F.coalesce("length", "old_length").alias("length"), F.col("mtime").isNull().alias("removed"))
-    both.withColumn("listing", F.lit(last + 1)).coalesce(1).write.mode("append").parquet(listings)
+    both.withColumn("listing", F.lit(last + 1)).write.mode("append").parquet(listings)
 
 
 def file_changes(listings: DataFrame) -> DataFrame:
-    """(path, change, mtime, version) of a stream of listings: new, changed or removed files, by the modification time, length and version kept as state of each path."""
+    """(path, change, mtime, version, listing) of a stream of listings: new, changed or removed files, by the modification time, length and version kept as state of each path."""
 
     def step(key, frames, state):
         out = []
@@ -79,11 +79,11 @@ def file_changes(listings: DataFrame) -> DataFrame:
             if r.removed:
                 if state.exists:
                     state.remove()
-                    out.append((key[0], "removed", r.mtime, version))
+                    out.append((key[0], "removed", r.mtime, version, r.listing))
             elif (at, r.length) != (mtime, length):
                 state.update((at, int(r.length), version + 1))
-                out.append((key[0], "changed" if version else "new", r.mtime, version + 1))
-        yield pd.DataFrame(out, columns=["path", "change", "mtime", "version"])
+                out.append((key[0], "changed" if version else "new", r.mtime, version + 1, r.listing))
+        yield pd.DataFrame(out, columns=["path", "change", "mtime", "version", "listing"])
 
     return listings.groupBy("path").applyInPandasWithState(step, CHANGE, "mtime long, length long, version long", "append", "NoTimeout")
 
@@ -91,28 +91,29 @@ def file_changes(listings: DataFrame) -> DataFrame:
 def stream_ingest(spark: SparkSession, root: str, sink: str, checkpoint: str, facts=M.headings):
     """A trigger of the ingest of Markdown files: lists the files below root, and returns the query that reads those that are new or changed since the last one.
 
-    The query ends when all listings are read. It writes the changes of each batch below sink/changes, and the facts (a function of documents with path as
-    doc_id) of new and changed files below sink/facts; a batch that is repeated replaces its own. current_facts() has what holds now.
+    The query ends when all listings are read, which are one batch: several only if a trigger before failed. It writes the changes of each batch below
+    sink/changes, and the facts (a function of documents with path as doc_id) of files that are new or changed by its end below sink/facts; a batch that is
+    repeated replaces its own. current_facts() has what holds now.
     """
     list_files(spark, root, f"{checkpoint}/listings")
 
     def land(batch: DataFrame, number: int) -> None:
         changes = f"{sink}/changes/batch={number}"
         batch.write.mode("overwrite").parquet(changes)
-        found = spark.read.schema(CHANGE).parquet(changes).filter("change <> 'removed'")
+        found = spark.read.schema(CHANGE).parquet(changes).groupBy("path").agg(F.max_by("change", "listing").alias("change")).filter("change <> 'removed'")
         n = found.count()
         if n:
             docs = files.contents(found.select("path").repartition(1 + n // FILES_EACH, "path"), root).select(F.col("path").alias("doc_id"), F.col("content").cast("string").alias("text"))
             facts(docs).write.mode("overwrite").parquet(f"{sink}/facts/batch={number}")
 
-    stream = file_changes(spark.readStream.schema(LISTING).option("maxFilesPerTrigger", 1).parquet(f"{checkpoint}/listings"))
+    stream = file_changes(spark.readStream.schema(LISTING).parquet(f"{checkpoint}/listings"))
     return stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
 
 
 def current_facts(spark: SparkSession, sink: str) -> DataFrame:
     """The facts of the files that are there, as of their last change: a changed file's replace those before, a removed file has none."""
-    changes = spark.read.parquet(f"{sink}/changes")
-    last = changes.groupBy("path").agg(F.max_by(F.struct("change", "batch"), F.struct("batch", "version")).alias("c")).filter("c.change <> 'removed'")
+    changes = spark.read.schema(f"{CHANGE}, batch long").parquet(f"{sink}/changes")
+    last = changes.groupBy("path").agg(F.max_by(F.struct("change", "batch"), F.struct("batch", "listing")).alias("c")).filter("c.change <> 'removed'")
     return spark.read.parquet(f"{sink}/facts").join(last.select(F.col("path").alias("doc_id"), F.col("c.batch").alias("batch")), ["doc_id", "batch"]).drop("batch")
 
 

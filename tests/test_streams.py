@@ -72,6 +72,36 @@ def test_ingest_reads_changed_files_in_place(spark, tmp_path):
         assert "Exchange" not in files.contents(listed, root)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_listing_takes_few_tasks(spark, tmp_path):
+    """A listing's tasks follow the cores, not the number of files; every listing is whole, and several that one trigger reads leave the last state."""
+    os.makedirs(tmp_path / "in")
+    for i in range(150):
+        (tmp_path / "in" / f"{i}.md").write_text(f"# T{i}")
+    before = {key: spark.conf.get(key) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for key in before:
+        spark.conf.set(key, "4m")
+    context, listings = spark.sparkContext, f"{tmp_path}/state/listings"
+    try:
+        context.setJobGroup("listing", "listing")
+        flows.list_files(spark, f"{tmp_path}/in", listings)
+        jobs = context.statusTracker().getJobIdsForGroup("listing")
+        stages = [context.statusTracker().getStageInfo(k) for j in jobs for k in context.statusTracker().getJobInfo(j).stageIds]
+        assert max(x.numTasks for x in stages if x) <= 2 * context.defaultParallelism < 150
+    finally:
+        context._jsc.clearJobGroup()
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert spark.read.parquet(listings).filter("not removed").count() == 150
+    os.remove(tmp_path / "in" / "7.md")
+    os.remove(tmp_path / "in" / "9.md")
+    flows.list_files(spark, f"{tmp_path}/in", listings)
+    (tmp_path / "in" / "8.md").write_text("# Longer than before")
+    (tmp_path / "in" / "9.md").write_text("# T9")
+    flows.stream_ingest(spark, f"{tmp_path}/in", f"{tmp_path}/sink", f"{tmp_path}/state").awaitTermination()
+    found = {r["text"]: r["n"] for r in flows.current_facts(spark, f"{tmp_path}/sink").groupBy("text").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert found == {"Longer than before" if i == 8 else f"T{i}": 1 for i in range(150) if i != 7}
+
+
 def test_render_stream_equals_batch(spark, tmp_path):
     schema = "path string, mtime long, text string"
     first = spark.createDataFrame([("a", 1, "x"), ("b", 1, None), ("c", 1, "z"), ("e", 1, "q")], schema)
