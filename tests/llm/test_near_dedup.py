@@ -182,3 +182,37 @@ def test_blocks_equal_trees(judged):
         found = N.block_links(ids, N.np.array(values, N.np.uint64), 2, earlier, linked)
         trees = N.tree_links(ids, values, 2, earlier, linked)
         assert spans(found) == spans(trees) and len(found) == len(trees)
+
+
+def test_stage_takes_copies_with_words_changed_throughout(spark):
+    """Copies with every fourteenth to tenth word changed go, at 0.9 or more of each band of similarity of word pairs; texts below 0.6 stay."""
+    import corpus_pipeline as P
+
+    rng = random.Random(31)
+    words = [f"word{i}" for i in range(3000)]
+    pairs_of = lambda t: frozenset(zip(t, t[1:]))
+    rows, pairs = [], []
+    for i in range(600):
+        base = [rng.choice(words) for _ in range(rng.choice([60, 200, 500]))]
+        copy = [rng.choice(words) if rng.random() < share else w for share in [rng.uniform(0.01, 0.2)] for w in base]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        a, b = pairs_of(base), pairs_of(copy)
+        pairs.append((2 * i, len(a & b) / len(a | b)))
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"] for r in P.near_stage(spark, docs, "").select("doc_id").collect()}
+    bands = {}
+    for d, s in pairs:
+        assert d in found and (s >= 0.6 or d + 1 in found), s
+        bands.setdefault(min(int(s * 10), 9), []).append(d + 1 not in found)
+    assert all(len(bands[k]) >= 40 and sum(bands[k]) >= 0.9 * len(bands[k]) for k in (7, 8, 9)) and sum(bands[6]) >= 0.8 * len(bands[6]), {k: (len(x), sum(x)) for k, x in bands.items()}
+
+
+def test_stage_tells_rows_of_one_id_apart_by_their_texts(spark):
+    """A row goes for a near copy of its own text, not for what another row of its doc_id holds."""
+    import corpus_pipeline as P
+
+    one, two, three = ("some words of the first text here", "quite another text about other things altogether", "a third one that nobody else has ever written down")
+    rows = [(1, one), (5, one), (5, two), (5, two + "\n"), (6, three), (6, three), (7, one), (7, two), (None, one), (None, one)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = [(r["doc_id"], r["text"]) for r in P.near_stage(spark, docs, "").collect()]
+    assert sorted(found, key=str) == sorted([(1, one), (5, two), (6, three), (None, one), (None, one)], key=str)
